@@ -3,17 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelake.llm import quality, urls
+from framelake.llm import bytepairs, lm, neardup, packing, pieces, quality, secrets, topk, urls
 
 #: Fixed rules of the URL query.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80, k=2)
+
+
+def op2_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_products(vecs, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    scores = lm.interpolated_scores(table(spark, sf_dir, "documents"), train=part != 2, tune=part == 3)
+    return scores.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.quality_rules(docs).select(
@@ -25,5 +51,18 @@ def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op5_line_frequency": op5_line_frequency, "op7_link_trust": op7_link_trust}
+def op8_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing)}
 ORACLES: dict[str, str] = {}

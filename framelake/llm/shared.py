@@ -50,3 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * M1
     x = (x ^ (x >> np.uint64(27))) * M2
     return x ^ (x >> np.uint64(31))
+
+
+def wrap(value: int) -> np.uint64:
+    return np.uint64(value & 0xFFFFFFFFFFFFFFFF)
