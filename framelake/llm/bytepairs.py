@@ -17,6 +17,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.shared import bounded_batches
+from framelake.llm.words import small_batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words a worker remembers, twice over; older ones are forgotten together.
@@ -298,13 +301,12 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
         work = make()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            from framelake.llm.words import small_batches
-
             for a, b in small_batches(texts, 1 << 21):
                 more = work(texts[a:b])
                 held = [batch.column(i).slice(a, b - a) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*held, *more.columns], names=[*carry, *more.schema.names])
 
+    bounded_batches(df.sparkSession)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     return df.select(*carry, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, {schema}")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import M1, cut, mix
+from framelake.llm.shared import M1, bounded_batches, cut, mix
 from framelake.llm.words import word_hashes
 
 #: Characters of a chunk.
@@ -79,7 +79,7 @@ def _ask(order: int, groups: int):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(unique >> shift)) + 1, [len(unique)]]) if groups > 1 else np.array([0, len(unique)])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 g = int(unique[a] >> shift) if groups > 1 else 0
-                yield {"kind": 0, "group": o * groups + g, "chunk": name, "a": _pack_keys(unique[a:b]), "b": _planes(kept[a:b]), "c": _planes(tuned[a:b])}
+                yield {"kind": 0, "group": o * groups + g, "chunk": name, "k1": 0, "k2": 0, "a": _pack_keys(unique[a:b]), "b": _planes(kept[a:b]), "c": _planes(tuned[a:b])}
 
     kinds = {"kind": pa.int32(), "group": pa.int32(), "chunk": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
@@ -125,7 +125,8 @@ def _count(groups: int):
                 i = at[a:b]
                 out.append({"kind": 0, "group": group, "chunk": name, "every": _planes(every[i].astype(np.uint32)), "kept": _planes(kept[i].astype(np.uint32))})
         columns = [c.split()[0] for c in _REPLY.split(", ")]
-        return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns if c not in ("every", "kept")})
+        whole = lambda c: pd.array([None if (x := r.get(c)) is None else int(x) for r in out], dtype="Int64")  # noqa: E731  never through floats
+        return pd.DataFrame({c: [r.get(c) for r in out] if c in ("every", "kept") else whole(c) for c in columns})
     return run
 
 
@@ -216,6 +217,7 @@ def interpolated_scores(docs: DataFrame, train: Column, tune: Column, order: int
     may be null. An empty table gives an empty result; without training documents counts are zero. Other
     columns are not read. Words and n-grams are told apart by 64-bit hashes.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(id).cast("string"), F.lit(1)).alias("_k1"), F.xxhash64(F.col(text)).alias("_k2"),
                        F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(train & tune, F.lit(False)).alias("_tune"), F.col(text).alias("_text"))
     chars = base.agg(F.sum(F.length("_text"))).first()[0] or 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.llm import words as W
-from framelake.llm.shared import M1, M3, cut, mix, wrap
+from framelake.llm.shared import M1, M3, bounded_batches, cut, lookup_side, mix, wrap
 
 #: Four ranks a band, 32 bands: two sets at a similarity of 0.8 share no band once in about 20 million pairs.
 SLOTS, ROWS = 128, 4
@@ -177,8 +177,8 @@ def near_links(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> Dat
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """Those pairs (a, b) of rows whose whole shingle sets have 100 * shared >= percent * united."""
     pairs = cut(pairs)
-    need = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    sets = texts.join(need, "_row", "left_semi").select("_row", "_text").mapInArrow(_shingle_sets(k), "_row long, _shingles array<long>")
+    need = cut(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
+    sets = texts.join(lookup_side(need), "_row", "left_semi").select("_row", "_text").mapInArrow(_shingle_sets(k), "_row long, _shingles array<long>")
     sets = cut(sets)
     both = (pairs.join(sets.select(F.col("_row").alias("a"), F.col("_shingles").alias("_x")), "a")
             .join(sets.select(F.col("_row").alias("b"), F.col("_shingles").alias("_y")), "b"))
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     component of an equal set that has an id, or null, links nothing and is kept. An empty table gives an
     empty result. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
     signed = cut(base.select(F.col("_id").alias("_row"), "_text").mapInArrow(_sign(k), _SIGNED))
     whole = signed.where("_row is not null and _n > 0")

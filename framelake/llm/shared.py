@@ -41,6 +41,13 @@ def lookup_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session: with the default of 10,000, long texts fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
