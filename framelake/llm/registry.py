@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bytepairs, lm, neardup, packing, pieces, quality, secrets, topk, urls
+from framelake.llm import bytepairs, lm, neardup, packing, pieces, quality, secrets, suffixes, topk, urls
 
 #: Fixed rules of the URL query.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -46,6 +46,10 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -64,5 +68,5 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing)}
+    op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op6_suffix_arrays, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing)}
 ORACLES: dict[str, str] = {}
