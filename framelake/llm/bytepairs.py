@@ -6,12 +6,14 @@ path is a parameter and the file must be readable on every executor.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -68,7 +70,14 @@ class Splitter:
         self.pattern = regex.compile(inner)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.same: dict[str, bool] = {}
-        self.odd = regex.compile("[" + "".join(regex.escape(c) for c in map(chr, range(128)) if not self._probe(c)) + "\x00]")
+        # Characters up to U+024F that both sides class alike are spelt out, for a pattern of the faster re module.
+        common = [c for c in map(chr, range(1, 0x250)) if self._probe(c)]
+        of = lambda kind: "".join(re.escape(c) for c in common if regex.match(kind, c))
+        letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+        quick = inner.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
+        quick = quick.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+        self.quick = re.compile(quick)
+        self.rare = re.compile("[^" + "".join(map(re.escape, common)) + "]")
 
     def _spans(self, text: str) -> list[str]:
         x = self.library.normalizer.normalize_str(text) if self.lower else text
@@ -88,13 +97,12 @@ class Splitter:
 
     def words(self, text: str) -> list[str] | None:
         """The words of text, or None if the library must encode it whole."""
-        if self.special.search(text) or self.odd.search(text):
+        if self.special.search(text):
+            return None
+        if not self.rare.search(text):
+            return self.quick.findall(text.lower() if self.lower else text)
+        if self.lower and not unicodedata.is_normalized("NFC", text) or not all(map(self._probe, set(text))):
             return None
-        if not text.isascii():
-            if self.lower and not unicodedata.is_normalized("NFC", text):
-                return None
-            if not all(map(self._probe, set(text))):
-                return None
         return self._split(text)
 
 
@@ -105,27 +113,50 @@ class Encoder:
         self.split = Splitter(path)
         self.cache = Generations()
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words that begin with a space and go on with a letter: one text for many, since it splits into just these words."""
+        for i in range(0, len(words), 512):
+            part = words[i:i + 512]
+            e = self.split.library.encode("".join(part), add_special_tokens=False)
+            owner = np.array(e.word_ids)
+            if len(owner) and owner[-1] == len(part) - 1:
+                raw = np.array(e.ids, np.uint32).tobytes()
+                cuts = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+                yield from ((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
+            else:
+                yield from self._alone(part)
+
+    def _alone(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for w, e in zip(words, self.split.library.encode_batch_fast(words, add_special_tokens=False)):
+            yield w, np.array(e.ids, np.uint32).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.split.words(t) for t in texts]
-        known: dict[str, array] = {}
-        new, old = self.cache.new, self.cache.old
-        for w in set().union(*(x for x in words if x)):
+        every = set().union(*(x for x in words if x))
+        new, old, known = self.cache.new, self.cache.old, {}
+        spaced, other = [], []
+        for w in every:
             found = new.get(w) or old.get(w)
             if found is not None:
                 known[w] = found
-        missing = list(set().union(*(x for x in words if x)) - known.keys())
-        for w, e in zip(missing, self.split.library.encode_batch_fast(missing, add_special_tokens=False)):
-            known[w] = array("I", e.ids)
-        for w, ids in known.items():
-            if w not in new:
-                self.cache.put(w, ids)
-        out = []
-        for t, x in zip(texts, words):
-            if x is None:
-                out.append(array("I", self.split.library.encode(t, add_special_tokens=False).ids))
             else:
-                out.append(array("I", b"".join(map(known.__getitem__, x))))
-        return out
+                (spaced if w[0] == " " and w[1:].isalpha() else other).append(w)
+        known.update(self._together(spaced))
+        known.update(self._alone(other))
+        for w in [*spaced, *other]:
+            self.cache.put(w, known[w])
+        if self.cache.new is not new:  # a new generation began: keep what is in use
+            for w, ids in known.items():
+                self.cache.put(w, ids)
+        get = known.__getitem__
+        return [np.array(self.split.library.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else np.frombuffer(b"".join(map(get, x)), np.uint32)
+                for t, x in zip(texts, words)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker, so that tasks find its words."""
+    return Encoder(path)
 
 
 class PrefixCounts:
@@ -295,8 +326,16 @@ class TokenCounter:
         return text
 
 
+@functools.cache
+def counter(path: str) -> TokenCounter:
+    """One counter for each worker, so that tasks find its words."""
+    return TokenCounter(path)
+
+
 def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list[str | None]], pa.RecordBatch]], carry: list[str]) -> DataFrame:
     """df's columns `carry` beside the columns that make()(texts) computes for batches of texts; make runs once a task."""
+    safe = [f"c{i}" for i in range(len(carry))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
@@ -304,11 +343,13 @@ def map_texts(df: DataFrame, text: str, schema: str, make: Callable[[], Callable
             for a, b in small_batches(texts, 1 << 21):
                 more = work(texts[a:b])
                 held = [batch.column(i).slice(a, b - a) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*held, *more.columns], names=[*carry, *more.schema.names])
+                yield pa.RecordBatch.from_arrays([*held, *more.columns], names=[*safe, *more.schema.names])
 
     bounded_batches(df.sparkSession)
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    return df.select(*carry, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, {schema}")
+    # Carried columns travel as c0, c1, ..., whatever their own names are.
+    fields = ", ".join(f"{s} {df.schema[c].dataType.simpleString()}" for c, s in zip(carry, safe))
+    out = df.select(*(F.col(c).alias(s) for c, s in zip(carry, safe)), F.col(text).alias("_text")).mapInArrow(run, f"{fields}, {schema}")
+    return out.select(*(F.col(s).alias(c) for c, s in zip(carry, safe)), *out.columns[len(safe):])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,10 +361,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id: str = "doc_i
     other columns are not read. Special tokens' strings inside a text count as the one token they stand for.
     """
     def make():
-        counter = TokenCounter(path)
+        count = counter(path).count
 
         def work(texts: list[str | None]) -> pa.RecordBatch:
-            n = [counter.count(t) for t in texts]
+            n = [count(t) for t in texts]
             return pa.RecordBatch.from_arrays([
                 pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()),
                 pa.array([x > limit for x in n])], names=["n_bytes", "n_tokens", "over_limit"])
