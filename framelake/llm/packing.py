@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.bytepairs import Encoder, map_texts
+from framelake.llm.bytepairs import encoder, map_texts
 from framelake.llm.shared import cut, mix
 
 #: Hashed features, dimensions of the projection and bits of each: 27 bits of Hilbert key.
@@ -49,11 +48,11 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[array]) -> np.ndarray:
+def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents given by token ids: counts of hashed tokens, by their length, on fixed random directions."""
     signs = mix(np.arange(1, FEATURES * DIMENSIONS + 1, dtype=np.uint64)).astype(np.float64).reshape(FEATURES, DIMENSIONS)
     signs = signs / 2.0**63 - 1.0
-    flat = np.concatenate([np.frombuffer(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     n = np.array([len(x) for x in ids])
     feature = (mix(flat.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
     counts = np.bincount(np.repeat(np.arange(len(ids)), n) * FEATURES + feature, minlength=len(ids) * FEATURES).reshape(len(ids), FEATURES)
@@ -72,16 +71,15 @@ def _narrow(ids: np.ndarray) -> bytes:
 
 def _encode(path: str, end_id: int):
     def make():
-        encoder = Encoder(path)
+        encode = encoder(path).encode
 
         def work(texts: list[str | None]) -> pa.RecordBatch:
-            ids = encoder.encode([t or "" for t in texts])
+            ids = encode([t or "" for t in texts])
             keys = curve_keys(ids)
-            for x in ids:
-                x.append(end_id)
+            ids = [np.append(x, np.uint32(end_id)) for x in ids]
             return pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([_narrow(np.frombuffer(x, np.uint32)) for x in ids], pa.binary())], names=["_curve", "_n", "_ids"])
+                pa.array([_narrow(x) for x in ids], pa.binary())], names=["_curve", "_n", "_ids"])
         return work
     return make
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bytepairs, lm, neardup, packing, pieces, quality, secrets, suffixes, topk, urls
+from framelake.llm import bytepairs, lm, neardup, oracles, packing, pieces, quality, secrets, suffixes, topk, urls
 
 #: Fixed rules of the URL query.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -69,4 +69,4 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op6_suffix_arrays, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

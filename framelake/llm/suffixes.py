@@ -326,8 +326,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
     carry = [id] if digest else [c for c in docs.columns if c != text]
     keyed = keyed_texts(docs.select(F.struct(*(F.col(c) for c in carry)).alias("_rest"), F.col(id).alias("_id"), F.col(text).alias("_t")), "_id", "_t")
     runs = repeated_strings(keyed.where(F.col("_text").isNotNull()), length, per_shard)
-    joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(c) for c in carry), "_text", "runs")
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    # Carried columns travel as c0, c1, ..., whatever their own names are.
+    safe = [f"c{i}" for i in range(len(carry))]
+    joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs")
+    fields = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(carry, safe))
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "_kept string"
-    out = joined.mapInArrow(_cut_texts(length, carry, digest), ", ".join(x for x in (fields, more) if x))
-    return out if digest else out.select(*(F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns))
+    out = joined.mapInArrow(_cut_texts(length, safe, digest), ", ".join(x for x in (fields, more) if x))
+    if digest:
+        return out.withColumnRenamed("c0", id)
+    back = dict(zip(carry, safe))
+    return out.select(*((F.col("_kept") if c == text else F.col(back[c])).alias(c) for c in docs.columns))
