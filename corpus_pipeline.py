@@ -24,13 +24,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id, once if its row repeats."""
     found = neardup.near_duplicates(docs, percent=80, k=5)
     gone = cut(found.where("not kept").select("doc_id").distinct())
-    return docs.join(lookup_side(gone), "doc_id", "left_anti").dropDuplicates(["doc_id"]) if _repeats(docs) else \
-        docs.join(lookup_side(gone), "doc_id", "left_anti")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some doc_id stands in more than one row."""
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
+    kept = docs.join(lookup_side(gone), "doc_id", "left_anti")
+    twice = docs.groupBy("doc_id").count().where("count > 1").head(1)
+    return (kept.dropDuplicates(["doc_id", "text"]) if twice else kept).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
