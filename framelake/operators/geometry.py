@@ -60,22 +60,27 @@ def lens(px: DataFrame, w: int, h: int, k1: float) -> DataFrame:
     return _gather(cells, px, F.col("_gx"), F.col("_gy"), RGB, (0, 0, 0))
 
 
-def _taps(px: DataFrame, cells: DataFrame, taps: list[tuple[Column, Column, Column]], channels: tuple[str, ...]) -> DataFrame:
-    """Weighted sums of source pixels for each cell: taps are (sy, sx, weight), exploded, joined once and summed by cell."""
-    rows = F.explode(F.array(*(F.struct(sy.cast("int").alias("sy"), sx.cast("int").alias("sx"), w.cast("double").alias("wt")) for sy, sx, w in taps)))
+def _summed(px: DataFrame, taps: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """Weighted sums by cell of the source pixels that taps (f, y, x, sy, sx, wt) name: one join and one aggregation."""
     src = px.select("f", F.col("y").alias("sy"), F.col("x").alias("sx"), *channels)
-    each = cells.select("f", "y", "x", rows.alias("t")).select("f", "y", "x", "t.sy", "t.sx", "t.wt").join(src, ["f", "sy", "sx"])
+    each = taps.select("f", "y", "x", F.col("sy").cast("int").alias("sy"), F.col("sx").cast("int").alias("sx"), "wt").join(src, ["f", "sy", "sx"])
     return each.groupBy("f", "y", "x").agg(*(rounded(F.sum(F.col(c) * F.col("wt"))).alias(c) for c in channels))
 
 
+def _offsets(cells: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Each cell beside all offsets (_j, _i) from lo to hi."""
+    span = F.sequence(F.lit(lo), F.lit(hi))
+    return cells.select("*", F.explode(span).alias("_j")).select("*", F.explode(span).alias("_i"))
+
+
 def resize_bilinear(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
     """Source coordinate = output coordinate * source size / output size, without a half-pixel shift; edges repeat."""
-    cells = grid(px, dw, dh)
-    fx, fy = F.col("x") * (sw / dw), F.col("y") * (sh / dh)
-    x0, y0 = F.floor(fx), F.floor(fy)
-    wx, wy = fx - x0, fy - y0
-    x1, y1 = F.least(x0 + 1, F.lit(sw - 1)), F.least(y0 + 1, F.lit(sh - 1))
-    return _taps(px, cells, [(y0, x0, (1 - wx) * (1 - wy)), (y0, x1, wx * (1 - wy)), (y1, x0, (1 - wx) * wy), (y1, x1, wx * wy)], channels)
+    at = grid(px, dw, dh).withColumns({"_fx": F.col("x") * (sw / dw), "_fy": F.col("y") * (sh / dh)})
+    part = lambda c, o: F.when(o == 1, c - F.floor(c)).otherwise(1 - (c - F.floor(c)))
+    taps = _offsets(at, 0, 1).withColumns({
+        "sx": F.least(F.floor("_fx") + F.col("_i"), F.lit(sw - 1)), "sy": F.least(F.floor("_fy") + F.col("_j"), F.lit(sh - 1)),
+        "wt": part(F.col("_fx"), F.col("_i")) * part(F.col("_fy"), F.col("_j"))})
+    return _summed(px, taps, channels)
 
 
 def _cubic(t: Column) -> Column:
@@ -85,14 +90,9 @@ def _cubic(t: Column) -> Column:
 
 def resize_bicubic(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
     """Sixteen taps, a = -0.5; weights are taken at the clamped coordinates and not normalised at the border."""
-    cells = grid(px, dw, dh)
-    fx, fy = F.col("x") * (sw / dw), F.col("y") * (sh / dh)
-    taps = []
-    for j in range(-1, 3):
-        for i in range(-1, 3):
-            sy, sx = clamp(F.floor(fy) + j, 0, sh - 1), clamp(F.floor(fx) + i, 0, sw - 1)
-            taps.append((sy, sx, _cubic(fy - sy) * _cubic(fx - sx)))
-    return _taps(px, cells, taps, channels)
+    at = grid(px, dw, dh).withColumns({"_fx": F.col("x") * (sw / dw), "_fy": F.col("y") * (sh / dh)})
+    taps = _offsets(at, -1, 2).withColumns({"sx": clamp(F.floor("_fx") + F.col("_i"), 0, sw - 1), "sy": clamp(F.floor("_fy") + F.col("_j"), 0, sh - 1)})
+    return _summed(px, taps.withColumn("wt", _cubic(F.col("_fy") - F.col("sy")) * _cubic(F.col("_fx") - F.col("sx"))), channels)
 
 
 def resize_nearest(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
