@@ -146,53 +146,72 @@ def _alike(percent: int):
     return (F.least("_n", "_n1") * 100 >= F.greatest("_n", "_n1") * percent) & (diff <= SKETCH_MOST)
 
 
-def near_links(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): verified links that connect exactly what all links at `percent` similarity connect.
+def named(d: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
+    """d with column `to`: the root of column `name` by roots (node, root), itself where it has none."""
+    return d.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(to, F.coalesce("_r", name)).drop("_r")
 
-    signed: one row for each distinct set. Every member of a band bucket is compared with the bucket's
-    smallest member, its centre, which is linear in a group of copies of any size. What else can link:
 
-    - A stray (not linked to the centre) and a member linked to it. Both differ from the centre in some
-      shingles, and the sets differ from each other in just those differences that they don't share. Since
-      the stray alone differs by more than a link allows, linked sets must share differences, at least
-      `_least` of them; so strays meet members by their rarest differences.
+def near_groups(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(_row, root) of every set: the smallest set that links at `percent` similarity connect it with.
+
+    signed: one row for each distinct set. Members of a band bucket are compared with its smallest member,
+    its centre: each set first with the smallest of its centres, then with those that this leaves apart.
+    That is linear in a group of copies of any size. What else can link two sets of a bucket:
+
+    - A stray (in another group than the centre) and a member of the centre's group. They meet by
+      differences from the group's root, see `shared_differences`.
     - Two strays of a bucket. They are compared with each other.
 
     Pairs that are connected already, whose sizes or sketches differ too much, are passed over.
     """
     sketch = signed.select("_row", "_n", "_bits")
     other = lambda d, name: d.select(F.col("_row").alias(name), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
+    alike = lambda d, x, y: d.join(sketch.withColumnRenamed("_row", x), x).join(other(sketch, y), y).where(_alike(percent))
+    linked = lambda d, x, y: compared(alike(d, x, y).select(F.col(x).alias("a"), F.col(y).alias("b")), texts, percent, k).where("linked").select("a", "b")
     rows = signed.select("_row", F.explode("_bands").alias("_key"))
     first = rows.groupBy("_key").agg(F.min("_row").alias("_centre"), F.count("*").alias("_c")).where("_c > 1")
     held = cut(rows.join(first, "_key").where("_row != _centre"))
-    pairs = held.select("_row", "_centre").distinct().join(sketch, "_row").join(other(sketch, "_centre"), "_centre").where(_alike(percent))
-    seen = cut(compared(pairs.select(F.col("_row").alias("a"), F.col("_centre").alias("b")), texts, percent, k))
-    links = seen.where("linked").select("a", "b")
+    nearest = held.groupBy("_row").agg(F.min("_centre").alias("_centre"))
+    lead = cut(linked(nearest, "_row", "_centre").select(F.col("a").alias("node"), F.col("b").alias("root")))
+    small = lookup_side(lead)
+    rest = named(named(held.select("_row", "_centre").distinct(), small, "_row", "_ra"), small, "_centre", "_rb").where("_ra != _rb")
+    links = lead.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(rest, "_row", "_centre"))
     root = cut(components(links))
-    of = lambda name, to: root.select(F.col("node").alias(name), F.col("root").alias(to))
-    own = lambda d, name, to: d.join(of(name, "_r"), name, "left").withColumn(to, F.coalesce("_r", name)).drop("_r")
-
-    strays = own(own(seen.where("not linked"), "a", "_ra"), "b", "_rb").where("_ra != _rb")
-    crowded = strays.select("b").distinct().join(links.select("b").distinct(), "b")
-    marked = cut(seen.select("a", "b", "linked").join(crowded, "b"))
-    apart = marked.join(strays.select("a", "b", F.lit(True).alias("stray")), ["a", "b"], "left").where("linked or stray")
-    each = cut(differences(apart, texts, k))
-    often = each.groupBy("b", "_e").agg(F.count("*").alias("_often"))
-    by_rarity = Window.partitionBy("b", "a").orderBy("_often", "_e")
-    few = each.where("not linked").join(often, ["b", "_e"]).withColumn("_rank", F.row_number().over(by_rarity))
-    # Linked sets differ in at most (100 - percent) of (100 + percent) parts of their sizes together.
-    spare = F.floor((F.col("_na") + F.col("_nb")) * (100 - percent) / (100 + percent))
-    least = F.greatest(F.ceil((F.col("_d") - spare) / 2), F.lit(1))
-    few = few.where(F.col("_rank") <= F.col("_d") - least + 1).select("b", "_e", F.col("a").alias("_row"))
-    near = few.join(each.where("linked").select("b", "_e", F.col("a").alias("_first")), ["b", "_e"]).select("_row", "_first").distinct()
-
-    loose = held.where("_c > 2").join(links.select(F.col("a").alias("_row"), F.col("b").alias("_centre")), ["_row", "_centre"], "left_anti")
-    loose = cut(own(loose.select("_key", "_row"), "_row", "_root").join(sketch, "_row"))
+    small = lookup_side(root)
+    apart = cut(named(named(held, small, "_row", "_ra"), small, "_centre", "_rb").where("_ra != _rb"))
+
+    strays = apart.select(F.col("_row").alias("a"), F.col("_rb").alias("b")).distinct().join(root.select(F.col("root").alias("b")).distinct(), "b", "left_semi")
+    strays = cut(strays)
+    crowd = root.select(F.col("node").alias("a"), F.col("root").alias("b")).join(strays.select("b").distinct(), "b", "left_semi")
+    near = shared_differences(strays, crowd, texts, percent, k)
+
+    loose = cut(apart.where("_c > 2").select("_key", "_row", F.col("_ra").alias("_root")).join(sketch, "_row"))
     right = loose.select("_key", F.col("_row").alias("_first"), F.col("_root").alias("_root1"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
     both = loose.join(right, "_key").where((F.col("_row") > F.col("_first")) & (F.col("_root") != F.col("_root1")) & _alike(percent)).select("_row", "_first")
-    more = near.join(sketch, "_row").join(other(sketch, "_first"), "_first").where(_alike(percent)).select("_row", "_first").unionByName(both)
-    more = more.select(F.greatest("_row", "_first").alias("a"), F.least("_row", "_first").alias("b")).distinct()
-    return links.unionByName(compared(more, texts, percent, k).where("linked").select("a", "b"))
+    more = near.unionByName(both).select(F.greatest("_row", "_first").alias("_row"), F.least("_row", "_first").alias("_first")).distinct()
+    joined = named(named(linked(more, "_row", "_first"), small, "a", "_ra"), small, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))
+    above = components(joined)
+    return named(named(signed.select("_row"), small, "_row", "_own"), above, "_own", "root").select("_row", "root")
+
+
+def shared_differences(strays: DataFrame, crowd: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(_row, _first): strays (a, b) and sets of the crowd (a, b) of the same root b that may link.
+
+    Two sets differ from each other in just those of their differences from the root that they don't share,
+    and linked ones in at most (100 - percent) / percent of the stray's size. So of the shingles that only
+    the stray has, or else of all its differences, they share all but so many; a stray meets the crowd by
+    its rarest ones, one more than may be missing.
+    """
+    pairs = strays.select("a", "b", F.lit(True).alias("stray")).unionByName(crowd.where("a != b").select("a", "b", F.lit(False).alias("stray")))
+    each = cut(differences(pairs, texts, k))
+    often = each.groupBy("b", "_e").agg(F.count("*").alias("_often"))
+    spare = F.floor(F.col("_na") * (100 - percent) / percent)
+    by_own = F.col("_d_own") > spare
+    missing = F.when(by_own, spare).otherwise(F.col("_d") - F.greatest(F.ceil((F.col("_d") - spare) / 2), F.lit(1)))
+    by_rarity = Window.partitionBy("b", "a").orderBy("_often", "_e")
+    few = each.where(F.col("stray") & (F.col("_own") | ~by_own)).join(often, ["b", "_e"])
+    few = few.withColumn("_rank", F.row_number().over(by_rarity)).where(F.col("_rank") <= missing + 1).select("b", "_e", F.col("a").alias("_row"))
+    return few.join(each.where("not stray").select("b", "_e", F.col("a").alias("_first")), ["b", "_e"]).select("_row", "_first").distinct()
 
 
 def _with_sets(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -213,10 +232,12 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFr
 
 
 def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, linked, _na, _nb, _d, _e): each shingle _e in one of a's and b's sets alone, their sizes, and how many such there are."""
-    both = _with_sets(pairs.select("a", "b", "linked"), texts, k)
-    both = both.withColumn("_both", F.concat(F.array_except("_x", "_y"), F.array_except("_y", "_x")))
-    return both.select("a", "b", "linked", F.size("_x").alias("_na"), F.size("_y").alias("_nb"), F.size("_both").alias("_d"), F.explode("_both").alias("_e"))
+    """pairs (a, b, stray) with each shingle _e in one of a's and b's sets alone, whether a has it (_own), a's size _na, and how many there are (_d, _d_own)."""
+    both = _with_sets(pairs, texts, k).withColumns({"_x1": F.array_except("_x", "_y"), "_y1": F.array_except("_y", "_x")})
+    tag = lambda c, own: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(own).alias("own")))
+    each = both.select("a", "b", "stray", F.size("_x").alias("_na"), F.size("_x1").alias("_d_own"), (F.size("_x1") + F.size("_y1")).alias("_d"),
+                       F.explode(F.concat(tag("_x1", True), tag("_y1", False))).alias("_p"))
+    return each.select("a", "b", "stray", "_na", "_d_own", "_d", F.col("_p.e").alias("_e"), F.col("_p.own").alias("_own"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
@@ -238,11 +259,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     whole = signed.where("_row is not null and _n > 0")
     classes = cut(whole.groupBy("_set", "_set2", "_n").agg(F.min("_row").alias("_row"), F.first("_bits").alias("_bits"), F.first("_bands").alias("_bands")))
     texts = base.where("_id is not null").select(F.col("_id").alias("_row"), "_text")
-    links = near_links(classes, texts, percent, k)
-    root = components(links).withColumnRenamed("node", "_class")
-    named = classes.select("_set", "_set2", "_n", F.col("_row").alias("_class")).join(root, "_class", "left")
-    named = named.select("_set", "_set2", "_n", F.coalesce("root", "_class").alias("_root"))
-    out = signed.select("_row", "_n", "_set", "_set2").join(named, ["_set", "_set2", "_n"], "left")
+    root = near_groups(classes, texts, percent, k)
+    named_ = classes.select("_set", "_set2", "_n", "_row").join(root, "_row").select("_set", "_set2", "_n", F.col("root").alias("_root"))
+    out = signed.select("_row", "_n", "_set", "_set2").join(named_, ["_set", "_set2", "_n"], "left")
     component = F.when(F.col("_n") > 0, F.col("_root")).otherwise(F.col("_row"))
     return out.select(F.col("_row").alias(id), F.col("_n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
