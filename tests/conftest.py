@@ -14,6 +14,6 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "4").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.codegen.wholeStage", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
