@@ -183,7 +183,7 @@ def near_groups(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> Da
     strays = apart.select(F.col("_row").alias("a"), F.col("_rb").alias("b")).distinct().join(root.select(F.col("root").alias("b")).distinct(), "b", "left_semi")
     strays = cut(strays)
     crowd = root.select(F.col("node").alias("a"), F.col("root").alias("b")).join(strays.select("b").distinct(), "b", "left_semi")
-    near = shared_differences(strays, crowd, texts, percent, k)
+    near = shared_differences(strays, crowd, sketch, texts, percent, k)
 
     loose = cut(apart.where("_c > 2").select("_key", "_row", F.col("_ra").alias("_root")).join(sketch, "_row"))
     right = loose.select("_key", F.col("_row").alias("_first"), F.col("_root").alias("_root1"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
@@ -194,13 +194,14 @@ def near_groups(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> Da
     return named(named(signed.select("_row"), small, "_row", "_own"), above, "_own", "root").select("_row", "root")
 
 
-def shared_differences(strays: DataFrame, crowd: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def shared_differences(strays: DataFrame, crowd: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """(_row, _first): strays (a, b) and sets of the crowd (a, b) of the same root b that may link.
 
     Two sets differ from each other in just those of their differences from the root that they don't share,
     and linked ones in at most (100 - percent) / percent of the stray's size. So of the shingles that only
     the stray has, or else of all its differences, they share all but so many; a stray meets the crowd by
-    its rarest ones, one more than may be missing.
+    its rarest ones, one more than may be missing. Their numbers of differences, sizes and sketches must
+    allow a link too.
     """
     pairs = strays.select("a", "b", F.lit(True).alias("stray")).unionByName(crowd.where("a != b").select("a", "b", F.lit(False).alias("stray")))
     each = cut(differences(pairs, texts, k))
@@ -210,8 +211,13 @@ def shared_differences(strays: DataFrame, crowd: DataFrame, texts: DataFrame, pe
     missing = F.when(by_own, spare).otherwise(F.col("_d") - F.greatest(F.ceil((F.col("_d") - spare) / 2), F.lit(1)))
     by_rarity = Window.partitionBy("b", "a").orderBy("_often", "_e")
     few = each.where(F.col("stray") & (F.col("_own") | ~by_own)).join(often, ["b", "_e"])
-    few = few.withColumn("_rank", F.row_number().over(by_rarity)).where(F.col("_rank") <= missing + 1).select("b", "_e", F.col("a").alias("_row"))
-    return few.join(each.where("not stray").select("b", "_e", F.col("a").alias("_first")), ["b", "_e"]).select("_row", "_first").distinct()
+    few = few.withColumn("_rank", F.row_number().over(by_rarity)).where(F.col("_rank") <= missing + 1)
+    few = few.select("b", "_e", F.col("a").alias("_row"), "_d", "_d_own", spare.alias("_spare")).join(sketch, "_row")
+    theirs = each.where("not stray").select("b", "_e", F.col("a").alias("_first"), F.col("_d").alias("_d1"), F.col("_d_own").alias("_d_own1"))
+    theirs = theirs.join(sketch.select(F.col("_row").alias("_first"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1")), "_first")
+    gap = F.abs(F.col("_d_own") - F.col("_d_own1")) + F.abs(F.col("_d") - F.col("_d_own") - F.col("_d1") + F.col("_d_own1"))
+    met = few.alias("s").join(theirs.alias("m"), (F.col("s.b") == F.col("m.b")) & (F.col("s._e") == F.col("m._e")) & (gap <= F.col("_spare")) & _alike(percent))
+    return met.select("_row", "_first").distinct()
 
 
 def _with_sets(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
