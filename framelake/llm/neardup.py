@@ -15,9 +15,8 @@ from framelake.llm.shared import M1, M3, bounded_batches, cut, lookup_side, mix,
 
 #: Four ranks a band, 32 bands: two sets at a similarity of 0.8 share no band once in about 20 million pairs.
 SLOTS, ROWS = 128, 4
-#: Bits kept of each slot's rank for a quick estimate, and how many of all may differ. Sets at 0.8 differ in 51 of 512 on average,
-#: with a deviation of 10.4.
-SKETCH_BITS, SKETCH_MOST = 4, 104
+#: Bits of the parity sketch of a set: each shingle turns one over, so that two sketches differ in no more bits than the sets in shingles.
+PARITY_BITS = 1024
 
 
 def superminhash(values: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -66,11 +65,12 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def bit_sketch(sig: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS of every slot's rank, packed into 64-bit words: slots that differ disagree in half of their bits."""
-    n, slots = sig.shape
-    bits = np.stack([(mix(sig) >> np.uint64(i)) & np.uint64(1) for i in range(SKETCH_BITS)]).astype(np.uint8)
-    return np.packbits(bits.transpose(1, 0, 2).reshape(n, -1), axis=1).view(np.uint64).reshape(n, slots * SKETCH_BITS // 64)
+def parity_sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PARITY_BITS of each set as 64-bit words: bit i tells whether an odd number of its values fall on i."""
+    n = len(counts)
+    at = np.repeat(np.arange(n), counts) * PARITY_BITS + (values >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITY_BITS), axis=1).view(np.uint64).reshape(n, PARITY_BITS // 64)
 
 
 def _longs(x: np.ndarray) -> pa.Array:
@@ -99,7 +99,7 @@ def _sign(k: int):
                 key = [mix(s[ends[1:]] - s[ends[:-1]] + n.astype(np.uint64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(n), *(pa.array(x.view(np.int64)) for x in key),
-                    _longs(bit_sketch(sig)), _longs(bands(sig))], names=_SIGNED.names)
+                    _longs(parity_sketch(values, n)), _longs(bands(sig))], names=_SIGNED.names)
     return run
 
 
@@ -141,9 +141,9 @@ def components(nodes_edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def _alike(percent: int):
-    """Whether sizes (_n, _n1) and sketches (_bits, _bits1) allow the similarity."""
-    diff = sum((F.bit_count(F.get("_bits", i).bitwiseXOR(F.get("_bits1", i))) for i in range(SLOTS * SKETCH_BITS // 64)), F.lit(0))
-    return (F.least("_n", "_n1") * 100 >= F.greatest("_n", "_n1") * percent) & (diff <= SKETCH_MOST)
+    """Whether sizes (_n, _n1) and parity sketches (_bits, _bits1) allow the similarity; pairs that have it always pass."""
+    diff = sum((F.bit_count(F.get("_bits", i).bitwiseXOR(F.get("_bits1", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (F.least("_n", "_n1") * 100 >= F.greatest("_n", "_n1") * percent) & (diff * (100 + percent) <= (F.col("_n") + F.col("_n1")) * (100 - percent))
 
 
 def named(d: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
@@ -154,96 +154,114 @@ def named(d: DataFrame, roots: DataFrame, name: str, to: str) -> DataFrame:
 def near_groups(signed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """(_row, root) of every set: the smallest set that links at `percent` similarity connect it with.
 
-    signed: one row for each distinct set. Members of a band bucket are compared with its smallest member,
-    its centre: each set first with the smallest of its centres, then with those that this leaves apart.
-    That is linear in a group of copies of any size. What else can link two sets of a bucket:
+    signed: one row for each distinct set. A set's weight is the size of all its band buckets together, so the
+    set that most of a group resembles weighs most. Each bucket is compared with its heaviest member, its
+    centre: every set first with the heaviest of its centres, then with the others. That is linear in a
+    group of any size. What else can link two sets of a bucket has a stray in it, a set outside the group
+    of the bucket's centre:
 
-    - A stray (in another group than the centre) and a member of the centre's group. They meet by
-      differences from the group's root, see `shared_differences`.
-    - Two strays of a bucket. They are compared with each other.
+    - A stray and the heaviest set of that group, where that isn't the centre. They are compared.
+    - A stray and another set of the group, or another stray. They meet by differences from the heaviest set,
+      see `shared_differences`.
 
     Pairs that are connected already, whose sizes or sketches differ too much, are passed over.
     """
-    sketch = signed.select("_row", "_n", "_bits")
-    other = lambda d, name: d.select(F.col("_row").alias(name), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
-    alike = lambda d, x, y: d.join(sketch.withColumnRenamed("_row", x), x).join(other(sketch, y), y).where(_alike(percent))
-    linked = lambda d, x, y: compared(alike(d, x, y).select(F.col(x).alias("a"), F.col(y).alias("b")), texts, percent, k).where("linked").select("a", "b")
     rows = signed.select("_row", F.explode("_bands").alias("_key"))
-    first = rows.groupBy("_key").agg(F.min("_row").alias("_centre"), F.count("*").alias("_c")).where("_c > 1")
-    held = cut(rows.join(first, "_key").where("_row != _centre"))
-    nearest = held.groupBy("_row").agg(F.min("_centre").alias("_centre"))
-    lead = cut(linked(nearest, "_row", "_centre").select(F.col("a").alias("node"), F.col("b").alias("root")))
-    small = lookup_side(lead)
-    rest = named(named(held.select("_row", "_centre").distinct(), small, "_row", "_ra"), small, "_centre", "_rb").where("_ra != _rb")
-    links = lead.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(rest, "_row", "_centre"))
-    root = cut(components(links))
+    shared = rows.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1")
+    held = cut(rows.join(shared, "_key"))
+    weight = cut(held.groupBy("_row").agg(F.sum("_c").alias("_w")))
+    sketch = cut(signed.select("_row", "_n", "_bits").join(lookup_side(weight), "_row", "left_semi"))
+    sets = texts.join(lookup_side(weight), "_row", "left_semi").mapInArrow(_shingle_sets(k), "_row long, _shingles array<long>")
+    sets = cut(sets.dropDuplicates(["_row"]))
+    other = sketch.select(F.col("_row").alias("b"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        alike = pairs.join(sketch.withColumnRenamed("_row", "a"), "a").join(other, "b").where(_alike(percent)).select("a", "b")
+        return compared(alike, sets, percent).where("linked").select("a", "b")
+
+    heaviest = lambda d, by: d.groupBy(by).agg(F.max(F.struct("_w", "_row")).alias("_x")).select(by, F.col("_x._row").alias("_top"), F.col("_x._w").alias("_top_w"))
+    stars = cut(held.join(heaviest(held.join(weight, "_row"), "_key"), "_key").where("_row != _top").groupBy(F.col("_row").alias("a"), F.col("_top").alias("b")).agg(F.max("_top_w").alias("_w")))
+    first = cut(stars.groupBy("a").agg(F.max(F.struct("_w", "b")).alias("_x")).select("a", F.col("_x.b").alias("b")))
+    lead = cut(linked(first))
+    small = lookup_side(lead.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    rest = named(named(stars.join(first, ["a", "b"], "left_anti").select("a", "b"), small, "a", "_ra"), small, "b", "_rb").where("_ra != _rb").select("a", "b")
+    root = cut(components(lead.unionByName(linked(rest))))
     small = lookup_side(root)
-    apart = cut(named(named(held, small, "_row", "_ra"), small, "_centre", "_rb").where("_ra != _rb"))
-
-    strays = apart.select(F.col("_row").alias("a"), F.col("_rb").alias("b")).distinct().join(root.select(F.col("root").alias("b")).distinct(), "b", "left_semi")
-    strays = cut(strays)
-    crowd = root.select(F.col("node").alias("a"), F.col("root").alias("b")).join(strays.select("b").distinct(), "b", "left_semi")
-    near = shared_differences(strays, crowd, sketch, texts, percent, k)
-
-    loose = cut(apart.where("_c > 2").select("_key", "_row", F.col("_ra").alias("_root")).join(sketch, "_row"))
-    right = loose.select("_key", F.col("_row").alias("_first"), F.col("_root").alias("_root1"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1"))
-    both = loose.join(right, "_key").where((F.col("_row") > F.col("_first")) & (F.col("_root") != F.col("_root1")) & _alike(percent)).select("_row", "_first")
-    more = near.unionByName(both).select(F.greatest("_row", "_first").alias("_row"), F.least("_row", "_first").alias("_first")).distinct()
-    joined = named(named(linked(more, "_row", "_first"), small, "a", "_ra"), small, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))
-    above = components(joined)
-    return named(named(signed.select("_row"), small, "_row", "_own"), above, "_own", "root").select("_row", "root")
-
-
-def shared_differences(strays: DataFrame, crowd: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(_row, _first): strays (a, b) and sets of the crowd (a, b) of the same root b that may link.
-
-    Two sets differ from each other in just those of their differences from the root that they don't share,
-    and linked ones in at most (100 - percent) / percent of the stray's size. So of the shingles that only
-    the stray has, or else of all its differences, they share all but so many; a stray meets the crowd by
-    its rarest ones, one more than may be missing. Their numbers of differences, sizes and sketches must
-    allow a link too.
+
+    top = heaviest(root.join(weight.withColumnRenamed("_row", "node"), "node").withColumnRenamed("node", "_row"), "root").drop("_top_w")
+    apart = named(named(stars.select("a", "b"), small, "a", "_ra"), small, "b", "_rb").where("_ra != _rb").select("a", "_ra", F.col("_rb").alias("root")).distinct()
+    strays = cut(apart.join(top, "root", "left").select("a", "_ra", "root", F.coalesce("_top", "root").alias("b")))
+    close = cut(linked(strays.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")))
+    strays = cut(strays.join(close.withColumn("_close", F.lit(True)), ["a", "b"], "left").withColumn("stray", F.col("_close").isNull()))
+    open_ = strays.where("stray").select("root", "b").distinct()
+    crowd = root.withColumnRenamed("node", "a").join(open_, "root").where("a != b").select("a", "b", F.col("root").alias("_ra"), F.lit(False).alias("stray"))
+    party = strays.join(open_, ["root", "b"], "left_semi").select("a", "b", "_ra", "stray").unionByName(crowd)
+    apart = cut(differences(party, sets, percent))
+    core = apart.groupBy("b").agg(F.min(F.struct("_far", "a")).alias("_x")).select("b", F.col("_x.a").alias("_core"))
+    around = apart.where("stray").select("a", "b").join(core, "b").where("a != _core")
+    certain = cut(linked(around.select("a", F.col("_core").alias("b")).distinct()))
+    calm = around.join(certain.withColumnRenamed("b", "_core"), ["a", "_core"]).select("a", "b", F.lit(True).alias("_calm"))
+    apart = apart.join(calm, ["a", "b"], "left").withColumn("stray", F.col("stray") & F.col("_calm").isNull()).drop("_calm")
+    more = linked(shared_differences(apart, sketch, percent))
+    joined = named(named(close.unionByName(certain).unionByName(more), small, "a", "_ra"), small, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))
+    return named(named(signed.select("_row"), small, "_row", "_own"), components(joined), "_own", "root").select("_row", "root")
+
+
+def shared_differences(apart: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(a, b): strays and other sets of the same b, in other groups, that may link; apart: see `differences`.
+
+    Two sets differ from each other in just those of their differences from a third that they don't share,
+    and linked ones in at most (100 - percent) / percent of the stray's size. So they share all but so many of
+    the stray's differences, and all but (100 - percent) / 100 of its size of the shingles that the third
+    lacks. A stray, which isn't linked with the core, shares a difference with every set that it is linked
+    with, and meets it by its rarest ones, one more than may be missing; those that it has alone meet nobody.
     """
-    pairs = strays.select("a", "b", F.lit(True).alias("stray")).unionByName(crowd.where("a != b").select("a", "b", F.lit(False).alias("stray")))
-    each = cut(differences(pairs, texts, k))
+    lack, spare = F.floor(F.col("_na") * (100 - percent) / 100), F.floor(F.col("_na") * (100 - percent) / percent)
+    by_own = F.col("_d_own") > lack
+    missing = F.when(by_own, lack).otherwise(F.least(spare, F.col("_d") - 1))
+    each = cut(apart.select("a", "b", "_ra", "stray", "_d", "_d_own", spare.alias("_spare"), missing.alias("_missing"), by_own.alias("_by_own"), F.explode("_e").alias("_x"))
+               .select("a", "b", "_ra", "stray", "_d", "_d_own", "_spare", "_missing", "_by_own", F.col("_x.own").alias("_own"), F.col("_x.e").alias("_e")))
     often = each.groupBy("b", "_e").agg(F.count("*").alias("_often"))
-    spare = F.floor(F.col("_na") * (100 - percent) / percent)
-    by_own = F.col("_d_own") > spare
-    missing = F.when(by_own, spare).otherwise(F.col("_d") - F.greatest(F.ceil((F.col("_d") - spare) / 2), F.lit(1)))
     by_rarity = Window.partitionBy("b", "a").orderBy("_often", "_e")
-    few = each.where(F.col("stray") & (F.col("_own") | ~by_own)).join(often, ["b", "_e"])
-    few = few.withColumn("_rank", F.row_number().over(by_rarity)).where(F.col("_rank") <= missing + 1)
-    few = few.select("b", "_e", F.col("a").alias("_row"), "_d", "_d_own", spare.alias("_spare")).join(sketch, "_row")
-    theirs = each.where("not stray").select("b", "_e", F.col("a").alias("_first"), F.col("_d").alias("_d1"), F.col("_d_own").alias("_d_own1"))
+    few = each.where(F.col("stray") & (F.col("_own") | ~F.col("_by_own"))).join(often, ["b", "_e"])
+    few = cut(few.withColumn("_rank", F.row_number().over(by_rarity)).where((F.col("_rank") <= F.col("_missing") + 1) & (F.col("_often") > 1)).select("a", "b", "_ra", "_d", "_d_own", "_spare", "_e"))
+    theirs = each.join(few.select("b", "_e").distinct(), ["b", "_e"], "left_semi").select("b", "_e", F.col("a").alias("_first"), F.col("_ra").alias("_ra1"), F.col("_d").alias("_d1"), F.col("_d_own").alias("_d_own1"))
+    mine = few.join(sketch.withColumnRenamed("_row", "a"), "a").withColumnRenamed("a", "_row")
     theirs = theirs.join(sketch.select(F.col("_row").alias("_first"), F.col("_n").alias("_n1"), F.col("_bits").alias("_bits1")), "_first")
     gap = F.abs(F.col("_d_own") - F.col("_d_own1")) + F.abs(F.col("_d") - F.col("_d_own") - F.col("_d1") + F.col("_d_own1"))
-    met = few.alias("s").join(theirs.alias("m"), (F.col("s.b") == F.col("m.b")) & (F.col("s._e") == F.col("m._e")) & (gap <= F.col("_spare")) & _alike(percent))
-    return met.select("_row", "_first").distinct()
+    met = mine.alias("s").join(theirs.alias("m"), (F.col("s.b") == F.col("m.b")) & (F.col("s._e") == F.col("m._e")) & (F.col("_ra") != F.col("_ra1")) & (gap <= F.col("_spare")) & _alike(percent))
+    return met.select(F.greatest("_row", "_first").alias("a"), F.least("_row", "_first").alias("b")).distinct()
 
 
-def _with_sets(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with both whole shingle sets, _x and _y."""
-    pairs = cut(pairs)
-    need = cut(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
-    sets = texts.join(lookup_side(need), "_row", "left_semi").select("_row", "_text").mapInArrow(_shingle_sets(k), "_row long, _shingles array<long>")
-    sets = cut(sets)
     return (pairs.join(sets.select(F.col("_row").alias("a"), F.col("_shingles").alias("_x")), "a")
             .join(sets.select(F.col("_row").alias("b"), F.col("_shingles").alias("_y")), "b"))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked): whether the whole sets have 100 * shared >= percent * united."""
-    both = _with_sets(pairs, texts, k).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
+    both = _with_sets(pairs, sets).withColumn("_shared", F.size(F.array_intersect("_x", "_y")))
     united = F.size("_x") + F.size("_y") - F.col("_shared")
     return both.select("a", "b", (F.col("_shared") * 100 >= united * percent).alias("linked"))
 
 
-def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b, stray) with each shingle _e in one of a's and b's sets alone, whether a has it (_own), a's size _na, and how many there are (_d, _d_own)."""
-    both = _with_sets(pairs, texts, k).withColumns({"_x1": F.array_except("_x", "_y"), "_y1": F.array_except("_y", "_x")})
+def differences(party: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """party (a, b, ...) with a's differences from what most sets of the same b hold.
+
+    _e: array of (e, own), own if a has the shingle; _d and _d_own: how many there are; _na: a's size. Sets are
+    laid beside b's, and a difference that more than half of them have is turned over, so that no
+    difference is common. _far: least for the core, the set that is linked with every set that needs to
+    share no difference with some other in order to be linked with it.
+    """
     tag = lambda c, own: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(own).alias("own")))
-    each = both.select("a", "b", "stray", F.size("_x").alias("_na"), F.size("_x1").alias("_d_own"), (F.size("_x1") + F.size("_y1")).alias("_d"),
-                       F.explode(F.concat(tag("_x1", True), tag("_y1", False))).alias("_p"))
-    return each.select("a", "b", "stray", "_na", "_d_own", "_d", F.col("_p.e").alias("_e"), F.col("_p.own").alias("_own"))
+    both = cut(_with_sets(party, sets).select(*party.columns, F.size("_x").alias("_na"), F.concat(tag(F.array_except("_x", "_y"), True), tag(F.array_except("_y", "_x"), False)).alias("_e")))
+    often = both.select("b", F.explode("_e").alias("_p")).groupBy("b", "_p").agg(F.count("*").alias("_often"))
+    most = often.join(both.groupBy("b").agg(F.count("*").alias("_of")), "b").where("_often * 2 > _of").groupBy("b").agg(F.collect_list("_p").alias("_most"))
+    turned = F.transform(F.array_except("_most", "_e"), lambda p: F.struct(p["e"].alias("e"), (~p["own"]).alias("own")))
+    out = both.join(most, "b", "left").withColumn("_e", F.when(F.col("_most").isNull(), F.col("_e")).otherwise(F.concat(F.array_except("_e", "_most"), turned))).drop("_most")
+    out = out.withColumns({"_d": F.size("_e"), "_d_own": F.size(F.filter("_e", lambda p: p["own"]))})
+    return out.withColumn("_far", (100 + percent) * F.col("_d") - (100 - percent) * F.col("_na"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = 5) -> DataFrame:

@@ -48,6 +48,40 @@ def test_many_near_copies_in_one_bucket(spark):
     assert got == {i: c for i, (_, c) in linked(rows, 2, 80).items()}
 
 
+def test_repeated_rows_of_a_crowd_keep_its_links(spark):
+    from tests_llm_helpers import frame
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda spots, tag: " ".join(f"{tag}{i}" if i in spots else w for i, w in enumerate(base))
+    rows = [(i, changed({rng.randrange(100)}, f"a{i}x"), "h") for i in range(40)]
+    # Strays: too far from the crowd, each linked with the one before by the changes that they share.
+    spots = rng.sample(range(100), 26)
+    rows += [(100 + n, changed(set(spots[:4 + 2 * n]), "s"), "h") for n in range(11)] + [(200 + n, changed(set(spots[-4:]) | set(range(n, 100, 7)), f"z{n}"), "h") for n in range(5)]
+    want = {i: c for i, (_, c) in linked(rows, 2, 80).items()}
+    many = [r for r in rows for _ in range(1 + 3 * (r[0] % 2))]
+    for given in (rows, many):
+        got = neardup.near_duplicates(frame(spark, given).repartition(5), percent=80, k=2).collect()
+        assert len(got) == len(given) and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_links_of_exactly_80_percent_are_found(spark):
+    from tests_llm_helpers import frame
+    rows = []
+    for n in range(300):  # 80 of 100 shingles: nine words in ten are shared, in one run
+        words = [f"p{n}w{i}" for i in range(81)]
+        rows += [(2 * n, " ".join(words + [f"p{n}a{i}" for i in range(10)]), "h"), (2 * n + 1, " ".join(words + [f"p{n}b{i}" for i in range(10)]), "h")]
+    got = neardup.near_duplicates(frame(spark, rows), percent=80, k=2).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+def test_parity_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for shared, own in ((300, 5), (1000, 200), (10, 0)):
+        a, b, c = (rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) for n in (shared, own, own))
+        bits = neardup.parity_sketch(np.concatenate([a, b, a, c]), np.array([shared + own] * 2))
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= 2 * own
+
+
 def test_signatures_estimate_similarity_and_every_slot_is_filled():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
@@ -76,7 +110,7 @@ def cut_by_force(rows, length):
             if c[x[p:p + length]] > 1:
                 gone[p:p + length] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((i, len(x), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest()))
+        out.append((i, len(x), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest(), spans > 0))
     return sorted(out, key=str)
 
 
