@@ -25,7 +25,7 @@ from framelake.llm.words import small_batches
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words a worker remembers, twice over; older ones are forgotten together.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Fixed splitting patterns of the two kinds of tokenizer files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -49,6 +49,22 @@ class Generations:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
+    def missing(self, keys: set) -> list:
+        """Keys that are nowhere yet; all others are in `new` from now on, until `turn`."""
+        out = []
+        for key in keys.difference(self.new):
+            found = self.old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                self.new[key] = found
+        return out
+
+    def turn(self) -> None:
+        """Between batches: begins a new generation if this one is full."""
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+
 
 class Splitter:
     """Splits texts into the words that a tokenizer file encodes one by one, as the library would.
@@ -76,7 +92,10 @@ class Splitter:
         letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
         quick = inner.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
         quick = quick.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
-        self.quick = re.compile(quick)
+        # Words of letters come first in texts; no other branch can begin as they do.
+        branches = quick.split("|")
+        first = [b for b in branches if b.endswith(f"[{letters}]+")]
+        self.quick = re.compile("|".join(first + [b for b in branches if b not in first]) if "|" not in letters else quick)
         self.rare = re.compile("[^" + "".join(map(re.escape, common)) + "]")
 
     def _spans(self, text: str) -> list[str]:
@@ -112,45 +131,41 @@ class Encoder:
     def __init__(self, path: str):
         self.split = Splitter(path)
         self.cache = Generations()
+        #: Two bytes an id where all ids fit.
+        self.kind = np.dtype("<u2" if self.split.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _together(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words that begin with a space and go on with a letter: one text for many, since it splits into just these words."""
+        size = self.kind.itemsize
         for i in range(0, len(words), 512):
             part = words[i:i + 512]
             e = self.split.library.encode("".join(part), add_special_tokens=False)
             owner = np.array(e.word_ids)
             if len(owner) and owner[-1] == len(part) - 1:
-                raw = np.array(e.ids, np.uint32).tobytes()
-                cuts = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
-                yield from ((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:]))
+                raw = np.array(e.ids, self.kind).tobytes()
+                cuts = (size * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+                yield from zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
             else:
                 yield from self._alone(part)
 
     def _alone(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for w, e in zip(words, self.split.library.encode_batch_fast(words, add_special_tokens=False)):
-            yield w, np.array(e.ids, np.uint32).tobytes()
+            yield w, np.array(e.ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as integers of `kind`."""
         words = [self.split.words(t) for t in texts]
-        every = set().union(*(x for x in words if x))
-        new, old, known = self.cache.new, self.cache.old, {}
         spaced, other = [], []
-        for w in every:
-            found = new.get(w) or old.get(w)
-            if found is not None:
-                known[w] = found
-            else:
-                (spaced if w[0] == " " and w[1:].isalpha() else other).append(w)
+        for w in self.cache.missing(set().union(*filter(None, words))):
+            (spaced if w[0] == " " and w[1:].isalpha() else other).append(w)
+        known = self.cache.new
         known.update(self._together(spaced))
         known.update(self._alone(other))
-        for w in [*spaced, *other]:
-            self.cache.put(w, known[w])
-        if self.cache.new is not new:  # a new generation began: keep what is in use
-            for w, ids in known.items():
-                self.cache.put(w, ids)
         get = known.__getitem__
-        return [np.array(self.split.library.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else np.frombuffer(b"".join(map(get, x)), np.uint32)
-                for t, x in zip(texts, words)]
+        out = [np.array(self.split.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if x is None else b"".join(map(get, x))
+               for t, x in zip(texts, words)]
+        self.cache.turn()
+        return out
 
 
 @functools.cache
@@ -278,25 +293,19 @@ class TokenCounter:
         self.split, self.dp = Splitter(path), PrefixCounts(path)
         self.cache = Generations()
 
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; every distinct word of the batch that isn't known is worked out once."""
+        words = [self.split.words(t or "") for t in texts]
+        known = self.cache.new
+        for w in self.cache.missing(set().union(*filter(None, words))):
+            known[w] = self.dp.word(w)
+        get = known.__getitem__
+        out = [self._pieces(t or "") if w is None else sum(map(get, w)) for t, w in zip(texts, words)]
+        self.cache.turn()
+        return out
+
     def count(self, text: str | None) -> int:
-        words = self.split.words(text or "")
-        if words is None:
-            return self._pieces(text)
-        new, total = self.cache.new, 0
-        try:
-            return sum(map(new.__getitem__, words))
-        except KeyError:
-            pass
-        for w in words:
-            n = new.get(w)
-            if n is None:
-                n = self.cache.old.get(w)
-                if n is None:
-                    n = self.dp.word(w)
-                self.cache.put(w, n)
-                new = self.cache.new
-            total += n
-        return total
+        return self.counts([text])[0]
 
     def _pieces(self, text: str) -> int:
         """A text with special strings or odd characters: the library splits, the words are counted as ever."""
@@ -308,22 +317,32 @@ class TokenCounter:
             at = m.end() if m else at
         return total
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest beginning of text (by words of plain text, then characters of the next word) within budget tokens.
-
-        Nothing is encoded again: whole words are added up, then the next word's prefix counts are read off.
-        """
-        total, end = 0, 0
+    def table(self, text: str) -> np.ndarray:
+        """Tokens of text[:0], text[:1], ..., text: each prefix taken as a text of its own."""
+        out = np.zeros(len(text) + 1, np.int64)
+        if self.split.words(text) is None or self.split.lower and len(text.lower()) != len(text):
+            # Words never run over white space, so the runs between are done one by one, odd ones prefix by prefix.
+            for m in regex.finditer(r"\S+", text):
+                a, b = m.span()
+                odd = self.split.words(m[0]) is None or len(m[0].lower()) != b - a
+                own = [self.count(m[0][:i]) for i in range(1, b - a + 1)] if odd else self.table(m[0])[1:]
+                out[a + 1:b + 1] = out[a] + own
+                out[b + 1:] = out[b]
+            return out
         for m in self.split.pattern.finditer(text.lower() if self.split.lower else text):
-            n = self.dp.word(m[0])
-            if total + n > budget:
-                counts = self.dp.prefixes(m[0])
-                for i in range(len(m[0]), 0, -1):
-                    if total + counts[len(m[0][:i].encode()) - 1] <= budget:
-                        return text[: m.start() + i]
-                return text[:end]
-            total, end = total + n, m.end()
-        return text
+            a, b = m.span()
+            ends = np.cumsum([len(c.encode()) for c in m[0]]) - 1
+            own = np.array(self.dp.prefixes(m[0]))[ends]
+            if m[0][0] == "'" and b - a > 2:  # a part of a contraction is a mark and letters
+                own[1:-1] = [self.count(m[0][:i]) for i in range(2, b - a)]
+            out[a + 1:b + 1] = out[a] + own
+            out[b + 1:] = out[b]
+        return out
+
+    def truncate(self, text: str, budget: int, table: np.ndarray | None = None) -> str:
+        """The longest beginning of text within budget tokens, read off its table, which may serve many budgets."""
+        table = self.table(text) if table is None else table
+        return text[:int(np.flatnonzero(table <= budget)[-1])]
 
 
 @functools.cache
@@ -356,15 +375,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id: str = "doc_i
     """(id, n_bytes, n_tokens, over_limit) of every document, without begin, end or added special tokens.
 
     Counts come from prefix dynamic programming over each distinct word (see PrefixCounts and
-    TokenCounter.truncate for counts at every prefix). Nothing is shuffled. A null or empty text has 0 bytes
+    TokenCounter.table for counts at every prefix). Nothing is shuffled. A null or empty text has 0 bytes
     and tokens. Repeated rows are counted alike, ids may be null, an empty table gives an empty result, and
     other columns are not read. Special tokens' strings inside a text count as the one token they stand for.
     """
     def make():
-        count = counter(path).count
+        counts = counter(path).counts
 
         def work(texts: list[str | None]) -> pa.RecordBatch:
-            n = [count(t) for t in texts]
+            n = counts(texts)
             return pa.RecordBatch.from_arrays([
                 pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()),
                 pa.array([x > limit for x in n])], names=["n_bytes", "n_tokens", "over_limit"])

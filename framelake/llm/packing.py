@@ -16,8 +16,9 @@ from framelake.llm.shared import cut, mix
 
 #: Hashed features, dimensions of the projection and bits of each: 27 bits of Hilbert key.
 FEATURES, DIMENSIONS, BITS = 256, 3, 9
-#: Tokens of one part of the curve, the work of one task at a time.
-PART_TOKENS = 1 << 20
+#: Tokens of one part of the curve, the work of one task at a time. Beyond so many parts they grow instead, which a task
+#: streams and sorts with spilling, so that the sketch that finds the bounds stays at a few MB.
+PART_TOKENS, MOST_PARTS = 1 << 20, 20_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -48,14 +49,21 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def _features(ids: int) -> np.ndarray:
+    """The hashed feature of every token id below `ids`."""
+    return (mix(np.arange(ids, dtype=np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
+
+
+_FEATURE = _features(1 << 16)
+
+
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents given by token ids: counts of hashed tokens, by their length, on fixed random directions."""
     signs = mix(np.arange(1, FEATURES * DIMENSIONS + 1, dtype=np.uint64)).astype(np.float64).reshape(FEATURES, DIMENSIONS)
     signs = signs / 2.0**63 - 1.0
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    n = np.array([len(x) for x in ids])
-    feature = (mix(flat.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(ids)), n) * FEATURES + feature, minlength=len(ids) * FEATURES).reshape(len(ids), FEATURES)
+    most = max((int(x.max(initial=0)) for x in ids), default=0)
+    feature = _FEATURE if most < len(_FEATURE) else _features(most + 1)
+    counts = np.stack([np.bincount(feature[x], minlength=FEATURES) for x in ids]) if ids else np.zeros((0, FEATURES))
     vector = np.log1p(counts)
     vector = vector / np.maximum(np.sqrt((vector**2).sum(1)), 1e-12)[:, None]
     point = vector @ signs
@@ -64,22 +72,17 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_keys(cell.astype(np.int64), BITS)
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id if all fit, else four; the number of ids tells which."""
-    return ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()
-
-
 def _encode(path: str, end_id: int):
     def make():
-        encode = encoder(path).encode
+        known = encoder(path)
+        end = np.array([end_id], known.kind).tobytes()
 
         def work(texts: list[str | None]) -> pa.RecordBatch:
-            ids = encode([t or "" for t in texts])
-            keys = curve_keys(ids)
-            ids = [np.append(x, np.uint32(end_id)) for x in ids]
+            raw = known.encode([t or "" for t in texts])
+            keys = curve_keys([np.frombuffer(x, known.kind) for x in raw])
             return pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([_narrow(x) for x in ids], pa.binary())], names=["_curve", "_n", "_ids"])
+                pa.array(keys, pa.int64()), pa.array([len(x) // known.kind.itemsize + 1 for x in raw], pa.int64()),
+                pa.array([x + end for x in raw], pa.binary())], names=["_curve", "_n", "_ids"])
         return work
     return make
 
@@ -101,7 +104,7 @@ def _pieces(capacity: int):
                         c.append(v)
                     start, at = start + length, at + length
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                                             names=["c0", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     return run
 
 
@@ -122,8 +125,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id:
     encoded = cut(encoded.withColumn("_key", F.col("_curve") * F.lit(1 << 34) + tie).drop("_curve"))
     keys = encoded.select("_key", "_n")
     total = keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    parts = max(1, min(100_000, -(-total // PART_TOKENS)))
-    bounds = sorted(set(keys.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or [])) if parts > 1 else []
+    parts = max(1, min(MOST_PARTS, -(-total // PART_TOKENS)))
+    bounds = sorted(set(keys.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or [])) if parts > 1 else []
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("long")
@@ -135,6 +138,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     rows = encoded.join(F.broadcast(base), "_part").repartition(max(parts, 1), "_part").sortWithinPartitions("_part", "_key", id)
-    return rows.select(F.col(id), "_part", "_base", "_n", "_ids").mapInArrow(
-        _pieces(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    kind = docs.schema[id].dataType.simpleString()
+    return rows.select(F.col(id).alias("c0"), "_part", "_base", "_n", "_ids").mapInArrow(
+        _pieces(capacity), f"c0 {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("c0", id)
 
