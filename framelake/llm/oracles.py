@@ -28,10 +28,11 @@ OP5 = rf"""WITH w AS (SELECT doc_id, source, text, {WORDS} AS w FROM documents),
  rep AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM again, range(3) t(d) GROUP BY doc_id),
  l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
  lw AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS lw FROM l),
- held AS (SELECT doc_id, source, text, line, len(lw) AS n, lower(array_to_string(lw, ' ')) AS norm FROM lw WHERE len(lw) > 0),
+ held AS (SELECT doc_id, source, text, line, len(lw) AS words, lower(array_to_string(lw, ' ')) AS norm FROM lw WHERE len(lw) > 0),
  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM held GROUP BY doc_id),
- often AS (SELECT source, norm FROM held GROUP BY source, norm HAVING count(DISTINCT text) > 200),
- gone AS (SELECT doc_id, sum(n) AS n FROM held JOIN often USING (source, norm) GROUP BY doc_id),
+ host AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source),
+ often AS (SELECT source, norm FROM held JOIN host USING (source) GROUP BY source, norm HAVING count(DISTINCT text) > 3 AND 100 * count(DISTINCT text) > 2 * any_value(host.n)),
+ gone AS (SELECT doc_id, sum(words) AS n FROM held JOIN often USING (source, norm) GROUP BY doc_id),
  c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0) AS g
   FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import SEPARATOR_CLASS, SEPARATORS, cut, lookup_side
+from framelake.llm.shared import SEPARATOR_CLASS, SEPARATORS, cut, fresh, lookup_side
 
 SYMBOLS = "#*$%&|<>"
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _words(text: Column) -> Column:
@@ -23,79 +24,82 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of column `text`.
 
     Three-word windows are hashed, sorted with their positions inside the row, and those with an equal
-    neighbour are laid out again by position: n log n for a text, and no row leaves its task.
+    neighbour are laid out again by position: n log n for a text, and no row leaves its task. A filter on
+    the counts is never pushed into them: Spark would copy the whole expression into it, for every word.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = _lines(t)
+    h, lines, s, p = fresh(df.columns, "_h", "_lines", "_s", "_p")
     df = df.withColumns({
-        "_h": F.transform(_words(t), lambda w: F.xxhash64(w)),
+        h: F.transform(_words(t), lambda w: F.xxhash64(w)),
         "word_chars": F.length(F.translate(t, SEPARATORS, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "_lines": lines,
+        lines: _lines(t),
     })
     df = df.withColumns({
-        "n_words": F.size("_h").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_s": F.sort_array(F.transform(
-            F.slice("_h", 1, F.greatest(F.size("_h") - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2)).alias("k"), i.alias("p")),
+        "n_words": F.size(h).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        s: F.sort_array(F.transform(
+            F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))),
+            lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("p")),
         )),
     })
-    again = F.filter("_s", lambda x, i: (F.get("_s", i - 1)["k"] == x["k"]) | (F.get("_s", i + 1)["k"] == x["k"]))
-    df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["p"])))
-    widths = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3))))
-    df = df.withColumn("n_repeat_words", F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.drop("_h", "_lines", "_s", "_p")
+    again = F.filter(s, lambda x, i: (F.get(s, i - 1)["k"] == x["k"]) | (F.get(s, i + 1)["k"] == x["k"]))
+    df = df.withColumn(p, F.sort_array(F.transform(again, lambda x: x["p"])))
+    widths = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
+    total = F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
+    # The partition's number, always 0 or more, is not deterministic to Spark, which stops filters here.
+    return df.withColumn("n_repeat_words", F.when(F.spark_partition_id() >= 0, total)).drop(h, lines, s, p)
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int) -> DataFrame:
-    """(host, line) hashes of normalised lines that more than max_docs different texts of one host hold."""
-    rows = _line_rows(docs, text, host, positions=False)
-    return rows.distinct().groupBy("_host", "_line").count().where(F.col("count") > max_docs).select("_host", "_line")
-
-
-def _line_rows(docs: DataFrame, text: str, host: str, positions: bool) -> DataFrame:
+def text_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, doc, lines array<struct<h, n>>) of each different text of a host: hashes and word counts of its normalised lines, in order."""
     norm = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(SEPARATORS)), SEPARATOR_CLASS + "+", " "))
-    d = docs.select(
-        F.xxhash64(F.col(host), F.lit("host")).alias("_host"), F.xxhash64(F.col(text)).alias("_text"),
-        F.transform(_lines(F.col(text)), lambda x: norm(x)).alias("_lines"),
-    )
-    if not positions:
-        return d.select("_host", "_text", F.explode(F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))).alias("_line"))
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    d = d.withColumn("_all", F.aggregate("_lines", F.lit(0).cast("long"), lambda a, x: a + count(x)))
-    pairs = F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).alias("n")))
-    return d.select("_host", "_text", "_all", F.posexplode(pairs).alias("_pos", "_pair")).select(
-        "_host", "_text", "_all", "_pos", F.col("_pair.h").alias("_line"), F.col("_pair.n").alias("_n"))
+    each = F.transform(F.transform(_lines(F.col(text)), norm), lambda x: F.struct(F.xxhash64(x).alias("h"), count(x).cast("long").alias("n")))
+    found = docs.where(F.col(text).isNotNull()).select(_host_key(host).alias("host"), F.xxhash64(F.col(text)).alias("doc"), each.alias("lines"))
+    return cut(found.dropDuplicates(["host", "doc"]))
+
+
+def _host_key(host: str) -> Column:
+    return F.xxhash64(F.col(host), F.lit("host"))
+
+
+def frequent_lines(lines: DataFrame, max_percent: float, min_docs: int) -> DataFrame:
+    """(host, h) of lines in more than max_percent of their host's texts, and more than min_docs: at most 100 / max_percent times a text's lines for a host."""
+    size = cut(lines.groupBy("host").agg(F.count("*").alias("of")))
+    often = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("c"))
+    often = often.where(F.col("c") > min_docs).join(lookup_side(size), "host")
+    return cut(often.where(F.col("c") * 100 > F.col("of") * max_percent).select("host", "h"))
 
 
-def depleted_texts(docs: DataFrame, text: str, host: str, max_docs: int, min_words: int, min_share: float) -> DataFrame:
-    """(host, text) hashes of documents that keep fewer than min_words words, or under min_share of them, without frequent lines."""
-    often = frequent_lines(docs, text, host, max_docs)
-    hit = _line_rows(docs, text, host, positions=True).join(often, ["_host", "_line"])
-    gone = (hit.groupBy("_host", "_text", "_pos").agg(F.max("_n").alias("_n"), F.max("_all").alias("_all"))
-            .groupBy("_host", "_text").agg(F.sum("_n").alias("_n"), F.max("_all").alias("_all")))
-    left = F.col("_all") - F.col("_n")
-    return gone.where((left < min_words) | (left < min_share * F.col("_all"))).select("_host", "_text")
+def depleted_texts(lines: DataFrame, often: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """(host, doc) of texts that keep fewer than min_words words, or under min_share of them, without frequent lines."""
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    hit = lines.select("host", "doc", total.alias("total"), F.explode("lines").alias("x")).select("host", "doc", "total", "x.h", "x.n")
+    gone = hit.join(lookup_side(often), ["host", "h"]).groupBy("host", "doc").agg(F.first("total").alias("total"), F.sum("n").alias("n"))
+    left = F.col("total") - F.col("n")
+    return gone.where((left < min_words) | (left < min_share * F.col("total"))).select("host", "doc")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_docs: int = 200,
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_percent: float = 2, min_docs: int = 3,
                   min_words: int = 50, max_repeat_percent: int = 50, min_share: float = 0.3) -> DataFrame:
     """docs with the counts of text_counts, base_failed and kept.
 
     A line is the text between two newlines, normalised to lower case and single spaces. Equal texts of a
-    host count once towards a line's documents, so copies of one clean text don't condemn it. Lines in more
-    than max_docs documents of their host are removed; a document left with fewer than min_words words or
-    under min_share of them is depleted and not kept. Only hashes of lines are shuffled; the depleted
-    documents come back as a broadcast if counted small, else by a shuffle join.
+    host count once, so copies of one clean text don't condemn it. Lines in more than max_percent of their
+    host's different texts, and more than min_docs, are removed; a document left with fewer than min_words
+    words or under min_share of them is depleted and not kept. Texts are read twice, for lines and for
+    counts, and only hashes of lines are shuffled; the depleted documents come back as a broadcast if
+    counted small, else by a shuffle join.
 
     Null or empty texts have no words, fail the base rule and have no lines. A null host is a host of its
-    own. Repeated rows are judged alike. An empty table gives an empty result. Other columns pass through;
-    columns named like a result column are replaced.
+    own. Repeated rows are judged alike. An empty table gives an empty result. Other columns pass through,
+    whatever their names; columns named like a result column are replaced.
     """
-    gone = cut(depleted_texts(docs, text, host, max_docs, min_words, min_share)).withColumn("_gone", F.lit(True))
-    out = docs.withColumns({"_host": F.xxhash64(F.col(host), F.lit("host")), "_text": F.xxhash64(F.col(text))})
-    out = text_counts(out, text).join(lookup_side(gone), ["_host", "_text"], "left")
+    lines = text_lines(docs, text, host)
+    gone = cut(depleted_texts(lines, frequent_lines(lines, max_percent, min_docs), min_words, min_share))
+    by, of, lost = fresh([*docs.columns, *RESULT], "_host", "_doc", "_lost")
+    gone = lookup_side(gone.select(F.col("host").alias(by), F.col("doc").alias(of), F.lit(True).alias(lost)))
+    out = text_counts(docs.withColumns({by: _host_key(host), of: F.xxhash64(F.col(text))}), text).join(gone, [by, of], "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_gone").isNull()).drop("_host", "_text", "_gone")
+    return out.withColumns({"base_failed": failed, "kept": ~failed & F.col(lost).isNull()}).drop(by, of, lost)

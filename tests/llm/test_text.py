@@ -76,7 +76,9 @@ def test_token_counts_match_the_library_at_every_prefix(spark, docs, rows, none)
     for budget in range(0, 12):
         cut = counter.truncate(text, budget)
         assert text.startswith(cut) and n(cut) <= budget
-        assert cut == text or n(text[:len(cut) + 1]) > budget or text[len(cut)] == " "
+        assert all(n(text[:i]) > budget for i in range(len(cut) + 1, len(text) + 1))
+    for text in ("don't we'll 'tis !'s it's' ''", "  \u0130stanbul A\u0130 x", "e\u0301t\u0301e\u0301 odd  ", "a<|endoftext|>b c", "日本語 1234", ""):
+        assert counter.table(text).tolist() == [n(text[:i]) for i in range(len(text) + 1)], text
 
 
 def test_byte_level_ids_match_the_library(rows):
@@ -86,7 +88,7 @@ def test_byte_level_ids_match_the_library(rows):
     own.cache.size = 50
     texts = [t or "" for _, t, _ in rows] + [" 'll 's  x\n\n y 12ab٣ \u2003z", "\x1c\x1d a\x85b", "ͰͿ Ა ǅ"]
     for _ in range(2):
-        assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in (np.frombuffer(y, own.kind) for y in own.encode(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("capacity", [64, 2048])
@@ -146,11 +148,13 @@ def base_counts(t):
 
 
 def test_quality_counts_and_depleted_documents(spark, docs, rows, none):
-    got = quality.quality_rules(docs, max_docs=4, min_words=50, min_share=0.5).collect()
+    got = quality.quality_rules(docs, max_percent=10, min_docs=2, min_words=50, min_share=0.5).where("n_words >= 0").collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     text = {i: t for i, t, _ in rows}
     norm = lambda x: " ".join(words(x, lower=False)).lower()
     holders: dict[tuple, set] = {}
+    size = Counter(s for s, _ in {(s, t) for _, t, s in rows if t is not None})
+    depleted_some = False
     for i, t, s in rows:
         for x in (t or "").split("\n"):
             if words(x):
@@ -161,16 +165,18 @@ def test_quality_counts_and_depleted_documents(spark, docs, rows, none):
             continue
         t = text[r.doc_id]
         assert tuple(r[n] for n in names) == base_counts(t), t
-        gone = sum(len(words(x)) for x in (t or "").split("\n") if len(holders.get((r.source, norm(x)), ())) > 4)
+        gone = sum(len(words(x)) for x in (t or "").split("\n") if len(holders.get((r.source, norm(x)), ())) > max(2, 0.1 * size[r.source]))
         depleted = gone > 0 and (r.n_words - gone < 50 or r.n_words - gone < 0.5 * r.n_words)
-        assert r.kept == (not r.base_failed and not depleted)
+        assert r.kept == (not r.base_failed and not depleted) and r["_text"] == "clash"
+        depleted_some |= depleted and not r.base_failed
+    assert depleted_some
     assert quality.quality_rules(none).count() == 0
 
 
 def test_copies_of_a_clean_text_do_not_deplete_it(spark):
     from tests_llm_helpers import frame
     clean = "\n".join(" ".join(f"word{i}x{j}" for j in range(9)) for i in range(9))
-    got = quality.quality_rules(frame(spark, [(i, clean, "h") for i in range(30)]), max_docs=5).collect()
+    got = quality.quality_rules(frame(spark, [(i, clean, "h") for i in range(30)])).collect()
     assert all(r.kept for r in got)
 
 
