@@ -157,18 +157,18 @@ class Model:
         self.by_word = self.rules.escape and self.rules.prefix and self.rules.plain and USER_DEFINED not in self.kinds \
             and not any(SPACE in x.lstrip(SPACE) for x in texts)
         self.widths = np.array([1 if k == BYTE else len(p) for p, k in zip(self.pieces, self.kinds)])
+        self.unknown = np.array(self.kinds) == UNKNOWN
         self.word = re.compile(f"{SPACE}+[^{SPACE}]*")
 
-    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """(start, end) bytes of text for every id without begin and end; bytes that normalising added belong to their neighbour.
+    def spans(self, out: bytes, source: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(start, end) bytes of the text for every id without begin and end; out, source: the text as `normalise` gives it.
 
-        Pieces are laid along the normalised bytes by their widths. An unknown piece takes what stands
-        between its neighbours.
+        Pieces are laid along the normalised bytes by their widths, and their edges are read off the source.
+        Bytes that normalising added belong to their neighbour. An unknown piece takes what stands between its
+        neighbours.
         """
-        out, source = self.normalise(text)
-        width = self.widths[ids].copy()
-        kinds = np.array(self.kinds)[ids]
-        if (kinds == UNKNOWN).any():
+        width = self.widths[ids]
+        if self.unknown[ids].any():
             at = 0
             for i, t in enumerate(ids.tolist()):
                 if self.kinds[t] == UNKNOWN:
@@ -176,8 +176,10 @@ class Model:
                     stop = out.find(nxt, at + 1) if nxt else len(out)
                     width[i] = (stop if stop > 0 else len(out)) - at
                 at += width[i]
-        ends = np.cumsum(width)
-        return np.stack([source[np.concatenate([[0], ends[:-1]])], source[ends]], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
+        edges = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(width, out=edges[1:])
+        edges = source[edges]
+        return np.stack([edges[:-1], edges[1:]], axis=1)
 
 
 class PieceEncoder:
@@ -189,28 +191,21 @@ class PieceEncoder:
         #: A lone mark, which no text of its own encodes to: what a space behind a letter adds.
         self.mark = array("I", lib.encode("a ")[len(lib.encode("a")):]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text without begin and end."""
+    def encode(self, texts: list[str], normal: list[str]) -> list[array]:
+        """Ids of each text without begin and end; normal: the texts as the model normalises them."""
         lib = self.model.library
         if not self.model.by_word:
             return [array("I", x) for x in lib.encode(texts, num_threads=1)]
-        words = [self.model.word.findall(self.model.normalise(t)[0].decode("utf-8")) for t in texts]
-        every = set().union(*words)
-        new, old, known = self.cache.new, self.cache.old, {SPACE: self.mark}
-        for w in every - known.keys():
-            found = new.get(w) or old.get(w)
-            if found is not None:
-                known[w] = found
-        missing = list(every - known.keys())
+        words = [self.model.word.findall(t) for t in normal]
+        known = self.cache.new
+        known[SPACE] = self.mark
+        missing = self.cache.missing(set().union(*words))
         # The library puts the first mark back.
         for w, ids in zip(missing, lib.encode([w[1:] for w in missing], num_threads=1) if missing else []):
             known[w] = array("I", ids).tobytes()
-        for w in missing:
-            self.cache.put(w, known[w])
-        if self.cache.new is not new:  # a new generation began: keep what is in use
-            for w, ids in known.items():
-                self.cache.put(w, ids)
-        return [array("I", b"".join(map(known.__getitem__, x))) for x in words]
+        out = [array("I", b"".join(map(known.__getitem__, x))) for x in words]
+        self.cache.turn()
+        return out
 
 
 @functools.cache
@@ -220,39 +215,41 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 
 def encode_pieces(docs: DataFrame, path: str, spans: bool = False, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, decoded, and, on demand, ids and the byte spans of every id) of every document.
-
-    Ids are the library's, with begin and end; decoded is the library's decoding of them. Digests are over
-    ids as little-endian unsigned 32-bit integers and over the decoded text in UTF-8. spans: also ids
-    array<int>, starts and ends array<int> (bytes of the source text; begin and end have empty spans).
-    Nothing is shuffled. A null or empty text is begin and end only. Repeated rows are encoded alike, ids may
-    be null, an empty table gives an empty result, and other columns are not read.
+    """(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256, and, on demand, decoded, ids and their byte spans) of every document.
+
+    Ids are the library's, with begin and end; decoded is the library's decoding of them. Every id is projected
+    to the bytes of the source text that it stands for; begin and end have empty spans. Digests are over ids,
+    and over start and end of each span in turn, as little-endian unsigned 32-bit integers, and over the
+    decoded text in UTF-8. spans: also decoded string, ids, starts and ends array<int>. Nothing is shuffled. A
+    null or empty text is begin and end only. Repeated rows are encoded alike, ids may be null, an empty table
+    gives an empty result, and other columns are not read.
     """
     def make():
         encoder = piece_encoder(path)
-        lib = encoder.model.library
+        model = encoder.model
+        lib = model.library
         bos, eos = lib.bos_id(), lib.eos_id()
 
         def work(texts: list[str | None]) -> pa.RecordBatch:
             texts = [t or "" for t in texts]
-            bare = encoder.encode(texts)
+            normal = [model.normalise(t) for t in texts]
+            bare = encoder.encode(texts, [n.decode("utf-8") for n, _ in normal])
             full = [array("I", [bos, *x, eos]) for x in bare]
             decoded = lib.decode([x.tolist() for x in full])
-            raw = [np.frombuffer(x, np.uint32).astype("<u4") for x in full]
+            at = [np.concatenate([[[0, 0]], model.spans(*n, np.frombuffer(x, np.uint32)), [[n[1][-1]] * 2]]).astype("<u4") for n, x in zip(normal, bare)]
+            raw = [np.frombuffer(x, np.uint32).astype("<u4", copy=False) for x in full]
             cols = {"n_tokens": pa.array([len(x) for x in full], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
-                    "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded])}
+                    "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded]),
+                    "spans_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in at])}
             if spans:
-                at = [encoder.model.spans(t, np.frombuffer(x, np.uint32).astype(np.int64)) for t, x in zip(texts, bare)]
-                n = [len(t.encode()) for t in texts]
-                cols |= {"decoded": pa.array(decoded), "ids": pa.array([x.tolist() for x in raw], pa.list_(pa.int32())),
-                         "starts": pa.array([[0, *s[:, 0].tolist(), m] for s, m in zip(at, n)], pa.list_(pa.int32())),
-                         "ends": pa.array([[0, *s[:, 1].tolist(), m] for s, m in zip(at, n)], pa.list_(pa.int32()))}
+                lists = lambda rows: pa.array([x.tolist() for x in rows], pa.list_(pa.int32()))
+                cols |= {"decoded": pa.array(decoded), "ids": lists(raw), "starts": lists([s[:, 0] for s in at]), "ends": lists([s[:, 1] for s in at])}
             return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
         return work
 
     more = ", decoded string, ids array<int>, starts array<int>, ends array<int>" if spans else ""
-    return map_texts(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + more, make, [id])
+    return map_texts(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + more, make, [id])
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
