@@ -53,15 +53,15 @@ def _pack(size: int):
     return run
 
 
-def blocks(vecs: DataFrame, size: int, parts: int, buckets: int) -> DataFrame:
-    """Blocks of at most `size` vectors of one length bucket.
+def blocks(vecs: DataFrame, size: int, parts: int, buckets: int, rows: int) -> DataFrame:
+    """Blocks of at most `size` vectors of one length bucket; rows: how many there are.
 
     Bucket edges are quantiles of the norms of all vectors. A bucket's rows are dealt on by a hash of
-    their ids, so that many equal vectors fill several blocks in several tasks.
+    their ids, so that a bucket with many rows, or all of them, fills its blocks in many tasks.
     """
     edges = vecs.agg(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
     bucket = sum(((F.col("norm") >= e).cast("int") for e in sorted(set(edges or []))), F.lit(0))
-    dealt = vecs.select("id", "v", "norm", bucket.alias("bucket")).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
+    dealt = vecs.select("id", "v", "norm", bucket.alias("bucket")).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, rows // (4 * size)))))
     return cut(dealt.mapInPandas(_pack(size), _BLOCK).withColumn("block", F.xxhash64("ids", "vectors")))
 
 
@@ -162,24 +162,25 @@ def _search(k: int):
 
 
 def top_products(vecs: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", embedding: str = "embedding", scale: int = 64,
-                 block: int = 4096, query_block: int = 1024, parts: int | None = None) -> DataFrame:
+                 buckets: int = 16, block: int = 4096, query_block: int = 1024, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products, ties to smaller ids.
 
-    Vectors are grouped by length and cut into blocks; so are the queries. A query block first meets the
-    block with the longest vector, which gives each query a floor, its k-th score so far; then every
-    other block whose length can reach the floor of one of its queries, see search_block. A task holds two
-    blocks at a time, and a query takes at most k rows from each.
+    Vectors are grouped by length into `buckets`, at every size, and cut into blocks; the queries are cut into
+    blocks too. A query block first meets the block with the longest vector, which gives each query a floor,
+    its k-th score so far; then every other block whose length can reach the floor of one of its queries, see
+    search_block. A task holds two blocks at a time, and a query takes at most k rows from each.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors
-    meet only vectors of as many components. Scores beyond 64 bits wrap. Repeated rows each count, but rows
-    with the query's own id are no candidates. Without queries, or over an empty table, the result is empty.
+    meet only vectors of as many components. Scores beyond 64 bits wrap. Repeated rows each count as candidates,
+    but not for a query with their id; repeated query rows ask once, with the least of their vectors. Without queries, or over an empty table, the result is empty.
     Other columns are not read.
     """
     parts = parts or max(16, int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ints = cut(integer_vectors(vecs, id, embedding, scale, is_query))
-    buckets = max(1, min(64, ints.count() // (4 * block)))
-    every = blocks(ints, block, parts, buckets)
-    asked = blocks(ints.where("asks"), query_block, parts, 1).select(
+    rows = ints.count()
+    every = blocks(ints, block, parts, buckets, rows)
+    queries = ints.where("asks").groupBy("id").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "q.v", "q.norm")
+    asked = blocks(queries, query_block, parts, 1, rows).select(
         F.col("block").alias("q_block"), "dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     data = every.select("block", "kind", "ids", "vectors")
     longest = every.groupBy("dim").agg(F.max_by("block", F.struct("high", "n", "block")).alias("block"))

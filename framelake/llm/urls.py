@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import ascii_lower, cut, lookup_side
+from framelake.llm.shared import ascii_lower, cut, fresh, lookup_side
 
+BASE = "(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"'>]*)"
 HREF = "(?is)\\bhref\\s*=\\s*[\"']([^\"'>]*)"
 
 
@@ -31,24 +32,34 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst, n): how often pages of one host link to another host; relative links stay on their host and count for nothing."""
-    link = F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), 1))
-    raw = pages.select(url_host(F.col(url)).alias("src"), link.alias("to"))
-    dst = ascii_lower(F.regexp_extract("to", "^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\\s]*)", 1))
-    return (raw.select("src", dst.alias("dst")).where("src != '' and dst != '' and src != dst")
-            .groupBy("src", "dst").agg(F.count("*").alias("n")))
+    """(src, dst, n): links between hosts.
 
-
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-6,
-              per_cut: int = 4) -> DataFrame:
+    How often pages of one host link to another: absolute links, and relative ones where a base element moves
+    them to another host (else they stay on their own, and count for nothing). Besides, a host and the
+    domain that it lies directly under are linked once each way where both have pages, as www.a.org and a.org.
+    """
+    absolute = lambda c: ascii_lower(F.regexp_extract(c, "^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\\s]*)", 1))
+    base = absolute(F.regexp_extract(F.col(html), BASE, 1))
+    raw = pages.select(url_host(F.col(url)).alias("src"), base.alias("base"), F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), 1)).alias("to"))
+    stays = ~F.col("to").rlike("^\\s*([A-Za-z][A-Za-z0-9+.-]*:|//|#)")
+    links = raw.select("src", F.when(stays, F.col("base")).otherwise(absolute(F.col("to"))).alias("dst"))
+    counted = links.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    hosts = cut(pages.select(url_host(F.col(url)).alias("src")).where("src != ''").distinct())
+    above = hosts.select("src", F.regexp_extract("src", "^[^.]+\\.(.+\\..+)$", 1).alias("dst")).where("dst != ''").join(hosts.select(F.col("src").alias("dst")), "dst", "left_semi")
+    both = above.select("src", "dst").unionByName(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("long"))
+    return counted.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, per_cut: int = 4) -> DataFrame:
     """(node, kind, score): personalised PageRank of seeds(node, kind, seed) over edges(src, dst, kind, share).
 
-    kind tells independent walks apart, so that both directions run in one join. Mass at nodes without
-    outgoing edges leaves the walk. Every per_cut rounds the scores are written and the change is measured.
+    kind tells independent walks apart, so that both directions run in one join; each kind's seeds sum to 1.
+    Mass at nodes without outgoing edges leaves the walk. Every per_cut rounds the scores are written and the
+    change is measured, until all of it together is below tolerance: what still moves shrinks by damping a round.
     """
     base = seeds.select("node", "kind", ((1 - damping) * F.col("seed")).alias("score"))
-    now = base
-    for done in range(per_cut, rounds + 1, per_cut):
+    now = cut(base)
+    while True:
         last = now
         for _ in range(per_cut):
             sent = now.withColumnRenamed("node", "src").join(edges, ["src", "kind"]).select(
@@ -56,18 +67,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             now = base.unionByName(sent).groupBy("node", "kind").agg(F.sum("score").alias("score"))
         now = cut(now)
         moved = now.withColumn("s", F.col("score")).unionByName(last.withColumn("s", -F.col("score")))
-        if done < rounds and (moved.groupBy("node", "kind").agg(F.abs(F.sum("s")).alias("d"))
-                              .agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0] < tolerance):
-            break
-    return now
+        change = moved.groupBy("node", "kind").agg(F.abs(F.sum("s")).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+        if change < tolerance:
+            return now
 
 
 def distrusted_hosts(pages: DataFrame, url: str, html: str, rules: Sequence[tuple[str, str]], threshold: float,
                      **walk) -> DataFrame:
     """(host): hosts whose distrust is at least `threshold` of their trust and distrust.
 
-    Seeds are each host's shares of pages that the rules allow or block, each kind summing to 1. Trust
-    follows links; distrust runs from a blocked host to those that link to it.
+    Seeds are each host's shares of pages that the rules allow or block, each kind divided by its sum over
+    all hosts. Trust follows links; distrust runs from a blocked host to those that link to it.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
     seen = pages.select(host.alias("node"), match_rule(host, path, rules)[1].alias("v")).where("node != ''")
@@ -77,6 +87,8 @@ def distrusted_hosts(pages: DataFrame, url: str, html: str, rules: Sequence[tupl
         F.struct(F.lit("trust").alias("kind"), (F.col("na") / F.col("n")).alias("seed")),
         F.struct(F.lit("distrust").alias("kind"), (F.col("nb") / F.col("n")).alias("seed")))).alias("x"))
         .select("node", "x.kind", "x.seed").where("seed > 0"))
+    whole = per.groupBy("kind").agg(F.sum("seed").alias("of"))  # two rows
+    per = per.join(F.broadcast(whole), "kind").select("node", "kind", (F.col("seed") / F.col("of")).alias("seed"))
     links = cut(host_edges(pages, url, html))
     both = links.select("src", "dst", F.lit("trust").alias("kind"), "n").unionByName(
         links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("distrust").alias("kind"), "n"))
@@ -98,13 +110,13 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "u
 
     Null urls, or urls without ://, have an empty host and path, fit no rule and are allowed. Null or empty
     html has no links. Repeated rows are judged alike. An empty table gives an empty result. Other columns
-    pass through; columns named host, path, rule or verdict are replaced.
+    pass through, whatever their names; columns named host, path, rule or verdict are replaced.
     """
-    bad = cut(distrusted_hosts(pages, url, html, rules, threshold, **walk)).select(F.col("host").alias("_bad"))
-    host, path = url_host(F.col(url)), url_path(F.col(url))
-    out = pages.withColumns({"_host": host, "_path": path})
-    rule, verdict = match_rule(F.col("_host"), F.col("_path"), rules)
-    out = out.withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": rule, "_verdict": verdict})
-    out = out.join(lookup_side(bad), F.col("_host") == F.col("_bad"), "left")
-    late = F.when(F.col("_bad").isNotNull(), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_verdict", late)).drop("_host", "_path", "_verdict", "_bad")
+    bad = cut(distrusted_hosts(pages, url, html, rules, threshold, **walk))
+    h, p, v, b = fresh([*pages.columns, "host", "path", "rule", "verdict"], "_host", "_path", "_verdict", "_bad")
+    out = pages.withColumns({h: url_host(F.col(url)), p: url_path(F.col(url))})
+    rule, verdict = match_rule(F.col(h), F.col(p), rules)
+    out = out.withColumns({"host": F.col(h), "path": F.col(p), "rule": rule, v: verdict})
+    out = out.join(lookup_side(bad.select(F.col("host").alias(b))), F.col(h) == F.col(b), "left")
+    late = F.when(F.col(b).isNotNull(), "block").otherwise("allow")
+    return out.withColumn("verdict", F.coalesce(v, late)).drop(h, p, v, b)
