@@ -72,7 +72,7 @@ def _ask(order: int, groups: int):
         name = int(mix(np.array(k1).view(np.uint64) ^ mix(np.array(k2).view(np.uint64))).sum() >> np.uint64(1)) & ~1 | bool(tune[0])
         use = [np.repeat(np.array(train) & (np.array(tune) == t), n) for t in (False, True)]
         for a, b in set(zip(k1, k2)):
-            yield {"kind": 1, "group": name % groups, "chunk": name, "k1": a, "k2": b}
+            yield {"kind": 1, "group": a % groups, "chunk": name, "k1": a, "k2": b}  # only passes through: spread by document
         for o, key in enumerate(keys):
             unique, at = np.unique(key, return_inverse=True)
             kept, tuned = (np.bincount(at[u], minlength=len(unique)).astype(np.uint32) for u in use)

@@ -304,11 +304,11 @@ def _cut_texts(length: int, carry: list[str], digest: bool):
                 raw = t.encode("utf-8", "surrogatepass") if t else b""
                 start, end = covered(r, length)
                 kept = raw if not len(start) else b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
-                rows.append((len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest()) if digest else
+                rows.append((len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), len(start) > 0) if digest else
                             (None if t is None else kept.decode("utf-8", "ignore") if len(start) else t,))
             held = [batch.column(i) for i in range(len(carry))]
-            kinds = [pa.int64()] * 3 + [pa.string()] if digest else [pa.string()]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["_kept"]
+            kinds = [*[pa.int64()] * 3, pa.string(), pa.bool_()] if digest else [pa.string()]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "touched"] if digest else ["_kept"]
             yield pa.RecordBatch.from_arrays([*held, *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], names=[*carry, *names])
     return run
 
@@ -317,8 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
     """docs without the bytes of `text` that lie in a string of `length` bytes that also starts elsewhere, in this or another document.
 
     Overlapping occurrences count, every copy is removed, and strings are judged on the input. A character
-    that is cut in half is dropped. digest: (id, n_bytes, n_removed, n_spans, kept_sha256) instead, over the
-    exact remaining bytes. Null and empty texts stay as they are and have nothing to remove. Repeated rows
+    that is cut in half is dropped. digest: (id, n_bytes, n_removed, n_spans, kept_sha256, touched) instead, over the
+    exact remaining bytes; touched: whether anything is removed. Null and empty texts stay as they are and have nothing to remove. Repeated rows
     are copies of each other like any other documents; ids may be null. Texts shorter than `length` are kept
     whole. An empty table gives an empty result. Other columns pass through (without digest).
     """
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
     safe = [f"c{i}" for i in range(len(carry))]
     joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs")
     fields = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(carry, safe))
-    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "_kept string"
+    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, touched boolean" if digest else "_kept string"
     out = joined.mapInArrow(_cut_texts(length, safe, digest), ", ".join(x for x in (fields, more) if x))
     if digest:
         return out.withColumnRenamed("c0", id)
