@@ -50,20 +50,19 @@ def holds(df: DataFrame, key: str, order: list[str], ts: str, state: str) -> Dat
 
 
 def gesture_actions(df: DataFrame, key: str, order: list[str], ms: str, state: str, needs: dict[str, int], cooldown_ms: int = 2000) -> DataFrame:
-    """(key, order, action): a gesture held for its time fires once; nothing fires within the cooldown, and a hold fires once only."""
+    """(key, order, action): a gesture held for its time fires; nothing fires within the cooldown, and firing begins the hold anew."""
     need = F.create_map(*[F.lit(x) for kv in needs.items() for x in kv])
     d = df.withColumn("_x", F.struct(F.col(ms).alias("t"), F.col(state).alias("g")))
 
     def step(s: Column, x: Column) -> Column:
         same = s["g"].eqNullSafe(x["g"])
         since = F.when(same, s["since"]).otherwise(x["t"])
-        done = F.when(same, s["done"]).otherwise(F.lit(False))
         least = F.try_element_at(need, x["g"])
-        fire = least.isNotNull() & ~done & (x["t"] - since >= least) & (s["last"].isNull() | (x["t"] - s["last"] >= cooldown_ms))
+        fire = least.isNotNull() & (x["t"] - since >= least) & (s["last"].isNull() | (x["t"] - s["last"] >= cooldown_ms))
         fire = F.coalesce(fire, F.lit(False))
-        return F.struct(x["g"].alias("g"), since.alias("since"), (done | fire).alias("done"), F.when(fire, x["t"]).otherwise(s["last"]).alias("last"), F.when(fire, x["g"]).alias("action"))
+        return F.struct(x["g"].alias("g"), F.when(fire, x["t"]).otherwise(since).alias("since"), F.when(fire, x["t"]).otherwise(s["last"]).alias("last"), F.when(fire, x["g"]).alias("action"))
 
-    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).cast("long").alias("since"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("action"))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).cast("long").alias("since"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("action"))
     return fold(d, [key], order, "_x", start, step).select(key, *order, F.col("out.action").alias("action"))
 
 
@@ -132,17 +131,30 @@ def debounce(df: DataFrame, key: str, order: list[str], held: Column) -> DataFra
     return fold(d, [key], order, "_x", start, step).select(key, *order, F.col("out.edge").alias("edge"))
 
 
-def smooth_aim(df: DataFrame, key: str, order: list[str], value: str, smoothing: float, deadzone: float) -> DataFrame:
-    """df with `aim`: moves larger than the dead zone are followed by a share 1 - smoothing."""
-    step = lambda s, v: F.when(s.isNull(), v).when(F.abs(v - s) <= deadzone, s).otherwise(s + (1 - smoothing) * (v - s))
-    return fold(df, [key], order, value, F.lit(None).cast("double"), step, "aim")
+def smooth_aim(df: DataFrame, key: str, order: list[str], value: str, smoothing: float, deadzone: float, sensitivity: float = 1.0, centre: float = 0.5, relative: bool = False) -> DataFrame:
+    """df with `aim` (0..1) from a place `value` (0..1) of the hand.
+
+    Absolute: the place relative to `centre`, scaled, snaps to the middle within the dead zone and is followed
+    by a share 1 - smoothing; the first one is taken as it is. Relative: the aim, in the middle at first,
+    moves by that share of twice the scaled movement, where it is a fifth of the dead zone or more.
+    """
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    if relative:
+        move = (F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(*order))) * sensitivity * 2
+        d = df.withColumn("_t", F.when(F.abs(move) < deadzone * 0.2, 0.0).otherwise(F.coalesce(move, F.lit(0.0))))
+        start, step = F.lit(0.5), lambda s, v: unit(s + v * (1 - smoothing))
+    else:
+        at = (F.col(value) - centre) * sensitivity + 0.5
+        d = df.withColumn("_t", unit(F.when(F.abs(at - 0.5) < deadzone, 0.5).otherwise(at)))
+        start, step = F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), v).otherwise(s + (v - s) * (1 - smoothing))
+    return fold(d, [key], order, "_t", start, step, "aim").drop("_t")
 
 
 def flicks(df: DataFrame, key: str, order: list[str], ms: str, y: str, rise: float = 0.18, back: int = 3, cooldown_ms: int = 800) -> DataFrame:
-    """df with `flick`: y fell by more than `rise` over `back` rows, at most once in the cooldown."""
+    """df with `flick`: y fell by more than `rise` over `back` rows, and more than the cooldown has passed since the last one."""
     w = Window.partitionBy(key).orderBy(*order)
     d = df.withColumn("_x", F.struct(F.col(ms).alias("t"), F.coalesce(F.lag(y, back).over(w) - F.col(y) > rise, F.lit(False)).alias("up")))
-    step = lambda s, x: F.when(x["up"] & (s["last"].isNull() | (x["t"] - s["last"] >= cooldown_ms)), F.struct(x["t"].alias("last"), F.lit(True).alias("hit"))).otherwise(F.struct(s["last"].alias("last"), F.lit(False).alias("hit")))
+    step = lambda s, x: F.when(x["up"] & (s["last"].isNull() | (x["t"] - s["last"] > cooldown_ms)), F.struct(x["t"].alias("last"), F.lit(True).alias("hit"))).otherwise(F.struct(s["last"].alias("last"), F.lit(False).alias("hit")))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("hit"))
     return fold(d, [key], order, "_x", start, step).select(key, *order, F.col("out.hit").alias("flick"))
 
@@ -159,11 +171,13 @@ def hits(shots: DataFrame, targets: DataFrame, key: str, radius: float) -> DataF
     return j.groupBy(key, "shot").agg(F.min("target").alias("target"))
 
 
-def spawn(seed: Column, n: int) -> Column:
-    """n numbers of the linear congruential sequence after seed, 31 bits each."""
-    nxt = lambda s: (s * 1103515245 + 12345).bitwiseAND(0x7FFFFFFF)
-    start = F.struct(seed.cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, _: F.struct(nxt(acc["s"]).alias("s"), F.concat(acc["a"], F.array(nxt(acc["s"]))).alias("a")))["a"]
+def spawn(seed: Column, n: int, moduli: tuple[int, ...] = (800, 650, 2, 500, 2)) -> Column:
+    """n numbers drawn after seed: states of the 32-bit linear congruential sequence, their upper half modulo each of moduli in turn."""
+    nxt = lambda s: (s * 1103515245 + 12345).bitwiseAND(0xFFFFFFFF)
+    m = F.array(*map(F.lit, moduli))
+    start = F.struct(seed.cast("long").bitwiseAND(0xFFFFFFFF).alias("s"), F.array().cast("array<bigint>").alias("a"))
+    draw = lambda s, i: F.array((F.shiftright(s, 16) % F.get(m, (i % len(moduli)).cast("int"))).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, lambda acc, i: F.struct(nxt(acc["s"]).alias("s"), F.concat(acc["a"], draw(nxt(acc["s"]), i)).alias("a")))["a"]
 
 
 def bitrate(w: Column, h: Column, fps: Column) -> Column:

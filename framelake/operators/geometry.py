@@ -47,8 +47,8 @@ def flip(px: DataFrame, w: int, h: int, horizontal: bool = True) -> DataFrame:
 
 
 def translate(px: DataFrame, w: int, h: int, dx: int, dy: int) -> DataFrame:
-    """Output (y, x) from source (y + dy, x + dx), zero outside."""
-    return _gather(grid(px, w, h), px, F.col("x") + dx, F.col("y") + dy, RGB, (0, 0, 0))
+    """The frame moved by (dx, dy): output (y, x) from source (y - dy, x - dx), zero outside."""
+    return _gather(grid(px, w, h), px, F.col("x") - dx, F.col("y") - dy, RGB, (0, 0, 0))
 
 
 def lens(px: DataFrame, w: int, h: int, k1: float) -> DataFrame:
@@ -73,14 +73,18 @@ def _offsets(cells: DataFrame, lo: int, hi: int) -> DataFrame:
     return cells.select("*", F.explode(span).alias("_j")).select("*", F.explode(span).alias("_i"))
 
 
-def resize_bilinear(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
-    """Source coordinate = output coordinate * source size / output size, without a half-pixel shift; edges repeat."""
-    at = grid(px, dw, dh).withColumns({"_fx": F.col("x") * (sw / dw), "_fy": F.col("y") * (sh / dh)})
+def _bilinear_taps(cells: DataFrame, sw: int, sh: int) -> DataFrame:
+    """Each cell with a source place (_fy, _fx) beside its four source pixels (sy, sx) and their weights wt; edges repeat."""
     part = lambda c, o: F.when(o == 1, c - F.floor(c)).otherwise(1 - (c - F.floor(c)))
-    taps = _offsets(at, 0, 1).withColumns({
+    return _offsets(cells, 0, 1).withColumns({
         "sx": F.least(F.floor("_fx") + F.col("_i"), F.lit(sw - 1)), "sy": F.least(F.floor("_fy") + F.col("_j"), F.lit(sh - 1)),
         "wt": part(F.col("_fx"), F.col("_i")) * part(F.col("_fy"), F.col("_j"))})
-    return _summed(px, taps, channels)
+
+
+def resize_bilinear(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
+    """Source coordinate = output coordinate * source size / output size, without a half-pixel shift; edges repeat."""
+    at = grid(px, dw, dh).withColumns({"_fx": F.col("x") * (sw / dw), "_fy": F.col("y") * (sh / dh)})
+    return _summed(px, _bilinear_taps(at, sw, sh), channels)
 
 
 def _cubic(t: Column) -> Column:
@@ -99,18 +103,19 @@ def resize_nearest(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=R
     return _gather(grid(px, dw, dh), px, F.floor(F.col("x") * sw / dw), F.floor(F.col("y") * sh / dh), channels, tuple(0 for _ in channels))
 
 
-def letterbox_box(sw: int, sh: int, size: int) -> tuple[int, int, int, int]:
-    """(width, height, left, top) of a frame scaled to fit a square."""
-    scale = min(size / sw, size / sh)
-    w, h = int(sw * scale), int(sh * scale)
-    return w, h, (size - w) // 2, (size - h) // 2
+def letterbox_fit(sw: int, sh: int, w: int, h: int) -> tuple[float, float, float]:
+    """(scale, left, top) of a frame scaled to fit w by h, centred; places are fractions of a pixel."""
+    scale = min(w / sw, h / sh)
+    return scale, (w - sw * scale) / 2, (h - sh * scale) / 2
 
 
-def letterbox(px: DataFrame, sw: int, sh: int, size: int) -> DataFrame:
-    """Scaled to fit a square, centred, the rest 128."""
-    w, h, left, top = letterbox_box(sw, sh, size)
-    scaled = resize_bilinear(px, sw, sh, w, h)
-    return _gather(grid(px, size, size), scaled, F.col("x") - left, F.col("y") - top, RGB, (128, 128, 128))
+def letterbox(px: DataFrame, sw: int, sh: int, w: int, h: int) -> DataFrame:
+    """Scaled to fit, centred, bilinear; cells whose source lies outside the frame are 128."""
+    scale, left, top = letterbox_fit(sw, sh, w, h)
+    cells = grid(px, w, h)
+    at = cells.withColumns({"_fx": (F.col("x") - left) / scale, "_fy": (F.col("y") - top) / scale}).where(f"_fx >= 0 and _fx < {sw} and _fy >= 0 and _fy < {sh}")
+    found = _summed(px, _bilinear_taps(at, sw, sh), RGB)
+    return cells.join(found, ["f", "y", "x"], "left").select("f", "y", "x", *(F.coalesce(F.col(c), F.lit(128)).alias(c) for c in RGB))
 
 
 def zoom(px: DataFrame, w: int, h: int, factor: float) -> DataFrame:
@@ -126,17 +131,31 @@ def grid_layout(tiles: Column) -> tuple[Column, Column]:
     return cols, rows
 
 
-def compose(px: DataFrame, layout: DataFrame, sw: int, sh: int) -> DataFrame:
-    """(y, x, v): tiles of (tile, src_f, dst_x, dst_y, tile_w, tile_h, active) scaled onto one canvas; the later tile wins.
+def compose(px: DataFrame, layout: DataFrame, sw: int, sh: int, w: int, h: int) -> DataFrame:
+    """(y, x, v): a w by h canvas of zeros with tiles of (tile, src_f, dst_x, dst_y, tile_w, tile_h, active) scaled onto it; the later tile wins.
 
-    layout is a small table (a grid has at most 16 tiles) and is broadcast; only frames that it names are read on.
+    A tile is scaled bilinearly. layout has a row a tile; its cells are laid out and joined with the pixels
+    that they take, so only frames that it names are read on.
     """
     cells = layout.where("active").select("tile", F.col("src_f").alias("f"), "dst_x", "dst_y", "tile_w", "tile_h",
                                           F.explode(F.sequence(F.lit(0), F.col("tile_h") - 1)).alias("ty")).withColumn(
         "tx", F.explode(F.sequence(F.lit(0), F.col("tile_w") - 1)))
-    cells = cells.withColumns({"y": F.floor(F.col("ty") * sh / F.col("tile_h")).cast("int"), "x": F.floor(F.col("tx") * sw / F.col("tile_w")).cast("int")})
-    hit = px.join(F.broadcast(cells), ["f", "y", "x"])
-    return hit.groupBy((F.col("dst_y") + F.col("ty")).alias("y"), (F.col("dst_x") + F.col("tx")).alias("x")).agg(F.max_by("v", "tile").alias("v"))
+    cells = cells.select("tile", "f", (F.col("dst_y") + F.col("ty")).alias("y"), (F.col("dst_x") + F.col("tx")).alias("x"),
+                         (F.col("ty") * sh / F.col("tile_h")).alias("_fy"), (F.col("tx") * sw / F.col("tile_w")).alias("_fx")).where(f"y < {h} and x < {w}")
+    taps = _bilinear_taps(cells, sw, sh).select("tile", "f", "y", "x", F.col("sy").cast("int").alias("sy"), F.col("sx").cast("int").alias("sx"), "wt")
+    hit = taps.join(px.select("f", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["f", "sy", "sx"])
+    tiles = hit.groupBy("tile", "y", "x").agg(rounded(F.sum(F.col("v") * F.col("wt"))).alias("v"))
+    top = tiles.groupBy("y", "x").agg(F.max_by("v", "tile").alias("v"))
+    canvas = grid(px.sparkSession.range(1).select(F.col("id").alias("f")), w, h).select("y", "x")
+    return canvas.join(top, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def compose_planes(planes: DataFrame, layout: DataFrame, sw: int, sh: int, w: int, h: int) -> DataFrame:
+    """(p, y, x, v): the same for luma and half-size chroma planes, every measure halved for chroma."""
+    half = layout.withColumns({c: F.floor(F.col(c) / 2).cast("int") for c in ("dst_x", "dst_y", "tile_w", "tile_h")})
+    parts = [compose(planes.where("p = 0"), layout, sw, sh, w, h).withColumn("p", F.lit(0))]
+    parts += [compose(planes.where(F.col("p") == p), half, sw // 2, sh // 2, w // 2, h // 2).withColumn("p", F.lit(p)) for p in (1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("p", "y", "x", "v")
 
 
 def pip_box(w: Column, h: Column) -> dict[str, Column]:

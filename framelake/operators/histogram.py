@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.frames import clamp, micros, rounded
+from framelake.operators import color, tone
 
 
 def histogram(px: DataFrame, keys: list[Column | str]) -> DataFrame:
@@ -16,16 +17,18 @@ def histogram(px: DataFrame, keys: list[Column | str]) -> DataFrame:
 def tile_tables(px: DataFrame, tile: int, clip: float) -> DataFrame:
     """(f, ty, tx, v, cdf): for each tile, a look-up of all 256 levels.
 
-    A bin above pixels / 256 * clip is cut to it and keeps a 256th of its own excess. The running sum is
-    exclusive and scaled to 0..255 by the tile's clipped total.
+    A bin above pixels / 256 * clip is cut to its whole part; of its own whole excess it gets a 256th back, and
+    one more if its level is below the remainder. The running sum is exclusive and scaled to 0..255 by the
+    tile's clipped total.
     """
     at = px.select("f", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"), "v")
     counts = at.groupBy("f", "ty", "tx", "v").agg(F.count("*").alias("n"))
     total = counts.groupBy("f", "ty", "tx").agg(F.sum("n").alias("px"), F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("h"))
-    limit = F.greatest(F.floor(F.col("px") / 256.0 * clip), F.lit(1))
+    limit = F.col("px") / 256.0 * clip
     level = total.select("f", "ty", "tx", limit.alias("lim"), "h", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
     n = F.coalesce(F.element_at("h", F.col("v")), F.lit(0))
-    bins = level.select("f", "ty", "tx", "v", F.when(n > F.col("lim"), F.col("lim") + F.floor((n - F.col("lim")) / 256)).otherwise(n).alias("n"))
+    over = F.floor(n - F.col("lim"))
+    bins = level.select("f", "ty", "tx", "v", F.when(n > F.col("lim"), F.floor("lim") + F.floor(over / 256) + (F.col("v") < over % 256).cast("int")).otherwise(n).alias("n"))
     tile_w = Window.partitionBy("f", "ty", "tx")
     before = F.coalesce(F.sum("n").over(tile_w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return bins.select("f", "ty", "tx", "v", rounded(before * 255.0 / F.greatest(F.sum("n").over(tile_w), F.lit(1))).alias("cdf"))
@@ -43,6 +46,17 @@ def equalise(px: DataFrame, w: int, h: int, tile: int = 8, clip: float = 3.0) ->
     return each.join(tables, ["f", "ty", "tx", "v"]).groupBy("f", "y", "x").agg(rounded(F.sum(F.col("k") * F.col("cdf"))).alias("v"))
 
 
+def equalise_rgb(rgb: DataFrame, w: int, h: int, tile: int = 8, clip: float = 3.0) -> DataFrame:
+    """Colours scaled by their equalised luminance."""
+    return tone.relight(rgb, equalise(color.luminance(rgb), w, h, tile, clip))
+
+
+def equalise_planes(planes: DataFrame, w: int, h: int, tile: int = 8, clip: float = 3.0) -> DataFrame:
+    """Luma equalised, chroma as it is."""
+    luma = equalise(planes.where("p = 0"), w, h, tile, clip).select("f", F.lit(0).alias("p"), "y", "x", "v")
+    return luma.unionByName(planes.where("p > 0").select("f", "p", "y", "x", "v"))
+
+
 def normalise_depth(px: DataFrame, depth: str = "d") -> DataFrame:
     """depth scaled to 0..1 by each frame's finite extremes, 0 where they don't differ; non-finite values count as the least."""
     fine = ~F.isnan(depth) & (F.abs(depth) < float("inf"))

@@ -178,19 +178,42 @@ def plane_gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def plane_background_blur(cx: float, cy: float, radius: float = 0.3, strength: float = 8.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Blur that grows with the distance from a focus (in shares of the frame): radius and width of the kernel vary by pixel."""
-    def run(p: np.ndarray) -> np.ndarray:
-        h, w = p.shape
+    """Blur that grows with the distance from a focus (in shares of the frame; 1 is half its width or height): radius and width of the kernel vary by pixel.
+
+    Weights by offset, up to 16 MB of them, are kept for the next frame of the same shape.
+    """
+    known: dict[tuple[int, int], list] = {}
+
+    def taps(h: int, w: int):
         yy, xx = np.mgrid[0:h, 0:w]
-        d = np.hypot(xx / w - cx, yy / h - cy)
+        d = np.hypot((xx - cx * w) / (w / 2), (yy - cy * h) / (h / 2))
         focus = (1 - np.clip((d - radius) / (1 - radius + 0.001), 0, 1)) ** 2
         reach = np.clip(np.floor(3 * strength * (1 - focus)), 1, 15).astype(int)
         spread = np.maximum(0.1, 2 * (strength * (1 - focus)) ** 2)
-        top, bottom = np.zeros_like(p), np.zeros_like(p)
-        for dy, dx in _offsets(15, 15):
-            use = (np.abs(dy) <= reach) & (np.abs(dx) <= reach)
-            k = np.where(use, np.exp(-(dy * dy + dx * dx) / spread), 0.0)
-            top += k * p[np.clip(yy + dy, 0, h - 1), np.clip(xx + dx, 0, w - 1)]
-            bottom += k
+
+        def each():
+            for dy, dx in _offsets(int(reach.max()), int(reach.max())):
+                use = (np.abs(dy) <= reach) & (np.abs(dx) <= reach)
+                yield np.where(use, np.exp(-(dy * dy + dx * dx) / spread), 0.0), np.clip(yy + dy, 0, h - 1) * w + np.clip(xx + dx, 0, w - 1)
+        return focus, each
+
+    def run(p: np.ndarray) -> np.ndarray:
+        h, w = p.shape
+        if (h, w) not in known:
+            focus, each = taps(h, w)
+            if 31 * 31 * h * w * 16 <= 16 << 20:
+                weights, places = map(np.stack, zip(*each()))
+                known[h, w] = focus, weights, weights.sum(0), places
+            else:
+                known[h, w] = focus, None, None, each
+        focus, weights, bottom, places = known[h, w]
+        flat = np.ascontiguousarray(p).reshape(-1)
+        if weights is None:
+            top, bottom = np.zeros(p.shape), np.zeros(p.shape)
+            for k, at in places():
+                top += k * flat[at]
+                bottom += k
+        else:
+            top = (weights * flat[places]).sum(0)
         return np.floor(focus * p + (1 - focus) * top / bottom + 1e-9) - 0.25
     return run

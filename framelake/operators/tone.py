@@ -62,26 +62,31 @@ def hdr_aces(rgb: DataFrame, peak: float = 1000.0) -> DataFrame:
     return rgb.withColumns(out)
 
 
-PRESETS = ("warm", "cool", "cinematic", "vintage", "high_contrast", "desaturate")
-
-
-def _preset(name: str, r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Curves of the built-in looks on channels 0..1."""
-    if name == "warm":
-        return r * 1.1, g * 1.02, b * 0.9
-    if name == "cool":
-        return r * 0.9, g * 1.0, b * 1.1
-    if name == "cinematic":
-        l = luma(r, g, b)
-        return (F.when(l < 0.5, r * 0.95).otherwise(r * 1.08), g * 1.0, F.when(l < 0.5, b * 1.1).otherwise(b * 0.92))
-    if name == "vintage":
-        return 0.9 * r + 0.1, 0.85 * g + 0.07, 0.75 * b + 0.1
-    if name == "high_contrast":
-        return tuple((c - 0.5) * 1.4 + 0.5 for c in (r, g, b))
-    if name == "desaturate":
-        l = luma(r, g, b)
-        return tuple(0.5 * c + 0.5 * l for c in (r, g, b))
-    raise ValueError(name)
+#: Fixed values of the built-in looks on channels 0..1: the share by which colours are drawn to grey first, each channel's lines
+#: (gain, lift) below, at and above one half, and the share of grey afterwards (before the last gain and lift, if any).
+LOOKS = {
+    "warm": (0.0, (((1.1, 0.02),) * 3, ((1.02, 0.01),) * 3, ((0.9, 0.0),) * 3), 0.0),
+    "cool": (0.0, (((0.9, 0.0),) * 3, ((1.0, 0.01),) * 3, ((1.1, 0.02),) * 3), 0.0),
+    "cinematic": (0.0, (((1.05, -0.01), (1.05, -0.01), (1.05, 0.03)), ((0.98, 0.0),) * 3, ((1.08, 0.04), (1.08, -0.01), (1.08, -0.01))), 0.0),
+    "vintage": (0.0, (((0.95, 0.05),) * 3, ((0.92, 0.04),) * 3, ((0.85, 0.06),) * 3), 0.2),
+    "high_contrast": (0.0, (((0.8, 0.0), (1.2, 0.05), (1.2, 0.05)),) * 3, 0.0),
+    "desaturate": (0.6, (((1.1, 0.02),) * 3,) * 3, 0.0),
+}
+PRESETS = tuple(LOOKS)
+
+
+def _preset(name: str, *rgb: Column) -> list[Column]:
+    """Curves of a look: drawn to BT.601 grey, bent by lines, drawn to grey again."""
+    before, lines, after = LOOKS[name]
+
+    def muted(c: list[Column], share: float) -> list[Column]:
+        gray = 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+        return [x + (gray - x) * share for x in c] if share else c
+
+    def bent(x: Column, below, at, above) -> Column:
+        line = lambda k: x * k[0] + k[1]
+        return line(at) if below == at == above else F.when(x < 0.5, line(below)).when(x > 0.5, line(above)).otherwise(line(at))
+    return muted([bent(x, *k) for x, k in zip(muted(list(rgb), before), lines)], after)
 
 
 def lut(spark, preset: str, size: int = 17) -> DataFrame:
@@ -126,26 +131,29 @@ def chroma_key(rgb: DataFrame, hue: tuple[float, float] = (60.0, 160.0), s_min:
     r, g, b = (F.col(c) / 255.0 for c in "rgb")
     hi, lo = F.greatest(r, g, b), F.least(r, g, b)
     d = hi - lo
-    turn = F.when(d == 0, 0.0).when(hi == r, ((g - b) / d) % 6).when(hi == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
-    df = rgb.withColumns({"_h": F.when(turn < 0, turn + 360).otherwise(turn), "_s": F.when(hi > 0, d / F.when(hi > 0, hi).otherwise(1.0)).otherwise(0.0), "_v": hi})
+    far = F.when(d > 0.001, d).otherwise(1.0)
+    turn = F.when(d <= 0.001, 0.0).when(hi == r, ((g - b) / far) % 6).when(hi == g, (b - r) / far + 2).otherwise((r - g) / far + 4) * 60
+    df = rgb.withColumns({"_h": F.when(turn < 0, turn + 360).otherwise(turn), "_s": F.when(hi > 0.001, d / F.when(hi > 0.001, hi).otherwise(1.0)).otherwise(0.0), "_v": hi})
     mid, half = (hue[0] + hue[1]) / 2, (hue[1] - hue[0]) / 2
     inside = F.col("_h").between(*hue) & (F.col("_s") >= s_min) & (F.col("_v") >= v_min)
-    factor = clamp((1 - F.abs(F.col("_h") - mid) / half) * 2, 0.0, 1.0) * clamp((F.col("_s") - s_min) / (1 - s_min) * 2, 0.0, 1.0) * clamp((F.col("_v") - v_min) / (1 - v_min) * 2, 0.0, 1.0)
+    share = lambda c, least: F.least((F.col(c) - least) / (1 - least + 0.001), F.lit(1.0))
+    factor = clamp((1 - F.least(F.abs(F.col("_h") - mid), F.lit(half)) / half) * share("_s", s_min) * share("_v", v_min), 0.0, 1.0)
     df = df.withColumn("_m", F.when(inside, factor).otherwise(0.0))
     alpha = 1 - F.col("_m")
-    if edge > 0:
+    if edge > 0.001:
         alpha = F.when((F.col("_m") > 0.001) & (F.col("_m") < 0.999), smoothstep(0.1, 0.9, alpha)).otherwise(alpha)
     df = df.withColumn("_a", alpha)
-    green = g - F.greatest(g - F.greatest(r, b), F.lit(0.0)) * spill * F.col("_m")
+    lost = F.greatest(g - F.greatest(r, b), F.lit(0.0)) * spill * F.col("_m")
+    green = F.greatest(g - F.when(F.col("_m") > 0.01, lost).otherwise(0.0), F.lit(0.0)) if spill > 0.001 else g
     out = {n: truncated(F.col("_a") * c * 255 + (1 - F.col("_a")) * bg) for n, c, bg in zip("rgb", (r, green, b), background)}
     return df.withColumns(out).drop("_h", "_s", "_v", "_m", "_a")
 
 
-def composite_alpha(front: DataFrame, back: DataFrame, alpha: DataFrame, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
-    """front over back by a matte (f, y, x, a), its edge steepened."""
+def composite_alpha(front: DataFrame, back: DataFrame, alpha: DataFrame) -> DataFrame:
+    """front over back by a matte (f, y, x, a) that is smoothed over its whole range."""
     keys = ["f", "y", "x"]
     j = front.join(back.select(*keys, *(F.col(c).alias(f"_{c}") for c in "rgb")), keys).join(alpha, keys)
-    a = smoothstep(lo, hi, clamp(F.col("a"), 0.0, 1.0))
+    a = smoothstep(0.0, 1.0, F.col("a"))
     return j.select(*keys, *(rounded(a * F.col(c) + (1 - a) * F.col(f"_{c}")).alias(c) for c in "rgb"))
 
 
@@ -167,22 +175,19 @@ def depth_to_gray(px: DataFrame, depth: Column) -> DataFrame:
 
 
 def flow_to_rgb(px: DataFrame, dx: str = "dx", dy: str = "dy") -> DataFrame:
-    """Direction as hue in six sectors, strength as value, of a flow field."""
+    """Direction as one of six sectors of a colour wheel, strength as value, of a flow field.
+
+    A sector names the channel of full value; of the others, one falls with saturation and one rises with
+    saturation and the place in the sector.
+    """
     mag = F.sqrt(F.col(dx) * F.col(dx) + F.col(dy) * F.col(dy))
-    hue = (F.atan2(F.col(dy), F.col(dx)) / 3.141592653589793 + 1) / 2
-    df = px.withColumns({"_s": F.least(mag / 6, F.lit(1.0)), "_v": F.least(30 * mag, F.lit(255.0)), "_h": hue * 6})
-    sector = F.floor("_h") % 6
+    turn = (F.atan2(F.col(dy), F.col(dx)) / 3.14159265 + 1) / 2 * 6
+    df = px.withColumns({"_s": F.least(mag / 6, F.lit(1.0)), "_v": F.least(30 * mag, F.lit(255.0)), "_h": turn})
     part = F.col("_h") - F.floor("_h")
-    p, q, t = F.col("_v") * (1 - F.col("_s")), F.col("_v") * (1 - part * F.col("_s")), F.col("_v") * (1 - (1 - part) * F.col("_s"))
-    v = F.col("_v")
-    rows = ((v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q))
-    out = {}
-    for i, n in enumerate("rgb"):
-        pick = rows[5][i]
-        for k in range(4, -1, -1):
-            pick = F.when(sector == k, rows[k][i]).otherwise(pick)
-        out[n] = truncated(pick)
-    return df.withColumns(out).drop("_s", "_v", "_h")
+    level = {"v": F.floor("_v"), "q": F.floor(F.col("_v") * (1 - F.col("_s"))), "t": F.floor(F.col("_v") * F.col("_s") * part)}
+    sectors = F.array(*(F.struct(*(level[k].cast("int").alias(n) for k, n in zip(kinds, "rgb"))) for kinds in ("vtq", "tvq", "qvt", "qtv", "tqv", "vqt")))
+    df = df.withColumn("_c", F.get(sectors, (F.floor("_h") % 6).cast("int")))
+    return df.withColumns({n: F.col(f"_c.{n}") for n in "rgb"}).drop("_s", "_v", "_h", "_c")
 
 
 def sigmoid(x: Column) -> Column:

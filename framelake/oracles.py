@@ -99,27 +99,29 @@ _ACES = {c: "(" + " + ".join(f"{k}e0 * ({s} / 255e0 * 100e0 / 150e0)" for k, s i
 O["p08_hdr_aces"] = each(lambda c: t(f"({_ACES[c]} * ({_ACES[c]} + 0.0245786e0) - 0.000090537e0) / ({_ACES[c]} * (0.983729e0 * {_ACES[c]} + 0.4329510e0) + 0.238081e0) * 255e0"))
 LUTGRID = "grid AS (SELECT (i % 17)::INT AS ri, (i // 17 % 17)::INT AS gi, (i // 289)::INT AS bi FROM range(4913) s(i))"
 _in = lambda c: f"({c}i / 16e0)"
-_l16 = f"(0.2126e0 * {_in('r')} + 0.7152e0 * {_in('g')} + 0.0722e0 * {_in('b')})"
 _out = lambda e: r(unit(e) + " * 255e0")
-O["p10_lut"] = (f"WITH {LUTGRID} SELECT ri, gi, bi, {_out(f'CASE WHEN {_l16} < 0.5e0 THEN {_in('r')} * 0.95e0 ELSE {_in('r')} * 1.08e0 END')} AS r, {_out(_in('g'))} AS g, "
-                f"{_out(f'CASE WHEN {_l16} < 0.5e0 THEN {_in('b')} * 1.1e0 ELSE {_in('b')} * 0.92e0 END')} AS b, 'cinematic' AS preset FROM grid UNION ALL SELECT ri, gi, bi, "
-                f"{_out('0.9e0 * ' + _in('r') + ' + 0.1e0')}, {_out('0.85e0 * ' + _in('g') + ' + 0.07e0')}, {_out('0.75e0 * ' + _in('b') + ' + 0.1e0')}, 'vintage' FROM grid")
+_linear = lambda c, k, b: f"({_in(c)} * {k}e0 + {b}e0)"
+_faded = {c: _linear(c, *k) for c, k in {"r": (0.95, 0.05), "g": (0.92, 0.04), "b": (0.85, 0.06)}.items()}
+_grayed = f"(0.299e0 * {_faded['r']} + 0.587e0 * {_faded['g']} + 0.114e0 * {_faded['b']})"
+O["p10_lut"] = (f"WITH {LUTGRID} SELECT ri, gi, bi, {_out(_in('r') + f' * 1.05e0 + CASE WHEN {_in('r')} > 0.5e0 THEN 0.03e0 ELSE -0.01e0 END')} AS r, {_out(_in('g') + ' * 0.98e0')} AS g, "
+                f"{_out(_in('b') + f' * 1.08e0 + CASE WHEN {_in('b')} < 0.5e0 THEN 0.04e0 ELSE -0.01e0 END')} AS b, 'cinematic' AS preset FROM grid UNION ALL SELECT ri, gi, bi, "
+                + ", ".join(_out(f"{_faded[c]} + ({_grayed} - {_faded[c]}) * 0.2e0") for c in "rgb") + ", 'vintage' FROM grid")
 _cell = ", ".join(f"least(floor({c} / 255e0 * 16e0), 15)::INT AS {c}0, {c} / 255e0 * 16e0 - least(floor({c} / 255e0 * 16e0), 15) AS {c}f" for c in "rgb")
 _weights = " * ".join(f"(CASE WHEN d{c} = 1 THEN {c}f ELSE 1e0 - {c}f END)" for c in "rgb")
-O["p09_apply_lut"] = (f"WITH {COLOUR}, {LUTGRID}, lut AS (SELECT ri, gi, bi, {_out(_in('r') + ' * 1.1e0')} AS lr, {_out(_in('g') + ' * 1.02e0')} AS lg, {_out(_in('b') + ' * 0.9e0')} AS lb FROM grid), "
+O["p09_apply_lut"] = (f"WITH {COLOUR}, {LUTGRID}, lut AS (SELECT ri, gi, bi, {_out(_linear('r', 1.1, 0.02))} AS lr, {_out(_linear('g', 1.02, 0.01))} AS lg, {_out(_in('b') + ' * 0.9e0')} AS lb FROM grid), "
                       f"c AS (SELECT *, {_cell} FROM rgb), k AS (SELECT c.*, dr, dg, db, {_weights} AS w FROM c, range(2) a(dr), range(2) b(dg), range(2) d(db)), "
                       "s AS (SELECT f, y, x, k.r, k.g, k.b, sum(w * lr) AS sr, sum(w * lg) AS sg, sum(w * lb) AS sb FROM k JOIN lut ON ri = r0 + dr AND gi = g0 + dg AND bi = b0 + db GROUP BY ALL) "
                       "SELECT f, y, x, " + ", ".join(f"floor(least(255e0, greatest(0e0, {c} + 0.75e0 * (s{c} - {c}) + 0.5e0 + 1e-9)))::INT AS {c}" for c in "rgb") + " FROM s")
 _half = "least(1e0, greatest(0e0, {}))".format
 O["p11_chroma_key"] = rgb("""SELECT f, y, x, {R} AS r, {G} AS g, {B} AS b FROM (SELECT *, CASE WHEN m > 0.001e0 AND m < 0.999e0 THEN u * u * (3e0 - 2e0 * u) ELSE 1e0 - m END AS a FROM
  (SELECT *, least(1e0, greatest(0e0, (1e0 - m - 0.1e0) / 0.8e0)) AS u FROM (SELECT *, CASE WHEN h >= 60 AND h <= 160 AND s >= 0.3e0 AND hi >= 0.2e0 THEN
-  least(1e0, greatest(0e0, (1e0 - abs(h - 110e0) / 50e0) * 2e0)) * least(1e0, greatest(0e0, (s - 0.3e0) / 0.7e0 * 2e0)) * least(1e0, greatest(0e0, (hi - 0.2e0) / 0.8e0 * 2e0)) ELSE 0e0 END AS m FROM
- (SELECT *, CASE WHEN h0 < 0 THEN h0 + 360e0 ELSE h0 END AS h, CASE WHEN hi > 0 THEN d / hi ELSE 0e0 END AS s FROM
- (SELECT *, CASE WHEN d = 0 THEN 0e0 WHEN hi = fr THEN fmod((fg - fb) / d, 6e0) WHEN hi = fg THEN (fb - fr) / d + 2e0 ELSE (fr - fg) / d + 4e0 END * 60e0 AS h0 FROM
+  least(1e0, greatest(0e0, (1e0 - least(abs(h - 110e0), 50e0) / 50e0) * least((s - 0.3e0) / 0.701e0, 1e0) * least((hi - 0.2e0) / 0.801e0, 1e0))) ELSE 0e0 END AS m FROM
+ (SELECT *, CASE WHEN h0 < 0 THEN h0 + 360e0 ELSE h0 END AS h, CASE WHEN hi > 0.001e0 THEN d / hi ELSE 0e0 END AS s FROM
+ (SELECT *, CASE WHEN d <= 0.001e0 THEN 0e0 WHEN hi = fr THEN fmod((fg - fb) / d, 6e0) WHEN hi = fg THEN (fb - fr) / d + 2e0 ELSE (fr - fg) / d + 4e0 END * 60e0 AS h0 FROM
  (SELECT f, y, x, r / 255e0 AS fr, g / 255e0 AS fg, b / 255e0 AS fb, greatest(r, g, b) / 255e0 AS hi, greatest(r, g, b) / 255e0 - least(r, g, b) / 255e0 AS d FROM rgb))))))""".format(
-    R=t("a * fr * 255e0"), G=t("a * (fg - greatest(fg - greatest(fr, fb), 0e0) * 0.3e0 * m) * 255e0"), B=t("a * fb * 255e0")))
+    R=t("a * fr * 255e0"), G=t("a * greatest(fg - CASE WHEN m > 0.01e0 THEN greatest(fg - greatest(fr, fb), 0e0) * 0.3e0 * m ELSE 0e0 END, 0e0) * 255e0"), B=t("a * fb * 255e0")))
 _a = "(x / 7e0)"
-_u = unit(f"({_a} - 0.1e0) / 0.8e0")
+_u = unit(_a)
 _s = f"({_u} * {_u} * (3e0 - 2e0 * {_u}))"
 O["p12_composite"] = rgb(f"SELECT f, y, x, {r(f'{_s} * r + (1e0 - {_s}) * b')} AS r, {r(f'{_s} * g + (1e0 - {_s}) * g')} AS g, {r(f'{_s} * b + (1e0 - {_s}) * r')} AS b FROM rgb")
 O["p13_blend"] = rgb("SELECT a.f, a.y, a.x, " + ", ".join(f"{r(f'0.7e0 * a.{c} + 0.3e0 * n.{c}')} AS {c}" for c in "rgb") + " FROM rgb a JOIN rgb n ON n.f = a.f + 1 AND n.y = a.y AND n.x = a.x")
@@ -146,7 +148,7 @@ O["g02_crop_planes"] = (f"WITH {COLOUR}{FRAMES}, p AS ({FULL}) SELECT c.f, 0 AS
                         f"SELECT c.f, k, c.y, c.x, coalesce(p.v, 128) FROM {cells(3, 3)} c CROSS JOIN (VALUES (1), (2)) t(k) LEFT JOIN p ON p.p = k AND p.f = c.f AND p.x = c.x + 2 AND p.y = c.y + 1")
 O["g03_pad"] = geo(gathered(12, 10, "c.x - 2", "c.y - 1", (10, 20, 30)))
 O["g04_flip"] = rgb("SELECT f, 7 - y AS y, 7 - x AS x, r, g, b FROM rgb")
-O["g05_translate"] = geo(gathered(8, 8, "c.x + 2", "c.y - 1"))
+O["g05_translate"] = geo(gathered(8, 8, "c.x - 2", "c.y + 1"))
 _d = "(1e0 + 0.2e0 * (((c.x - 4e0) / 4e0) * ((c.x - 4e0) / 4e0) + ((c.y - 4e0) / 4e0) * ((c.y - 4e0) / 4e0)))"
 O["g06_lens"] = geo(gathered(8, 8, f"floor((c.x - 4e0) / 4e0 * {_d} * 4e0 + 4e0 + 0.5e0)", f"floor((c.y - 4e0) / 4e0 * {_d} * 4e0 + 4e0 + 0.5e0)"))
 O["g10_resize_nearest"] = geo(gathered(5, 11, "c.x * 8 // 5", "c.y * 8 // 11"))
@@ -164,13 +166,29 @@ def bilinear(sw: int, sh: int, dw: int, dh: int, source: str = "rgb") -> str:
 
 O["g07_resize_bilinear"] = geo(bilinear(8, 8, 12, 6))
 O["g13_zoom"] = f"WITH {COLOUR}{FRAMES}, z AS (SELECT f, y - 2 AS y, x - 2 AS x, r, g, b FROM rgb WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5) {bilinear(4, 4, 8, 8, 'z')}"
-O["g11_letterbox"] = (f"WITH {COLOUR}{FRAMES}, z AS (SELECT f, y - 2 AS y, x, r, g, b FROM rgb WHERE y BETWEEN 2 AND 5), s AS ({bilinear(8, 4, 12, 6, 'z')}) " + gathered(12, 12, "c.x", "c.y - 3", (128, 128, 128), "s"))
+_lx, _ly = "(c.x / 1.375e0)", "((c.y - 2.75e0) / 1.375e0)"
+_lt = lambda j, i, c: f"p{j}{i}.{c} * ({f'({_lx} - floor({_lx}))' if i else f'(1e0 - ({_lx} - floor({_lx})))'} * {f'({_ly} - floor({_ly}))' if j else f'(1e0 - ({_ly} - floor({_ly})))'})"
+O["g11_letterbox"] = (f"WITH {COLOUR}{FRAMES}, z AS (SELECT f, y - 2 AS y, x, r, g, b FROM rgb WHERE y BETWEEN 2 AND 5) SELECT c.f, c.y, c.x, "
+                      + ", ".join(f"CASE WHEN p00.f IS NULL THEN 128 ELSE {r(' + '.join(_lt(j, i, c) for j in (0, 1) for i in (0, 1)))} END AS {c}" for c in "rgb") + f" FROM {cells(11, 11)} c "
+                      + " ".join(f"LEFT JOIN z p{j}{i} ON p{j}{i}.f = c.f AND {_ly} >= 0 AND {_ly} < 4 AND p{j}{i}.y = least(floor({_ly})::INT + {j}, 3) AND p{j}{i}.x = least(floor({_lx})::INT + {i}, 7)" for j in (0, 1) for i in (0, 1)))
 _cub = lambda tt: f"(CASE WHEN abs({tt}) <= 1 THEN (1.5e0 * abs({tt}) - 2.5e0) * abs({tt}) * abs({tt}) + 1e0 WHEN abs({tt}) < 2 THEN ((-0.5e0 * abs({tt}) + 2.5e0) * abs({tt}) - 4e0) * abs({tt}) + 2e0 ELSE 0e0 END)"
 O["g08_resize_bicubic"] = (f"WITH {COLOUR}{FRAMES}, k AS (SELECT c.f, c.y, c.x, c.x * (8e0 / 12e0) AS fx, c.y * (8e0 / 6e0) AS fy, least(7, greatest(0, floor(c.x * (8e0 / 12e0))::INT + i)) AS sx, least(7, greatest(0, floor(c.y * (8e0 / 6e0))::INT + j)) AS sy "
                            f"FROM {cells(12, 6)} c, range(-1, 3) a(i), range(-1, 3) b(j)) SELECT k.f, k.y, k.x, " + ", ".join(f"{r(f'sum(p.{c} * {_cub('(fy - sy)')} * {_cub('(fx - sx)')})')} AS {c}" for c in "rgb")
                            + " FROM k JOIN rgb p ON p.f = k.f AND p.y = k.sy AND p.x = k.sx GROUP BY k.f, k.y, k.x")
-O["g14_compose"] = (f"WITH {GRAY}, l AS (SELECT r_regionkey AS n, (r_regionkey % 3) * 10 AS dx, r_regionkey // 3 * 9 AS dy FROM region WHERE r_regionkey <> 2), "
-                    "c AS (SELECT (dy + ty)::INT AS y, (dx + tx)::INT AS x, n, p.v FROM l, range(10) a(ty), range(12) b(tx), gray p WHERE p.f = n AND p.y = ty * 8 // 10 AND p.x = tx * 8 // 12) SELECT y, x, arg_max(v, n) AS v FROM c GROUP BY y, x")
+def composed(p: str, tiles: str, tw: int, th: int, sw: int, sh: int, w: int, h: int) -> str:
+    """(y, x, v) of a canvas with tiles (n, f, dx, dy) of tw by th over source `p` (f, y, x, v) of sw by sh."""
+    fx, fy = f"(tx * {sw}e0 / {tw}e0)", f"(ty * {sh}e0 / {th}e0)"
+    wt = lambda o, e: f"({e} - floor({e}))" if o else f"(1e0 - ({e} - floor({e})))"
+    taps = " + ".join(f"q{j}{i}.v * ({wt(i, fx)} * {wt(j, fy)})" for j in (0, 1) for i in (0, 1))
+    joins = " ".join(f"JOIN {p} q{j}{i} ON q{j}{i}.f = l.f AND q{j}{i}.y = least(floor({fy})::INT + {j}, {sh - 1}) AND q{j}{i}.x = least(floor({fx})::INT + {i}, {sw - 1})" for j in (0, 1) for i in (0, 1))
+    hit = f"SELECT dy + ty AS y, dx + tx AS x, arg_max({r(taps)}, n) AS v FROM {tiles} l CROSS JOIN range({th}) a(ty) CROSS JOIN range({tw}) b(tx) {joins} GROUP BY ALL"
+    return f"SELECT cy::INT AS y, cx::INT AS x, coalesce(v, 0) AS v FROM range({h}) e(cy) CROSS JOIN range({w}) g(cx) LEFT JOIN ({hit}) ON y = cy AND x = cx"
+
+
+O["g14_compose"] = f"WITH {GRAY}, l AS (SELECT r_regionkey AS n, r_regionkey AS f, (r_regionkey % 3) * 10 AS dx, r_regionkey // 3 * 9 AS dy FROM region WHERE r_regionkey <> 2) {composed('gray', 'l', 12, 10, 8, 8, 30, 20)}"
+_plane = lambda k, n: f"SELECT {k} AS p, y, x, v FROM ({composed(f'(SELECT * FROM p WHERE p = {k})', n, *((12, 10, 8, 8, 24, 20) if k == 0 else (6, 5, 4, 4, 12, 10)))})"
+O["g14_compose_planes"] = (f"WITH {COLOUR}, p AS ({FULL}), l AS (SELECT n_nationkey AS n, n_nationkey * 3 AS f, (n_nationkey % 2) * 12 AS dx, n_nationkey // 2 * 10 AS dy FROM nation WHERE n_nationkey < 4), "
+                           f"l2 AS (SELECT n, f, dx // 2 AS dx, dy // 2 AS dy FROM l) {_plane(0, 'l')} UNION ALL {_plane(1, 'l2')} UNION ALL {_plane(2, 'l2')}")
 O["g15_grid"] = ("SELECT n_nationkey, CASE WHEN k <= 1 THEN 1 WHEN k <= 4 THEN 2 WHEN k <= 9 THEN 3 ELSE 4 END::INT AS cols, CASE WHEN k <= 2 THEN 1 WHEN k <= 6 THEN 2 WHEN k <= 9 THEN 3 ELSE 4 END::INT AS rows FROM (SELECT n_nationkey, n_nationkey % 17 AS k FROM nation)")
 O["g16_pip_box"] = ("SELECT p_partkey, bw AS box_w, bh AS box_h, w - bw - 12 AS box_x, h - bh - 12 AS box_y, w - bw - 12 >= 3 AND h - bh - 12 >= 3 AS ok FROM (SELECT *, least(320, greatest(96, w // 6 & ~1))::INT AS bw, least(240, greatest(72, h // 6 & ~1))::INT AS bh "
                     "FROM (SELECT p_partkey, (p_size * 47)::INT AS w, (p_partkey % 1500)::INT AS h FROM part))")
@@ -217,12 +235,25 @@ O["t04_stabilise"] = (f"WITH RECURSIVE {GRAY}, {motion(4)}, {_mean}, o AS (SELEC
                       "SELECT o.k, o.f, trunc(0.8e0 * s.sx + (1 - 0.8e0) * o.dx)::INT, trunc(0.8e0 * s.sy + (1 - 0.8e0) * o.dy)::INT FROM s JOIN o ON o.k = s.k + 1) SELECT f, sx, sy FROM s")
 
 # Histograms.
-_tiles = ("cnt AS (SELECT f, (y // 4)::INT AS ty, (x // 4)::INT AS tx, v, count(*) AS n FROM gray {w} GROUP BY ALL), full_ AS (SELECT t.f, t.ty, t.tx, l::INT AS v, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT f, ty, tx FROM cnt) t CROSS JOIN range(256) a(l) LEFT JOIN cnt c ON c.f = t.f AND c.ty = t.ty AND c.tx = t.tx AND c.v = l), "
-          "bins AS (SELECT f, ty, tx, v, CASE WHEN n > 1 THEN 1 + floor((n - 1) / 256e0) ELSE n END AS n FROM full_), "
-          "tab AS (SELECT f, ty, tx, v, floor(least(255e0, coalesce(sum(n) OVER (PARTITION BY f, ty, tx ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 255e0 / greatest(sum(n) OVER (PARTITION BY f, ty, tx), 1)) + 0.5e0)::INT AS cdf FROM bins)")
-O["a01_tile_tables"] = f"WITH {GRAY}, {_tiles.format(w='WHERE f < 100')} SELECT f, ty, tx, v, cdf FROM tab"
-O["a03_equalise"] = (f"WITH {GRAY}, {_tiles.format(w='')}, c AS (SELECT g.f, g.y, g.x, g.v, least(1, g.y // 4 + j) AS ty, least(1, g.x // 4 + i) AS tx, (CASE WHEN j = 1 THEN (g.y % 4) / 4e0 ELSE 1e0 - (g.y % 4) / 4e0 END) * (CASE WHEN i = 1 THEN (g.x % 4) / 4e0 ELSE 1e0 - (g.x % 4) / 4e0 END) AS k "
-                     f"FROM gray g, range(2) a(j), range(2) b(i)) SELECT c.f, c.y, c.x, {r('sum(k * cdf)')} AS v FROM c JOIN tab t ON t.f = c.f AND t.ty = c.ty AND t.tx = c.tx AND t.v = c.v GROUP BY c.f, c.y, c.x")
+def tiled(side: int, clip: float, source: str = "gray") -> str:
+    """Common tables up to tab(f, ty, tx, v, cdf)."""
+    return (f"cnt AS (SELECT f, (y // {side})::INT AS ty, (x // {side})::INT AS tx, v, count(*) AS n FROM {source} GROUP BY ALL), lim AS (SELECT f, ty, tx, sum(n)::DOUBLE / 256e0 * {clip}e0 AS m FROM cnt GROUP BY ALL), "
+            "full_ AS (SELECT t.f, t.ty, t.tx, t.m, l::INT AS v, coalesce(c.n, 0)::DOUBLE AS n FROM lim t CROSS JOIN range(256) a(l) LEFT JOIN cnt c ON c.f = t.f AND c.ty = t.ty AND c.tx = t.tx AND c.v = l), "
+            "bins AS (SELECT f, ty, tx, v, CASE WHEN n > m THEN floor(m) + floor(n - m)::INT // 256 + CASE WHEN v < floor(n - m)::INT % 256 THEN 1 ELSE 0 END ELSE n END AS n FROM full_), "
+            "tab AS (SELECT f, ty, tx, v, floor(least(255e0, coalesce(sum(n) OVER (PARTITION BY f, ty, tx ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 255e0 / greatest(sum(n) OVER (PARTITION BY f, ty, tx), 1)) + 0.5e0)::INT AS cdf FROM bins)")
+
+
+def levelled(source: str) -> str:
+    """(f, y, x, v) of source through the tables of 4 by 4 tiles of an 8 by 8 frame."""
+    w = lambda c, o: f"(CASE WHEN {o} = 1 THEN (g.{c} % 4) / 4e0 ELSE 1e0 - (g.{c} % 4) / 4e0 END)"
+    return (f"SELECT c.f, c.y, c.x, {r('sum(k * cdf)')} AS v FROM (SELECT g.f, g.y, g.x, g.v, least(1, g.y // 4 + j) AS ty, least(1, g.x // 4 + i) AS tx, {w('y', 'j')} * {w('x', 'i')} AS k FROM {source} g, range(2) a(j), range(2) b(i)) c "
+            "JOIN tab t ON t.f = c.f AND t.ty = c.ty AND t.tx = c.tx AND t.v = c.v GROUP BY c.f, c.y, c.x")
+O["a01_tile_tables"] = f"WITH {GRAY}, {tiled(4, 3.0, '(SELECT * FROM gray WHERE f < 100)')} SELECT f, ty, tx, v, cdf FROM tab"
+O["a01_tile_tables_wide"] = f"WITH {GRAY}, {tiled(8, 12.0, '(SELECT * FROM gray WHERE f < 100)')} SELECT f, ty, tx, v, cdf FROM tab"
+O["a03_equalise"] = f"WITH {GRAY}, {tiled(4, 3.0)} {levelled('gray')}"
+O["a03_equalise_rgb"] = (f"WITH {COLOUR}, lum AS (SELECT f, y, x, {r(LUMA)} AS v FROM rgb), {tiled(4, 40.0, 'lum')}, e AS ({levelled('lum')}) SELECT f, y, x, "
+                         + ", ".join(f"{r(f'{c} * (e.v / greatest(lum.v, 1)::DOUBLE)')} AS {c}" for c in "rgb") + " FROM rgb JOIN lum USING (f, y, x) JOIN e USING (f, y, x)")
+O["a03_equalise_planes"] = f"WITH {COLOUR}, p AS ({FULL}), lum AS (SELECT f, y, x, v FROM p WHERE p = 0), {tiled(4, 40.0, 'lum')} SELECT f, 0 AS p, y, x, v FROM ({levelled('lum')}) UNION ALL SELECT f, p, y, x, v FROM p WHERE p > 0"
 O["a04_normalise_depth"] = gray("SELECT g.f, y, x, CASE WHEN v = 200 OR hi - lo <= 1e-6 THEN 0 ELSE floor((v / 7e0 - lo) / (hi - lo) * 1000e0 + 1e-7) END::INT AS d FROM gray g JOIN (SELECT f, min(v / 7e0) AS lo, max(v / 7e0) AS hi FROM gray WHERE v <> 200 GROUP BY f) e ON e.f = g.f")
 _milli = lambda e: f"floor(({e}) * 1000e0 + 1e-6)::BIGINT"
 O["a06_sampled_mean"] = gray(f"SELECT f, {_milli('avg(v)')} AS mean FROM gray WHERE (y * 8 + x) % 13 = 0 GROUP BY f")
@@ -290,8 +321,8 @@ O["e02_best_hand"] = box("SELECT frame, hand, score FROM (SELECT frame, box AS h
 O["e03_holds"] = stm("SELECT user_id, no, min(kind) AS kind, min(t_ms) AS start, max(t_ms) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k)::BIGINT AS no FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY k) AS p FROM st)) GROUP BY user_id, no")
 _need = "CASE o.kind WHEN 'click' THEN 1 WHEN 'view' THEN 60000 END"
 _since = "(CASE WHEN o.kind = s.kind THEN s.since ELSE o.t_ms END)"
-_fire = f"coalesce(NOT (o.kind = s.kind AND s.done) AND o.t_ms - {_since} >= {_need} AND (s.last_ IS NULL OR o.t_ms - s.last_ >= 3600000), false)"
-O["e03_gesture_actions"] = folded("t_ms AS since, false AS done, NULL::BIGINT AS last_, NULL::VARCHAR AS action", f"{_since}, (o.kind = s.kind AND s.done) OR {_fire}, CASE WHEN {_fire} THEN o.t_ms ELSE s.last_ END, CASE WHEN {_fire} THEN o.kind END", "user_id, seq, action")
+_fire = f"coalesce(o.t_ms - {_since} >= {_need} AND (s.last_ IS NULL OR o.t_ms - s.last_ >= 3600000), false)"
+O["e03_gesture_actions"] = folded("t_ms AS since, NULL::BIGINT AS last_, NULL::VARCHAR AS action", f"CASE WHEN {_fire} THEN o.t_ms ELSE {_since} END, CASE WHEN {_fire} THEN o.t_ms ELSE s.last_ END, CASE WHEN {_fire} THEN o.kind END", "user_id, seq, action")
 O["e04_segments"] = folded("0 AS seg, 1 AS n", "s.seg + CASE WHEN (s.n >= 5 AND o.kind = 'view') OR s.n >= 9 THEN 1 ELSE 0 END, CASE WHEN (s.n >= 5 AND o.kind = 'view') OR s.n >= 9 THEN 1 ELSE s.n + 1 END", "user_id, seq, kind = 'view' AS idr, seg::INT AS segment")
 _spans = "spans AS (SELECT user_id, min(seq) AS start_, end_ FROM (SELECT c.user_id, c.seq, (SELECT min(i.seq) FROM st i WHERE i.user_id = c.user_id AND i.kind = 'view' AND i.seq > c.seq) AS end_ FROM st c WHERE c.kind = 'error') GROUP BY user_id, end_)"
 O["e05_cut_spans"] = f"WITH {STREAM}, {_spans} SELECT user_id, start_ AS start, coalesce(end_, -1) AS \"end\" FROM spans"
@@ -303,11 +334,18 @@ O["e08_long_enough"] = stm("SELECT user_id, kind, count(*) AS n FROM st GROUP BY
 O["e11_measured_fps"] = stm("SELECT user_id, CASE WHEN s > 0.5e0 THEN least(60, greatest(5, floor(n / s + 0.5e0))) ELSE 30 END::INT AS fps FROM (SELECT user_id, count(*) AS n, (max(seq) - min(seq)) / 400e0 AS s FROM st GROUP BY user_id)")
 O["e12_voice_gain"] = "SELECT event_id, floor((CASE WHEN -value > -50 THEN least(30e0, greatest(0e0, -20e0 + value)) ELSE 0e0 END) * 1000)::BIGINT AS gain FROM events"
 O["e13_debounce"] = folded("v > 50 AS prev, false AS on_, CASE WHEN v > 50 THEN 0 ELSE 0 END AS edge", "o.v > 50, CASE WHEN (o.v > 50) = s.prev THEN o.v > 50 ELSE s.on_ END, CASE WHEN (o.v > 50) = s.prev THEN (o.v > 50)::INT - s.on_::INT ELSE 0 END", "user_id, seq, edge::INT AS edge")
-O["e16_smooth_aim"] = folded("v::DOUBLE AS aim", "CASE WHEN abs(o.v - s.aim) <= 4 THEN s.aim ELSE s.aim + 0.5e0 * (o.v - s.aim) END", "user_id, seq, floor(aim * 1000e0 + 1e-6)::BIGINT AS aim")
+_aim = lambda o: f"least(1e0, greatest(0e0, CASE WHEN abs(({o}v / 128e0 - 0.375e0) * 1.5e0) < 0.0625e0 THEN 0.5e0 ELSE ({o}v / 128e0 - 0.375e0) * 1.5e0 + 0.5e0 END))"
+O["e16_smooth_aim"] = folded(f"{_aim('')} AS aim", f"s.aim + ({_aim('o.')} - s.aim) * 0.5e0", "user_id, seq, floor(aim * 1000e0 + 1e-6)::BIGINT AS aim")
+_moved = "((o.v - s.v) / 128e0 * 1.5e0 * 2e0)"
+O["e16_relative_aim"] = folded("0.5e0 AS aim", f"least(1e0, greatest(0e0, s.aim + CASE WHEN abs({_moved}) < 0.0625e0 * 0.2e0 THEN 0e0 ELSE {_moved} END * 0.5e0))", "user_id, seq, floor(aim * 1000e0 + 1e-6)::BIGINT AS aim")
+_up = "coalesce(o.h3 / 100e0 - o.v / 100e0 > 0.185e0, false)"
+O["e17_flicks"] = folded("NULL::BIGINT AS last_, false AS hit", f"CASE WHEN {_up} AND (s.last_ IS NULL OR o.t_ms - s.last_ > 800000) THEN o.t_ms ELSE s.last_ END, {_up} AND (s.last_ IS NULL OR o.t_ms - s.last_ > 800000)", "user_id, seq, hit AS flick").replace(
+    ", s AS (", ", st3 AS (SELECT *, lag(v, 3) OVER (PARTITION BY user_id ORDER BY k) AS h3 FROM st), s AS (").replace("FROM st o", "FROM st3 o").replace("JOIN st o", "JOIN st3 o")
 O["e19_zones"] = "SELECT event_id, CASE WHEN value / 100e0 - 0.5e0 < -0.25e0 THEN 'left' WHEN value / 100e0 - 0.5e0 > 0.25e0 THEN 'right' ELSE 'still' END AS zone, CASE WHEN value / 200e0 - 0.2e0 < -0.08e0 THEN 'left' WHEN value / 200e0 - 0.2e0 > 0.08e0 THEN 'right' ELSE 'none' END AS lean FROM events"
 O["e20_hits"] = stm("SELECT a.user_id, a.seq AS shot, min(b.seq) AS target FROM st a JOIN st b ON b.user_id = a.user_id AND a.kind = 'click' AND b.kind = 'purchase' AND (a.v - b.v) * (a.v - b.v) + (a.seq % 100 - b.seq * 7 % 100) * (a.seq % 100 - b.seq * 7 % 100) <= 400 GROUP BY a.user_id, a.seq")
 O["e21_window_matches"] = "SELECT p_partkey, contains(lower(p_name), 'a') AND p_name <> 'self' AS ok FROM part"
-O["e22_spawn"] = "WITH RECURSIVE s AS (SELECT c_custkey, 0 AS i, (c_custkey * 1103515245 + 12345) & 2147483647 AS n FROM customer UNION ALL SELECT c_custkey, i + 1, (n * 1103515245 + 12345) & 2147483647 FROM s WHERE i < 3) SELECT c_custkey, i, n FROM s"
+O["e22_spawn"] = ("WITH RECURSIVE s AS (SELECT c_custkey, 0 AS i, (c_custkey * 1103515245 + 12345) % 4294967296 AS n FROM customer UNION ALL SELECT c_custkey, i + 1, (n * 1103515245 + 12345) % 4294967296 FROM s WHERE i < 3) "
+                  "SELECT c_custkey, i, n // 65536 % [800, 650, 2, 500][i + 1] AS n FROM s")
 O["e23_bitrate"] = "SELECT p_partkey, floor(least(50000e0, greatest(500e0, p_size * 40e0 * (p_size * 22e0) * 30e0 * 0.07e0 / 1000e0)))::INT AS kbps FROM part"
 
 # Sources.
@@ -322,3 +360,28 @@ O["s27_probe"] = "SELECT p_partkey, p_size * 16 AS width, p_size * 9 AS height,
 O["x01_file_chain"] = ("WITH " + COLOUR + ", a AS (SELECT f, y - 1 AS y, x - 1 AS x, " + ", ".join(f"{r(f'{LUMA} + 1.2e0 * ({c} - {LUMA})')} AS {c}" for c in "rgb") + " FROM rgb WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6) "
                        "SELECT f, y, 5 - x AS x, " + ", ".join(f"{r(f'pow({c} / 255e0, 1e0 / 0.9e0) * 255e0')} AS {c}" for c in "rgb") + " FROM a")
 O["s24_batch_matrix"] = rgb(f"SELECT 'plain' AS config, f, y, x, r, g, b FROM rgb UNION ALL SELECT 'warm', f, y, x, {r('r + 12e0')}, {r('g + 2e0')}, {r('b - 12e0')} FROM rgb UNION ALL SELECT 'flipped', f, y, 7 - x, r, g, b FROM rgb")
+
+# Rules without a table of their own above.
+_dx, _dy = "(v / 32e0 - 4e0)", "(x / 2e0 - 1.7e0)"
+_level = {"v": "floor(val)::INT", "q": "floor(val * (1e0 - sat))::INT", "t": "floor(val * sat * (h6 - floor(h6)))::INT"}
+O["p16_flow_to_rgb"] = gray("SELECT f, y, x, " + ", ".join("CASE floor(h6)::INT % 6 " + " ".join(f"WHEN {n} THEN {_level[s[c]]}" for n, s in enumerate(("vtq", "tvq", "qvt", "qtv", "tqv", "vqt"))) + f" END AS {'rgb'[c]}" for c in range(3))
+                            + f" FROM (SELECT f, y, x, least(mag / 6e0, 1e0) AS sat, least(30e0 * mag, 255e0) AS val, h6 FROM (SELECT f, y, x, sqrt({_dx} * {_dx} + {_dy} * {_dy}) AS mag, (atan2({_dy}, {_dx}) / 3.14159265e0 + 1e0) / 2e0 * 6e0 AS h6 FROM gray))")
+_far = "greatest(0e0, least(1e0, (sqrt(pow((c.x - 4e0) / 4e0, 2) + pow((c.y - 4e0) / 4e0, 2)) - 0.3e0) / 0.701e0))"
+_wide = "greatest(0.1e0, 2e0 * pow(8e0 * (1e0 - c.focus), 2))"
+O["n07_background_blur"] = gray("SELECT f, y, x, floor(focus * v + (1e0 - focus) * top / bottom + 1e-9)::INT AS v FROM (SELECT c.f, c.y, c.x, any_value(c.v) AS v, any_value(c.focus) AS focus, "
+                                f"sum(exp(-(j * j + i * i) / {_wide}) * p.v) AS top, sum(exp(-(j * j + i * i) / {_wide})) AS bottom "
+                                f"FROM (SELECT c.*, (1e0 - {_far}) * (1e0 - {_far}) AS focus FROM gray c) c, range(-15, 16) a(j), range(-15, 16) b(i), gray p WHERE p.f = c.f AND p.y = least(7, greatest(0, c.y + j)) AND p.x = least(7, greatest(0, c.x + i)) "
+                                "AND greatest(abs(j), abs(i)) <= least(15, greatest(1, floor(24e0 * (1e0 - c.focus)))) GROUP BY c.f, c.y, c.x)")
+_names = "['person', 'bicycle', 'car', 'motorcycle', 'airplane', 'bus', 'train', 'truck', 'boat', 'traffic light', 'fire hydrant', 'stop sign', 'parking meter', 'bench', 'bird', 'cat', 'dog', 'horse', 'sheep', 'cow', 'elephant', 'bear', 'zebra', 'giraffe', 'backpack', 'umbrella', 'handbag', 'tie', 'suitcase', 'frisbee', 'skis', 'snowboard', 'sports ball', 'kite', 'baseball bat', 'baseball glove', 'skateboard', 'surfboard', 'tennis racket', 'bottle', 'wine glass', 'cup', 'fork', 'knife', 'spoon', 'bowl', 'banana', 'apple', 'sandwich', 'orange', 'broccoli', 'carrot', 'hot dog', 'pizza', 'donut', 'cake', 'chair', 'couch', 'potted plant', 'bed', 'dining table', 'toilet', 'tv', 'laptop', 'mouse', 'remote', 'keyboard', 'cell phone', 'microwave', 'oven', 'toaster', 'sink', 'refrigerator', 'book', 'clock', 'vase', 'scissors', 'teddy bear', 'hair drier', 'toothbrush']"
+O["m12_with_class"] = box(f"SELECT frame, box, cls, CASE WHEN cls BETWEEN 0 AND 79 THEN {_names}[cls + 1] ELSE '?' END AS class_name, " + ", ".join(f"(80 + greatest(cls, 0) * {k} % 176)::INT AS {c}" for c, k in (("cr", 149), ("cg", 97), ("cb", 61))) + " FROM (SELECT frame, box, (cls * 13 % 90 - 2)::INT AS cls FROM bx)")
+_to = lambda c, dead: f"CASE WHEN s.{c} IS NULL THEN o.t{c} WHEN abs(o.t{c} - s.{c}) < {dead} THEN s.{c} ELSE s.{c} + (o.t{c} - s.{c}) * 0.12e0 END"
+_held = lambda c, e: f"CASE WHEN o.tx IS NULL THEN s.{c} ELSE {e} END"
+_win, _hin = f"least({_to('w', 4)}, 640e0)", f"least({_to('h', 4)}, 480e0)"
+_even = lambda c: f"(floor(floor({c}) / 2e0) * 2)::INT"
+_shown = f"tx IS NOT NULL AND {_even('w')} >= 16 AND {_even('h')} >= 16"
+O["t07_auto_frame"] = box(f"SELECT frame % 50 AS camera, frame AS f, CASE WHEN {_shown} THEN floor(x)::INT ELSE 0 END AS \"left\", CASE WHEN {_shown} THEN floor(y)::INT ELSE 0 END AS top, CASE WHEN {_shown} THEN {_even('w')} ELSE 640 END AS w, CASE WHEN {_shown} THEN {_even('h')} ELSE 480 END AS h FROM s").replace("WITH ", "WITH RECURSIVE ", 1)
+_best = ("best AS (SELECT frame, CASE WHEN sc > 400 THEN (x1 + x2) / 2e0 - tw / 2e0 END AS tx, CASE WHEN sc > 400 THEN (y1 + y2) / 2e0 - 0.1e0 * th - th / 2e0 END AS ty, tw, th, row_number() OVER (PARTITION BY frame % 50 ORDER BY frame) AS k FROM "
+         "(SELECT *, least((x2 - x1) * 2e0, 640e0) AS tw, least((y2 - y1) * 2e0, 480e0) AS th FROM (SELECT *, score % 1000 AS sc, row_number() OVER (PARTITION BY frame ORDER BY score % 1000 DESC, x1, y1) AS no FROM bx) WHERE no = 1)), "
+         f"s AS (SELECT o.*, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS w, NULL::DOUBLE AS h FROM (SELECT DISTINCT frame % 50 AS frame, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS tw, NULL::DOUBLE AS th, 0::BIGINT AS k FROM bx) o UNION ALL "
+         f"SELECT o.*, {_held('x', f'least(greatest({_to('x', 5)}, 0e0), 640e0 - {_win})')}, {_held('y', f'least(greatest({_to('y', 5)}, 0e0), 480e0 - {_hin})')}, {_held('w', _win)}, {_held('h', _hin)} FROM s JOIN best o ON o.frame % 50 = s.frame % 50 AND o.k = s.k + 1)")
+O["t07_auto_frame"] = O["t07_auto_frame"].replace(" SELECT frame % 50 AS camera", f", {_best} SELECT frame % 50 AS camera", 1) + " WHERE k > 0"

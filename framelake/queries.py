@@ -147,7 +147,7 @@ on_rgb("g06_lens", lambda p: geometry.lens(p, 8, 8, 0.2))
 on_rgb("g07_resize_bilinear", lambda p: geometry.resize_bilinear(p, 8, 8, 12, 6))
 on_rgb("g08_resize_bicubic", lambda p: geometry.resize_bicubic(p, 8, 8, 12, 6))
 on_rgb("g10_resize_nearest", lambda p: geometry.resize_nearest(p, 8, 8, 5, 11))
-on_rgb("g11_letterbox", lambda p: geometry.letterbox(geometry.crop_inside(p, 8, 4, 0, 2), 8, 4, 12))
+on_rgb("g11_letterbox", lambda p: geometry.letterbox(geometry.crop_inside(p, 8, 4, 0, 2), 8, 4, 11, 11))
 on_rgb("g12_crop_inside", lambda p: geometry.crop_inside(p, 4, 4, 2, 3))
 on_rgb("g13_zoom", lambda p: geometry.zoom(p, 8, 8, 2.0))
 
@@ -156,7 +156,14 @@ on_rgb("g13_zoom", lambda p: geometry.zoom(p, 8, 8, 2.0))
 def g14_compose(spark, d):
     n = F.col("r_regionkey")
     layout = table(spark, d, "region").select(n.cast("int").alias("tile"), n.cast("long").alias("src_f"), ((n % 3) * 10).cast("int").alias("dst_x"), (F.floor(n / 3) * 9).cast("int").alias("dst_y"), F.lit(12).alias("tile_w"), F.lit(10).alias("tile_h"), (n != 2).alias("active"))
-    return geometry.compose(gray8(spark, d), layout, 8, 8)
+    return geometry.compose(gray8(spark, d), layout, 8, 8, 30, 20)
+
+
+@query
+def g14_compose_planes(spark, d):
+    n = F.col("n_nationkey")
+    layout = table(spark, d, "nation").where("n_nationkey < 4").select(n.cast("int").alias("tile"), (n * 3).cast("long").alias("src_f"), ((n % 2) * 12).cast("int").alias("dst_x"), (F.floor(n / 2) * 10).cast("int").alias("dst_y"), F.lit(12).alias("tile_w"), F.lit(10).alias("tile_h"), F.lit(True).alias("active"))
+    return geometry.compose_planes(planes(spark, d), layout, 8, 8, 24, 20)
 
 
 @query
@@ -200,6 +207,9 @@ QUERIES["n07_background_blur"] = lambda s, d: stencil.unpack_planes(stencil.map_
 
 # Histograms and reductions.
 on_gray("a01_tile_tables", lambda p: histogram.tile_tables(p.where("f < 100"), 4, 3.0))
+on_gray("a01_tile_tables_wide", lambda p: histogram.tile_tables(p.where("f < 100"), 8, 12.0))
+on_rgb("a03_equalise_rgb", lambda p: histogram.equalise_rgb(p, 8, 8, 4, 40.0))
+QUERIES["a03_equalise_planes"] = lambda s, d: histogram.equalise_planes(planes(s, d), 8, 8, 4, 40.0)
 on_gray("a03_equalise", lambda p: histogram.equalise(p, 8, 8, 4, 3.0))
 on_gray("a04_normalise_depth", lambda p: histogram.normalise_depth(p.select("f", "y", "x", F.when(F.col("v") == 200, F.lit(float("nan"))).otherwise(F.col("v") / 7.0).alias("d"))).select("f", "y", "x", F.floor(F.col("d") * 1000 + 1e-7).cast("int").alias("d")))
 on_gray("a05_mean_motion", lambda p: histogram.mean_motion(stencil.block_motion(p, 4, 2, 2, 8, 8)))
@@ -227,7 +237,7 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
 @query
 def t07_auto_frame(spark, d):
     b = lines_as_boxes(spark, d).withColumn("score", F.col("score") % 1000 / 1000.0).withColumnRenamed("frame", "f")
-    return temporal.auto_frame(b, 640, 480)
+    return temporal.auto_frame(b.withColumn("camera", F.col("f") % 50), 640, 480, "camera")
 
 
 QUERIES["t08_every_nth"] = lambda s, d: temporal.every_nth(stream(s, d), "user_id", "seq", "v", 3).select("user_id", "seq", "cached")
@@ -313,7 +323,13 @@ QUERIES["e08_long_enough"] = lambda s, d: events.long_enough(stream(s, d), ["use
 QUERIES["e11_measured_fps"] = lambda s, d: stream(s, d).groupBy("user_id").agg(events.measured_fps(F.count("*"), (F.max("seq") - F.min("seq")) / 400.0).alias("fps"))
 QUERIES["e12_voice_gain"] = lambda s, d: table(s, d, "events").select("event_id", F.floor(events.voice_gain(-F.col("value")) * 1000).cast("long").alias("gain"))
 QUERIES["e13_debounce"] = lambda s, d: events.debounce(stream(s, d), "user_id", ["seq"], F.col("v") > 50)
-QUERIES["e16_smooth_aim"] = lambda s, d: events.smooth_aim(stream(s, d).withColumn("w", F.col("v").cast("double")), "user_id", ["seq"], "w", 0.5, 4.0).select("user_id", "seq", F.floor(F.col("aim") * 1000 + 1e-6).cast("long").alias("aim"))
+def aims(spark: SparkSession, d: str, **how) -> DataFrame:
+    s = stream(spark, d).withColumn("w", F.col("v") / 128.0)
+    return events.smooth_aim(s, "user_id", ["seq"], "w", 0.5, 0.0625, 1.5, 0.375, **how).select("user_id", "seq", F.floor(F.col("aim") * 1000 + 1e-6).cast("long").alias("aim"))
+
+
+QUERIES["e16_smooth_aim"] = aims
+QUERIES["e16_relative_aim"] = lambda s, d: aims(s, d, relative=True)
 QUERIES["e17_flicks"] = lambda s, d: events.flicks(stream(s, d).withColumn("h", F.col("v") / 100.0), "user_id", ["seq"], "t_ms", "h", 0.185, 3, 800_000)
 QUERIES["e19_zones"] = lambda s, d: table(s, d, "events").select("event_id", *(c.alias(n) for c, n in zip(events.zones(F.col("value") / 100 - 0.5, F.col("value") / 200 - 0.2), ("zone", "lean"))))
 

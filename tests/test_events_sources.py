@@ -60,11 +60,13 @@ def test_as_of_takes_the_latest_before(spark):
 def test_settings_and_spawn(spark):
     df = spark.createDataFrame([("a=1\n# c=3\n b = x=y \na=2\n",), ("",)], "t string")
     assert [r.m for r in df.select(events.settings(F.col("t")).alias("m")).collect()] == [{"a": "2", "b": "x=y"}, {}]
-    got = spark.range(1).select(events.spawn(F.lit(7), 3).alias("a")).first().a
+    # By hand: 7 * 1103515245 + 12345 = 7724619060, less 4294967296 is 3429651764, whose upper half is 52332; 52332 % 800 = 332.
+    assert spark.range(1).select(events.spawn(F.lit(7), 1).alias("a")).first().a == [332]
+    got = spark.range(1).select(events.spawn(F.lit(7), 7).alias("a")).first().a
     s, want = 7, []
-    for _ in range(3):
-        s = (s * 1103515245 + 12345) & 0x7FFFFFFF
-        want.append(s)
+    for m in (800, 650, 2, 500, 2, 800, 650):
+        s = (s * 1103515245 + 12345) % 2**32
+        want.append((s >> 16) % m)
     assert got == want
 
 

@@ -119,7 +119,7 @@ def test_suppression_leaves_no_overlap_and_is_idempotent(spark):
     s = lambda n: F.struct(*(F.col(f"{n}.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
     assert pairs.where(detect.iou(s("a"), s("b")) > 0.3).count() == 0
     assert sorted(map(tuple, detect.suppress(kept, 0.3).drop("rank").collect())) == sorted(map(tuple, kept.drop("rank").collect()))
-    assert len(detect.class_names()) == 80
+    assert len(detect.CLASSES) == 80
 
 
 def test_block_motion_finds_a_shift(spark):
