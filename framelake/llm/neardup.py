@@ -258,6 +258,8 @@ def differences(party: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = cut(_with_sets(party, sets).select(*party.columns, F.size("_x").alias("_na"), F.concat(tag(F.array_except("_x", "_y"), True), tag(F.array_except("_y", "_x"), False)).alias("_e")))
     often = both.select("b", F.explode("_e").alias("_p")).groupBy("b", "_p").agg(F.count("*").alias("_often"))
     most = often.join(both.groupBy("b").agg(F.count("*").alias("_of")), "b").where("_often * 2 > _of").groupBy("b").agg(F.collect_list("_p").alias("_most"))
+    # At most twice the mean number of differences each.
+    most = lookup_side(cut(most), 2000)
     turned = F.transform(F.array_except("_most", "_e"), lambda p: F.struct(p["e"].alias("e"), (~p["own"]).alias("own")))
     out = both.join(most, "b", "left").withColumn("_e", F.when(F.col("_most").isNull(), F.col("_e")).otherwise(F.concat(F.array_except("_e", "_most"), turned))).drop("_most")
     out = out.withColumns({"_d": F.size("_e"), "_d_own": F.size(F.filter("_e", lambda p: p["own"]))})
