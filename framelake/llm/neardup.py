@@ -219,8 +219,8 @@ def shared_differences(apart: DataFrame, sketch: DataFrame, percent: int) -> Dat
     lack, spare = F.floor(F.col("_na") * (100 - percent) / 100), F.floor(F.col("_na") * (100 - percent) / percent)
     by_own = F.col("_d_own") > lack
     missing = F.when(by_own, lack).otherwise(F.least(spare, F.col("_d") - 1))
-    each = cut(apart.select("a", "b", "_ra", "stray", "_d", "_d_own", spare.alias("_spare"), missing.alias("_missing"), by_own.alias("_by_own"), F.explode("_e").alias("_x"))
-               .select("a", "b", "_ra", "stray", "_d", "_d_own", "_spare", "_missing", "_by_own", F.col("_x.own").alias("_own"), F.col("_x.e").alias("_e")))
+    each = cut(apart.select("a", "b", "_ra", "stray", "_d", "_d_own", spare.alias("_spare"), missing.alias("_missing"), by_own.alias("_by_own"), F.size("_in").alias("_mine"), F.posexplode(F.concat("_in", "_out")).alias("_at", "_e"))
+               .withColumn("_own", F.col("_at") < F.col("_mine")).drop("_at", "_mine"))
     often = each.groupBy("b", "_e").agg(F.count("*").alias("_often"))
     by_rarity = Window.partitionBy("b", "a").orderBy("_often", "_e")
     few = each.where(F.col("stray") & (F.col("_own") | ~F.col("_by_own"))).join(often, ["b", "_e"])
@@ -249,20 +249,23 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def differences(party: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """party (a, b, ...) with a's differences from what most sets of the same b hold.
 
-    _e: array of (e, own), own if a has the shingle; _d and _d_own: how many there are; _na: a's size. Sets are
-    laid beside b's, and a difference that more than half of them have is turned over, so that no
-    difference is common. _far: least for the core, the set that is linked with every set that needs to
+    _in and _out: arrays of the shingles that only a has, or lacks; _d and _d_own: how many there are in both and
+    in _in; _na: a's size. Sets are laid beside b's, and a difference that more than half of three or more
+    of them have is turned over, so that no difference is common. _far: least for the core, the set that is linked with every set that needs to
     share no difference with some other in order to be linked with it.
     """
-    tag = lambda c, own: F.transform(c, lambda e: F.struct(e.alias("e"), F.lit(own).alias("own")))
-    both = cut(_with_sets(party, sets).select(*party.columns, F.size("_x").alias("_na"), F.concat(tag(F.array_except("_x", "_y"), True), tag(F.array_except("_y", "_x"), False)).alias("_e")))
-    often = both.select("b", F.explode("_e").alias("_p")).groupBy("b", "_p").agg(F.count("*").alias("_often"))
-    most = often.join(both.groupBy("b").agg(F.count("*").alias("_of")), "b").where("_often * 2 > _of").groupBy("b").agg(F.collect_list("_p").alias("_most"))
+    both = cut(_with_sets(party, sets).select(*party.columns, F.size("_x").alias("_na"), F.array_except("_x", "_y").alias("_in"), F.array_except("_y", "_x").alias("_out")))
+    of = both.groupBy("b").agg(F.count("*").alias("_of")).where("_of > 2")
+    each = both.select("b", F.explode("_in").alias("_e"), F.lit(True).alias("_own")).unionByName(both.select("b", F.explode("_out").alias("_e"), F.lit(False).alias("_own")))
+    most = each.groupBy("b", "_e", "_own").agg(F.count("*").alias("_often")).join(of, "b").where("_often * 2 > _of")
     # At most twice the mean number of differences each.
-    most = lookup_side(cut(most), 2000)
-    turned = F.transform(F.array_except("_most", "_e"), lambda p: F.struct(p["e"].alias("e"), (~p["own"]).alias("own")))
-    out = both.join(most, "b", "left").withColumn("_e", F.when(F.col("_most").isNull(), F.col("_e")).otherwise(F.concat(F.array_except("_e", "_most"), turned))).drop("_most")
-    out = out.withColumns({"_d": F.size("_e"), "_d_own": F.size(F.filter("_e", lambda p: p["own"]))})
+    listed = lambda own: F.collect_list(F.when(F.col("_own") == own, F.col("_e")))
+    most = lookup_side(cut(most.groupBy("b").agg(listed(True).alias("_most_in"), listed(False).alias("_most_out"))), 2000)
+    none = F.array().cast("array<long>")
+    out = both.join(most, "b", "left").withColumns({c: F.coalesce(c, none) for c in ("_most_in", "_most_out")})
+    out = out.withColumns({"_in": F.concat(F.array_except("_in", "_most_in"), F.array_except("_most_out", "_out")),
+                           "_out": F.concat(F.array_except("_out", "_most_out"), F.array_except("_most_in", "_in"))}).drop("_most_in", "_most_out")
+    out = out.withColumns({"_d": F.size("_in") + F.size("_out"), "_d_own": F.size("_in")})
     return out.withColumn("_far", (100 + percent) * F.col("_d") - (100 - percent) * F.col("_na"))
 
 
