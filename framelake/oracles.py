@@ -385,3 +385,13 @@ _best = ("best AS (SELECT frame, CASE WHEN sc > 400 THEN (x1 + x2) / 2e0 - tw /
          f"s AS (SELECT o.*, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS w, NULL::DOUBLE AS h FROM (SELECT DISTINCT frame % 50 AS frame, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS tw, NULL::DOUBLE AS th, 0::BIGINT AS k FROM bx) o UNION ALL "
          f"SELECT o.*, {_held('x', f'least(greatest({_to('x', 5)}, 0e0), 640e0 - {_win})')}, {_held('y', f'least(greatest({_to('y', 5)}, 0e0), 480e0 - {_hin})')}, {_held('w', _win)}, {_held('h', _hin)} FROM s JOIN best o ON o.frame % 50 = s.frame % 50 AND o.k = s.k + 1)")
 O["t07_auto_frame"] = O["t07_auto_frame"].replace(" SELECT frame % 50 AS camera", f", {_best} SELECT frame % 50 AS camera", 1) + " WHERE k > 0"
+_bare = "regexp_split_to_array(url, '[?#]')[1]"
+_ext = rf"lower(regexp_extract({_bare}, '(\.[^./\\]+)$', 1))"
+O["s03_extension"] = f"SELECT page_id, ext, CASE WHEN ext IN ('.mp4', '.mov', '.m4v') THEN 'mp4' WHEN ext IN ('.mkv', '.webm', '.ivf') THEN 'mkv' ELSE 'raw' END AS container FROM (SELECT page_id, {_ext} AS ext FROM pages)"
+_pieces = ("SELECT doc_id AS id, no - 1 AS no, piece FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS no FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^ -~]', '#', 'g'), 'e ')[2:], lambda x: x <> '') AS p FROM documents))")
+O["s04_units"] = f"SELECT id, no::INT AS no, (ascii(piece) & 31)::INT AS type, (ascii(piece) & 31) BETWEEN 1 AND 5 AS is_vcl, length(piece)::INT AS n FROM ({_pieces})"
+O["s05_vcl"] = f"SELECT id, count(*) AS n, sum(length(piece))::BIGINT AS bytes FROM ({_pieces}) WHERE (ascii(piece) & 31) BETWEEN 1 AND 5 GROUP BY id"
+_soft = ", ".join(f"CASE WHEN lag({c}) OVER w IS NULL THEN {c} ELSE {r(f'0.25e0 * lag({c}) OVER w + 0.75e0 * {c}')} END AS {c}" for c in "rgb")
+_bright = ", ".join(f"{r(f'({c} - 128) * 1.1e0 + 128e0')} AS {c}" for c in "rgb")
+O["x02_live_chain"] = (f"WITH {COLOUR}, soft AS (SELECT f, y, x, {_soft} FROM rgb WINDOW w AS (PARTITION BY y, x ORDER BY f)), bright AS (SELECT f, y, x, {_bright} FROM soft) "
+                       + O["p06_film_grain"].removeprefix(f"WITH {COLOUR} ").replace("FROM rgb", "FROM bright"))
