@@ -108,8 +108,11 @@ def is_signed_token(raw: bytes) -> bool:
 
 
 def _is_key(raw: bytes) -> bool:
+    """Whether base64 text holds a private key, bare or as a PEM block that was encoded once more."""
     data = _from_base64(raw)
-    return data is not None and (is_der_key(data) or is_ssh_key(data))
+    if data is None:
+        return False
+    return is_der_key(data) or is_ssh_key(data) or data.startswith(b"-----BEGIN") and any(_is_key(m[2]) for m in PEM.finditer(data))
 
 
 def scan(data: bytes) -> list[tuple[int, int, int]]:

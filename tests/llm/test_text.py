@@ -263,3 +263,14 @@ def test_mixture_weights_recover_a_known_mixture():
     rows = np.where(which[:, None], [0.5, 0.01], [0.01, 0.2]) * rng.uniform(0.9, 1.1, (20000, 2))
     share = lm.mixture(rows, np.ones(20000), 2)
     assert abs(share[0] - 0.3) < 0.03 and abs(share.sum() - 1) < 1e-9
+
+
+def test_a_key_block_encoded_once_more_is_confirmed():
+    import base64
+    number = lambda n: bytes([0x02, n]) + bytes(range(1, n + 1))
+    body = b"\x02\x01\x00" + b"".join(number(n) for n in (9, 3, 8, 7, 6))
+    der = bytes([0x30, len(body)]) + body
+    block = lambda inner: b"-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(inner) + b"\n-----END RSA PRIVATE KEY-----\n"
+    for inner, want in ((der, [4]), (der[:-1], [])):
+        text = b"key " + base64.b64encode(block(inner)) + b" end"
+        assert [k for _, k, _ in secrets.scan(text) if k > 2] == want
