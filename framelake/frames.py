@@ -80,6 +80,15 @@ def colour_bars(spark: SparkSession, frames: int, w: int, h: int, step: int = 4)
     return p.select("f", "y", "x", *(F.element_at(F.array(*(F.lit(b[i]) for b in bars)), at).alias(n) for i, n in enumerate("rgb")))
 
 
+def colour_bars_planes(spark: SparkSession, frames: int, w: int, h: int, step: int = 4) -> DataFrame:
+    """(f, p, y, x, v): eight bars as luma and half-size chroma planes; a chroma sample takes the bar of its left upper pixel."""
+    # Luma and the two chroma samples of each bar.
+    bars = ((180, 128, 128), (168, 44, 136), (133, 29, 177), (87, 217, 146), (105, 120, 176), (63, 166, 88), (29, 154, 29), (16, 128, 128))
+    at = (F.floor((F.col("x") + F.col("f") * step) * 8 / w) % 8 + 1).cast("int")
+    of = lambda p: F.element_at(F.array(*(F.lit(b[p]) for b in bars)), at)
+    return nv12(test_pattern(spark, frames, w, h), of(0), of(1), of(2))
+
+
 def grid(frames: DataFrame, w: int, h: int) -> DataFrame:
     """(f, y, x) for all pixels of a w by h frame, for each f in frames."""
     return frames.select("f").distinct().select("f", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("y")).select(

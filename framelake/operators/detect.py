@@ -47,6 +47,32 @@ def unletterbox(boxes: DataFrame, scale: float, left: float, top: float, w: int,
     return out.where("x2 > x1 and y2 > y1")
 
 
+def detections(cells: DataFrame, scale: float, left: float, top: float, w: int, h: int, min_score: float = 0.35, threshold: float = 0.45, most: int = 100) -> DataFrame:
+    """Boxes from a detector's raw cells (frame, cell, cx, cy, bw, bh, scores array) of a letterboxed square.
+
+    A cell's class is its best score, the first on ties; what scores enough is brought back to the frame, and
+    overlaps are suppressed over all classes.
+    """
+    best = F.array_max("scores")
+    ok = cells.where((best > 0) & (best >= min_score)).select("frame", F.col("cell").alias("box"), best.alias("score"), (F.array_position("scores", best) - 1).cast("int").alias("cls"),
+                                           *((F.col(c) + side * F.col(s) / 2).cast("double").alias(n) for n, c, s, side in (("x1", "cx", "bw", -1), ("y1", "cy", "bh", -1), ("x2", "cx", "bw", 1), ("y2", "cy", "bh", 1))))
+    return suppress(unletterbox(ok, scale, left, top, w, h), threshold, most)
+
+
+def faces(raw: DataFrame, size: int, scale: float, left: float, top: float, w: int, h: int, min_score: float = 0.4, threshold: float = 0.3, most: int = 100) -> DataFrame:
+    """Boxes from a face detector's raw points (frame, stride, i, cls, obj, dx, dy, lw, lh) of a letterboxed square."""
+    found = decode_points(raw, point_priors(raw.sparkSession, size), min_score)
+    boxes = unletterbox(found.withColumns({"box": F.col("stride") * 1_000_000 + F.col("i"), "cls": F.lit(0)}), scale, left, top, w, h)
+    return suppress(boxes, threshold, most)
+
+
+def pose(points: DataFrame, size: float = 256.0) -> DataFrame:
+    """points (x, y, vis, pres in a model's units) with x and y as shares where they are in pixels, and visibility as a probability."""
+    sig = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    share = {c: F.when(F.col(c) > 1.5, F.col(c) / size).otherwise(F.col(c)) for c in ("x", "y")}
+    return points.withColumns(share | {"visibility": sig("vis") * sig("pres")}).drop("vis", "pres")
+
+
 def point_priors(spark, size: int, strides: tuple[int, ...] = (8, 16, 32)) -> DataFrame:
     """(stride, i, px, py): centres of the cells of each stride in a square; a table of fixed size."""
     parts = None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.temporal import fold
+from framelake.operators.temporal import fold, runs_of
 
 
 def gesture(hands: DataFrame, key: str = "hand") -> DataFrame:
@@ -164,10 +166,100 @@ def zones(x: Column, lean: Column) -> tuple[Column, Column]:
     return (F.when(x < -0.25, "left").when(x > 0.25, "right").otherwise("still"), F.when(lean < -0.08, "left").when(lean > 0.08, "right").otherwise("none"))
 
 
+def move_keys(x: Column, y: Column, pinch: Column) -> dict[str, Column]:
+    """Keys held by a hand's place relative to its rest (shares of the frame): w, a, s, d beyond a quarter, shift by a pinch."""
+    return {"w": y < -0.25, "s": y > 0.25, "a": x < -0.25, "d": x > 0.25, "shift": pinch < 0.5}
+
+
+def crouched(df: DataFrame, key: str, order: list[str], drop: Column, least: int = 3) -> DataFrame:
+    """df with `crouch`: the face has been more than a tenth of the frame lower for `least` rows in a row."""
+    return runs_of(df, key, order, drop > 0.1).withColumn("crouch", F.col("run") >= least).drop("run")
+
+
+def audio_gate(df: DataFrame, key: str, order: list[str], start: Column, stop: Column, toggle: Column, cut: Column, idr: Column) -> DataFrame:
+    """df with `open`: the row's recording runs, isn't paused and isn't between a cut and the next key frame. Each start begins afresh."""
+    upto = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    switch = lambda on, off: F.last(F.when(on, True).when(off, False), ignorenulls=True)
+    d = df.withColumn("_take", F.sum(F.coalesce(start, F.lit(False)).cast("int")).over(upto(key)))
+    w = upto(key, "_take")
+    on = F.coalesce(switch(start, stop).over(w), F.lit(False))
+    paused = F.sum(F.coalesce(toggle, F.lit(False)).cast("int")).over(w) % 2 == 1
+    gap = F.coalesce(switch(cut, idr).over(w), F.lit(False))
+    return d.withColumn("open", on & ~paused & ~gap).drop("_take")
+
+
+def palm_hold(df: DataFrame, key: str, order: list[str], ms: str, palm: Column, tap_ms: int = 600, kill_ms: int = 2000) -> DataFrame:
+    """df with `tap` (a palm held for less than tap_ms so far) and `kill` (the first row at which one was held for more than kill_ms)."""
+    d = df.withColumn("_p", F.coalesce(palm, F.lit(False)))
+    w = Window.partitionBy(key).orderBy(*order)
+    d = d.withColumn("_g", F.sum((~F.col("_p")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hold = Window.partitionBy(key, "_g", "_p").orderBy(*order)
+    d = d.withColumn("_held", F.when(F.col("_p"), F.col(ms) - F.first(ms).over(hold.rowsBetween(Window.unboundedPreceding, 0))))
+    over = F.col("_held") > kill_ms
+    kill = over & ~F.coalesce(F.lag("_held").over(hold) > kill_ms, F.lit(False))
+    return d.withColumns({"tap": F.coalesce(F.col("_held") < tap_ms, F.lit(False)), "kill": F.coalesce(kill, F.lit(False))}).drop("_p", "_g", "_held")
+
+
+def aim_hand(df: DataFrame, key: str, order: list[str], first: str, second: str) -> DataFrame:
+    """df with `aim`: 0 or 1, the hand of first and second (structs x, y; null if not seen) that aims; null if none is seen.
+
+    A single hand aims. Of two, the one nearer to the last aiming hand's place does, the first on ties and at the start.
+    """
+    d = df.withColumn("_x", F.struct(F.col(first).alias("a"), F.col(second).alias("b")))
+    d2 = lambda s, p: (p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"])
+
+    def step(s: Column, v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        aim = F.when(a.isNull() & b.isNull(), F.lit(None).cast("int")).when(b.isNull(), 0).when(a.isNull(), 1).when(s["x"].isNull() | (d2(s, a) <= d2(s, b)), 0).otherwise(1)
+        place = F.when(aim == 0, F.struct(a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"))).when(aim == 1, F.struct(b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y")))
+        kept = F.coalesce(place, F.struct(s["x"].alias("x"), s["y"].alias("y")))
+        return F.struct(kept["x"].alias("x"), kept["y"].alias("y"), aim.alias("aim"))
+    nowhere = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("int").alias("aim"))
+    return fold(d, [key], order, "_x", nowhere, step).select(key, *order, F.col("out.aim").alias("aim"))
+
+
+def score(df: DataFrame, key: str, order: list[str], ms: str, fire: str, hit: str, lost: str, clip: int = 12, reload_ms: int = 1200) -> DataFrame:
+    """df with `points`, `combo`, `best`, `ammo`, `health`: the game's state after each row of a player.
+
+    `lost` targets that expired cost 5 health each and the combo; at no health all stands still. A shot needs a
+    round and no reload going on; a hit raises the combo and scores 100 times it, a miss ends it. An empty clip
+    begins a reload, which ends with the first row more than reload_ms later.
+    """
+    d = df.withColumn("_x", F.struct(F.col(ms).alias("t"), F.col(fire).alias("fire"), F.col(hit).alias("hit"), F.col(lost).alias("lost")))
+
+    def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+        """f(c) with c computed once."""
+        return F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        loaded = s["since"].isNotNull() & (x["t"] - s["since"] > reload_ms)
+        since = F.when(~loaded, s["since"])
+        ammo = F.when(loaded, clip).otherwise(s["ammo"])
+        health = F.greatest(F.lit(0), s["health"] - 5 * x["lost"]).cast("int")
+        combo = F.when(x["lost"] > 0, 0).otherwise(s["combo"])
+        shot = x["fire"] & since.isNull() & (ammo > 0)
+        ready = F.struct(since.alias("since"), ammo.alias("ammo"), health.alias("health"), combo.alias("combo"), shot.alias("shot"), s["points"].alias("points"), s["best"].alias("best"), x["t"].alias("t"), x["hit"].alias("hit"), (x["fire"] & since.isNull()).alias("tried"))
+
+        def after(r: Column) -> Column:
+            combo = F.when(r["shot"] & r["hit"], r["combo"] + 1).when(r["shot"], 0).otherwise(r["combo"])
+            ammo = r["ammo"] - r["shot"].cast("int")
+            return F.struct((r["points"] + F.when(r["shot"] & r["hit"], 100 * combo).otherwise(0)).cast("long").alias("points"), combo.alias("combo"), F.greatest(r["best"], combo).alias("best"), ammo.alias("ammo"),
+                            r["health"].alias("health"), F.when(r["tried"] & (ammo <= 0), r["t"]).otherwise(r["since"]).alias("since"))
+        return F.when(s["health"] <= 0, s).otherwise(bound(ready, after))
+    names = ("points", "combo", "best", "ammo", "health")
+    start = F.struct(F.lit(0).cast("long").alias("points"), F.lit(0).alias("combo"), F.lit(0).alias("best"), F.lit(clip).alias("ammo"), F.lit(100).alias("health"), F.lit(None).cast("long").alias("since"))
+    return fold(d, [key], order, "_x", start, step).select(key, *order, *(F.col(f"out.{n}").alias(n) for n in names))
+
+
 def hits(shots: DataFrame, targets: DataFrame, key: str, radius: float) -> DataFrame:
-    """(shot, target): the first live target of the key within radius of the shot."""
-    t = targets.select(key, "target", "tx", "ty")
-    j = shots.join(t, key).where((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 <= radius * radius)
+    """(shot, target): the first live target of the key within radius of the shot.
+
+    Targets stand in the nine squares of side radius around them, so a shot meets only those of its own square.
+    """
+    square = lambda c: F.floor(F.col(c) / radius)
+    t = targets.select(key, "target", "tx", "ty", F.explode(F.sequence(square("tx") - 1, square("tx") + 1)).alias("_cx"), square("ty").alias("_ty")).select(
+        key, "target", "tx", "ty", "_cx", F.explode(F.sequence(F.col("_ty") - 1, F.col("_ty") + 1)).alias("_cy"))
+    j = shots.withColumns({"_cx": square("x"), "_cy": square("y")}).join(t, [key, "_cx", "_cy"]).where((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 <= radius * radius)
     return j.groupBy(key, "shot").agg(F.min("target").alias("target"))
 
 

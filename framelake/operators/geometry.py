@@ -103,6 +103,22 @@ def resize_nearest(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=R
     return _gather(grid(px, dw, dh), px, F.floor(F.col("x") * sw / dw), F.floor(F.col("y") * sh / dh), channels, tuple(0 for _ in channels))
 
 
+def resize_planes(planes: DataFrame, sw: int, sh: int, dw: int, dh: int, cubic: bool = False) -> DataFrame:
+    """Luma and half-size chroma planes (f, p, y, x, v), each resized at its own size."""
+    resize = resize_bicubic if cubic else resize_bilinear
+    out = None
+    for p, k in ((0, 1), (1, 2), (2, 2)):
+        one = resize(planes.where(F.col("p") == p), sw // k, sh // k, dw // k, dh // k, ("v",)).select("f", F.lit(p).alias("p"), "y", "x", "v")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def resize_flow(flow: DataFrame, sw: int, sh: int, dw: int, dh: int) -> DataFrame:
+    """Vectors (f, y, x, dx, dy) at another size: the nearest one towards the origin, its components scaled with the frame."""
+    near = resize_nearest(flow, sw, sh, dw, dh, ("dx", "dy"))
+    return near.withColumns({"dx": F.col("dx") * (dw / sw), "dy": F.col("dy") * (dh / sh)})
+
+
 def letterbox_fit(sw: int, sh: int, w: int, h: int) -> tuple[float, float, float]:
     """(scale, left, top) of a frame scaled to fit w by h, centred; places are fractions of a pixel."""
     scale = min(w / sw, h / sh)
@@ -195,6 +211,59 @@ def draw_discs(px: DataFrame, discs: DataFrame) -> DataFrame:
     return px.join(top, ["f", "y", "x"], "left").select("f", "y", "x", *(F.coalesce(F.col(f"c.{n}"), F.col(n)).alias(n) for n in RGB))
 
 
+def redirect_eyes(px: DataFrame, eyes: DataFrame, w: int, h: int, strength: float = 0.5, most: int = 2) -> DataFrame:
+    """Irises drawn back to the middle of eyes (f, eye, cx, cy, er, dx, dy, score), one after the other by their number from 0.
+
+    Inside an eye's circle a pixel is read from up to 0.45 of the radius along the gaze, less towards the rim,
+    bilinear; the frame is read once for each eye of a frame. Eyes that score under 0.4 are passed over.
+    """
+    strength = min(strength, 1.0)
+    for n in range(most):
+        one = eyes.where((F.col("eye") == n) & (F.col("score") >= 0.4)).select("f", "cx", "cy", "er", "dx", "dy")
+        at = px.join(one, "f", "left").withColumn("_d2", ((F.col("x") - F.col("cx")) / F.col("er")) ** 2 + ((F.col("y") - F.col("cy")) / F.col("er")) ** 2)
+        inside = F.coalesce(F.col("_d2") < 1, F.lit(False))
+        d = F.sqrt("_d2")
+        pull = 0.45 * strength * F.col("er") * (1 - d * d * (3 - 2 * d))
+        cells = at.where(inside).select("f", "y", "x", clamp(F.col("x") + F.col("dx") * pull, 0, w - 1).alias("_fx"), clamp(F.col("y") + F.col("dy") * pull, 0, h - 1).alias("_fy"))
+        px = at.where(~inside).select("f", "y", "x", *RGB).unionByName(_summed(px, _bilinear_taps(cells, w, h), RGB))
+    return px
+
+
+#: The 3 x 5 font. Five rows from the top, the leftmost dot has value 4.
+FONT = {
+    "A": (2, 5, 7, 5, 5), "B": (6, 5, 6, 5, 6), "C": (3, 4, 4, 4, 3), "D": (6, 5, 5, 5, 6), "E": (7, 4, 6, 4, 7), "F": (7, 4, 6, 4, 4),
+    "G": (3, 4, 5, 5, 3), "H": (5, 5, 7, 5, 5), "I": (7, 2, 2, 2, 7), "J": (1, 1, 1, 5, 2), "K": (5, 5, 6, 5, 5), "L": (4, 4, 4, 4, 7),
+    "M": (5, 7, 7, 5, 5), "N": (6, 5, 5, 5, 5), "O": (2, 5, 5, 5, 2), "P": (6, 5, 6, 4, 4), "Q": (2, 5, 5, 2, 1), "R": (6, 5, 6, 5, 5),
+    "S": (3, 4, 2, 1, 6), "T": (7, 2, 2, 2, 2), "U": (5, 5, 5, 5, 7), "V": (5, 5, 5, 5, 2), "W": (5, 5, 7, 7, 5), "X": (5, 5, 2, 5, 5),
+    "Y": (5, 5, 2, 2, 2), "Z": (7, 1, 2, 4, 7),
+    "0": (7, 5, 5, 5, 7), "1": (2, 6, 2, 2, 7), "2": (7, 1, 7, 4, 7), "3": (7, 1, 7, 1, 7), "4": (5, 5, 7, 1, 1), "5": (7, 4, 7, 1, 7),
+    "6": (7, 4, 7, 5, 7), "7": (7, 1, 1, 2, 2), "8": (7, 5, 7, 5, 7), "9": (7, 5, 7, 1, 7),
+    "-": (0, 0, 7, 0, 0), ".": (0, 0, 0, 0, 2),
+}
+
+
+def text_dots(texts: DataFrame, scale: int = 1) -> DataFrame:
+    """texts (f, z, x0, y0, text) as cells (f, z, y, x, dot): 3 by 5 dots a character and a column between, each `scale` pixels wide.
+
+    Upper case only, at most 63 characters; others are blank, and blank dots are cells too.
+    """
+    font = F.create_map(*(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for kv in FONT.items() for v in kv))
+    chars = texts.select("f", "z", "x0", "y0", F.posexplode(F.split(F.upper(F.substring("text", 1, 63)), "")).alias("i", "c")).where("c <> ''")
+    rows = chars.select("*", F.posexplode(F.coalesce(F.try_element_at(font, F.col("c")), F.array(*(F.lit(0),) * 5))).alias("gy", "bits"))
+    wide = 3 * scale + 1
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("lx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(scale - 1))).alias("ly"))
+    gx = F.floor(F.col("lx") / scale).cast("int")
+    dot = (gx < 3) & (F.expr("shiftright(bits, greatest(0, 2 - cast(floor(lx / %d) as int)))" % scale).bitwiseAND(1) == 1)
+    return cells.select("f", "z", (F.col("y0") + F.col("gy") * scale + F.col("ly")).alias("y"), (F.col("x0") + F.col("i") * wide + F.col("lx")).alias("x"), dot.alias("dot"))
+
+
+def draw_text(px: DataFrame, texts: DataFrame, scale: int = 1, ink=(255, 255, 255), paper=(0, 0, 0)) -> DataFrame:
+    """Texts (f, z, x0, y0, text) over frames on their own background; the highest z wins."""
+    top = text_dots(texts, scale).groupBy("f", "y", "x").agg(F.max_by("dot", "z").alias("dot"))
+    j = px.join(top, ["f", "y", "x"], "left")
+    return j.select("f", "y", "x", *(F.when(F.col("dot"), i).when(~F.col("dot"), p).otherwise(F.col(c)).cast("int").alias(c) for c, i, p in zip(RGB, ink, paper)))
+
+
 def outline(px: DataFrame, w: int, h: int, fired: Column, thickness: int = 6) -> DataFrame:
     """A frame border, green where `fired`, else amber."""
     t = thickness

@@ -47,6 +47,21 @@ def bilateral(px: DataFrame, sigma_s: float = 15.0, sigma_c: float = 25.0, kerne
     return seen.groupBy("f", "y", "x").agg(*(rounded(F.sum(weight(c) * F.col(c)) / F.sum(weight(c))).alias(c) for c in channels))
 
 
+def denoise_planes(planes: DataFrame, sigma_s: float = 15.0, sigma_c: float = 25.0, kernel: int = 5) -> DataFrame:
+    """Luma and half-size chroma planes (f, p, y, x, v): bilateral luma, chroma by its neighbours of three rows.
+
+    Chroma is read at three interleaved columns, of which the middle and the right one are the pixel's own:
+    the left neighbour counts once, the own column twice, the right one not at all.
+    """
+    out = bilateral(planes.where("p = 0"), sigma_s, sigma_c, kernel).select("f", F.lit(0).alias("p"), "y", "x", "v")
+    taps = [(dy, dx, 2.0 + dx) for dy in (-1, 0, 1) for dx in (-1, 0)]
+    for p in (1, 2):
+        one = planes.where(F.col("p") == p)
+        sums = _scatter(one, taps, ("v",)).groupBy("f", "y", "x").agg(rounded(F.sum(F.col("_k") * F.col("v")) / F.sum("_k")).alias("v"))
+        out = out.unionByName(sums.join(one.select("f", "y", "x"), ["f", "y", "x"], "left_semi").select("f", F.lit(p).alias("p"), "y", "x", "v"))
+    return out
+
+
 def gaussian_weights(sigma: float) -> list[float]:
     sigma = max(0.5, sigma)
     radius = max(1, int(1.5 * sigma))
@@ -177,6 +192,33 @@ def plane_gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
+def _cubic_rows(n: int) -> np.ndarray:
+    """(2 n, n) weights of a plane's rows for twice as many: cubic, a = -0.5, at clamped places and not normalised."""
+    at = np.arange(2 * n) / 2
+    out = np.zeros((2 * n, n))
+    for i in range(-1, 3):
+        src = np.clip(np.floor(at) + i, 0, n - 1).astype(int)
+        t = np.abs(at - src)
+        k = np.where(t <= 1, (1.5 * t - 2.5) * t * t + 1, np.where(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2, 0.0))
+        np.add.at(out, (np.arange(2 * n), src), k)
+    return out
+
+
+def plane_double(strength: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
+    """Twice the size, cubic, then sharpened against the mean of the samples a source pixel away on all sides that exist.
+
+    The weights are separable, so a frame is multiplied by one small matrix on each side.
+    """
+    def run(p: np.ndarray) -> np.ndarray:
+        h, w = p.shape
+        up = np.clip(_cubic_rows(h) @ p @ _cubic_rows(w).T, 0, 255)
+        wide, there = np.pad(up, 2), np.pad(np.ones_like(up), 2)
+        near = [(slice(2 + j, 2 + j + 2 * h), slice(2 + i, 2 + i + 2 * w)) for j in (-2, 0, 2) for i in (-2, 0, 2)]
+        mean = sum(wide[at] for at in near) / sum(there[at] for at in near)
+        return up + strength * (up - mean)
+    return run
+
+
 def plane_background_blur(cx: float, cy: float, radius: float = 0.3, strength: float = 8.0) -> Callable[[np.ndarray], np.ndarray]:
     """Blur that grows with the distance from a focus (in shares of the frame; 1 is half its width or height): radius and width of the kernel vary by pixel.
 

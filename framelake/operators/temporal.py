@@ -23,18 +23,20 @@ def fir_denoise(px: DataFrame, strength: float, channels: tuple[str, ...] = ("v"
     return px.select("f", *PIXEL, *(one(c).alias(c) for c in channels))
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: Column, step: Callable[[Column, Column], Column], out: str = "out") -> DataFrame:
-    """Rows of each key in order, with the state after each: state = step(state, row). start is null before the first row if typed so."""
-    row = F.struct(*order, value)
-    history = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_h"))
-    init = F.struct(start.alias("s"), F.filter(F.array(F.struct(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in [*order, value]), start.alias(out))), lambda _: F.lit(False)).alias("rows"))
+def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: Column, step: Callable[[Column, Column], Column], out: str = "out", block: int = 256) -> DataFrame:
+    """Rows of each key in order, with the state after each: state = step(state, row). start is null before the first row if typed so.
 
-    def merge(acc: Column, x: Column) -> Column:
-        s = step(acc["s"], x[value])
-        return F.struct(s.alias("s"), F.concat(acc["rows"], F.array(F.struct(*(x[c].alias(c) for c in [*order, value]), s.alias(out)))).alias("rows"))
-
-    done = history.select(*keys, F.explode(F.aggregate("_h", init, merge)["rows"]).alias("_r"))
-    return done.select(*keys, *(F.col(f"_r.{c}") for c in [*order, value, out]))
+    States are gathered by blocks of rows, so that appending copies at most a block and the list of blocks.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    history = df.groupBy(*keys).agg(rows.alias("_h")).where(F.size("_h") > 0)
+    last = lambda states: F.element_at(states, -1)
+    of_block = lambda state, part: F.aggregate(part, F.array(state), lambda states, x: F.concat(states, F.array(step(last(states), x[value]))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_h") - 1) / block).cast("int")), lambda i: F.slice("_h", i * block + 1, block))
+    done = F.aggregate(blocks, F.array(F.array(start)), lambda acc, part: F.concat(acc, F.array(of_block(last(last(acc)), part))))
+    states = F.flatten(F.transform(F.slice(done, 2, F.size("_h")), lambda b: F.slice(b, 2, block)))
+    each = history.select(*keys, F.explode(F.arrays_zip("_h", states.alias("_s"))).alias("_r"))
+    return each.select(*keys, *(F.col(f"_r._h.{c}") for c in [*order, value]), F.col("_r")["_s"].alias(out))
 
 
 def iir_denoise(px: DataFrame, strength: float) -> DataFrame:
@@ -138,6 +140,18 @@ def hysteresis(df: DataFrame, key: str, order: list[str], value: str, low: float
     return fold(df, [key], order, value, F.struct(F.lit(0).alias("run"), F.lit(False).alias("on")), step).select(key, *order, value, F.col("out.on").alias("on"))
 
 
+def breaker(df: DataFrame, key: str, order: list[str], ms: str, ok: str, grace_ms: int = 4000, most: int = 120) -> DataFrame:
+    """df with `open`: more than `most` polls failed since the last success, those of the first grace_ms of a key not counted; an open one stays so.
+
+    Failures are counted by windows, not by a fold: a running sum within the stretch since the last success.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    good = F.coalesce(F.col(ok), F.lit(False))
+    d = df.withColumns({"_n": F.sum(good.cast("int")).over(w), "_x": (~good & (F.col(ms) - F.first(ms).over(w) >= grace_ms)).cast("int")})
+    run = F.sum("_x").over(Window.partitionBy(key, "_n").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_r", run).withColumn("open", F.max("_r").over(w) > most).drop("_n", "_x", "_r")
+
+
 def runs_of(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
     """df with `run`: how many rows in a row, up to this one, flag held (0 where it doesn't)."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -125,6 +125,31 @@ def avc_parameter_sets(data: bytes) -> list[bytes]:
     return out
 
 
+def hevc_parameter_sets(data: bytes) -> list[bytes]:
+    """Video, sequence and picture parameter sets (types 32 to 34) of an hvcC record."""
+    out, at = [], 23
+    for _ in range(data[22] if len(data) > 22 else 0):
+        if at + 3 > len(data):
+            break
+        kind, n, at = data[at] & 63, int.from_bytes(data[at + 1:at + 3], "big"), at + 3
+        for _ in range(n):
+            size = int.from_bytes(data[at:at + 2], "big")
+            if at + 2 > len(data) or at + 2 + size > len(data):
+                break
+            if kind in (32, 33, 34):
+                out.append(data[at + 2:at + 2 + size])
+            at += 2 + size
+    return out
+
+
+def with_parameter_sets(records: DataFrame, samples: DataFrame, hevc: bool = False) -> DataFrame:
+    """(id, no, unit): a file's samples (id, no, unit) after the parameter sets of its record (id, payload), numbered from 0."""
+    sets = _explode(records, "id", "payload", hevc_parameter_sets if hevc else avc_parameter_sets).select("id", F.lit(0).alias("_part"), "no", "unit")
+    both = sets.unionByName(samples.select("id", F.lit(1).alias("_part"), "no", "unit"))
+    no = F.row_number().over(Window.partitionBy("id").orderBy("_part", "no")) - 1
+    return both.select("id", no.alias("no"), "unit")
+
+
 def ivf_frames(data: bytes) -> list[tuple[int, bytes]]:
     """(pts, frame) of an IVF file: 32-byte header, then little-endian sizes and 8-byte times."""
     if data[:4] != b"DKIF":
