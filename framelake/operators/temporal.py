@@ -28,7 +28,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: Co
 
     States are gathered by blocks of rows, so that appending copies at most a block and the list of blocks.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    columns = list(dict.fromkeys([*order, value]))
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
     history = df.groupBy(*keys).agg(rows.alias("_h")).where(F.size("_h") > 0)
     last = lambda states: F.element_at(states, -1)
     of_block = lambda state, part: F.aggregate(part, F.array(state), lambda states, x: F.concat(states, F.array(step(last(states), x[value]))))
@@ -36,7 +37,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: Co
     done = F.aggregate(blocks, F.array(F.array(start)), lambda acc, part: F.concat(acc, F.array(of_block(last(last(acc)), part))))
     states = F.flatten(F.transform(F.slice(done, 2, F.size("_h")), lambda b: F.slice(b, 2, block)))
     each = history.select(*keys, F.explode(F.arrays_zip("_h", states.alias("_s"))).alias("_r"))
-    return each.select(*keys, *(F.col(f"_r._h.{c}") for c in [*order, value]), F.col("_r")["_s"].alias(out))
+    return each.select(*keys, *(F.col(f"_r._h.{c}") for c in columns), F.col("_r")["_s"].alias(out))
 
 
 def iir_denoise(px: DataFrame, strength: float) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from framelake.operators.geometry import FONT
+
 GRAY = """gray AS (SELECT e.vec_id AS f, (i // 8)::INT AS y, (i % 8)::INT AS x,
  floor(least(255e0, greatest(0e0, (e.embedding[i + 1]::DOUBLE + 0.6e0) / 1.2e0 * 255e0)) + 0.5e0)::INT AS v FROM embeddings e, range(64) t(i))"""
 COLOUR = GRAY + """, rgb AS (SELECT a.f // 3 AS f, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM gray a
@@ -395,3 +397,106 @@ _soft = ", ".join(f"CASE WHEN lag({c}) OVER w IS NULL THEN {c} ELSE {r(f'0.25e0
 _bright = ", ".join(f"{r(f'({c} - 128) * 1.1e0 + 128e0')} AS {c}" for c in "rgb")
 O["x02_live_chain"] = (f"WITH {COLOUR}, soft AS (SELECT f, y, x, {_soft} FROM rgb WINDOW w AS (PARTITION BY y, x ORDER BY f)), bright AS (SELECT f, y, x, {_bright} FROM soft) "
                        + O["p06_film_grain"].removeprefix(f"WITH {COLOUR} ").replace("FROM rgb", "FROM bright"))
+
+# Planes, flow, eyes and text.
+_BARS = "[[180, 168, 133, 87, 105, 63, 29, 16], [128, 44, 29, 217, 120, 166, 154, 128], [128, 136, 177, 146, 176, 88, 29, 128]]"
+_bar8 = lambda p, k: f"SELECT f, {p} AS p, y::INT AS y, x::INT AS x, {_BARS}[{p} + 1][((x * {k} + f * 4) * 8 // 32) % 8 + 1]::INT AS v FROM range(3) a(f), range({4 // k}) b(y), range({32 // k}) c(x)"
+O["s14_bars_planes"] = f"{_bar8(0, 1)} UNION ALL {_bar8(1, 2)} UNION ALL {_bar8(2, 2)}"
+
+
+def resized_plane(p: int, sw: int, sh: int, dw: int, dh: int, cubic: bool) -> str:
+    lo, hi = (-1, 3) if cubic else (0, 2)
+    near = lambda e, most: f"least({most}, greatest(0, floor({e})::INT + {{}}))"
+    fx, fy = f"(xx * ({sw}e0 / {dw}e0))", f"(yy * ({sh}e0 / {dh}e0))"
+    part = lambda e, o: f"(CASE WHEN {o} = 1 THEN {e} - floor({e}) ELSE 1e0 - ({e} - floor({e})) END)"
+    wt = f"{_cub('(fy - sy)')} * {_cub('(fx - sx)')}" if cubic else f"{part('fx', 'i')} * {part('fy', 'j')}"
+    return (f"SELECT k.f, {p} AS p, k.y, k.x, {r(f'sum(q.v * ({wt}))')} AS v FROM (SELECT f, yy::INT AS y, xx::INT AS x, {fx} AS fx, {fy} AS fy, i, j, {near(fx, sw - 1).format('i')} AS sx, {near(fy, sh - 1).format('j')} AS sy "
+            f"FROM fr, range({dh}) a(yy), range({dw}) b(xx), range({lo}, {hi}) e(i), range({lo}, {hi}) g(j)) k JOIN p q ON q.p = {p} AND q.f = k.f AND q.y = k.sy AND q.x = k.sx GROUP BY k.f, k.y, k.x")
+
+
+for _name, _cubic in (("g09_resize_planes", False), ("g09_resize_planes_cubic", True)):
+    O[_name] = f"WITH {COLOUR}{FRAMES}, p AS ({FULL}) " + " UNION ALL ".join(resized_plane(p, 8 // k, 8 // k, 12 // k, 6 // k, _cubic) for p, k in ((0, 1), (1, 2), (2, 2)))
+O["m07_resize_flow"] = gray("SELECT c.f, yy::INT AS y, xx::INT AS x, g.v / 8e0 * (12e0 / 8e0) AS dx, (g.x - 4e0) * (4e0 / 8e0) AS dy FROM (SELECT DISTINCT f FROM gray) c, range(4) a(yy), range(12) b(xx), gray g WHERE g.f = c.f AND g.y = yy * 8 // 4 AND g.x = xx * 8 // 12")
+
+
+def eye_pass(source: str, n: int) -> str:
+    """Pixels of `source` with eye n (at column 4 n + 2, row 4, radius 3) drawn back."""
+    rim = f"sqrt(pow((p.x - {4 * n + 2}) / 3e0, 2) + pow((p.y - 4) / 3e0, 2))"
+    at = lambda c, g: f"least(7e0, greatest(0e0, {c} + {g} * 0.45e0 * 0.8e0 * 3e0 * (1e0 - rim * rim * (3e0 - 2e0 * rim))))"
+    part = lambda e, o: f"({e} - floor({e}))" if o else f"(1e0 - ({e} - floor({e})))"
+    mix = lambda c: " + ".join(f"q{j}{i}.{c} * ({part('sx', i)} * {part('sy', j)})" for j in (0, 1) for i in (0, 1))
+    joins = " ".join(f"JOIN {source} q{j}{i} ON q{j}{i}.f = p.f AND q{j}{i}.y = least(floor(sy)::INT + {j}, 7) AND q{j}{i}.x = least(floor(sx)::INT + {i}, 7)" for j in (0, 1) for i in (0, 1))
+    return (f"SELECT p.f, p.y, p.x, " + ", ".join(f"CASE WHEN inside THEN {r(mix(c))} ELSE p.{c} END AS {c}" for c in "rgb")
+            + f" FROM (SELECT *, {at('x', '(f % 3 - 1e0)')} AS sx, {at('y', '0.5e0')} AS sy, rim < 1 AND f % 5 <> 0 AS inside FROM (SELECT p.*, {rim} AS rim FROM {source} p)) p {joins}")
+
+
+O["g18_redirect_eyes"] = f"WITH {COLOUR}, one AS ({eye_pass('rgb', 0)}) {eye_pass('one', 1)}"
+_glyphs = "glyphs AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {list(rows)})" for c, rows in FONT.items()) + ") t(c, rows_))"
+
+
+def lettered(texts: str, scale: int) -> str:
+    """(f, y, x, dot): cells of texts(f, x0, y0, text) by pixel."""
+    wide = 3 * scale + 1
+    return (f"{_glyphs}, letters AS (SELECT f, x0, y0, i, upper(text[i::INT]) AS c FROM ({texts}), range(1, 64) t(i) WHERE i <= length(text)), "
+            f"ink AS (SELECT f, (y0 + py)::INT AS y, (x0 + (i - 1) * {wide} + px)::INT AS x, px // {scale} < 3 AND (coalesce(rows_, [0, 0, 0, 0, 0])[(py // {scale} + 1)::INT]::INT >> greatest(0, 2 - px // {scale})::INT) & 1 = 1 AS dot "
+            f"FROM letters LEFT JOIN glyphs USING (c), range({5 * scale}) a(py), range({wide}) b(px))")
+
+
+O["g20_text_dots"] = ("WITH " + lettered("SELECT p_partkey AS f, 2 AS x0, 1 AS y0, p_partkey::VARCHAR || '-' || p_brand || '-a.b c' AS text FROM part WHERE p_partkey <= 400", 2)
+                      + " SELECT f, count(*) FILTER (dot) AS dots, count(*) AS cells, sum(CASE WHEN dot THEN x * 31 + y ELSE 0 END)::BIGINT AS places FROM ink GROUP BY f")
+O["g20_draw_text"] = (f"WITH {COLOUR}, " + lettered("SELECT DISTINCT f, 1 AS x0, 2 AS y0, 'h7' AS text FROM rgb", 1)
+                      + " SELECT f, y, x, " + ", ".join(f"CASE WHEN dot THEN {i} WHEN NOT dot THEN {b} ELSE {c} END::INT AS {c}" for c, i, b in zip("rgb", (250, 240, 10), (5, 6, 7))) + " FROM rgb LEFT JOIN ink USING (f, y, x)")
+_boxed = lambda p: (f"SELECT a.f, {p} AS p, a.y, a.x, {r('sum(b.v * CASE WHEN b.x = a.x THEN 2 ELSE 1 END)::DOUBLE / sum(CASE WHEN b.x = a.x THEN 2 ELSE 1 END)')} AS v "
+                    f"FROM p a JOIN p b ON b.p = {p} AND b.f = a.f AND abs(b.y - a.y) <= 1 AND b.x IN (a.x, a.x - 1) WHERE a.p = {p} GROUP BY a.f, a.y, a.x")
+O["n02_denoise_planes"] = f"WITH {COLOUR}, p AS ({FULL}), luma0 AS (SELECT f, y, x, v FROM p WHERE p = 0) SELECT f, 0 AS p, y, x, v FROM ({bilateral_of(2).replace('gray', 'luma0')}) UNION ALL {_boxed(1)} UNION ALL {_boxed(2)}"
+O["n08_double"] = (f"WITH {GRAY}, few AS (SELECT * FROM gray WHERE f < 200), k AS (SELECT c.f, yy::INT AS y, xx::INT AS x, yy / 2e0 AS fy, xx / 2e0 AS fx, least(7, greatest(0, yy // 2 + j)) AS sy, least(7, greatest(0, xx // 2 + i)) AS sx "
+                   "FROM (SELECT DISTINCT f FROM few) c, range(16) a(yy), range(16) b(xx), range(-1, 3) e(j), range(-1, 3) g(i)), "
+                   f"up AS (SELECT k.f, k.y, k.x, least(255e0, greatest(0e0, sum(p.v * {_cub('(fy - sy)')} * {_cub('(fx - sx)')}))) AS v FROM k JOIN few p ON p.f = k.f AND p.y = k.sy AND p.x = k.sx GROUP BY k.f, k.y, k.x) "
+                   f"SELECT a.f, a.y, a.x, {r('any_value(a.v) + 0.5e0 * (any_value(a.v) - sum(b.v) / count(*)::DOUBLE)')} AS v FROM up a JOIN up b ON b.f = a.f AND b.y - a.y IN (-2, 0, 2) AND b.x - a.x IN (-2, 0, 2) GROUP BY a.f, a.y, a.x")
+
+# Detector composition.
+_raw = ("raw AS (SELECT frame, box, x1 % 300 + 20 AS cx, y1 % 200 + 120 AS cy, x2 - x1 + 100 AS bw, y2 - y1 + 100 AS bh, score * 1 % 101 / 128e0 AS s0, score * 7 % 101 / 128e0 AS s1, score * 11 % 101 / 128e0 AS s2 FROM bx), "
+        "cut_ AS (SELECT frame, box, greatest(s0, s1, s2) AS score, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS cls, least(640e0, greatest(0e0, (cx - bw / 2e0) / 0.5e0)) AS x1, least(480e0, greatest(0e0, (cy - bh / 2e0 - 80e0) / 0.5e0)) AS y1, "
+        "least(640e0, greatest(0e0, (cx + bw / 2e0) / 0.5e0)) AS x2, least(480e0, greatest(0e0, (cy + bh / 2e0 - 80e0) / 0.5e0)) AS y2 FROM raw WHERE greatest(s0, s1, s2) >= 0.35e0)")
+O["m01_detections"] = (O["m15_suppress"].replace(", o AS (SELECT frame, box, x1 % 100 AS x1, y1, x1 % 100 + 150 AS x2, y2, score, cls,", f", {_raw}, o AS (SELECT frame, box, x1, y1, x2, y2, score, cls,", 1)
+                       .replace("ORDER BY score DESC, box) AS k FROM bx)", "ORDER BY score DESC, box) AS k FROM cut_ WHERE x2 > x1 AND y2 > y1)", 1).replace("len(s.kept) >= 5", "len(s.kept) >= 3", 1))
+for _c in ("x1", "y1", "x2", "y2"):
+    O["m01_detections"] = O["m01_detections"].replace(f"b.{_c} AS {_c}", f"floor(b.{_c})::INT AS {_c}")
+_sig = "(1e0 / (1e0 + exp(-(value / 50e0 - 1e0)))) * (1e0 / (1e0 + exp(-2e0)))"
+_mid = lambda i, d: f"(({i}) + 0.5e0) * 16 + ({d}) * 16"
+_sides = {"x1": f"{_mid('user_id % 16 % 4', 'event_id % 7 / 8e0')} - exp(event_id % 5 / 4e0) * 16 / 2e0", "y1": f"{_mid('user_id % 16 // 4', '0.25e0')} - exp(0.5e0) * 16 / 2e0",
+          "x2": f"{_mid('user_id % 16 % 4', 'event_id % 7 / 8e0')} + exp(event_id % 5 / 4e0) * 16 / 2e0", "y2": f"{_mid('user_id % 16 // 4', '0.25e0')} + exp(0.5e0) * 16 / 2e0"}
+O["m02_decode_points"] = f"SELECT event_id AS frame, floor(({_sig}) * 1000 + 1e-6)::BIGINT AS score, " + ", ".join(f"floor(({e}) * 1000 + 1e-6)::BIGINT AS {c}" for c, e in _sides.items()) + f" FROM events WHERE {_sig} >= 0.4e0"
+_part = lambda e: f"floor(CASE WHEN {e} > 1.5e0 THEN {e} / 256e0 ELSE {e} END * 1e6 + 1e-3)::BIGINT"
+O["m05_pose"] = f"SELECT event_id, {_part('(value * 2e0)')} AS x, {_part('(value / 64e0)')} AS y, floor({_sig} * 1e6 + 1e-3)::BIGINT AS visibility FROM events"
+
+# Gates, holds, hands and score, by recursion over each user's rows.
+_fails = "CASE WHEN o.kind = 'purchase' THEN 0 WHEN o.t_ms - s.t0 >= 2000000 THEN s.fails + 1 ELSE s.fails END"
+O["t13_breaker"] = folded("t_ms AS t0, 0 AS fails, false AS open_", f"s.t0, {_fails}, s.open_ OR ({_fails}) > 9", 'user_id, seq, open_ AS "open"')
+_gate = lambda k: {"on_": f"CASE {k}kind WHEN 'signup' THEN true WHEN 'error' THEN false ELSE {{0}} END",
+                   "odd": f"CASE WHEN {k}kind = 'signup' THEN false WHEN {k}kind = 'purchase' AND {k}v > 60 THEN NOT {{0}} ELSE {{0}} END",
+                   "gap": f"CASE WHEN {k}kind = 'signup' THEN false WHEN {k}kind = 'click' AND {k}v > 70 THEN true WHEN {k}kind = 'view' THEN false ELSE {{0}} END"}
+O["e09_audio_gate"] = folded(", ".join(f"{e.format('false')} AS {n}" for n, e in _gate("").items()), ", ".join(e.format(f"s.{n}") for n, e in _gate("o.").items()), 'user_id, seq, on_ AND NOT odd AND NOT gap AS "open"')
+_seen = {"a": "({k}kind NOT IN ('click', 'error'))", "b": "({k}kind NOT IN ('view', 'error'))"}
+_far2 = lambda m: f"(o.v * {m} % 101 - s.px) * (o.v * {m} % 101 - s.px) + (o.seq * {m} % 89 - s.py) * (o.seq * {m} % 89 - s.py)"
+_who = lambda k, both: f"CASE WHEN {_seen['a'].format(k=k)} AND {_seen['b'].format(k=k)} THEN {both} WHEN {_seen['a'].format(k=k)} THEN 0 WHEN {_seen['b'].format(k=k)} THEN 1 END"
+_next = "(" + _who("o.", f"CASE WHEN s.px IS NULL OR {_far2(3)} <= {_far2(7)} THEN 0 ELSE 1 END") + ")"
+_place = lambda who, k, c, m, old: f"CASE {who} WHEN 0 THEN {k}{c} * 3 % {m} WHEN 1 THEN {k}{c} * 7 % {m} ELSE {old} END::DOUBLE"
+_first = "(" + _who("", "0") + ")"
+O["e15_aim_hand"] = folded(f"{_place(_first, '', 'v', 101, 'NULL')} AS px, {_place(_first, '', 'seq', 89, 'NULL')} AS py, {_first} AS aim", f"{_place(_next, 'o.', 'v', 101, 's.px')}, {_place(_next, 'o.', 'seq', 89, 's.py')}, {_next}", "user_id, seq, coalesce(aim, -1) AS aim")
+_since = "CASE WHEN o.v > 40 THEN coalesce(s.since, o.t_ms) END"
+O["e18_palm_hold"] = folded("CASE WHEN v > 40 THEN t_ms END AS since, false AS was, v > 40 AS tap, false AS kill", f"{_since}, o.v > 40 AND o.t_ms - s.since > 2000000, coalesce(o.t_ms - ({_since}) < 600000, false), o.v > 40 AND coalesce(o.t_ms - s.since > 2000000, false) AND NOT coalesce(s.was, false)", "user_id, seq, tap, kill")
+O["e19_move_keys"] = "SELECT event_id, event_id % 8 / 8e0 - 0.5e0 < -0.25e0 AS w, value / 100e0 - 0.5e0 < -0.25e0 AS a, event_id % 8 / 8e0 - 0.5e0 > 0.25e0 AS s, value / 100e0 - 0.5e0 > 0.25e0 AS d, value % 1e0 < 0.5e0 AS shift FROM events"
+O["e19_crouched"] = folded("CASE WHEN v / 100e0 - 0.25e0 > 0.1e0 THEN 1 ELSE 0 END AS run", "CASE WHEN o.v / 100e0 - 0.25e0 > 0.1e0 THEN s.run + 1 ELSE 0 END", "user_id, seq, run >= 3 AS crouch")
+_loads = "(s.since IS NOT NULL AND o.t_ms - s.since > 900000)"
+_tries = f"(o.kind <> 'error' AND (s.since IS NULL OR {_loads}))"
+_rounds = f"(CASE WHEN {_loads} THEN 4 ELSE s.ammo END)"
+_shoots = f"({_tries} AND {_rounds} > 0)"
+_before = "(CASE WHEN o.v > 97 THEN 0 ELSE s.combo END)"
+_after = f"(CASE WHEN {_shoots} AND o.v % 3 <> 0 THEN {_before} + 1 WHEN {_shoots} THEN 0 ELSE {_before} END)"
+_left = f"({_rounds} - {_shoots}::INT)"
+_alive = lambda c, e: f"CASE WHEN s.health <= 0 THEN s.{c} ELSE {e} END"
+_turn = {"points": f"s.points + CASE WHEN {_shoots} AND o.v % 3 <> 0 THEN 100 * {_after} ELSE 0 END", "combo": _after, "best": f"greatest(s.best, {_after})", "ammo": _left,
+         "health": "greatest(0, s.health - CASE WHEN o.v > 97 THEN 5 ELSE 0 END)", "since": f"CASE WHEN {_tries} AND {_left} <= 0 THEN o.t_ms WHEN {_loads} THEN NULL ELSE s.since END"}
+_zero = "SELECT DISTINCT user_id, 0::BIGINT AS t_ms, 0::BIGINT AS seq, '' AS kind, 0 AS v, 0::BIGINT AS k, 0::BIGINT AS points, 0 AS combo, 0 AS best, 4 AS ammo, 100 AS health, NULL::BIGINT AS since FROM st"
+O["e20_score"] = (f"WITH RECURSIVE {STREAM}, s AS ({_zero} UNION ALL SELECT o.*, " + ", ".join(_alive(c, e) for c, e in _turn.items()) + " FROM s JOIN st o ON o.user_id = s.user_id AND o.k = s.k + 1) SELECT user_id, seq, points, combo, best, ammo, health FROM s WHERE k > 0")

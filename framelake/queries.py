@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.frames import colour_bars, gray8, micros, rgb8, table, test_pattern
+from framelake.frames import colour_bars, colour_bars_planes, gray8, micros, rgb8, table, test_pattern
 from framelake.operators import color, detect, events, geometry, histogram, stencil, temporal, tone
 from framelake.plans import chain
 from framelake.sources import bitstream
@@ -79,6 +79,11 @@ def s14_bars(spark, d):
     return colour_bars(spark, 3, 28, 4)
 
 
+@query
+def s14_bars_planes(spark, d):
+    return colour_bars_planes(spark, 3, 32, 4)
+
+
 @query
 def s15_fallback(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_id")
@@ -146,6 +151,8 @@ on_rgb("g05_translate", lambda p: geometry.translate(p, 8, 8, 2, -1))
 on_rgb("g06_lens", lambda p: geometry.lens(p, 8, 8, 0.2))
 on_rgb("g07_resize_bilinear", lambda p: geometry.resize_bilinear(p, 8, 8, 12, 6))
 on_rgb("g08_resize_bicubic", lambda p: geometry.resize_bicubic(p, 8, 8, 12, 6))
+QUERIES["g09_resize_planes"] = lambda s, d: geometry.resize_planes(planes(s, d), 8, 8, 12, 6)
+QUERIES["g09_resize_planes_cubic"] = lambda s, d: geometry.resize_planes(planes(s, d), 8, 8, 12, 6, True)
 on_rgb("g10_resize_nearest", lambda p: geometry.resize_nearest(p, 8, 8, 5, 11))
 on_rgb("g11_letterbox", lambda p: geometry.letterbox(geometry.crop_inside(p, 8, 4, 0, 2), 8, 4, 11, 11))
 on_rgb("g12_crop_inside", lambda p: geometry.crop_inside(p, 4, 4, 2, 3))
@@ -195,8 +202,30 @@ def g19_draw(spark, d):
 
 on_rgb("g22_outline", lambda p: geometry.outline(p, 8, 8, F.col("f") % 2 == 0, 2))
 
+
+@query
+def g18_redirect_eyes(spark, d):
+    rgb = rgb8(spark, d)
+    eye = F.explode(F.array(F.lit(0), F.lit(1)))
+    eyes = rgb.select("f").distinct().select("f", eye.alias("eye")).select("f", "eye", (F.col("eye") * 4 + 2).alias("cx"), F.lit(4).alias("cy"), F.lit(3.0).alias("er"), (F.col("f") % 3 - 1.0).alias("dx"), F.lit(0.5).alias("dy"), F.when(F.col("f") % 5 == 0, 0.3).otherwise(0.9).alias("score"))
+    return geometry.redirect_eyes(rgb, eyes, 8, 8, 0.8)
+
+
+@query
+def g20_text_dots(spark, d):
+    texts = table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("f"), F.lit(0).alias("z"), F.lit(2).alias("x0"), F.lit(1).alias("y0"), F.concat_ws("-", F.col("p_partkey").cast("string"), "p_brand", F.lit("a.b c")).alias("text"))
+    return geometry.text_dots(texts, 2).groupBy("f").agg(F.count_if("dot").alias("dots"), F.count("*").alias("cells"), F.sum(F.when(F.col("dot"), F.col("x") * 31 + F.col("y")).otherwise(0)).cast("long").alias("places"))
+
+
+@query
+def g20_draw_text(spark, d):
+    rgb = rgb8(spark, d)
+    return geometry.draw_text(rgb, rgb.select("f").distinct().select("f", F.lit(0).alias("z"), F.lit(1).alias("x0"), F.lit(2).alias("y0"), F.lit("h7").alias("text")), 1, (250, 240, 10), (5, 6, 7))
+
+
 # Neighbourhoods.
 on_gray("n01_bilateral", lambda p: stencil.bilateral(p, 15.0, 25.0, 5))
+QUERIES["n02_denoise_planes"] = lambda s, d: stencil.denoise_planes(planes(s, d), 15.0, 25.0, 5)
 on_gray("n03_gaussian", lambda p: stencil.gaussian(p, 8, 8, 2.0))
 on_gray("n04_sharpen", lambda p: stencil.sharpen(p, 1.0))
 on_rgb("n05_edges", lambda p: stencil.edges(p, 8, 8))
@@ -205,6 +234,8 @@ on_gray("n09_block_motion", lambda p: stencil.block_motion(p, 4, 2, 2, 8, 8))
 QUERIES["n01_bilateral_planes"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d), 8, 8), stencil.plane_bilateral(15.0, 25.0, 5)))
 QUERIES["n07_background_blur"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d), 8, 8), stencil.plane_background_blur(0.5, 0.5)))
 
+QUERIES["n08_double"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d).where("f < 200"), 8, 8), stencil.plane_double(0.5)))
+
 # Histograms and reductions.
 on_gray("a01_tile_tables", lambda p: histogram.tile_tables(p.where("f < 100"), 4, 3.0))
 on_gray("a01_tile_tables_wide", lambda p: histogram.tile_tables(p.where("f < 100"), 8, 12.0))
@@ -245,6 +276,7 @@ QUERIES["t09_as_of"] = lambda s, d: temporal.as_of(table(s, d, "events").where("
 QUERIES["t10_pace"] = lambda s, d: temporal.pace(stream(s, d), "user_id", ["seq"], "t_ms", 100_000)
 QUERIES["t11_hysteresis"] = lambda s, d: temporal.hysteresis(stream(s, d), "user_id", ["seq"], "v", 40, 90, 2)
 QUERIES["t12_quiet_runs"] = lambda s, d: temporal.runs_of(stream(s, d), "user_id", ["seq"], F.col("v") <= 50).select("user_id", "seq", "run")
+QUERIES["t13_breaker"] = lambda s, d: temporal.breaker(stream(s, d).withColumn("ok", F.col("kind") == "purchase"), "user_id", ["seq"], "t_ms", "ok", 2_000_000, 9).select("user_id", "seq", "open")
 QUERIES["t14_display_order"] = lambda s, d: temporal.display_order(stream(s, d), "user_id", "seq").select("user_id", "seq", "display_no")
 
 
@@ -271,6 +303,22 @@ def m01_unletterbox(spark, d):
     return detect.unletterbox(lines_as_boxes(spark, d).select("frame", "box", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))), 0.5, 0.0, 80.0, 640, 480)
 
 
+@query
+def m01_detections(spark, d):
+    b = lines_as_boxes(spark, d)
+    share = lambda k: (F.col("score") * k % 101 / 128.0)
+    cells = b.select("frame", F.col("box").alias("cell"), (F.col("x1") % 300 + 20).alias("cx"), (F.col("y1") % 200 + 120).alias("cy"), (F.col("x2") - F.col("x1") + 100).alias("bw"), (F.col("y2") - F.col("y1") + 100).alias("bh"), F.array(share(1), share(7), share(11)).alias("scores"))
+    return detect.detections(cells, 0.5, 0.0, 80.0, 640, 480, 0.35, 0.45, 3).select("frame", "box", "rank", "cls", "score", *(F.floor(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query
+def m02_decode_points(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("frame"), F.lit(16).alias("stride"), (F.col("user_id") % 16).cast("int").alias("i"), (F.col("value") / 50 - 1).alias("cls"), F.lit(2.0).alias("obj"), (F.col("event_id") % 7 / 8.0).alias("dx"), F.lit(0.25).alias("dy"), (F.col("event_id") % 5 / 4.0).alias("lw"), F.lit(0.5).alias("lh"))
+    return detect.decode_points(e, detect.point_priors(spark, 64), 0.4).select("frame", *(F.floor(F.col(c) * 1000 + 1e-6).cast("long").alias(c) for c in ("score", "x1", "y1", "x2", "y2")))
+
+
+QUERIES["m05_pose"] = lambda s, d: detect.pose(table(s, d, "events").select("event_id", (F.col("value") * 2.0).alias("x"), (F.col("value") / 64.0).alias("y"), (F.col("value") / 50 - 1).alias("vis"), F.lit(2.0).alias("pres"))).select("event_id", *(F.floor(F.col(c) * 1e6 + 1e-3).cast("long").alias(c) for c in ("x", "y", "visibility")))
+on_gray("m07_resize_flow", lambda p: geometry.resize_flow(p.select("f", "y", "x", (F.col("v") / 8.0).alias("dx"), (F.col("x") - 4.0).alias("dy")), 8, 8, 12, 4))
 QUERIES["m02_point_priors"] = lambda s, d: detect.point_priors(s, 64)
 QUERIES["m04_eye_windows"] = lambda s, d: detect.eye_windows(lines_as_boxes(s, d)).select("frame", "box", "eye", *(F.floor(F.col(c) * 100 + 1e-6).cast("long").alias(c) for c in ("cx", "cy", "radius")))
 QUERIES["m12_with_class"] = lambda s, d: detect.with_class(lines_as_boxes(s, d).select("frame", "box", (F.col("cls") * 13 % 90 - 2).cast("int").alias("cls")))
@@ -320,9 +368,27 @@ QUERIES["e06_last_kept"] = lambda s, d: events.last_kept(stream(s, d).where("kin
 QUERIES["e07_marks"] = lambda s, d: events.marks(stream(s, d).where("kind = 'purchase'"), "user_id", ["seq"], F.lit(True)).select("user_id", "seq", "label")
 QUERIES["e07_paused"] = lambda s, d: events.paused(stream(s, d), "user_id", ["seq"], F.col("kind") == "signup").select("user_id", "seq", "paused")
 QUERIES["e08_long_enough"] = lambda s, d: events.long_enough(stream(s, d), ["user_id", "kind"], 10)
+
+
+@query
+def e09_audio_gate(spark, d):
+    kind = F.col("kind")
+    return events.audio_gate(stream(spark, d), "user_id", ["seq"], kind == "signup", kind == "error", (kind == "purchase") & (F.col("v") > 60), (kind == "click") & (F.col("v") > 70), kind == "view").select("user_id", "seq", "open")
+
+
 QUERIES["e11_measured_fps"] = lambda s, d: stream(s, d).groupBy("user_id").agg(events.measured_fps(F.count("*"), (F.max("seq") - F.min("seq")) / 400.0).alias("fps"))
 QUERIES["e12_voice_gain"] = lambda s, d: table(s, d, "events").select("event_id", F.floor(events.voice_gain(-F.col("value")) * 1000).cast("long").alias("gain"))
 QUERIES["e13_debounce"] = lambda s, d: events.debounce(stream(s, d), "user_id", ["seq"], F.col("v") > 50)
+
+
+@query
+def e15_aim_hand(spark, d):
+    s = stream(spark, d)
+    hand = lambda kind, k: F.when(F.col("kind") != kind, F.struct((F.col("v") * k % 101).alias("x"), (F.col("seq") * k % 89).alias("y")))
+    d = s.withColumns({"a": hand("click", 3), "b": hand("view", 7)}).withColumn("b", F.when(F.col("kind") != "error", F.col("b"))).withColumn("a", F.when(F.col("kind") != "error", F.col("a")))
+    return events.aim_hand(d, "user_id", ["seq"], "a", "b").withColumn("aim", F.coalesce("aim", F.lit(-1)))
+
+
 def aims(spark: SparkSession, d: str, **how) -> DataFrame:
     s = stream(spark, d).withColumn("w", F.col("v") / 128.0)
     return events.smooth_aim(s, "user_id", ["seq"], "w", 0.5, 0.0625, 1.5, 0.375, **how).select("user_id", "seq", F.floor(F.col("aim") * 1000 + 1e-6).cast("long").alias("aim"))
@@ -332,6 +398,15 @@ QUERIES["e16_smooth_aim"] = aims
 QUERIES["e16_relative_aim"] = lambda s, d: aims(s, d, relative=True)
 QUERIES["e17_flicks"] = lambda s, d: events.flicks(stream(s, d).withColumn("h", F.col("v") / 100.0), "user_id", ["seq"], "t_ms", "h", 0.185, 3, 800_000)
 QUERIES["e19_zones"] = lambda s, d: table(s, d, "events").select("event_id", *(c.alias(n) for c, n in zip(events.zones(F.col("value") / 100 - 0.5, F.col("value") / 200 - 0.2), ("zone", "lean"))))
+QUERIES["e18_palm_hold"] = lambda s, d: events.palm_hold(stream(s, d), "user_id", ["seq"], "t_ms", F.col("v") > 40, 600_000, 2_000_000).select("user_id", "seq", "tap", "kill")
+QUERIES["e19_move_keys"] = lambda s, d: table(s, d, "events").select("event_id", *(c.alias(n) for n, c in events.move_keys(F.col("value") / 100 - 0.5, F.col("event_id") % 8 / 8.0 - 0.5, F.col("value") % 1.0).items()))
+QUERIES["e19_crouched"] = lambda s, d: events.crouched(stream(s, d), "user_id", ["seq"], F.col("v") / 100.0 - 0.25, 3).select("user_id", "seq", "crouch")
+
+
+@query
+def e20_score(spark, d):
+    s = stream(spark, d).withColumns({"fire": F.col("kind") != "error", "hit": F.col("v") % 3 != 0, "lost": (F.col("v") > 97).cast("int")})
+    return events.score(s, "user_id", ["seq"], "t_ms", "fire", "hit", "lost", 4, 900_000)
 
 
 @query

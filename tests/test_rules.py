@@ -1,8 +1,10 @@
 """Results worked by hand from the operators' rules."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framelake.operators import detect, events, geometry, histogram, stencil, temporal, tone
+from framelake.sources import bitstream
 
 
 def px(spark, *rows):
@@ -106,3 +108,94 @@ def test_aim_snaps_to_the_middle_and_relative_aim_adds_up(spark):
 def test_a_flick_needs_more_than_the_cooldown(spark):
     d = spark.createDataFrame([(1, i, 400 * i, 1.0 - 0.1 * i) for i in range(9)], "k int, seq int, ms long, y double")
     assert sorted(r.seq for r in events.flicks(d, "k", ["seq"], "ms", "y").where("flick").collect()) == [3, 6]
+
+
+def test_double_of_a_flat_frame_keeps_its_middle():
+    out = stencil.plane_double(0.5)(np.full((8, 8), 100.0))
+    # Sixteen taps at clamped places: within the frame the weights sum to 1; away from the border nothing is sharpened.
+    assert out.shape == (16, 16) and abs(out[8, 8] - 100) < 1e-9
+
+
+def test_chroma_box_counts_the_own_column_twice(spark):
+    rows = [(0, 1, 0, 0, 10), (0, 1, 0, 1, 40), (0, 0, 0, 0, 7)]
+    got = {(r.p, r.x): r.v for r in stencil.denoise_planes(spark.createDataFrame(rows, "f long, p int, y int, x int, v int")).collect()}
+    assert got == {(0, 0): 7, (1, 0): 10, (1, 1): 30}  # (10 + 2 * 40) / 3
+
+
+def test_letters(spark):
+    cells = geometry.text_dots(spark.createDataFrame([(0, 0, 0, 0, "i?")], "f long, z int, x0 int, y0 int, text string"))
+    dots = sorted((r.y, r.x) for r in cells.where("dot").collect())
+    assert dots == [(0, 0), (0, 1), (0, 2), (1, 1), (2, 1), (3, 1), (4, 0), (4, 1), (4, 2)] and cells.count() == 2 * 4 * 5
+
+
+def test_flow_grows_with_the_frame(spark):
+    flow = spark.createDataFrame([(0, 0, 0, 1.0, -2.0)], "f long, y int, x int, dx double, dy double")
+    assert {(r.dx, r.dy) for r in geometry.resize_flow(flow, 1, 1, 2, 3).collect()} == {(2.0, -6.0)}
+
+
+def test_eye_of_low_score_is_left_alone(spark):
+    df = px(spark, *((0, y, x, 10 * x, 0, 0) for y in range(5) for x in range(5)))
+    eyes = lambda score: spark.createDataFrame([(0, 0, 2.0, 2.0, 2.0, 1.0, 0.0, score)], "f long, eye int, cx double, cy double, er double, dx double, dy double, score double")
+    assert colours(geometry.redirect_eyes(df, eyes(0.3), 5, 5, 1.0)) == colours(df)
+    assert colours(geometry.redirect_eyes(df, eyes(0.9), 5, 5, 1.0))[2, 2] == (29, 0, 0)  # read .45 * 2 columns further on
+
+
+def frames_of(spark, *rows):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "k int, n int, ms long, flag boolean")
+
+
+def test_breaker_opens_after_enough_failures_and_stays_open(spark):
+    polls = frames_of(spark, (0, False), (10, False), (5000, False), (5010, True), (5020, False), (5030, False), (5040, True))
+    assert [r.open for r in temporal.breaker(polls, "k", ["n"], "ms", "flag", 4000, 1).orderBy("n").collect()] == [False] * 5 + [True, True]
+
+
+def test_palm_taps_then_kills_once(spark):
+    got = events.palm_hold(frames_of(spark, (0, True), (500, True), (700, True), (2100, True), (2200, True), (2300, False), (2400, True)), "k", ["n"], "ms", F.col("flag")).orderBy("n").collect()
+    assert [(r.tap, r.kill) for r in got] == [(True, False), (True, False), (False, False), (False, True), (False, False), (False, False), (True, False)]
+
+
+def test_nearest_hand_aims(spark):
+    rows = [(1, 0, (0.0, 0.0), (9.0, 9.0)), (1, 1, (8.0, 8.0), (1.0, 1.0)), (1, 2, None, None), (1, 3, (2.0, 2.0), (5.0, 5.0)), (1, 4, (9.0, 9.0), None)]
+    df = spark.createDataFrame(rows, "k int, n int, a struct<x: double, y: double>, b struct<x: double, y: double>")
+    assert [r.aim for r in events.aim_hand(df, "k", ["n"], "a", "b").orderBy("n").collect()] == [0, 1, None, 0, 0]
+
+
+def test_audio_is_kept_while_the_recording_runs(spark):
+    rows = [(1, i, c) for i, c in enumerate(["", "start", "", "cut", "", "key", "pause", "", "pause", "stop", "start", "pause", "start"])]
+    df = spark.createDataFrame(rows, "k int, n int, c string")
+    is_ = lambda c: F.col("c") == c
+    got = events.audio_gate(df, "k", ["n"], is_("start"), is_("stop"), is_("pause"), is_("cut"), is_("key")).orderBy("n").collect()
+    assert [r.n for r in got if r.open] == [1, 2, 5, 8, 10, 12]
+
+
+def test_score(spark):
+    rows = [(1, 0, 0, True, True, 0), (1, 1, 1, True, True, 0), (1, 2, 2, True, True, 0), (1, 3, 1300, True, False, 0), (1, 4, 1400, False, False, 2)]
+    df = spark.createDataFrame(rows, "k int, n int, ms long, fire boolean, hit boolean, lost int")
+    got = events.score(df, "k", ["n"], "ms", "fire", "hit", "lost", clip=2).orderBy("n").collect()
+    # Two hits empty the clip, the third shot finds a reload going on, after it a miss ends the combo.
+    assert [tuple(r)[2:] for r in got] == [(100, 1, 1, 1, 100), (300, 2, 2, 0, 100), (300, 2, 2, 0, 100), (300, 0, 2, 1, 100), (300, 0, 2, 1, 90)]
+
+
+def test_folds_go_on_across_blocks(spark):
+    df = spark.range(20).select(F.lit(1).alias("k"), "id")
+    got = temporal.fold(df, ["k"], ["id"], "id", F.lit(0).cast("long"), lambda s, v: s + v, block=3).orderBy("id").collect()
+    assert [r.out for r in got] == [sum(range(i + 1)) for i in range(20)]
+
+
+def test_parameter_sets_come_first(spark):
+    hvcc = bytes(22) + bytes([2]) + bytes([32, 0, 1, 0, 2]) + b"vp" + bytes([33, 0, 1, 0, 1]) + b"s"
+    assert bitstream.hevc_parameter_sets(hvcc) == [b"vp", b"s"] and bitstream.hevc_parameter_sets(b"") == []
+    out = bitstream.with_parameter_sets(spark.createDataFrame([(1, hvcc)], "id int, payload binary"), spark.createDataFrame([(1, 0, b"x"), (2, 0, b"y")], "id int, no int, unit binary"), True)
+    assert sorted((r.id, r.no, bytes(r.unit)) for r in out.collect()) == [(1, 0, b"vp"), (1, 1, b"s"), (1, 2, b"x"), (2, 0, b"y")]
+
+
+def test_detector_cells(spark):
+    rows = [(1, 0, 50.0, 50.0, 20.0, 20.0, [0.1, 0.9]), (1, 1, 51.0, 50.0, 20.0, 20.0, [0.8, 0.8]), (1, 2, 5.0, 5.0, 20.0, 20.0, [0.5, 0.2]), (1, 3, 50.0, 50.0, 9.0, 9.0, [0.3, 0.3])]
+    got = detect.detections(spark.createDataFrame(rows, "frame int, cell int, cx double, cy double, bw double, bh double, scores array<double>"), 1.0, 0.0, 0.0, 100, 100)
+    assert [(r.box, r.cls, r.x1, r.y2) for r in got.orderBy("rank").collect()] == [(0, 1, 40.0, 60.0), (2, 0, 0.0, 15.0)]
+
+
+def test_face_points(spark):
+    rows = [(1, 32, 0, 9.0, 9.0, 0.0, 0.0, 0.0, 0.0), (1, 32, 3, -9.0, 9.0, 0.0, 0.0, 0.0, 0.0)]
+    got = detect.faces(spark.createDataFrame(rows, "frame int, stride int, i int, cls double, obj double, dx double, dy double, lw double, lh double"), 64, 1.0, 0.0, 0.0, 64, 64).collect()
+    assert [(r.x1, r.y1, r.x2, r.y2) for r in got] == [(0.0, 0.0, 32.0, 32.0)]
