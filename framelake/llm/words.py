@@ -55,13 +55,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the number of words of each text. lower: A-Z only."""
-    data, begin = join_bytes(texts)
-    if lower:
-        data = _LOWER[data]
-    start, end = word_spans(data)
-    counts = np.diff(np.searchsorted(start, begin))
-    return span_hash(prefix_hash(data), start, end), counts
+    """64-bit hashes of all words in order, and the number of words of each text. lower: A-Z only.
+
+    Texts are hashed a few at a time: the sums take dozens of bytes for each byte of text.
+    """
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for a, b in small_batches(texts):
+        data, begin = join_bytes(texts[a:b])
+        if lower:
+            data = _LOWER[data]
+        start, end = word_spans(data)
+        counts.append(np.diff(np.searchsorted(start, begin)))
+        hashes.append(span_hash(prefix_hash(data), start, end))
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
