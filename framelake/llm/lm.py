@@ -227,17 +227,18 @@ def interpolated_scores(docs: DataFrame, train: Column, tune: Column, order: int
     replies = cut(asked.groupBy("group").applyInPandas(_count(groups), _REPLY))
     stats = replies.where("kind = 2").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first()
     place = replies.where("kind = 1").select("chunk", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    answers = replies.where("kind = 0").select(F.col("chunk").alias("_chunk"), "group", "every", "kept")
+    # A pass gets only the counts that it reads.
+    answers = lambda counts: replies.where("kind = 0").select(F.col("chunk").alias("_chunk"), "group", counts)
     located = base.drop("_id").join(place, ["_k1", "_k2"])
 
     # Tuning chunks are told by the lowest bit of their names.
-    tuned = located.where("_tune").groupBy("chunk").cogroup(answers.where("_chunk % 2 != 0").groupBy("_chunk"))
+    tuned = located.where("_tune").groupBy("chunk").cogroup(answers("kept").where("_chunk % 2 != 0").groupBy("_chunk"))
     names = ["bucket", *(f"p{o}" for o in range(order + 1)), "n"]
     events = tuned.applyInPandas(_events(order, groups, stats["n_kept"], stats["v_kept"]), ", ".join(f"{c} long" for c in names))
     histogram = events.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(histogram, order)
 
-    scored = located.groupBy("chunk").cogroup(answers.groupBy("_chunk")).applyInPandas(
+    scored = located.groupBy("chunk").cogroup(answers("every").groupBy("_chunk")).applyInPandas(
         _score(order, groups, stats["n"], stats["v"], weights), "_k1 long, _k2 long, n_tokens long, n_known long, base_score double, score double")
     scored = scored.dropDuplicates(["_k1", "_k2"])
     return base.select("_id", "_k1", "_k2").join(scored, ["_k1", "_k2"]).select(
