@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.frames import clamp
+from framelake.operators import geometry, stencil, tone
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -66,6 +67,43 @@ def faces(raw: DataFrame, size: int, scale: float, left: float, top: float, w: i
     return suppress(boxes, threshold, most)
 
 
+def hands(raw: DataFrame, w: int, h: int, size: int = 192, min_score: float = 0.5, threshold: float = 0.3, most: int = 2) -> DataFrame:
+    """(frame, hand, score, left, top, side): square windows around the palms of raw (frame, anchor, x, y, bw, bh, logit).
+
+    Boxes are in a square of `size` that the frame was stretched to. A window is 1.6 times the longer side of
+    its palm and at least 32, moved into the frame; what is larger than the frame goes.
+    """
+    score = 1 / (1 + F.exp(-F.col("logit")))
+    found = raw.withColumn("score", score).where((F.col("score") >= min_score) & (F.col("bw") > 0) & (F.col("bh") > 0)).select(
+        "frame", F.col("anchor").alias("box"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("bw")).alias("x2"), (F.col("y") + F.col("bh")).alias("y2"), "score", F.lit(0).alias("cls"))
+    kept = suppress(found, threshold, most)
+    sx, sy = w / size, h / size
+    bw, bh = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    side = F.greatest(F.lit(32), F.floor(1.6 * F.greatest(bw * sx, bh * sy)))
+    placed = kept.select("frame", F.col("rank").alias("hand"), "score", side.cast("int").alias("side"), ((F.col("x1") + bw / 2) * sx).alias("_cx"), ((F.col("y1") + bh / 2) * sy).alias("_cy"))
+    start = lambda c, most: F.least(F.greatest(F.lit(0), F.floor(F.col(c) - F.floor(F.col("side") / 2))), F.lit(most) - F.col("side")).cast("int")
+    return placed.where(F.col("side") <= min(w, h)).select("frame", "hand", "score", start("_cx", w).alias("left"), start("_cy", h).alias("top"), "side")
+
+
+def hand_joints(points: DataFrame, windows: DataFrame, size: float = 224.0) -> DataFrame:
+    """points (frame, hand, joint, x, y) of each window in the frame; a coordinate above 1.5 is in pixels of a window of `size`."""
+    share = lambda c: F.when(F.col(c) > 1.5, F.col(c) / size).otherwise(F.col(c))
+    return points.join(windows.select("frame", "hand", "left", "top", "side"), ["frame", "hand"]).select(
+        "frame", "hand", "joint", (F.col("left") + share("x") * F.col("side")).alias("x"), (F.col("top") + share("y") * F.col("side")).alias("y"))
+
+
+def blur_behind(rgb: DataFrame, alpha: DataFrame, aw: int, ah: int, w: int, h: int, sigma: float = 6.0) -> DataFrame:
+    """rgb over its own blur by a matte alpha (f, y, x, a) of a model's working size, brought to the frame's."""
+    return tone.composite_alpha(rgb, stencil.gaussian(rgb, w, h, sigma, geometry.RGB), geometry.resize_bilinear(alpha, aw, ah, w, h, ("a",), whole=False))
+
+
+def work_size(w: Column, h: Column, budget: int = 1280 * 720) -> tuple[Column, Column]:
+    """The even size, at least 64, at which a model works on frames of more pixels than the budget; the frame's own below."""
+    pixels = (w * h).cast("double")
+    fit = lambda c: F.greatest(F.lit(64), F.floor(c * F.sqrt(budget / pixels) / 2) * 2)
+    return tuple(F.when(pixels > budget, fit(c)).otherwise(c).cast("int") for c in (w, h))
+
+
 def pose(points: DataFrame, size: float = 256.0) -> DataFrame:
     """points (x, y, vis, pres in a model's units) with x and y as shares where they are in pixels, and visibility as a probability."""
     sig = lambda c: 1 / (1 + F.exp(-F.col(c)))

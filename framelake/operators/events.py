@@ -272,6 +272,32 @@ def spawn(seed: Column, n: int, moduli: tuple[int, ...] = (800, 650, 2, 500, 2))
     return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, lambda acc, i: F.struct(nxt(acc["s"]).alias("s"), F.concat(acc["a"], draw(nxt(acc["s"]), i)).alias("a")))["a"]
 
 
+def wave_targets(waves: DataFrame, wave: str, tick: Column) -> DataFrame:
+    """waves with a row for each target: target, its place (shares of the frame), radius and speed (pixels a second).
+
+    Wave n has 3 + n targets, at most 12; each takes five draws of the sequence after tick + 7919 n.
+    """
+    n = F.col(wave)
+    drawn = waves.withColumn("_d", spawn(tick + n * 7919, 60)).withColumn("target", F.explode(F.sequence(F.lit(0), F.least(F.lit(11), n + 2))))
+    draw = lambda i: F.get(F.col("_d"), (F.col("target") * 5 + i).cast("int"))
+    sign = lambda i: F.when(draw(i) == 1, 1.0).otherwise(-1.0)
+    speed = (20 + n * 6) * sign(2)
+    return drawn.withColumns({"x": 0.1 + draw(0) / 1000, "y": 0.15 + draw(1) / 1000, "r": F.greatest(F.lit(14.0), 30 - n * 1.5),
+                              "vx": speed * (0.5 + draw(3) / 1000), "vy": speed * 0.6 * sign(4)}).drop("_d")
+
+
+def drift(df: DataFrame, key: str, order: list[str], dt: str, place: Column, speed: Column, size: int, lo: float, hi: float) -> DataFrame:
+    """df with `at` and `v`: a target's place along one axis (a share of `size`) and its speed after each row's dt seconds; it turns beyond lo and hi."""
+    d = df.withColumn("_x", F.struct(F.col(dt).cast("double").alias("dt"), place.cast("double").alias("at"), speed.cast("double").alias("v")))
+
+    def step(s: Column, x: Column) -> Column:
+        v = F.coalesce(s["v"], x["v"])
+        at = F.coalesce(s["at"], x["at"]) + v * x["dt"] / size
+        return F.struct(at.alias("at"), F.when((at < lo) | (at > hi), -v).otherwise(v).alias("v"))
+    start = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("at", "v")))
+    return fold(d, [key], order, "_x", start, step).select(key, *order, F.col("out.at").alias("at"), F.col("out.v").alias("v"))
+
+
 def bitrate(w: Column, h: Column, fps: Column) -> Column:
     """Kilobits a second for a frame size and rate, 500..50000; 5000 where something is unknown."""
     return F.coalesce(F.floor(F.greatest(F.lit(500.0), F.least(F.lit(50000.0), w * h * fps * 0.07 / 1000))).cast("int"), F.lit(5000))

@@ -60,11 +60,12 @@ def lens(px: DataFrame, w: int, h: int, k1: float) -> DataFrame:
     return _gather(cells, px, F.col("_gx"), F.col("_gy"), RGB, (0, 0, 0))
 
 
-def _summed(px: DataFrame, taps: DataFrame, channels: tuple[str, ...]) -> DataFrame:
-    """Weighted sums by cell of the source pixels that taps (f, y, x, sy, sx, wt) name: one join and one aggregation."""
+def _summed(px: DataFrame, taps: DataFrame, channels: tuple[str, ...], whole: bool = True) -> DataFrame:
+    """Weighted sums by cell of the source pixels that taps (f, y, x, sy, sx, wt) name: one join and one aggregation. whole: as sample values."""
+    made = rounded if whole else lambda c: c
     src = px.select("f", F.col("y").alias("sy"), F.col("x").alias("sx"), *channels)
     each = taps.select("f", "y", "x", F.col("sy").cast("int").alias("sy"), F.col("sx").cast("int").alias("sx"), "wt").join(src, ["f", "sy", "sx"])
-    return each.groupBy("f", "y", "x").agg(*(rounded(F.sum(F.col(c) * F.col("wt"))).alias(c) for c in channels))
+    return each.groupBy("f", "y", "x").agg(*(made(F.sum(F.col(c) * F.col("wt"))).alias(c) for c in channels))
 
 
 def _offsets(cells: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -81,10 +82,10 @@ def _bilinear_taps(cells: DataFrame, sw: int, sh: int) -> DataFrame:
         "wt": part(F.col("_fx"), F.col("_i")) * part(F.col("_fy"), F.col("_j"))})
 
 
-def resize_bilinear(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB) -> DataFrame:
-    """Source coordinate = output coordinate * source size / output size, without a half-pixel shift; edges repeat."""
+def resize_bilinear(px: DataFrame, sw: int, sh: int, dw: int, dh: int, channels=RGB, whole: bool = True) -> DataFrame:
+    """Source coordinate = output coordinate * source size / output size, without a half-pixel shift; edges repeat. whole: as sample values."""
     at = grid(px, dw, dh).withColumns({"_fx": F.col("x") * (sw / dw), "_fy": F.col("y") * (sh / dh)})
-    return _summed(px, _bilinear_taps(at, sw, sh), channels)
+    return _summed(px, _bilinear_taps(at, sw, sh), channels, whole)
 
 
 def _cubic(t: Column) -> Column:

@@ -500,3 +500,31 @@ _turn = {"points": f"s.points + CASE WHEN {_shoots} AND o.v % 3 <> 0 THEN 100 *
          "health": "greatest(0, s.health - CASE WHEN o.v > 97 THEN 5 ELSE 0 END)", "since": f"CASE WHEN {_tries} AND {_left} <= 0 THEN o.t_ms WHEN {_loads} THEN NULL ELSE s.since END"}
 _zero = "SELECT DISTINCT user_id, 0::BIGINT AS t_ms, 0::BIGINT AS seq, '' AS kind, 0 AS v, 0::BIGINT AS k, 0::BIGINT AS points, 0 AS combo, 0 AS best, 4 AS ammo, 100 AS health, NULL::BIGINT AS since FROM st"
 O["e20_score"] = (f"WITH RECURSIVE {STREAM}, s AS ({_zero} UNION ALL SELECT o.*, " + ", ".join(_alive(c, e) for c, e in _turn.items()) + " FROM s JOIN st o ON o.user_id = s.user_id AND o.k = s.k + 1) SELECT user_id, seq, points, combo, best, ammo, health FROM s WHERE k > 0")
+
+# Hands, mattes, working sizes, waves of targets.
+_palm = "palm AS (SELECT frame, box, x1 % 60 AS x1, y1 % 90 AS y1, x1 % 60 + x2 - x1 - 24 AS x2, y1 % 90 + y2 - y1 - 24 AS y2, 1e0 / (1e0 + exp(-(score % 1001 / 100e0 - 4e0))) AS score, 0 AS cls FROM bx WHERE x2 - x1 > 24 AND y2 - y1 > 24 AND score % 1001 >= 400)"
+_hands = (O["m15_suppress"].replace(", o AS (SELECT frame, box, x1 % 100 AS x1, y1, x1 % 100 + 150 AS x2, y2, score, cls,", f", {_palm}, o AS (SELECT frame, box, x1, y1, x2, y2, score, cls,", 1)
+          .replace("AS k FROM bx)", "AS k FROM palm)", 1).replace("len(s.kept) >= 5", "len(s.kept) >= 2", 1).replace("> 0.45e0", "> 0.3e0", 1).rsplit(" SELECT frame, b.box", 1)[0]
+          + ", z AS (SELECT frame, rank AS hand, b.score AS score, (b.x1 + (b.x2 - b.x1) / 2e0) * (640e0 / 192e0) AS cx, (b.y1 + (b.y2 - b.y1) / 2e0) * (480e0 / 192e0) AS cy, greatest(32, floor(1.6e0 * greatest((b.x2 - b.x1) * (640e0 / 192e0), (b.y2 - b.y1) * (480e0 / 192e0)))::INT) AS side FROM u), "
+          "hw AS (SELECT frame, hand, floor(score * 1e6 + 1e-3)::BIGINT AS score, least(640 - side, greatest(0, floor(cx - side // 2)::INT)) AS \"left\", least(480 - side, greatest(0, floor(cy - side // 2)::INT)) AS top, side FROM z WHERE side <= 480) ")
+O["m03_hands"] = _hands + "SELECT * FROM hw"
+_joint = lambda place, e: f"floor(({place} + CASE WHEN {e} > 1.5e0 THEN {e} / 224e0 ELSE {e} END * side) * 1000 + 1e-6)::BIGINT"
+_across, _down = _joint('"left"', "(j / 8e0)"), _joint("top", "(j * 7e0)")
+O["m03_hand_joints"] = _hands + f"SELECT frame, hand, j::INT AS joint, {_across} AS x, {_down} AS y FROM hw, range(21) t(j)"
+_fit = lambda c: f"CASE WHEN w * h > 921600 THEN greatest(64, floor({c} * sqrt(921600e0 / (w * h)) / 2e0)::INT * 2) ELSE {c} END::INT"
+O["m08_work_size"] = f"SELECT p_partkey, {_fit('w')} AS dw, {_fit('h')} AS dh FROM (SELECT p_partkey, 64 + p_partkey * 37 % 4000 AS w, 48 + p_partkey * 91 % 2200 AS h FROM part)"
+_pass = lambda src, a, b: (f"SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'sum(k.w * n.{c})')} AS {c}" for c in "rgb") + f" FROM {src} p, {_k}, {src} n WHERE n.f = p.f AND n.{b} = p.{b} AND n.{a} = least(7, greatest(0, p.{a} + k.d)) GROUP BY p.f, p.y, p.x")
+_tap = lambda c, o: f"CASE {o} WHEN 1 THEN p.{c} % 2 / 2e0 ELSE 1e0 - p.{c} % 2 / 2e0 END"
+O["m09_blur_behind"] = rgb(f", b1 AS ({_pass('rgb', 'x', 'y')}), b2 AS ({_pass('b1', 'y', 'x')}), m AS (SELECT p.f, p.y, p.x, sum((q.r + q.g) / 512e0 * {_tap('x', 'i')} * {_tap('y', 'j')}) AS a FROM rgb p, range(2) s(i), range(2) t(j), rgb q "
+                           "WHERE q.f = p.f AND q.x = least(3, p.x // 2 + i) AND q.y = least(3, p.y // 2 + j) GROUP BY p.f, p.y, p.x), e AS (SELECT f, y, x, least(1e0, a) * least(1e0, a) * (3e0 - 2e0 * least(1e0, a)) AS a FROM m) "
+                           "SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'e.a * p.{c} + (1e0 - e.a) * b2.{c}')} AS {c}" for c in "rgb") + " FROM rgb p JOIN b2 USING (f, y, x) JOIN e USING (f, y, x)")
+_pick = lambda i: f"max(n) FILTER (i % 5 = {i})"
+_fast = f"((20 + wave * 6) * CASE {_pick(2)} % 2 WHEN 1 THEN 1e0 ELSE -1e0 END)"
+O["e20_wave_targets"] = ("WITH RECURSIVE s AS (SELECT c_custkey, c_custkey % 12 + 1 AS wave, -1 AS i, (c_custkey + (c_custkey % 12 + 1) * 7919) % 4294967296 AS z FROM customer UNION ALL SELECT c_custkey, wave, i + 1, (z * 1103515245 + 12345) % 4294967296 FROM s WHERE i < 59), "
+                         "d AS (SELECT c_custkey, wave, i, z // 65536 AS n FROM s WHERE i >= 0) SELECT c_custkey, wave, (i // 5)::INT AS target, "
+                         + ", ".join(f"floor(({e}) * 1000 + 0.5e0)::BIGINT AS {c}" for c, e in {"x": f"0.1e0 + {_pick(0)} % 800 / 1000e0", "y": f"0.15e0 + {_pick(1)} % 650 / 1000e0", "r": "greatest(14e0, 30e0 - wave * 1.5e0)",
+                                                                                                       "vx": f"{_fast} * (0.5e0 + {_pick(3)} % 500 / 1000e0)", "vy": f"{_fast} * 0.6e0 * CASE {_pick(4)} % 2 WHEN 1 THEN 1e0 ELSE -1e0 END"}.items())
+                         + " FROM d WHERE i // 5 < least(12, 3 + wave) GROUP BY c_custkey, wave, i // 5")
+_to = "(s.spot + s.way * (o.v / 64e0) / 64)"
+O["e20_drift"] = (f"WITH RECURSIVE {STREAM}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS seq, 0.5e0 AS spot, 16e0 AS way FROM st UNION ALL SELECT o.user_id, o.k, o.seq, {_to}, CASE WHEN {_to} < 0.0625e0 OR {_to} > 0.9375e0 THEN -s.way ELSE s.way END FROM s JOIN st o ON o.user_id = s.user_id AND o.k = s.k + 1) "
+                  "SELECT user_id, seq, floor(spot * 4096)::BIGINT AS \"at\", way::INT AS v FROM s WHERE k > 0")

@@ -317,6 +317,30 @@ def m02_decode_points(spark, d):
     return detect.decode_points(e, detect.point_priors(spark, 64), 0.4).select("frame", *(F.floor(F.col(c) * 1000 + 1e-6).cast("long").alias(c) for c in ("score", "x1", "y1", "x2", "y2")))
 
 
+def palm_windows(spark: SparkSession, d: str) -> DataFrame:
+    b = lines_as_boxes(spark, d)
+    raw = b.select("frame", F.col("box").alias("anchor"), (F.col("x1") % 60).alias("x"), (F.col("y1") % 90).alias("y"), (F.col("x2") - F.col("x1") - 24).alias("bw"), (F.col("y2") - F.col("y1") - 24).alias("bh"), (F.col("score") % 1001 / 100 - 4).alias("logit"))
+    return detect.hands(raw, 640, 480)
+
+
+QUERIES["m03_hands"] = lambda s, d: palm_windows(s, d).withColumn("score", F.floor(F.col("score") * 1e6 + 1e-3).cast("long"))
+
+
+@query
+def m03_hand_joints(spark, d):
+    windows = palm_windows(spark, d)
+    points = windows.select("frame", "hand", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("joint")).select("frame", "hand", "joint", (F.col("joint") / 8.0).alias("x"), (F.col("joint") * 7.0).alias("y"))
+    return detect.hand_joints(points, windows).select("frame", "hand", "joint", *(F.floor(F.col(c) * 1000 + 1e-6).cast("long").alias(c) for c in ("x", "y")))
+
+
+@query
+def m08_work_size(spark, d):
+    w, h = (64 + F.col("p_partkey") * 37 % 4000).cast("int"), (48 + F.col("p_partkey") * 91 % 2200).cast("int")
+    dw, dh = detect.work_size(w, h)
+    return table(spark, d, "part").select("p_partkey", dw.alias("dw"), dh.alias("dh"))
+
+
+on_rgb("m09_blur_behind", lambda p: detect.blur_behind(p, p.where("x < 4 and y < 4").select("f", "y", "x", ((F.col("r") + F.col("g")) / 512.0).alias("a")), 4, 4, 8, 8, 2.0))
 QUERIES["m05_pose"] = lambda s, d: detect.pose(table(s, d, "events").select("event_id", (F.col("value") * 2.0).alias("x"), (F.col("value") / 64.0).alias("y"), (F.col("value") / 50 - 1).alias("vis"), F.lit(2.0).alias("pres"))).select("event_id", *(F.floor(F.col(c) * 1e6 + 1e-3).cast("long").alias(c) for c in ("x", "y", "visibility")))
 on_gray("m07_resize_flow", lambda p: geometry.resize_flow(p.select("f", "y", "x", (F.col("v") / 8.0).alias("dx"), (F.col("x") - 4.0).alias("dy")), 8, 8, 12, 4))
 QUERIES["m02_point_priors"] = lambda s, d: detect.point_priors(s, 64)
@@ -418,6 +442,10 @@ def e20_hits(spark, d):
 
 
 QUERIES["e21_window_matches"] = lambda s, d: table(s, d, "part").select("p_partkey", events.window_matches(F.col("p_name"), "A", "self").alias("ok"))
+QUERIES["e20_wave_targets"] = lambda s, d: events.wave_targets(table(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 12 + 1).alias("wave")), "wave", F.col("c_custkey")).select(
+    "c_custkey", "wave", F.col("target").cast("int").alias("target"), *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("x", "y", "r", "vx", "vy")))
+QUERIES["e20_drift"] = lambda s, d: events.drift(stream(s, d).withColumn("dt", F.col("v") / 64.0), "user_id", ["seq"], "dt", F.lit(0.5), F.lit(16.0), 64, 0.0625, 0.9375).select(
+    "user_id", "seq", F.floor(F.col("at") * 4096).cast("long").alias("at"), F.col("v").cast("int").alias("v"))
 QUERIES["e22_spawn"] = lambda s, d: table(s, d, "customer").select("c_custkey", F.posexplode(events.spawn(F.col("c_custkey"), 4)).alias("i", "n"))
 QUERIES["e23_bitrate"] = lambda s, d: table(s, d, "part").select("p_partkey", events.bitrate(F.col("p_size") * 40, F.col("p_size") * 22, F.lit(30)).alias("kbps"))
 

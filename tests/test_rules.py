@@ -199,3 +199,36 @@ def test_face_points(spark):
     rows = [(1, 32, 0, 9.0, 9.0, 0.0, 0.0, 0.0, 0.0), (1, 32, 3, -9.0, 9.0, 0.0, 0.0, 0.0, 0.0)]
     got = detect.faces(spark.createDataFrame(rows, "frame int, stride int, i int, cls double, obj double, dx double, dy double, lw double, lh double"), 64, 1.0, 0.0, 0.0, 64, 64).collect()
     assert [(r.x1, r.y1, r.x2, r.y2) for r in got] == [(0.0, 0.0, 32.0, 32.0)]
+
+
+def test_hand_windows_and_joints(spark):
+    rows = [(1, 0, 10.0, 10.0, 30.0, 20.0, 3.0), (1, 1, 12.0, 10.0, 30.0, 20.0, 2.0), (1, 2, 180.0, 180.0, 6.0, 6.0, 0.0), (1, 3, 50.0, 50.0, 9.0, 9.0, -0.1), (2, 0, 0.0, 0.0, 150.0, 9.0, 1.0)]
+    raw = spark.createDataFrame(rows, "frame int, anchor int, x double, y double, bw double, bh double, logit double")
+    windows = detect.hands(raw, 384, 192)
+    # 1.6 * 60 = 96 around (50, 20); at least 32 around (366, 183); 480 is more than the frame.
+    assert sorted((r.frame, r.hand, r.left, r.top, r.side) for r in windows.collect()) == [(1, 0, 2, 0, 96), (1, 1, 350, 160, 32)]
+    points = spark.createDataFrame([(1, 0, 0, 0.5, 112.0), (1, 0, 1, 1.5, 1.6)], "frame int, hand int, joint int, x double, y double")
+    assert [(r.x, round(r.y, 4)) for r in detect.hand_joints(points, windows).orderBy("joint").collect()] == [(50.0, 48.0), (146.0, 0.6857)]
+
+
+def test_working_sizes(spark):
+    d = spark.createDataFrame([(1280, 720), (3840, 2160), (921600, 4)], "w int, h int")
+    assert [tuple(r) for r in d.select(*detect.work_size(F.col("w"), F.col("h"))).collect()] == [(1280, 720), (1280, 720), (460800, 64)]
+
+
+def test_blur_behind_keeps_what_the_matte_covers(spark):
+    p = px(spark, *((1, y, x, 200 if x < 2 else 0, 0, 0) for y in range(4) for x in range(4)))
+    whole = spark.createDataFrame([(1, y, x, 1.0) for y in range(2) for x in range(2)], "f long, y int, x int, a double")
+    assert colours(detect.blur_behind(p, whole, 2, 2, 4, 4)) == colours(p)
+    none = detect.blur_behind(p, whole.withColumn("a", F.lit(0.0)), 2, 2, 4, 4)
+    assert colours(none) == colours(stencil.gaussian(p, 4, 4, 6.0, ("r", "g", "b")))
+
+
+def test_targets_of_a_wave_and_their_way(spark):
+    got = events.wave_targets(spark.createDataFrame([(1, 10)], "k int, wave int"), "wave", F.lit(0))
+    assert got.count() == 12 and {r.r for r in got.collect()} == {15.0}
+    first = (10 * 7919 * 1103515245 + 12345) % 2**32
+    assert got.where("target = 0").first().x == 0.1 + (first >> 16) % 800 / 1000
+    d = spark.createDataFrame([(1, t, 1.0) for t in range(4)], "k int, t int, dt double")
+    out = events.drift(d, "k", ["t"], "dt", F.lit(0.5), F.lit(16.0), 64, 0.1, 0.9).orderBy("t").collect()
+    assert [(r.at, r.v) for r in out] == [(0.75, 16.0), (1.0, -16.0), (0.75, -16.0), (0.5, -16.0)]
