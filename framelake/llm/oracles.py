@@ -39,4 +39,34 @@ OP5 = rf"""WITH w AS (SELECT doc_id, source, text, {WORDS} AS w FROM documents),
  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (g > 0 AND (n_words - g < 50 OR n_words - g < 0.3e0 * n_words)) AS kept FROM f"""
 
-ORACLES = {"op1_superminhash": OP1, "op3_norm_buckets": OP3, "op5_line_frequency": OP5}
+_field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_leaf = lambda text: "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+_crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda z: 0::BIGINT)), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)")
+
+
+def _tree(name: str, first: str, levels: int = 6) -> str:
+    """Tables name0 to name<levels> (g, n, i, node) above `first`, x<name>k with what stands before (b) and after (a) a node in its run, and name_top (g, node)."""
+    side = lambda rows: f"coalesce(string_agg(node, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN {rows}), '')"
+    out = [f"{name}0 AS ({first})"]
+    out += [f"{name}{k + 1} AS (SELECT g, (any_value(n) + 15) // 16 AS n, i // 16 AS i, sha256(string_agg(node, '' ORDER BY i)) AS node FROM {name}{k} WHERE n > 1 GROUP BY g, i // 16)" for k in range(levels)]
+    out += [f"x{name}{k} AS (SELECT g, i, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a FROM {name}{k} WHERE n > 1)" for k in range(levels)]
+    return ", ".join([*out, f"{name}_top AS (" + " UNION ALL ".join(f"SELECT g, node FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")"])
+
+
+def _climb(rows: str, name: str, g: str, i: str, out: str, levels: int = 6) -> str:
+    """Tables that take rows with acc and sib up a tree: acc becomes the digest of its run, sib gets the siblings behind it."""
+    step = lambda k: (f"{out}{k} AS (SELECT p.* REPLACE (CASE WHEN x.g IS NULL THEN acc ELSE sha256(x.b || acc || x.a) END AS acc, sib || coalesce(x.b || x.a, '') AS sib) "
+                      f"FROM {out + str(k - 1) if k else rows} p LEFT JOIN x{name}{k} x ON x.g = p.{g} AND x.i = p.{i} // {16 ** k})")
+    return ", ".join(map(step, range(levels)))
+
+
+OP13 = (f"WITH r AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf('text')} AS node, CASE WHEN {_crc} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS t FROM documents), "
+        "l AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS i FROM r), "
+        f"{_tree('a', 'SELECT g, n, i, node FROM l')}, s AS (SELECT 'r' AS r, g AS s, node, count(*) OVER () AS n, row_number() OVER (ORDER BY g) - 1 AS j FROM a_top), "
+        f"{_tree('b', 'SELECT r AS g, n, j AS i, node FROM s')}, "
+        "p AS (SELECT l.doc_id, l.g, l.i, l.node AS leaf, s.r, s.j, s.node AS subroot, coalesce(l.t, l.node) AS acc, '' AS sib FROM l JOIN s ON s.s = l.g), "
+        f"{_climb('p', 'a', 'g', 'i', 'u')}, {_climb('u5', 'b', 'r', 'j', 'v')} "
+        "SELECT doc_id, leaf, subroot, b_top.node AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = b_top.node AS verified FROM v5 CROSS JOIN b_top")
+
+ORACLES = {"op1_superminhash": OP1, "op3_norm_buckets": OP3, "op5_line_frequency": OP5, "op13_merkle_manifest": OP13}
