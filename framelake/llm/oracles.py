@@ -39,6 +39,19 @@ OP5 = rf"""WITH w AS (SELECT doc_id, source, text, {WORDS} AS w FROM documents),
  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (g > 0 AND (n_words - g < 50 OR n_words - g < 0.3e0 * n_words)) AS kept FROM f"""
 
+_gram = lambda n: f"SELECT lang, array_to_string(w[i:i + {n - 1}], ' ') AS p, {n} AS k, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w) GROUP BY ALL"
+_part = lambda a, b: f"array_to_string(string_split(c.p, ' ')[{a}:{b}], ' ')"
+OP11 = rf"""WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM x),
+ g AS ({" UNION ALL ".join(_gram(n) for n in (1, 2, 3, 4))}), t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, p, k, f AS a FROM g WHERE k > 1 AND f >= 30),
+ s AS (SELECT c.lang, c.p, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.p = {_part('1', 'j')} JOIN g y ON y.lang = c.lang AND y.p = {_part('j + 1', 'c.k')}),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ u AS (SELECT lang, q, max(a) AS most FROM (SELECT lang, a, {_part('i', 'i + m - 1')} AS q FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) c) GROUP BY lang, q)
+ SELECT lang, rank, p AS phrase, a, l, r, n, score FROM (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, p) AS rank FROM b LEFT JOIN u ON u.lang = b.lang AND u.q = b.p
+  WHERE most IS NULL OR 100 * most < 80 * a) JOIN t USING (lang) WHERE rank <= 2000"""
+
 _field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
 _leaf = lambda text: "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
 _crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
@@ -69,4 +82,4 @@ OP13 = (f"WITH r AS (SELECT doc_id, coalesce('s' || source, 'n') AS g, {_leaf('t
         f"{_climb('p', 'a', 'g', 'i', 'u')}, {_climb('u5', 'b', 'r', 'j', 'v')} "
         "SELECT doc_id, leaf, subroot, b_top.node AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = b_top.node AS verified FROM v5 CROSS JOIN b_top")
 
-ORACLES = {"op1_superminhash": OP1, "op3_norm_buckets": OP3, "op5_line_frequency": OP5, "op13_merkle_manifest": OP13}
+ORACLES = {"op1_superminhash": OP1, "op3_norm_buckets": OP3, "op5_line_frequency": OP5, "op11_bucket_phrases": OP11, "op13_merkle_manifest": OP13}

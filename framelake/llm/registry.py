@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bytepairs, lm, manifest, neardup, oracles, packing, pieces, quality, secrets, suffixes, topk, urls
+from framelake.llm import bytepairs, lm, manifest, neardup, oracles, packing, phrases, pieces, quality, secrets, suffixes, topk, urls
 from framelake.llm.shared import ascii_lower
 
 #: Fixed rules of the URL query.
@@ -68,6 +68,10 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_bucket_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -79,5 +83,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op6_suffix_arrays, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing,
-    op13_merkle_manifest)}
+    op11_bucket_phrases, op13_merkle_manifest)}
 ORACLES = oracles.ORACLES
