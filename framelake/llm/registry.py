@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bytepairs, lm, manifest, neardup, oracles, packing, phrases, pieces, quality, secrets, suffixes, topk, urls
+from framelake.llm import bytepairs, lm, manifest, neardup, oracles, packing, phrases, pieces, quality, secrets, suffixes, topk, toxicity, urls
 from framelake.llm.shared import ascii_lower
 
 #: Fixed rules of the URL query.
@@ -72,6 +72,14 @@ def op11_bucket_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), usable=part != 0)
+    scores = toxicity.toxicity(docs, model)
+    return scores.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -83,5 +91,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op6_suffix_arrays, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing,
-    op11_bucket_phrases, op13_merkle_manifest)}
+    op11_bucket_phrases, op12_string_kernel, op13_merkle_manifest)}
 ORACLES = oracles.ORACLES
