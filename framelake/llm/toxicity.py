@@ -20,32 +20,38 @@ SYMBOLS = 27 + OTHERS
 LONG, STEP = 19, 10
 #: Three letters in order count if they lie within so many places; each place between them weighs DECAY.
 SPAN, DECAY = 6, 0.7
-#: Words of a part of a sentence: of one part, the worst, the sentence's score is made.
-WINDOW = 1
 
 _TRIPLES = np.array(sorted(((i, j, k) for i in range(LONG + 1) for j in range(i + 1, LONG + 1) for k in range(j + 1, LONG + 1) if k - i < SPAN), key=lambda t: t[2]))
 _WEIGHT = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] - 2.0)
 #: Triples of the words with so many symbols, the mark of the beginning among them.
 _OF_LENGTH = np.searchsorted(_TRIPLES[:, 2], np.arange(LONG + 2))
-_END = re.compile(r"[.!?]+(?=\s|$)|[\n\v\f\r]+")
 _MARK = re.compile(r"[^\w\s]|_")
-_SPELT = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of the parts of each sentence of a text, WINDOW words each.
+def words(text: str | None) -> list[str]:
+    """Words of a text in order, over all its sentences.
 
     Case, and marks inside or around words, are dropped; three and more single letters in a row are a word that is
     spelt out; a word of over LONG letters is read as overlapping parts.
     """
-    out = []
-    for s in _END.split(text.lower()) if text else ():
-        s = _MARK.sub("", s)
-        words = []
-        for w in _SPELT.sub(lambda m: "".join(m.group().split()), s).split():
-            words.extend([w] if len(w) <= LONG else (w[a:a + LONG] for a in range(0, len(w) - LONG + STEP, STEP)))
-        out.extend(words[a:a + WINDOW] for a in range(0, len(words), WINDOW))
-    return out
+    found = _MARK.sub("", text.lower()).split() if text else []
+    if not found:
+        return found
+    sizes = set(map(len, found))
+    if 1 in sizes:
+        joined, run = [], []
+        for w in (*found, ""):
+            if len(w) == 1:
+                run.append(w)
+                continue
+            if run:
+                joined.extend(["".join(run)] if len(run) > 2 else run)
+                run = []
+            joined.append(w)
+        found = joined[:-1]
+    if max(map(len, found)) > LONG:
+        found = [p for w in found for p in ([w] if len(w) <= LONG else (w[a:a + LONG] for a in range(0, len(w) - LONG + STEP, STEP)))]
+    return found
 
 
 def _subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,12 +98,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def _spread(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values from each of first to the next."""
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[np.append(first[1:], len(values))] - total[first]
-
-
 def _best(score: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """The n best scored places of each owner."""
     order = np.lexsort((-score, owner))
@@ -167,12 +167,12 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[str | None], labels: list[int], landmarks: int = 384, cost: float = 5000.0, rounds: int = 10, hard: int = 3) -> Model:
     """A model of texts labelled 1 or 0.
 
-    The kernel of two parts of sentences is the sum over their words. Only documents are labelled, so the machine
-    is trained in rounds: of a document of label 1 on the part that scores highest, of the others on the `hard`
+    A sentence is as toxic as its worst word, a text as its worst sentence. Only texts are labelled, so the machine
+    is trained in rounds: of a text of label 1 on the word that scores highest, of the others on the `hard`
     highest, which pile up. Landmarks are the words most typical of label 1 and the most frequent others.
     Without both labels the share of label 1 is the score.
     """
-    docs = [sentences(t) for t in texts]
+    docs = [sorted(set(words(t))) for t in texts]
     y = np.array(labels, np.int64)
     used = [i for i, d in enumerate(docs) if d]
     known = y[used]
@@ -180,39 +180,33 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 384, cost:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
         return Model(np.zeros(SYMBOLS**3), 0.0, 1e-3, float(np.log(share / (1 - share))) if share else -30.0)
     index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for i in used for s in docs[i] for w in s])
-    words = list(index)
-    lengths = np.array([len(s) for i in used for s in docs[i]])
-    first = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.array([index.setdefault(w, len(index)) for i in used for w in docs[i]])
+    names = list(index)
     owner = np.repeat(np.arange(len(used)), [len(docs[i]) for i in used])
-    pairs = np.unique(np.repeat(owner, lengths) * len(words) + flat)
-    by = np.bincount(pairs % len(words), known[pairs // len(words)], len(words))
-    other = np.bincount(pairs % len(words), minlength=len(words)) - by
+    by = np.bincount(flat, known[owner], len(names))
+    other = np.bincount(flat, minlength=len(names)) - by
     odds = np.log((by + 0.5) / (known.sum() + 1) / ((other + 0.5) / ((known == 0).sum() + 1)))
     typical = np.argsort(-by * odds, kind="stable")[:landmarks // 2]
     common = np.setdiff1d(np.argsort(-other, kind="stable")[:landmarks], typical)[:landmarks - len(typical)]
-    space = _Landmarks([words[i] for i in (*typical, *common)])
+    space = _Landmarks([names[i] for i in (*typical, *common)])
     value = np.clip(odds, -3, 3) * np.minimum(by + other, 5) / 5
     negatives, model = np.empty(0, np.int64), None
-    of_words, place = np.empty((0, space.root.shape[1]), np.float32), np.full(len(words), -1)
+    features, place = np.empty((0, space.root.shape[1]), np.float32), np.full(len(names), -1)
     for _ in range(rounds):
-        score = _spread(value[flat], first[:-1])
-        top, near = _best(score, owner, 1), _best(score, owner, hard)
-        positives = top[known[owner[top]] == 1]
+        top, near = _best(value[flat], owner, 1), _best(value[flat], owner, hard)
         negatives = np.union1d(negatives, near[known[owner[near]] == 0])
-        rows = np.concatenate([positives, negatives])
-        at = np.concatenate([np.arange(first[i], first[i + 1]) for i in rows])
-        new = np.unique(flat[at])
-        new = new[place[new] < 0]
-        place[new] = len(of_words) + np.arange(len(new))
-        of_words = np.vstack([of_words, space.features([words[i] for i in new])])
-        x = np.add.reduceat(of_words[place[flat[at]]], np.concatenate([[0], np.cumsum(lengths[rows])[:-1]]), axis=0).astype(np.float64)
-        sign = np.where(np.arange(len(rows)) < len(positives), 1.0, -1.0)
-        theta, offset = _squared_hinge(x, sign, np.where(sign > 0, cost / (2 * len(positives)), cost / (2 * len(negatives))))
+        (good, n_good), (bad, n_bad) = (np.unique(flat[at], return_counts=True) for at in (top[known[owner[top]] == 1], negatives))
+        rows = np.concatenate([good, bad])
+        new = np.unique(rows[place[rows] < 0])
+        place[new] = len(features) + np.arange(len(new))
+        features = np.vstack([features, space.features([names[i] for i in new])])
+        sign = np.where(np.arange(len(rows)) < len(good), 1.0, -1.0)
+        share = np.concatenate([n_good / (2 * n_good.sum()), n_bad / (2 * n_bad.sum())])
+        theta, offset = _squared_hinge(features[place[rows]].astype(np.float64), sign, cost * share)
         model = Model(space.collapsed(theta), offset, 1.0, 0.0)
-        value = model.words(words)
+        value = model.words(names)
     margin = np.full(len(used), -np.inf)
-    np.maximum.at(margin, owner, _spread(value[flat], first[:-1]) + model.offset)
+    np.maximum.at(margin, owner, value[flat] + model.offset)
     model.slope, model.shift = _logistic(margin, known)
     return model
 
@@ -239,12 +233,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id"
     return Model(np.frombuffer(r.triple, "<f4"), r.offset, r.slope, r.shift)
 
 
-def toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", words: int = 200_000) -> DataFrame:
-    """(id, score, part): the probability of label 1 by the worst part of a sentence in the whole text, and that part's words.
+def toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", held: int = 400_000) -> DataFrame:
+    """(id, score, worst): the probability of label 1 by the whole text's worst word, and that word.
 
-    Every part of a text is scored; a null or empty text, or one without words, scores like a sentence without words.
-    Repeated rows score alike, an empty table gives an empty result, other columns take no part. A worker keeps
-    the scores of up to `words` words; nothing is shuffled.
+    Every word of a text is scored; a null or empty text, or one without words, scores like a word of no landmark's
+    letters. Repeated rows score alike, an empty table gives an empty result, other columns take no part. A
+    worker keeps the scores of up to `held` words; nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -252,18 +246,13 @@ def toxicity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, known = sent.value, {}
         for f in frames:
-            margins, worst = [], []
-            for t in f["_text"]:
-                parts = sentences(t)
-                new = list({w for s in parts for w in s if w not in known})
-                if len(known) + len(new) > words:
-                    known.clear()
-                    new = list({w for s in parts for w in s})
-                known.update(zip(new, m.words(new).tolist()))
-                sums = [sum(map(known.__getitem__, s)) for s in parts]
-                best = max(range(len(sums)), key=sums.__getitem__) if sums else None
-                margins.append(m.offset + (sums[best] if sums else 0.0))
-                worst.append(" ".join(parts[best]) if sums else "")
-            yield pd.DataFrame({id: f["_id"], "score": m.probability(np.array(margins)), "part": worst})
+            texts = [set(words(t)) for t in f["_text"]]
+            if len(known) > held:
+                known.clear()
+            new = list(set().union(*texts).difference(known))
+            known.update(zip(new, m.words(new).tolist()))
+            worst = [max(t, key=lambda w: (known[w], w)) if t else "" for t in texts]
+            margin = m.offset + np.array([known[w] if w else 0.0 for w in worst])
+            yield pd.DataFrame({id: f["_id"], "score": m.probability(margin), "worst": worst})
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"`{id}` {kind}, score double, part string")
+    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"`{id}` {kind}, score double, worst string")
