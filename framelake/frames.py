@@ -59,11 +59,20 @@ def rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("f", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), *(_level(F.col(f"p.{n}")).alias(n) for n in "rgb"))
 
 
+def sizes(spark: SparkSession, frames: int, w: int, h: int) -> DataFrame:
+    """(f, w, h) of so many frames of one size."""
+    return spark.range(frames).select(F.col("id").alias("f"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+
+
+def pattern(frames: DataFrame) -> DataFrame:
+    """(f, y, x, w, v) with v = (x + y) & 255 in every frame (f, w, h)."""
+    rows = frames.select("f", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    return rows.select("f", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"), "w").withColumn("v", (F.col("x") + F.col("y")).bitwiseAND(255))
+
+
 def test_pattern(spark: SparkSession, frames: int, w: int, h: int) -> DataFrame:
-    """(f, y, x, v) with v = (x + y) & 255 in every frame."""
-    n = spark.range(frames * w * h)
-    y, x = F.floor(F.col("id") / w) % h, F.col("id") % w
-    return n.select(F.floor(F.col("id") / (w * h)).alias("f"), y.cast("int").alias("y"), x.cast("int").alias("x"), (x + y).bitwiseAND(255).cast("int").alias("v"))
+    """(f, y, x, v) of the pattern in so many frames of one size."""
+    return pattern(sizes(spark, frames, w, h)).drop("w")
 
 
 def ramp(spark: SparkSession, frames: int, w: int, h: int) -> DataFrame:
@@ -72,21 +81,20 @@ def ramp(spark: SparkSession, frames: int, w: int, h: int) -> DataFrame:
     return p.withColumn("v", (3 * F.col("x") + 5 * F.col("y") + 7 * F.col("f")).bitwiseAND(255).cast("int"))
 
 
-def colour_bars(spark: SparkSession, frames: int, w: int, h: int, step: int = 4) -> DataFrame:
-    """(f, y, x, r, g, b): seven vertical bars that move by `step` pixels a frame."""
+def colour_bars(frames: DataFrame, step: int = 4) -> DataFrame:
+    """(f, y, x, r, g, b): seven vertical bars that move by `step` pixels a frame, in frames (f, w, h)."""
     bars = ((255, 255, 255), (255, 255, 0), (0, 255, 255), (0, 255, 0), (255, 0, 255), (255, 0, 0), (0, 0, 255))
-    at = (F.floor((F.col("x") + F.col("f") * step) * 7 / w) % 7 + 1).cast("int")
-    p = test_pattern(spark, frames, w, h)
-    return p.select("f", "y", "x", *(F.element_at(F.array(*(F.lit(b[i]) for b in bars)), at).alias(n) for i, n in enumerate("rgb")))
+    at = (F.floor((F.col("x") + F.col("f") * step) * 7 / F.col("w")) % 7 + 1).cast("int")
+    return pattern(frames).select("f", "y", "x", *(F.element_at(F.array(*(F.lit(b[i]) for b in bars)), at).alias(n) for i, n in enumerate("rgb")))
 
 
-def colour_bars_planes(spark: SparkSession, frames: int, w: int, h: int, step: int = 4) -> DataFrame:
-    """(f, p, y, x, v): eight bars as luma and half-size chroma planes; a chroma sample takes the bar of its left upper pixel."""
+def colour_bars_planes(frames: DataFrame, step: int = 4) -> DataFrame:
+    """(f, p, y, x, v): eight bars as luma and half-size chroma planes of frames (f, w, h); a chroma sample takes the bar of its left upper pixel."""
     # Luma and the two chroma samples of each bar.
     bars = ((180, 128, 128), (168, 44, 136), (133, 29, 177), (87, 217, 146), (105, 120, 176), (63, 166, 88), (29, 154, 29), (16, 128, 128))
-    at = (F.floor((F.col("x") + F.col("f") * step) * 8 / w) % 8 + 1).cast("int")
+    at = (F.floor((F.col("x") + F.col("f") * step) * 8 / F.col("w")) % 8 + 1).cast("int")
     of = lambda p: F.element_at(F.array(*(F.lit(b[p]) for b in bars)), at)
-    return nv12(test_pattern(spark, frames, w, h), of(0), of(1), of(2))
+    return nv12(pattern(frames), of(0), of(1), of(2))
 
 
 def grid(frames: DataFrame, w: int, h: int) -> DataFrame:

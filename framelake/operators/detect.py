@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.frames import clamp
-from framelake.operators import geometry, stencil, tone
+from framelake.operators import geometry, packed, stencil, tone
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -92,6 +92,43 @@ def hand_joints(points: DataFrame, windows: DataFrame, size: float = 224.0) -> D
         "frame", "hand", "joint", (F.col("left") + share("x") * F.col("side")).alias("x"), (F.col("top") + share("y") * F.col("side")).alias("y"))
 
 
+def hand_crops(frames: DataFrame, windows: DataFrame, size: int = 224) -> DataFrame:
+    """(f, id, w, h, c, data): the square around every hand (frame, hand, left, top, side) cut from its frame and brought to a model's size; id is the hand."""
+    return packed.crops(frames, windows.select(F.col("frame").alias("f"), F.col("hand").cast("long").alias("id"), "left", "top", F.col("side").alias("side_w"), F.col("side").alias("side_h")), size)
+
+
+def eye_places(faces: DataFrame, w: int, h: int, side: int = 64, most: int = 4) -> DataFrame:
+    """(frame, id, box, eye, left, top, fw, score): a window of fixed size around both eyes of each face (frame, box, x1, y1, x2, y2, score), moved into the frame.
+
+    Eyes are numbered by their faces' order and their own, and the first `most` of a frame count; a frame smaller than a window has none.
+    """
+    fw, fh = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    eye = F.explode(F.array(*(F.struct(F.lit(i).alias("eye"), (F.col("x1") + s * fw).alias("cx")) for i, s in enumerate((0.3, 0.7)))))
+    trunc = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))
+    start = lambda c, most: F.least(F.greatest(F.lit(0), trunc(c - side / 2)), F.lit(most - side)).cast("int")
+    at = faces.where(F.lit(min(w, h) >= side)).select("frame", "box", "score", fw.alias("fw"), (F.col("y1") + 0.42 * fh).alias("cy"), eye.alias("e"))
+    no = F.row_number().over(Window.partitionBy("frame").orderBy("box", "e.eye")) - 1
+    return at.select("frame", no.cast("long").alias("id"), "box", "e.eye", start(F.col("e.cx"), w).alias("left"), start(F.col("cy"), h).alias("top"), "fw", "score").where(F.col("id") < most)
+
+
+def eye_crops(frames: DataFrame, places: DataFrame, side: int = 64) -> DataFrame:
+    """(f, id, w, h, c, data): the windows of eye_places cut from their frames."""
+    return packed.crops(frames, places.select(F.col("frame").alias("f"), "id", "left", "top", F.lit(side).alias("side_w"), F.lit(side).alias("side_h")))
+
+
+def gaze(points: DataFrame, places: DataFrame, side: int = 64) -> DataFrame:
+    """(frame, id, cx, cy, er, dx, dy, score) from the iris points (frame, id, point, x, y) that a model finds in eye windows.
+
+    An iris is the mean of its points; one outside its window goes. The gaze is the unit vector from the window's
+    middle, zero within a thousandth of it; er is 0.16 of the face's width, 6 at least.
+    """
+    iris = points.groupBy("frame", "id").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y")).where(f"_x >= 0 and _x < {side} and _y >= 0 and _y < {side}")
+    dx, dy = F.col("_x") - side / 2, F.col("_y") - side / 2
+    far = F.sqrt(dx * dx + dy * dy)
+    unit = lambda c: F.when(far > 1e-3, c / F.when(far > 1e-3, far).otherwise(1.0)).otherwise(0.0)
+    return places.join(iris, ["frame", "id"]).select("frame", "id", (F.col("left") + F.col("_x")).alias("cx"), (F.col("top") + F.col("_y")).alias("cy"), F.greatest(F.lit(6.0), 0.16 * F.col("fw")).alias("er"), unit(dx).alias("dx"), unit(dy).alias("dy"), "score")
+
+
 def blur_behind(rgb: DataFrame, alpha: DataFrame, aw: int, ah: int, w: int, h: int, sigma: float = 6.0) -> DataFrame:
     """rgb over its own blur by a matte alpha (f, y, x, a) of a model's working size, brought to the frame's."""
     return tone.composite_alpha(rgb, stencil.gaussian(rgb, w, h, sigma, geometry.RGB), geometry.resize_bilinear(alpha, aw, ah, w, h, ("a",), whole=False))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.frames import clamp, grid, rounded
+from framelake.operators import packed
 
 RGB = ("r", "g", "b")
 
@@ -212,22 +214,44 @@ def draw_discs(px: DataFrame, discs: DataFrame) -> DataFrame:
     return px.join(top, ["f", "y", "x"], "left").select("f", "y", "x", *(F.coalesce(F.col(f"c.{n}"), F.col(n)).alias(n) for n in RGB))
 
 
-def redirect_eyes(px: DataFrame, eyes: DataFrame, w: int, h: int, strength: float = 0.5, most: int = 2) -> DataFrame:
-    """Irises drawn back to the middle of eyes (f, eye, cx, cy, er, dx, dy, score), one after the other by their number from 0.
+def redirect_eyes(px: DataFrame, eyes: DataFrame, w: int, h: int, strength: float = 0.5) -> DataFrame:
+    """Irises drawn back to the middle of eyes (f, eye, cx, cy, er, dx, dy, score): pixels as redirect_eyes_frames has frames."""
+    return packed.unpack(redirect_eyes_frames(packed.pack(px, w, h), eyes, strength))
+
+
+def redirect_eyes_frames(frames: DataFrame, eyes: DataFrame, strength: float = 0.5) -> DataFrame:
+    """frames with all eyes (f, eye, cx, cy, er, dx, dy, score) of each drawn back, one after the other by their number.
 
     Inside an eye's circle a pixel is read from up to 0.45 of the radius along the gaze, less towards the rim,
-    bilinear; the frame is read once for each eye of a frame. Eyes that score under 0.4 are passed over.
+    bilinear. Eyes that score under 0.4 are passed over.
     """
-    strength = min(strength, 1.0)
-    for n in range(most):
-        one = eyes.where((F.col("eye") == n) & (F.col("score") >= 0.4)).select("f", "cx", "cy", "er", "dx", "dy")
-        at = px.join(one, "f", "left").withColumn("_d2", ((F.col("x") - F.col("cx")) / F.col("er")) ** 2 + ((F.col("y") - F.col("cy")) / F.col("er")) ** 2)
-        inside = F.coalesce(F.col("_d2") < 1, F.lit(False))
-        d = F.sqrt("_d2")
-        pull = 0.45 * strength * F.col("er") * (1 - d * d * (3 - 2 * d))
-        cells = at.where(inside).select("f", "y", "x", clamp(F.col("x") + F.col("dx") * pull, 0, w - 1).alias("_fx"), clamp(F.col("y") + F.col("dy") * pull, 0, h - 1).alias("_fy"))
-        px = at.where(~inside).select("f", "y", "x", *RGB).unionByName(_summed(px, _bilinear_taps(cells, w, h), RGB))
-    return px
+    places = ("cx", "cy", "er", "dx", "dy")
+    per = eyes.where("score >= 0.4").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("eye", *(F.col(c).cast("double").alias(c) for c in places)))).alias("_eyes"))
+    share = 0.45 * min(strength, 1.0)
+
+    def drawn(frame: np.ndarray, cx: float, cy: float, er: float, dx: float, dy: float) -> np.ndarray:
+        h, w = frame.shape[:2]
+        y, x = np.mgrid[0:h, 0:w]
+        d2 = ((x - cx) / er) ** 2 + ((y - cy) / er) ** 2
+        y, x = np.nonzero(d2 < 1)
+        d = np.sqrt(d2[y, x])
+        pull = share * er * (1 - d * d * (3 - 2 * d))
+        fx, fy = np.clip(x + dx * pull, 0, w - 1), np.clip(y + dy * pull, 0, h - 1)
+        x0, y0 = np.floor(fx).astype(int), np.floor(fy).astype(int)
+        x1, y1, ax, ay = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1), fx - x0, fy - y0
+        taps = ((y0, x0, (1 - ax) * (1 - ay)), (y0, x1, ax * (1 - ay)), (y1, x0, (1 - ax) * ay), (y1, x1, ax * ay))
+        out = frame.copy()
+        out[y, x] = packed.quantised(sum(frame[j, i] * k[:, None] for j, i, k in taps))
+        return out
+
+    def run(stack: np.ndarray, rows) -> list[np.ndarray]:
+        out = []
+        for frame, found in zip(stack, rows.column("_eyes").to_pylist()):
+            for e in found or ():
+                frame = drawn(frame, *(e[c] for c in places))
+            out.append(frame)
+        return out
+    return packed.map_each(frames.join(per, "f", "left"), run).drop("_eyes")
 
 
 #: The 3 x 5 font. Five rows from the top, the leftmost dot has value 4.

@@ -52,16 +52,15 @@ def ring(px: DataFrame, size: int = 5) -> DataFrame:
     return px.withColumn("window", F.collect_list("v").over(w)).where(F.size("window") == size).select("f", *PIXEL, "window")
 
 
-def stabilise(motion: DataFrame, factor: float = 0.8, camera: str | None = None) -> DataFrame:
+def stabilise(motion: DataFrame, factor: float = 0.8, camera: str = "camera") -> DataFrame:
     """(camera, f, sx, sy): mean motion (camera, f, dx, dy) smoothed recursively and cut to integers, so slow drift never registers.
 
     The fold runs over one row a frame, a camera's history in one row of small structs.
     """
-    key = camera or "_k"
     trunc = lambda c: F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("int")
-    m = (motion if camera else motion.withColumn("_k", F.lit(0))).withColumn("m", F.struct("dx", "dy"))
+    m = motion.withColumn("m", F.struct("dx", "dy"))
     step = lambda s, v: F.struct(trunc(factor * s["x"] + (1 - factor) * v["dx"]).alias("x"), trunc(factor * s["y"] + (1 - factor) * v["dy"]).alias("y"))
-    return fold(m, [key], ["f"], "m", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")), step).select(*([camera] if camera else []), "f", F.col("out.x").alias("sx"), F.col("out.y").alias("sy"))
+    return fold(m, [camera], ["f"], "m", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")), step).select(camera, "f", F.col("out.x").alias("sx"), F.col("out.y").alias("sy"))
 
 
 def interpolate(px: DataFrame, channels: tuple[str, ...] = ("v",)) -> DataFrame:
@@ -77,7 +76,7 @@ def with_previous(px: DataFrame) -> DataFrame:
     return px.join(prev, ["f", *PIXEL])
 
 
-def auto_frame(faces: DataFrame, w: int, h: int, camera: str | None = None, zoom: float = 2.0, gain: float = 0.12, dead_move: float = 5.0, dead_size: float = 4.0, min_score: float = 0.4) -> DataFrame:
+def auto_frame(faces: DataFrame, w: int, h: int, camera: str = "camera", zoom: float = 2.0, gain: float = 0.12, dead_move: float = 5.0, dead_size: float = 4.0, min_score: float = 0.4) -> DataFrame:
     """(camera, f, left, top, w, h): a smoothed window that follows the best face (f, x1, y1, x2, y2, score) of each frame of a camera.
 
     The target is `zoom` times the face, at most the frame, a tenth of its height above the face's centre. The
@@ -85,23 +84,22 @@ def auto_frame(faces: DataFrame, w: int, h: int, camera: str | None = None, zoom
     more. The window is kept inside the frame. A frame without a face keeps the state and shows the whole
     frame, as does one whose even-sized window is under 16 pixels.
     """
-    key = camera or "_k"
-    best = (faces if camera else faces.withColumn("_k", F.lit(0))).groupBy(key, "f").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "score"), F.struct("score", -F.col("x1"), -F.col("y1"))).alias("b"))
+    best = faces.groupBy(camera, "f").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "score"), F.struct("score", -F.col("x1"), -F.col("y1"))).alias("b"))
     at = lambda c: F.col(f"b.{c}").cast("double")
     tw, th = (F.least((at(b) - at(a)) * zoom, F.lit(float(most))) for a, b, most in (("x1", "x2", w), ("y1", "y2", h)))
     target = F.struct(((at("x1") + at("x2")) / 2 - tw / 2).alias("x"), ((at("y1") + at("y2")) / 2 - 0.1 * th - th / 2).alias("y"), tw.alias("w"), th.alias("h"))
-    t = best.select(key, "f", F.when(F.col("b.score") > min_score, target).alias("t"))
+    t = best.select(camera, "f", F.when(F.col("b.score") > min_score, target).alias("t"))
 
     def step(s: Column, v: Column) -> Column:
         moved = {c: F.when(s[c].isNull(), v[c]).when(F.abs(v[c] - s[c]) < dead, s[c]).otherwise(s[c] + (v[c] - s[c]) * gain) for c, dead in (("x", dead_move), ("y", dead_move), ("w", dead_size), ("h", dead_size))}
         size = {"w": F.least(moved["w"], F.lit(float(w))), "h": F.least(moved["h"], F.lit(float(h)))}
         place = {c: F.least(F.greatest(moved[c], F.lit(0.0)), most - size[n]) for c, n, most in (("x", "w", w), ("y", "h", h))}
         return F.when(v.isNull(), s).otherwise(F.struct(*(c.alias(n) for n, c in (place | size).items())))
-    out = fold(t, [key], ["f"], "t", F.struct(*(F.lit(None).cast("double").alias(c) for c in "xywh")), step)
+    out = fold(t, [camera], ["f"], "t", F.struct(*(F.lit(None).cast("double").alias(c) for c in "xywh")), step)
     cw, ch = (F.floor(F.floor(F.col(f"out.{c}")) / 2) * 2 for c in "wh")
     shown = F.col("t").isNotNull() & (cw >= 16) & (ch >= 16)
     cells = {"left": (F.floor("out.x"), 0), "top": (F.floor("out.y"), 0), "w": (cw, w), "h": (ch, h)}
-    return out.select(*([camera] if camera else []), "f", *(F.when(shown, c).otherwise(whole).cast("int").alias(n) for n, (c, whole) in cells.items()))
+    return out.select(camera, "f", *(F.when(shown, c).otherwise(whole).cast("int").alias(n) for n, (c, whole) in cells.items()))
 
 
 def every_nth(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:

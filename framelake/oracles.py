@@ -6,10 +6,11 @@ import math
 
 from framelake.operators.geometry import FONT
 
-GRAY = """gray AS (SELECT e.vec_id AS f, (i // 8)::INT AS y, (i % 8)::INT AS x,
- floor(least(255e0, greatest(0e0, (e.embedding[i + 1]::DOUBLE + 0.6e0) / 1.2e0 * 255e0)) + 0.5e0)::INT AS v FROM embeddings e, range(64) t(i))"""
-COLOUR = GRAY + """, rgb AS (SELECT a.f // 3 AS f, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM gray a
- JOIN gray b ON b.f = a.f + 1 AND b.y = a.y AND b.x = a.x JOIN gray c ON c.f = a.f + 2 AND c.y = a.y AND c.x = a.x WHERE a.f % 3 = 0)"""
+_level = "floor(least(255e0, greatest(0e0, ({}::DOUBLE + 0.6e0) / 1.2e0 * 255e0)) + 0.5e0)::INT".format
+GRAY = f"gray AS MATERIALIZED (SELECT e.vec_id AS f, (i // 8)::INT AS y, (i % 8)::INT AS x, {_level('e.embedding[i + 1]')} AS v FROM embeddings e, range(64) t(i))"
+# Three embeddings come together by one grouping, before they are laid out: no join for an optimiser to order.
+COLOUR = (f"{GRAY}, rgb AS MATERIALIZED (SELECT f, (i // 8)::INT AS y, (i % 8)::INT AS x, {', '.join(f'{_level(f'e[{k}][i + 1]')} AS {c}' for k, c in enumerate('rgb', 1))} FROM "
+          "(SELECT vec_id // 3 AS f, list(embedding ORDER BY vec_id) AS e FROM embeddings GROUP BY ALL HAVING count(*) = 3), range(64) t(i))")
 LUMA = "(0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b)"
 
 
@@ -72,7 +73,7 @@ O["c07_rgb_to_planes_integer"] = rgb(planes("(((66*r+129*g+25*b+128) >> 8) + 16)
 def from_planes(l: str, u: str, w: str) -> str:
     back = {"r": f"{l} + 1.5748e0 * {w}", "g": f"{l} - 0.1873e0 * {u} - 0.4681e0 * {w}", "b": f"{l} + 1.8556e0 * {u}"}
     cols = ", ".join(f"{t(unit(e) + ' * 255e0')} AS {c}" for c, e in back.items())
-    return (f"WITH {COLOUR}, p AS ({FULL}) SELECT a.f, a.y, a.x, {cols} FROM p a JOIN p u ON u.p = 1 AND u.f = a.f AND u.y = a.y // 2 AND u.x = a.x // 2 "
+    return (f"WITH {COLOUR}, p AS MATERIALIZED ({FULL}) SELECT a.f, a.y, a.x, {cols} FROM p a JOIN p u ON u.p = 1 AND u.f = a.f AND u.y = a.y // 2 AND u.x = a.x // 2 "
             f"JOIN p w ON w.p = 2 AND w.f = a.f AND w.y = a.y // 2 AND w.x = a.x // 2 WHERE a.p = 0")
 
 
@@ -81,7 +82,7 @@ O["c02_planes_to_rgb_limited"] = from_planes("(greatest(a.v - 16, 0) / 219e0)",
 O["c10_swap"] = rgb("SELECT f, y, x, b AS r, g, r AS b FROM rgb")
 REINHARD = lambda c, peak: t(f"({c} / 255e0 * 100e0 / {peak}e0) / (1e0 + {c} / 255e0 * 100e0 / {peak}e0) * 255e0")
 O["c11_pq_to_sdr"] = each(lambda c: REINHARD(c, 100))
-O["c12_yuy2"] = (f"WITH {COLOUR}, p AS ({FULL}) SELECT a.f, a.y, (a.x // 2)::INT AS x2, a.v AS y0, u.v AS u, b.v AS y1, w.v AS w FROM p a JOIN p b ON b.p = 0 AND b.f = a.f AND b.y = a.y AND b.x = a.x + 1 "
+O["c12_yuy2"] = (f"WITH {COLOUR}, p AS MATERIALIZED ({FULL}) SELECT a.f, a.y, (a.x // 2)::INT AS x2, a.v AS y0, u.v AS u, b.v AS y1, w.v AS w FROM p a JOIN p b ON b.p = 0 AND b.f = a.f AND b.y = a.y AND b.x = a.x + 1 "
                  "JOIN p u ON u.p = 1 AND u.f = a.f AND u.y = a.y // 2 AND u.x = a.x // 2 JOIN p w ON w.p = 2 AND w.f = a.f AND w.y = a.y // 2 AND w.x = a.x // 2 WHERE a.p = 0 AND a.x % 2 = 0")
 O["c13_luminance"] = rgb(f"SELECT f, y, x, {r(LUMA)} AS v FROM rgb")
 O["c14_channels"] = rgb("SELECT f, y, x, b AS r, g, b FROM rgb")
@@ -105,9 +106,10 @@ _out = lambda e: r(unit(e) + " * 255e0")
 _linear = lambda c, k, b: f"({_in(c)} * {k}e0 + {b}e0)"
 _faded = {c: _linear(c, *k) for c, k in {"r": (0.95, 0.05), "g": (0.92, 0.04), "b": (0.85, 0.06)}.items()}
 _grayed = f"(0.299e0 * {_faded['r']} + 0.587e0 * {_faded['g']} + 0.114e0 * {_faded['b']})"
-O["p10_lut"] = (f"WITH {LUTGRID} SELECT ri, gi, bi, {_out(_in('r') + f' * 1.05e0 + CASE WHEN {_in('r')} > 0.5e0 THEN 0.03e0 ELSE -0.01e0 END')} AS r, {_out(_in('g') + ' * 0.98e0')} AS g, "
+O["p10_lut"] = (f"WITH {LUTGRID}, looks AS (SELECT ri, gi, bi, {_out(_in('r') + f' * 1.05e0 + CASE WHEN {_in('r')} > 0.5e0 THEN 0.03e0 ELSE -0.01e0 END')} AS r, {_out(_in('g') + ' * 0.98e0')} AS g, "
                 f"{_out(_in('b') + f' * 1.08e0 + CASE WHEN {_in('b')} < 0.5e0 THEN 0.04e0 ELSE -0.01e0 END')} AS b, 'cinematic' AS preset FROM grid UNION ALL SELECT ri, gi, bi, "
-                + ", ".join(_out(f"{_faded[c]} + ({_grayed} - {_faded[c]}) * 0.2e0") for c in "rgb") + ", 'vintage' FROM grid")
+                + ", ".join(_out(f"{_faded[c]} + ({_grayed} - {_faded[c]}) * 0.2e0") for c in "rgb")
+                + ", 'vintage' FROM grid) SELECT c_custkey, preset, r, g, b FROM customer JOIN looks ON preset = CASE WHEN c_nationkey % 2 = 0 THEN 'cinematic' ELSE 'vintage' END AND ri = c_custkey % 17 AND gi = c_custkey * 3 % 17 AND bi = c_custkey * 7 % 17")
 _cell = ", ".join(f"least(floor({c} / 255e0 * 16e0), 15)::INT AS {c}0, {c} / 255e0 * 16e0 - least(floor({c} / 255e0 * 16e0), 15) AS {c}f" for c in "rgb")
 _weights = " * ".join(f"(CASE WHEN d{c} = 1 THEN {c}f ELSE 1e0 - {c}f END)" for c in "rgb")
 O["p09_apply_lut"] = (f"WITH {COLOUR}, {LUTGRID}, lut AS (SELECT ri, gi, bi, {_out(_linear('r', 1.1, 0.02))} AS lr, {_out(_linear('g', 1.02, 0.01))} AS lg, {_out(_in('b') + ' * 0.9e0')} AS lb FROM grid), "
@@ -146,7 +148,7 @@ def gathered(w: int, h: int, sx: str, sy: str, fill=(0, 0, 0), source: str = "rg
 
 geo = lambda body: f"WITH {COLOUR}{FRAMES} {body}"
 O["g01_crop"] = geo(gathered(6, 5, "c.x + 4", "c.y + 2"))
-O["g02_crop_planes"] = (f"WITH {COLOUR}{FRAMES}, p AS ({FULL}) SELECT c.f, 0 AS p, c.y, c.x, coalesce(p.v, 16) AS v FROM {cells(6, 6)} c LEFT JOIN p ON p.p = 0 AND p.f = c.f AND p.x = c.x + 4 AND p.y = c.y + 2 UNION ALL "
+O["g02_crop_planes"] = (f"WITH {COLOUR}{FRAMES}, p AS MATERIALIZED ({FULL}) SELECT c.f, 0 AS p, c.y, c.x, coalesce(p.v, 16) AS v FROM {cells(6, 6)} c LEFT JOIN p ON p.p = 0 AND p.f = c.f AND p.x = c.x + 4 AND p.y = c.y + 2 UNION ALL "
                         f"SELECT c.f, k, c.y, c.x, coalesce(p.v, 128) FROM {cells(3, 3)} c CROSS JOIN (VALUES (1), (2)) t(k) LEFT JOIN p ON p.p = k AND p.f = c.f AND p.x = c.x + 2 AND p.y = c.y + 1")
 O["g03_pad"] = geo(gathered(12, 10, "c.x - 2", "c.y - 1", (10, 20, 30)))
 O["g04_flip"] = rgb("SELECT f, 7 - y AS y, 7 - x AS x, r, g, b FROM rgb")
@@ -188,8 +190,8 @@ def composed(p: str, tiles: str, tw: int, th: int, sw: int, sh: int, w: int, h:
 
 
 O["g14_compose"] = f"WITH {GRAY}, l AS (SELECT r_regionkey AS n, r_regionkey AS f, (r_regionkey % 3) * 10 AS dx, r_regionkey // 3 * 9 AS dy FROM region WHERE r_regionkey <> 2) {composed('gray', 'l', 12, 10, 8, 8, 30, 20)}"
-_plane = lambda k, n: f"SELECT {k} AS p, y, x, v FROM ({composed(f'(SELECT * FROM p WHERE p = {k})', n, *((12, 10, 8, 8, 24, 20) if k == 0 else (6, 5, 4, 4, 12, 10)))})"
-O["g14_compose_planes"] = (f"WITH {COLOUR}, p AS ({FULL}), l AS (SELECT n_nationkey AS n, n_nationkey * 3 AS f, (n_nationkey % 2) * 12 AS dx, n_nationkey // 2 * 10 AS dy FROM nation WHERE n_nationkey < 4), "
+_plane = lambda k, n: f"SELECT {k} AS p, y, x, v FROM ({composed(f'(SELECT * FROM p WHERE p = {k})', n, *((12, 10, 8, 8, 60, 50) if k == 0 else (6, 5, 4, 4, 30, 25)))})"
+O["g14_compose_planes"] = (f"WITH {COLOUR}, p AS MATERIALIZED ({FULL}), l AS (SELECT n_nationkey AS n, n_nationkey * 3 AS f, (n_nationkey % 5) * 12 AS dx, n_nationkey // 5 * 10 AS dy FROM nation), "
                            f"l2 AS (SELECT n, f, dx // 2 AS dx, dy // 2 AS dy FROM l) {_plane(0, 'l')} UNION ALL {_plane(1, 'l2')} UNION ALL {_plane(2, 'l2')}")
 O["g15_grid"] = ("SELECT n_nationkey, CASE WHEN k <= 1 THEN 1 WHEN k <= 4 THEN 2 WHEN k <= 9 THEN 3 ELSE 4 END::INT AS cols, CASE WHEN k <= 2 THEN 1 WHEN k <= 6 THEN 2 WHEN k <= 9 THEN 3 ELSE 4 END::INT AS rows FROM (SELECT n_nationkey, n_nationkey % 17 AS k FROM nation)")
 O["g16_pip_box"] = ("SELECT p_partkey, bw AS box_w, bh AS box_h, w - bw - 12 AS box_x, h - bh - 12 AS box_y, w - bw - 12 >= 3 AND h - bh - 12 >= 3 AS ok FROM (SELECT *, least(320, greatest(96, w // 6 & ~1))::INT AS bw, least(240, greatest(72, h // 6 & ~1))::INT AS bh "
@@ -233,8 +235,9 @@ def motion(search: int) -> str:
 O["n09_block_motion"] = f"WITH {GRAY}, {motion(2)} SELECT f, \"by\", bx, dy, dx FROM motion"
 _mean = "mean AS (SELECT f, trunc(sum(dx) / count(*)::DOUBLE)::INT AS dx, trunc(sum(dy) / count(*)::DOUBLE)::INT AS dy FROM motion GROUP BY f)"
 O["a05_mean_motion"] = f"WITH {GRAY}, {motion(2)}, {_mean} SELECT f, dx, dy FROM mean"
-O["t04_stabilise"] = (f"WITH RECURSIVE {GRAY}, {motion(4)}, {_mean}, o AS (SELECT *, row_number() OVER (ORDER BY f) AS k FROM mean), s AS (SELECT k, f, trunc(0.8e0 * 0 + (1 - 0.8e0) * dx)::INT AS sx, trunc(0.8e0 * 0 + (1 - 0.8e0) * dy)::INT AS sy FROM o WHERE k = 1 UNION ALL "
-                      "SELECT o.k, o.f, trunc(0.8e0 * s.sx + (1 - 0.8e0) * o.dx)::INT, trunc(0.8e0 * s.sy + (1 - 0.8e0) * o.dy)::INT FROM s JOIN o ON o.k = s.k + 1) SELECT f, sx, sy FROM s")
+_way = lambda last, now: f"trunc(0.8e0 * {last} + (1 - 0.8e0) * {now})::INT"
+O["t04_stabilise"] = (f"WITH RECURSIVE {GRAY}, {motion(4)}, {_mean}, o AS (SELECT *, f // 25 AS camera, row_number() OVER (PARTITION BY f // 25 ORDER BY f) AS k FROM mean), s AS (SELECT camera, k, f, {_way('0', 'dx')} AS sx, {_way('0', 'dy')} AS sy FROM o WHERE k = 1 UNION ALL "
+                      f"SELECT o.camera, o.k, o.f, {_way('s.sx', 'o.dx')}, {_way('s.sy', 'o.dy')} FROM s JOIN o ON o.camera = s.camera AND o.k = s.k + 1) SELECT camera, f, sx, sy FROM s")
 
 # Histograms.
 def tiled(side: int, clip: float, source: str = "gray") -> str:
@@ -250,12 +253,13 @@ def levelled(source: str) -> str:
     w = lambda c, o: f"(CASE WHEN {o} = 1 THEN (g.{c} % 4) / 4e0 ELSE 1e0 - (g.{c} % 4) / 4e0 END)"
     return (f"SELECT c.f, c.y, c.x, {r('sum(k * cdf)')} AS v FROM (SELECT g.f, g.y, g.x, g.v, least(1, g.y // 4 + j) AS ty, least(1, g.x // 4 + i) AS tx, {w('y', 'j')} * {w('x', 'i')} AS k FROM {source} g, range(2) a(j), range(2) b(i)) c "
             "JOIN tab t ON t.f = c.f AND t.ty = c.ty AND t.tx = c.tx AND t.v = c.v GROUP BY c.f, c.y, c.x")
-O["a01_tile_tables"] = f"WITH {GRAY}, {tiled(4, 3.0, '(SELECT * FROM gray WHERE f < 100)')} SELECT f, ty, tx, v, cdf FROM tab"
-O["a01_tile_tables_wide"] = f"WITH {GRAY}, {tiled(8, 12.0, '(SELECT * FROM gray WHERE f < 100)')} SELECT f, ty, tx, v, cdf FROM tab"
+_sums = "SELECT f, ty, tx, count(*) AS n, sum(cdf)::BIGINT AS total, sum(cdf * v)::BIGINT AS weighed FROM tab GROUP BY f, ty, tx"
+O["a01_tile_tables"] = f"WITH {GRAY}, {tiled(4, 3.0)} {_sums}"
+O["a01_tile_tables_wide"] = f"WITH {GRAY}, {tiled(8, 12.0)} {_sums}"
 O["a03_equalise"] = f"WITH {GRAY}, {tiled(4, 3.0)} {levelled('gray')}"
 O["a03_equalise_rgb"] = (f"WITH {COLOUR}, lum AS (SELECT f, y, x, {r(LUMA)} AS v FROM rgb), {tiled(4, 40.0, 'lum')}, e AS ({levelled('lum')}) SELECT f, y, x, "
                          + ", ".join(f"{r(f'{c} * (e.v / greatest(lum.v, 1)::DOUBLE)')} AS {c}" for c in "rgb") + " FROM rgb JOIN lum USING (f, y, x) JOIN e USING (f, y, x)")
-O["a03_equalise_planes"] = f"WITH {COLOUR}, p AS ({FULL}), lum AS (SELECT f, y, x, v FROM p WHERE p = 0), {tiled(4, 40.0, 'lum')} SELECT f, 0 AS p, y, x, v FROM ({levelled('lum')}) UNION ALL SELECT f, p, y, x, v FROM p WHERE p > 0"
+O["a03_equalise_planes"] = f"WITH {COLOUR}, p AS MATERIALIZED ({FULL}), lum AS (SELECT f, y, x, v FROM p WHERE p = 0), {tiled(4, 40.0, 'lum')} SELECT f, 0 AS p, y, x, v FROM ({levelled('lum')}) UNION ALL SELECT f, p, y, x, v FROM p WHERE p > 0"
 O["a04_normalise_depth"] = gray("SELECT g.f, y, x, CASE WHEN v = 200 OR hi - lo <= 1e-6 THEN 0 ELSE floor((v / 7e0 - lo) / (hi - lo) * 1000e0 + 1e-7) END::INT AS d FROM gray g JOIN (SELECT f, min(v / 7e0) AS lo, max(v / 7e0) AS hi FROM gray WHERE v <> 200 GROUP BY f) e ON e.f = g.f")
 _milli = lambda e: f"floor(({e}) * 1000e0 + 1e-6)::BIGINT"
 O["a06_sampled_mean"] = gray(f"SELECT f, {_milli('avg(v)')} AS mean FROM gray WHERE (y * 8 + x) % 13 = 0 GROUP BY f")
@@ -301,7 +305,8 @@ _iou = f"CASE WHEN {_iw} <= 0 OR {_ih} <= 0 THEN 0e0 ELSE ({_iw} * {_ih})::DOUBL
 O["m14_iou"] = box(f"SELECT a.frame, a.box AS p, b.box AS q, floor(({_iou}) * 1e6 + 1e-6)::BIGINT AS iou FROM bx a JOIN bx b ON b.frame = a.frame AND a.box < b.box")
 O["m01_best_class"] = box("SELECT frame, cls, score FROM (SELECT frame, cls, score, row_number() OVER (PARTITION BY frame ORDER BY score DESC, cls) AS k FROM bx) WHERE k = 1 AND score >= 2000000")
 O["m01_unletterbox"] = box("SELECT * FROM (SELECT frame, box, " + ", ".join(f"least({m}e0, greatest(0e0, ({c}::DOUBLE - {p}e0) / 0.5e0)) AS {c}" for c, p, m in (("x1", 0, 640), ("y1", 80, 480), ("x2", 0, 640), ("y2", 80, 480))) + " FROM bx) WHERE x2 > x1 AND y2 > y1")
-O["m02_point_priors"] = " UNION ALL ".join(f"SELECT {s} AS stride, i::INT AS i, (i % {64 // s} + 0.5e0) * {s} AS px, (i // {64 // s} + 0.5e0) * {s} AS py FROM range({(64 // s) ** 2}) t(i)" for s in (8, 16, 32))
+O["m02_point_priors"] = ("SELECT stride::INT AS stride, i::INT AS i, event_id, (i % (64 // stride) + 0.5e0) * stride AS px, (i // (64 // stride) + 0.5e0) * stride AS py FROM "
+                         "(SELECT event_id, [8, 16, 32][event_id % 3 + 1] AS stride, user_id % 16 AS i FROM events) WHERE i < (64 // stride) * (64 // stride)")
 O["m04_eye_windows"] = box("SELECT frame, box, e::INT AS eye, floor((x1 + (CASE WHEN e = 0 THEN 0.3e0 ELSE 0.7e0 END) * (x2 - x1)) * 100 + 1e-6)::BIGINT AS cx, floor((y1 + 0.42e0 * (y2 - y1)) * 100 + 1e-6)::BIGINT AS cy, floor(greatest(6e0, 0.16e0 * (x2 - x1)) * 100 + 1e-6)::BIGINT AS radius FROM bx, range(2) t(e)")
 O["m13_label_place"] = box("SELECT frame, box, (CASE WHEN y1 >= 12 THEN y1 - 12 WHEN y2 + 12 <= 480 THEN y2 ELSE 0 END)::INT AS at FROM bx")
 O["m15_suppress"] = (f"WITH RECURSIVE {BOXES}, o AS (SELECT frame, box, x1 % 100 AS x1, y1, x1 % 100 + 150 AS x2, y2, score, cls, row_number() OVER (PARTITION BY frame ORDER BY score DESC, box) AS k FROM bx), "
@@ -351,9 +356,11 @@ O["e22_spawn"] = ("WITH RECURSIVE s AS (SELECT c_custkey, 0 AS i, (c_custkey * 1
 O["e23_bitrate"] = "SELECT p_partkey, floor(least(50000e0, greatest(500e0, p_size * 40e0 * (p_size * 22e0) * 30e0 * 0.07e0 / 1000e0)))::INT AS kbps FROM part"
 
 # Sources.
-O["s13_pattern"] = "SELECT f, y::INT AS y, x::INT AS x, ((x + y) & 255)::INT AS v FROM range(3) a(f), range(12) b(y), range(16) c(x)"
+_sized = "(SELECT s_suppkey AS f, 4 + 2 * (s_nationkey % 7) AS w, 2 + 2 * (s_nationkey % 3) AS h FROM supplier)"
+_cells = lambda k=1: f"{_sized}, range(6 // {k}) b(y), range(16 // {k}) c(x) WHERE y < h // {k} AND x < w // {k}"
+O["s13_pattern"] = f"SELECT f, y::INT AS y, x::INT AS x, ((x + y) & 255)::INT AS v FROM {_cells()}"
 _bar = {"r": "[255, 255, 0, 0, 255, 255, 0]", "g": "[255, 255, 255, 255, 0, 0, 0]", "b": "[255, 0, 255, 0, 255, 0, 255]"}
-O["s14_bars"] = "SELECT f, y::INT AS y, x::INT AS x, " + ", ".join(f"{v}[((x + f * 4) * 7 // 28) % 7 + 1]::INT AS {c}" for c, v in _bar.items()) + " FROM range(3) a(f), range(4) b(y), range(28) c(x)"
+O["s14_bars"] = "SELECT f, y::INT AS y, x::INT AS x, " + ", ".join(f"{v}[((x + f * 4) * 7 // w) % 7 + 1]::INT AS {c}" for c, v in _bar.items()) + f" FROM {_cells()}"
 O["s21_pcm16"] = "SELECT event_id, trunc(least(1e0, greatest(-1e0, value / 100e0 * 0.7e0)) * 32767)::INT AS sample FROM events"
 O["s22_edit_list"] = "SELECT type, event_id AS frame, printf('%.2f', event_id / 30e0) AS time_s, label FROM events JOIN (VALUES ('view', 'segment', 'take'), ('error', 'cut', 'cut'), ('purchase', 'mark', 'mark')) k(event_type, type, label) USING (event_type)"
 O["s27_probe"] = "SELECT p_partkey, p_size * 16 AS width, p_size * 9 AS height, CASE p_partkey % 3 WHEN 0 THEN 33 WHEN 1 THEN 35 ELSE 49 END::INT AS codec FROM part"
@@ -361,7 +368,7 @@ O["s27_probe"] = "SELECT p_partkey, p_size * 16 AS width, p_size * 9 AS height,
 # Plans.
 O["x01_file_chain"] = ("WITH " + COLOUR + ", a AS (SELECT f, y - 1 AS y, x - 1 AS x, " + ", ".join(f"{r(f'{LUMA} + 1.2e0 * ({c} - {LUMA})')} AS {c}" for c in "rgb") + " FROM rgb WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6) "
                        "SELECT f, y, 5 - x AS x, " + ", ".join(f"{r(f'pow({c} / 255e0, 1e0 / 0.9e0) * 255e0')} AS {c}" for c in "rgb") + " FROM a")
-O["s24_batch_matrix"] = rgb(f"SELECT 'plain' AS config, f, y, x, r, g, b FROM rgb UNION ALL SELECT 'warm', f, y, x, {r('r + 12e0')}, {r('g + 2e0')}, {r('b - 12e0')} FROM rgb UNION ALL SELECT 'flipped', f, y, 7 - x, r, g, b FROM rgb")
+O["s24_batch_matrix"] = rgb(f"SELECT 'plain' AS config, f, y, x, r, g, b FROM rgb UNION ALL SELECT 'warm', f, y, x, {r('r + 12e0')}, {r('g + 2e0')}, {r('b - 12e0')} FROM rgb UNION ALL SELECT 'flipped', f, y, 7 - x, r, g, b FROM rgb UNION ALL SELECT 'small', f, y // 4, x // 2, r, g, b FROM rgb WHERE y % 4 = 0 AND x % 2 = 0")
 
 # Rules without a table of their own above.
 _dx, _dy = "(v / 32e0 - 4e0)", "(x / 2e0 - 1.7e0)"
@@ -395,12 +402,12 @@ O["s04_units"] = f"SELECT id, no::INT AS no, (ascii(piece) & 31)::INT AS type, (
 O["s05_vcl"] = f"SELECT id, count(*) AS n, sum(length(piece))::BIGINT AS bytes FROM ({_pieces}) WHERE (ascii(piece) & 31) BETWEEN 1 AND 5 GROUP BY id"
 _soft = ", ".join(f"CASE WHEN lag({c}) OVER w IS NULL THEN {c} ELSE {r(f'0.25e0 * lag({c}) OVER w + 0.75e0 * {c}')} END AS {c}" for c in "rgb")
 _bright = ", ".join(f"{r(f'({c} - 128) * 1.1e0 + 128e0')} AS {c}" for c in "rgb")
-O["x02_live_chain"] = (f"WITH {COLOUR}, soft AS (SELECT f, y, x, {_soft} FROM rgb WINDOW w AS (PARTITION BY y, x ORDER BY f)), bright AS (SELECT f, y, x, {_bright} FROM soft) "
+O["x02_live_chain"] = (f"WITH {COLOUR}, soft AS (SELECT f, y, x, {_soft} FROM rgb WINDOW w AS (PARTITION BY f // 25, y, x ORDER BY f)), bright AS (SELECT f, y, x, {_bright} FROM soft) "
                        + O["p06_film_grain"].removeprefix(f"WITH {COLOUR} ").replace("FROM rgb", "FROM bright"))
 
 # Planes, flow, eyes and text.
 _BARS = "[[180, 168, 133, 87, 105, 63, 29, 16], [128, 44, 29, 217, 120, 166, 154, 128], [128, 136, 177, 146, 176, 88, 29, 128]]"
-_bar8 = lambda p, k: f"SELECT f, {p} AS p, y::INT AS y, x::INT AS x, {_BARS}[{p} + 1][((x * {k} + f * 4) * 8 // 32) % 8 + 1]::INT AS v FROM range(3) a(f), range({4 // k}) b(y), range({32 // k}) c(x)"
+_bar8 = lambda p, k: f"SELECT f, {p} AS p, y::INT AS y, x::INT AS x, {_BARS}[{p} + 1][((x * {k} + f * 4) * 8 // w) % 8 + 1]::INT AS v FROM {_cells(k)}"
 O["s14_bars_planes"] = f"{_bar8(0, 1)} UNION ALL {_bar8(1, 2)} UNION ALL {_bar8(2, 2)}"
 
 
@@ -415,7 +422,7 @@ def resized_plane(p: int, sw: int, sh: int, dw: int, dh: int, cubic: bool) -> st
 
 
 for _name, _cubic in (("g09_resize_planes", False), ("g09_resize_planes_cubic", True)):
-    O[_name] = f"WITH {COLOUR}{FRAMES}, p AS ({FULL}) " + " UNION ALL ".join(resized_plane(p, 8 // k, 8 // k, 12 // k, 6 // k, _cubic) for p, k in ((0, 1), (1, 2), (2, 2)))
+    O[_name] = f"WITH {COLOUR}{FRAMES}, p AS MATERIALIZED ({FULL}) " + " UNION ALL ".join(resized_plane(p, 8 // k, 8 // k, 12 // k, 6 // k, _cubic) for p, k in ((0, 1), (1, 2), (2, 2)))
 O["m07_resize_flow"] = gray("SELECT c.f, yy::INT AS y, xx::INT AS x, g.v / 8e0 * (12e0 / 8e0) AS dx, (g.x - 4e0) * (4e0 / 8e0) AS dy FROM (SELECT DISTINCT f FROM gray) c, range(4) a(yy), range(12) b(xx), gray g WHERE g.f = c.f AND g.y = yy * 8 // 4 AND g.x = xx * 8 // 12")
 
 
@@ -442,16 +449,16 @@ def lettered(texts: str, scale: int) -> str:
             f"FROM letters LEFT JOIN glyphs USING (c), range({5 * scale}) a(py), range({wide}) b(px))")
 
 
-O["g20_text_dots"] = ("WITH " + lettered("SELECT p_partkey AS f, 2 AS x0, 1 AS y0, p_partkey::VARCHAR || '-' || p_brand || '-a.b c' AS text FROM part WHERE p_partkey <= 400", 2)
+O["g20_text_dots"] = ("WITH " + lettered("SELECT p_partkey AS f, 2 AS x0, 1 AS y0, p_partkey::VARCHAR || '-' || p_brand || '-a.b c' AS text FROM part", 2)
                       + " SELECT f, count(*) FILTER (dot) AS dots, count(*) AS cells, sum(CASE WHEN dot THEN x * 31 + y ELSE 0 END)::BIGINT AS places FROM ink GROUP BY f")
 O["g20_draw_text"] = (f"WITH {COLOUR}, " + lettered("SELECT DISTINCT f, 1 AS x0, 2 AS y0, 'h7' AS text FROM rgb", 1)
                       + " SELECT f, y, x, " + ", ".join(f"CASE WHEN dot THEN {i} WHEN NOT dot THEN {b} ELSE {c} END::INT AS {c}" for c, i, b in zip("rgb", (250, 240, 10), (5, 6, 7))) + " FROM rgb LEFT JOIN ink USING (f, y, x)")
 _boxed = lambda p: (f"SELECT a.f, {p} AS p, a.y, a.x, {r('sum(b.v * CASE WHEN b.x = a.x THEN 2 ELSE 1 END)::DOUBLE / sum(CASE WHEN b.x = a.x THEN 2 ELSE 1 END)')} AS v "
                     f"FROM p a JOIN p b ON b.p = {p} AND b.f = a.f AND abs(b.y - a.y) <= 1 AND b.x IN (a.x, a.x - 1) WHERE a.p = {p} GROUP BY a.f, a.y, a.x")
-O["n02_denoise_planes"] = f"WITH {COLOUR}, p AS ({FULL}), luma0 AS (SELECT f, y, x, v FROM p WHERE p = 0) SELECT f, 0 AS p, y, x, v FROM ({bilateral_of(2).replace('gray', 'luma0')}) UNION ALL {_boxed(1)} UNION ALL {_boxed(2)}"
-O["n08_double"] = (f"WITH {GRAY}, few AS (SELECT * FROM gray WHERE f < 200), k AS (SELECT c.f, yy::INT AS y, xx::INT AS x, yy / 2e0 AS fy, xx / 2e0 AS fx, least(7, greatest(0, yy // 2 + j)) AS sy, least(7, greatest(0, xx // 2 + i)) AS sx "
-                   "FROM (SELECT DISTINCT f FROM few) c, range(16) a(yy), range(16) b(xx), range(-1, 3) e(j), range(-1, 3) g(i)), "
-                   f"up AS (SELECT k.f, k.y, k.x, least(255e0, greatest(0e0, sum(p.v * {_cub('(fy - sy)')} * {_cub('(fx - sx)')}))) AS v FROM k JOIN few p ON p.f = k.f AND p.y = k.sy AND p.x = k.sx GROUP BY k.f, k.y, k.x) "
+O["n02_denoise_planes"] = f"WITH {COLOUR}, p AS MATERIALIZED ({FULL}), luma0 AS (SELECT f, y, x, v FROM p WHERE p = 0) SELECT f, 0 AS p, y, x, v FROM ({bilateral_of(2).replace('gray', 'luma0')}) UNION ALL {_boxed(1)} UNION ALL {_boxed(2)}"
+O["n08_double"] = (f"WITH {GRAY}, k AS (SELECT c.f, yy::INT AS y, xx::INT AS x, yy / 2e0 AS fy, xx / 2e0 AS fx, least(7, greatest(0, yy // 2 + j)) AS sy, least(7, greatest(0, xx // 2 + i)) AS sx "
+                   "FROM (SELECT DISTINCT f FROM gray) c, range(16) a(yy), range(16) b(xx), range(-1, 3) e(j), range(-1, 3) g(i)), "
+                   f"up AS (SELECT k.f, k.y, k.x, least(255e0, greatest(0e0, sum(p.v * {_cub('(fy - sy)')} * {_cub('(fx - sx)')}))) AS v FROM k JOIN gray p ON p.f = k.f AND p.y = k.sy AND p.x = k.sx GROUP BY k.f, k.y, k.x) "
                    f"SELECT a.f, a.y, a.x, {r('any_value(a.v) + 0.5e0 * (any_value(a.v) - sum(b.v) / count(*)::DOUBLE)')} AS v FROM up a JOIN up b ON b.f = a.f AND b.y - a.y IN (-2, 0, 2) AND b.x - a.x IN (-2, 0, 2) GROUP BY a.f, a.y, a.x")
 
 # Detector composition.
@@ -486,7 +493,7 @@ _first = "(" + _who("", "0") + ")"
 O["e15_aim_hand"] = folded(f"{_place(_first, '', 'v', 101, 'NULL')} AS px, {_place(_first, '', 'seq', 89, 'NULL')} AS py, {_first} AS aim", f"{_place(_next, 'o.', 'v', 101, 's.px')}, {_place(_next, 'o.', 'seq', 89, 's.py')}, {_next}", "user_id, seq, coalesce(aim, -1) AS aim")
 _since = "CASE WHEN o.v > 40 THEN coalesce(s.since, o.t_ms) END"
 O["e18_palm_hold"] = folded("CASE WHEN v > 40 THEN t_ms END AS since, false AS was, v > 40 AS tap, false AS kill", f"{_since}, o.v > 40 AND o.t_ms - s.since > 2000000, coalesce(o.t_ms - ({_since}) < 600000, false), o.v > 40 AND coalesce(o.t_ms - s.since > 2000000, false) AND NOT coalesce(s.was, false)", "user_id, seq, tap, kill")
-O["e19_move_keys"] = "SELECT event_id, event_id % 8 / 8e0 - 0.5e0 < -0.25e0 AS w, value / 100e0 - 0.5e0 < -0.25e0 AS a, event_id % 8 / 8e0 - 0.5e0 > 0.25e0 AS s, value / 100e0 - 0.5e0 > 0.25e0 AS d, value % 1e0 < 0.5e0 AS shift FROM events"
+O["e19_move_keys"] = "SELECT event_id, event_id % 8 / 8e0 - 0.5e0 < -0.25e0 AS w, event_id % 8 / 8e0 - 0.5e0 > 0.25e0 AS s, value / 100e0 - 0.5e0 < -0.25e0 AS a, value / 100e0 - 0.5e0 > 0.25e0 AS d, value % 1e0 < 0.5e0 AS shift FROM events"
 O["e19_crouched"] = folded("CASE WHEN v / 100e0 - 0.25e0 > 0.1e0 THEN 1 ELSE 0 END AS run", "CASE WHEN o.v / 100e0 - 0.25e0 > 0.1e0 THEN s.run + 1 ELSE 0 END", "user_id, seq, run >= 3 AS crouch")
 _loads = "(s.since IS NOT NULL AND o.t_ms - s.since > 900000)"
 _tries = f"(o.kind <> 'error' AND (s.since IS NULL OR {_loads}))"
@@ -528,3 +535,47 @@ O["e20_wave_targets"] = ("WITH RECURSIVE s AS (SELECT c_custkey, c_custkey % 12
 _to = "(s.spot + s.way * (o.v / 64e0) / 64)"
 O["e20_drift"] = (f"WITH RECURSIVE {STREAM}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS seq, 0.5e0 AS spot, 16e0 AS way FROM st UNION ALL SELECT o.user_id, o.k, o.seq, {_to}, CASE WHEN {_to} < 0.0625e0 OR {_to} > 0.9375e0 THEN -s.way ELSE s.way END FROM s JOIN st o ON o.user_id = s.user_id AND o.k = s.k + 1) "
                   "SELECT user_id, seq, floor(spot * 4096)::BIGINT AS \"at\", way::INT AS v FROM s WHERE k > 0")
+
+# Frames as rows: chains, layouts, regions, windows and carried state.
+
+
+def doubled(src: str, w: int, h: int) -> str:
+    """Tables k and up: `src` (f, y, x, r, g, b) of w by h at twice the size, cubic, as doubles."""
+    return (f"k AS (SELECT c.f, yy::INT AS y, xx::INT AS x, yy / 2e0 AS fy, xx / 2e0 AS fx, least({h - 1}, greatest(0, yy // 2 + j)) AS sy, least({w - 1}, greatest(0, xx // 2 + i)) AS sx "
+            f"FROM (SELECT DISTINCT f FROM {src}) c, range({2 * h}) a(yy), range({2 * w}) b(xx), range(-1, 3) e(j), range(-1, 3) g(i)), "
+            "up AS (SELECT k.f, k.y, k.x, " + ", ".join(f"least(255e0, greatest(0e0, sum(p.{c} * {_cub('(fy - sy)')} * {_cub('(fx - sx)')}))) AS {c}" for c in "rgb") + f" FROM k JOIN {src} p ON p.f = k.f AND p.y = k.sy AND p.x = k.sx GROUP BY k.f, k.y, k.x)")
+
+
+_beside = lambda src, step, e: (f"SELECT a.f, a.y, a.x, " + ", ".join(f"{r(e.format(c=c))} AS {c}" for c in "rgb")
+                                + f" FROM {src} a JOIN {src} b ON b.f = a.f AND abs(b.y - a.y) IN (0, {step}) AND abs(b.x - a.x) IN (0, {step}) GROUP BY a.f, a.y, a.x")
+_less = "any_value(a.{c}) + {k} * (any_value(a.{c}) - sum(b.{c}) / count(*)::DOUBLE)"
+O["x01_frame_chain"] = (f"WITH {COLOUR}{FRAMES}, framed AS (SELECT c.f, c.y, c.x, " + ", ".join(f"coalesce(p.{c}, {v}) AS {c}" for c, v in zip("rgb", (9, 8, 7)))
+                        + f" FROM {cells(10, 10)} c LEFT JOIN rgb p ON p.f = c.f AND p.x = c.x - 1 AND p.y = c.y - 1 AND c.y BETWEEN 2 AND 7), {doubled('framed', 10, 10)}, "
+                        f"big AS ({_beside('up', 2, _less.replace('{k}', '0.5e0'))}), warm AS (SELECT f, y, x, {r('r + 12e0')} AS r, {r('g + 2e0')} AS g, {r('b - 12e0')} AS b FROM big) {_beside('warm', 1, _less.replace('{k}', '1e0'))}")
+_next = ", ".join(f"floor(0.25e0 * s.{c} + 0.75e0 * o.{c} + 0.5e0)::INT" for c in "rgb")
+O["x01_recursive_chain"] = (f"WITH RECURSIVE {COLOUR}, o AS (SELECT f // 25 AS camera, f, y, 7 - x AS x, r, g, b, row_number() OVER (PARTITION BY f // 25, y, x ORDER BY f) AS k FROM rgb), s AS (SELECT * FROM o WHERE k = 1 UNION ALL "
+                            f"SELECT o.camera, o.f, o.y, o.x, {_next}, o.k FROM s JOIN o ON o.camera = s.camera AND o.y = s.y AND o.x = s.x AND o.k = s.k + 1) SELECT f, y, x, r, g, b FROM s")
+_micro = lambda e: f"floor(({e})::DOUBLE * 1e6 + 0.5e0)::BIGINT"
+_float = lambda c, k: f"{c}::FLOAT * ({k} / 255e0)::FLOAT"
+_laid = lambda at, e: rgb(" UNION ALL ".join(f"SELECT f, ({at(i)})::INT AS i, {_micro(e(c))} AS v FROM rgb" for i, c in enumerate("rgb")))
+O["g21_planar"] = _laid(lambda i: f"{i} * 64 + y * 8 + x", lambda c: _float(c, "1e0"))
+O["g21_signed_bgr"] = _laid(lambda i: f"(y * 8 + x) * 3 + {2 - i}", lambda c: f"{_float(c, '2e0')} - 1::FLOAT")
+O["g21_interleaved"] = _laid(lambda i: f"(y * 8 + x) * 3 + {i}", lambda c: c)
+O["g21_back"] = rgb("SELECT f, y, x, r, g, b FROM rgb")
+_cut = lambda c: " + ".join(f"q{j}{i}.{c} * ({f'(sx - floor(sx))' if i else '(1e0 - (sx - floor(sx)))'} * {'(sy - floor(sy))' if j else '(1e0 - (sy - floor(sy)))'})" for j in (0, 1) for i in (0, 1))
+O["m03_crops"] = (f"WITH {COLOUR}, z AS (SELECT f, hand AS id, f % 3 + hand AS l, f % 2 AS t, 2 + 2 * hand AS side, yy::INT AS y, xx::INT AS x, yy * (2 + 2 * hand) / 4e0 AS sy, xx * (2 + 2 * hand) / 4e0 AS sx "
+                  "FROM (SELECT DISTINCT vec_id // 3 AS f FROM embeddings), range(2) h(hand), range(4) a(yy), range(4) b(xx)) SELECT z.f, id, z.y, z.x, " + ", ".join(f"{r(_cut(c))} AS {c}" for c in "rgb") + " FROM z "
+                  + " ".join(f"JOIN rgb q{j}{i} ON q{j}{i}.f = z.f AND q{j}{i}.y = t + least(floor(sy)::INT + {j}, side - 1) AND q{j}{i}.x = l + least(floor(sx)::INT + {i}, side - 1)" for j in (0, 1) for i in (0, 1)))
+_held_at = lambda c, most: f"least(greatest(0, trunc({c} - 32e0)::INT), {most} - 64)"
+_unit = lambda c: f"CASE WHEN n > 1e-3 THEN {c} / n ELSE 0 END"
+O["m04_gaze"] = box(f"SELECT frame, id, {_milli('l + mx')} AS cx, {_milli('t + my')} AS cy, {_milli('greatest(6e0, 0.16e0 * fw)')} AS er, {_milli(_unit('ex'))} AS dx, {_milli(_unit('ey'))} AS dy, score FROM (SELECT *, mx - 32e0 AS ex, my - 32e0 AS ey, sqrt((mx - 32e0) * (mx - 32e0) + (my - 32e0) * (my - 32e0)) AS n FROM "
+                    f"(SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY box, eye) - 1 AS id, score, (x2 - x1) AS fw, {_held_at('x1 + [0.3e0, 0.7e0][eye + 1] * (x2 - x1)', 640)} AS l, {_held_at('y1 + 0.42e0 * (y2 - y1)', 480)} AS t FROM bx, range(2) e(eye)) p, "
+                    "LATERAL (SELECT avg((p.frame * 7 + p.id * 5 + k * 3) % 80) AS mx, avg((p.frame * 3 + k * 8) % 64) AS my FROM range(5) q(k)) WHERE id < 4 AND mx >= 0 AND mx < 64 AND my >= 0 AND my < 64)")
+O["m08_five_frames"] = rgb("SELECT f, y, x, " + ", ".join(f"least(255, {c} + 13)::INT AS {c}" for c in "rgb") + " FROM (SELECT f, y, x, " + ", ".join(f"max({c}) OVER w AS {c}" for c in "rgb")
+                           + ", count(*) OVER w AS n FROM rgb WINDOW w AS (PARTITION BY f // 25, y, x ORDER BY f ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5")
+_near = [math.exp(-(i * i) / 0.5) for i in (-1, 0, 1)]
+_near = "(VALUES " + ", ".join(f"({i - 1}, {x / sum(_near)!r}::DOUBLE)" for i, x in enumerate(_near)) + ") k(d, w)"
+_soft3 = lambda src, a, b: "SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'sum(k.w * n.{c})')} AS {c}" for c in "rgb") + f" FROM {src} p, {_near}, {src} n WHERE n.f = p.f AND n.{b} = p.{b} AND n.{a} = least(7, greatest(0, p.{a} + k.d)) GROUP BY p.f, p.y, p.x"
+O["t16_matting"] = rgb(f", b1 AS ({_soft3('rgb', 'x', 'y')}), b2 AS ({_soft3('b1', 'y', 'x')}), m AS (SELECT f, y, x, ({_float('max(r) OVER (PARTITION BY f // 25, y, x ORDER BY f)', '1e0')})::DOUBLE AS a FROM rgb), e AS (SELECT f, y, x, a * a * (3e0 - 2e0 * a) AS a FROM m) "
+                       "SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'e.a * p.{c} + (1e0 - e.a) * b2.{c}')} AS {c}" for c in "rgb") + " FROM rgb p JOIN b2 USING (f, y, x) JOIN e USING (f, y, x)")
+O["s02_written_frames"] = gray("SELECT f, y, x, v FROM gray")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.frames import colour_bars, colour_bars_planes, gray8, micros, rgb8, table, test_pattern
-from framelake.operators import color, detect, events, geometry, histogram, stencil, temporal, tone
+from framelake.frames import colour_bars, colour_bars_planes, gray8, micros, pattern, rgb8, table
+from framelake.operators import color, detect, events, geometry, grades, histogram, packed, sequence, stencil, temporal, tone
 from framelake.plans import chain
-from framelake.sources import bitstream
+from framelake.ship import shared_folder
+from framelake.sources import bitstream, containers
 
 QUERIES = {}
 RGB = ("r", "g", "b")
@@ -28,10 +33,43 @@ def on_gray(name: str, f) -> None:
     QUERIES[name] = lambda spark, d: f(gray8(spark, d))
 
 
+def leveled(rows: DataFrame, planes: list[str]) -> DataFrame:
+    """8 by 8 frames of rows (f, planes): each plane an array of 64 numbers, laid out in Arrow without a row for each pixel."""
+    def run(batches):
+        for b in batches:
+            v = np.stack([b.column(n).flatten().to_numpy().astype(np.float64).reshape(-1, 64) for n in planes], axis=-1)
+            data = np.floor(np.clip((v + 0.6) / 1.2 * 255, 0, 255) + 0.5).astype(np.uint8)
+            size = lambda k: pa.array([k] * b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("f"), size(8), size(8), size(len(planes)), pa.array([x.tobytes() for x in data], pa.binary())], ["f", "w", "h", "c", "data"])
+    return rows.mapInArrow(run, f"f long, {packed.FRAME}")
+
+
+def gray_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of gray8 as rows."""
+    return leveled(table(spark, d, "embeddings").select(F.col("vec_id").alias("f"), F.col("embedding").alias("v")), ["v"])
+
+
+def rgb_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of rgb8 as rows."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("f"), (F.col("vec_id") % 3).alias("c"), "embedding")
+    r, g, b = (e.where(F.col("c") == i).select("f", F.col("embedding").alias(n)) for i, n in enumerate("rgb"))
+    return leveled(r.join(g, "f").join(b, "f"), ["r", "g", "b"])
+
+
+def on_gray_frames(name: str, f) -> None:
+    """Registers the pixels of gray frames with f applied to stacks."""
+    QUERIES[name] = lambda spark, d: packed.unpack(packed.map_frames(gray_frames(spark, d), f), ("v",))
+
+
+def on_rgb_frames(name: str, f) -> None:
+    QUERIES[name] = lambda spark, d: packed.unpack(packed.map_frames(rgb_frames(spark, d), f))
+
+
 # Flagship: denoise, grade, summarise.
 @query
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    px = tone.brightness_contrast(stencil.bilateral(gray8(spark, d), kernel=3), 20.0, 1.2)
+    clean = packed.unpack(packed.map_frames(gray_frames(spark, d), packed.bilateral(kernel=3)), ("v",))
+    px = tone.brightness_contrast(clean, 20.0, 1.2)
     h = histogram.histogram(px, ["f"])
     rank = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "v"))
     return h.withColumn("rank", rank).where(F.col("rank") <= 5)
@@ -69,19 +107,25 @@ def s05_vcl(spark, d):
     return s04_units(spark, d).where("is_vcl").groupBy("id").agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("bytes"))
 
 
+def supplier_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(f, w, h): a frame for each supplier, of even sizes."""
+    n = F.col("s_nationkey")
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("f"), (4 + 2 * (n % 7)).cast("int").alias("w"), (2 + 2 * (n % 3)).cast("int").alias("h"))
+
+
 @query
 def s13_pattern(spark, d):
-    return test_pattern(spark, 3, 16, 12)
+    return pattern(supplier_sizes(spark, d)).select("f", "y", "x", "v")
 
 
 @query
 def s14_bars(spark, d):
-    return colour_bars(spark, 3, 28, 4)
+    return colour_bars(supplier_sizes(spark, d))
 
 
 @query
 def s14_bars_planes(spark, d):
-    return colour_bars_planes(spark, 3, 32, 4)
+    return colour_bars_planes(supplier_sizes(spark, d))
 
 
 @query
@@ -133,7 +177,15 @@ on_rgb("p06_film_grain", lambda p: tone.film_grain(p, 20.0, 42))
 on_rgb("p07_hdr_reinhard", lambda p: tone.hdr_reinhard(p, 120.0))
 on_rgb("p08_hdr_aces", lambda p: tone.hdr_aces(p, 150.0))
 on_rgb("p09_apply_lut", lambda p: tone.apply_lut(p, tone.lut(p.sparkSession, "warm"), strength=0.75))
-QUERIES["p10_lut"] = lambda s, d: tone.lut(s, "cinematic").withColumn("preset", F.lit("cinematic")).unionByName(tone.lut(s, "vintage").withColumn("preset", F.lit("vintage")))
+@query
+def p10_lut(spark, d):
+    """The grid colours that customers stand for, in the look of their segment."""
+    looks = tone.lut(spark, "cinematic").withColumn("preset", F.lit("cinematic")).unionByName(tone.lut(spark, "vintage").withColumn("preset", F.lit("vintage")))
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "cinematic").otherwise("vintage").alias("preset"), *(((k * m) % 17).cast("int").alias(n) for n, m in (("ri", 1), ("gi", 3), ("bi", 7))))
+    return c.join(F.broadcast(looks), ["preset", "ri", "gi", "bi"]).select("c_custkey", "preset", *RGB)
+
+
 on_rgb("p11_chroma_key", tone.chroma_key)
 on_rgb("p12_composite", lambda p: tone.composite_alpha(p, color.swap_red_blue(p), p.select("f", "y", "x", (F.col("x") / 7.0).alias("a"))))
 on_rgb("p13_blend", lambda p: tone.blend(p, p.withColumn("f", F.col("f") - 1), 0.3))
@@ -169,8 +221,8 @@ def g14_compose(spark, d):
 @query
 def g14_compose_planes(spark, d):
     n = F.col("n_nationkey")
-    layout = table(spark, d, "nation").where("n_nationkey < 4").select(n.cast("int").alias("tile"), (n * 3).cast("long").alias("src_f"), ((n % 2) * 12).cast("int").alias("dst_x"), (F.floor(n / 2) * 10).cast("int").alias("dst_y"), F.lit(12).alias("tile_w"), F.lit(10).alias("tile_h"), F.lit(True).alias("active"))
-    return geometry.compose_planes(planes(spark, d), layout, 8, 8, 24, 20)
+    layout = table(spark, d, "nation").select(n.cast("int").alias("tile"), (n * 3).cast("long").alias("src_f"), ((n % 5) * 12).cast("int").alias("dst_x"), (F.floor(n / 5) * 10).cast("int").alias("dst_y"), F.lit(12).alias("tile_w"), F.lit(10).alias("tile_h"), F.lit(True).alias("active"))
+    return geometry.compose_planes(planes(spark, d), layout, 8, 8, 60, 50)
 
 
 @query
@@ -208,12 +260,12 @@ def g18_redirect_eyes(spark, d):
     rgb = rgb8(spark, d)
     eye = F.explode(F.array(F.lit(0), F.lit(1)))
     eyes = rgb.select("f").distinct().select("f", eye.alias("eye")).select("f", "eye", (F.col("eye") * 4 + 2).alias("cx"), F.lit(4).alias("cy"), F.lit(3.0).alias("er"), (F.col("f") % 3 - 1.0).alias("dx"), F.lit(0.5).alias("dy"), F.when(F.col("f") % 5 == 0, 0.3).otherwise(0.9).alias("score"))
-    return geometry.redirect_eyes(rgb, eyes, 8, 8, 0.8)
+    return packed.unpack(geometry.redirect_eyes_frames(rgb_frames(spark, d), eyes, 0.8))
 
 
 @query
 def g20_text_dots(spark, d):
-    texts = table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("f"), F.lit(0).alias("z"), F.lit(2).alias("x0"), F.lit(1).alias("y0"), F.concat_ws("-", F.col("p_partkey").cast("string"), "p_brand", F.lit("a.b c")).alias("text"))
+    texts = table(spark, d, "part").select(F.col("p_partkey").alias("f"), F.lit(0).alias("z"), F.lit(2).alias("x0"), F.lit(1).alias("y0"), F.concat_ws("-", F.col("p_partkey").cast("string"), "p_brand", F.lit("a.b c")).alias("text"))
     return geometry.text_dots(texts, 2).groupBy("f").agg(F.count_if("dot").alias("dots"), F.count("*").alias("cells"), F.sum(F.when(F.col("dot"), F.col("x") * 31 + F.col("y")).otherwise(0)).cast("long").alias("places"))
 
 
@@ -224,22 +276,22 @@ def g20_draw_text(spark, d):
 
 
 # Neighbourhoods.
-on_gray("n01_bilateral", lambda p: stencil.bilateral(p, 15.0, 25.0, 5))
+on_gray_frames("n01_bilateral", packed.bilateral(15.0, 25.0, 5))
 QUERIES["n02_denoise_planes"] = lambda s, d: stencil.denoise_planes(planes(s, d), 15.0, 25.0, 5)
-on_gray("n03_gaussian", lambda p: stencil.gaussian(p, 8, 8, 2.0))
-on_gray("n04_sharpen", lambda p: stencil.sharpen(p, 1.0))
-on_rgb("n05_edges", lambda p: stencil.edges(p, 8, 8))
-on_gray("n06_directional_blur", lambda p: stencil.directional_blur(p, 30.0, 4))
+on_gray_frames("n03_gaussian", packed.gaussian(2.0))
+on_gray_frames("n04_sharpen", packed.sharpen(1.0))
+on_rgb_frames("n05_edges", packed.edges())
+on_gray_frames("n06_directional_blur", packed.directional_blur(30.0, 4))
 on_gray("n09_block_motion", lambda p: stencil.block_motion(p, 4, 2, 2, 8, 8))
-QUERIES["n01_bilateral_planes"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d), 8, 8), stencil.plane_bilateral(15.0, 25.0, 5)))
-QUERIES["n07_background_blur"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d), 8, 8), stencil.plane_background_blur(0.5, 0.5)))
-
-QUERIES["n08_double"] = lambda s, d: stencil.unpack_planes(stencil.map_planes(stencil.pack_planes(gray8(s, d).where("f < 200"), 8, 8), stencil.plane_double(0.5)))
+QUERIES["n01_bilateral_planes"] = lambda s, d: packed.unpack(packed.map_frames(packed.pack(gray8(s, d), 8, 8, ("v",)), packed.bilateral(15.0, 25.0, 5)), ("v",))
+on_gray_frames("n07_background_blur", packed.background_blur(0.5, 0.5))
+on_gray_frames("n08_double", packed.double(0.5))
 
 # Histograms and reductions.
-on_gray("a01_tile_tables", lambda p: histogram.tile_tables(p.where("f < 100"), 4, 3.0))
-on_gray("a01_tile_tables_wide", lambda p: histogram.tile_tables(p.where("f < 100"), 8, 12.0))
-on_rgb("a03_equalise_rgb", lambda p: histogram.equalise_rgb(p, 8, 8, 4, 40.0))
+TABLE_SUMS = lambda t: t.groupBy("f", "ty", "tx").agg(F.count("*").alias("n"), F.sum("cdf").alias("total"), F.sum(F.col("cdf") * F.col("v")).alias("weighed"))
+on_gray("a01_tile_tables", lambda p: TABLE_SUMS(histogram.tile_tables(p, 4, 3.0)))
+on_gray("a01_tile_tables_wide", lambda p: TABLE_SUMS(histogram.tile_tables(p, 8, 12.0)))
+on_rgb_frames("a03_equalise_rgb", grades.clahe(4, 40.0))
 QUERIES["a03_equalise_planes"] = lambda s, d: histogram.equalise_planes(planes(s, d), 8, 8, 4, 40.0)
 on_gray("a03_equalise", lambda p: histogram.equalise(p, 8, 8, 4, 3.0))
 on_gray("a04_normalise_depth", lambda p: histogram.normalise_depth(p.select("f", "y", "x", F.when(F.col("v") == 200, F.lit(float("nan"))).otherwise(F.col("v") / 7.0).alias("d"))).select("f", "y", "x", F.floor(F.col("d") * 1000 + 1e-7).cast("int").alias("d")))
@@ -255,7 +307,7 @@ QUERIES["a12_peak"] = lambda s, d: histogram.peak(table(s, d, "events"), "user_i
 on_gray("t01_fir_denoise", lambda p: temporal.fir_denoise(p, 0.3))
 on_gray("t02_iir_denoise", lambda p: temporal.iir_denoise(p, 0.3))
 on_gray("t03_ring", lambda p: temporal.ring(p, 5).select("f", "y", "x", *(F.element_at("window", i + 1).alias(f"v{i}") for i in range(5))))
-on_gray("t04_stabilise", lambda p: temporal.stabilise(histogram.mean_motion(stencil.block_motion(p, 4, 4, 2, 8, 8)), 0.8))
+on_gray("t04_stabilise", lambda p: temporal.stabilise(histogram.mean_motion(stencil.block_motion(p, 4, 4, 2, 8, 8)).withColumn("camera", F.floor(F.col("f") / 25)), 0.8))
 on_gray("t05_interpolate", temporal.interpolate)
 on_gray("t06_with_previous", temporal.with_previous)
 
@@ -308,7 +360,7 @@ def m01_detections(spark, d):
     b = lines_as_boxes(spark, d)
     share = lambda k: (F.col("score") * k % 101 / 128.0)
     cells = b.select("frame", F.col("box").alias("cell"), (F.col("x1") % 300 + 20).alias("cx"), (F.col("y1") % 200 + 120).alias("cy"), (F.col("x2") - F.col("x1") + 100).alias("bw"), (F.col("y2") - F.col("y1") + 100).alias("bh"), F.array(share(1), share(7), share(11)).alias("scores"))
-    return detect.detections(cells, 0.5, 0.0, 80.0, 640, 480, 0.35, 0.45, 3).select("frame", "box", "rank", "cls", "score", *(F.floor(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return detect.detections(cells, 0.5, 0.0, 80.0, 640, 480, 0.35, 0.45, 3).select("frame", "box", "rank", *(F.floor(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")), "score", "cls")
 
 
 @query
@@ -343,7 +395,7 @@ def m08_work_size(spark, d):
 on_rgb("m09_blur_behind", lambda p: detect.blur_behind(p, p.where("x < 4 and y < 4").select("f", "y", "x", ((F.col("r") + F.col("g")) / 512.0).alias("a")), 4, 4, 8, 8, 2.0))
 QUERIES["m05_pose"] = lambda s, d: detect.pose(table(s, d, "events").select("event_id", (F.col("value") * 2.0).alias("x"), (F.col("value") / 64.0).alias("y"), (F.col("value") / 50 - 1).alias("vis"), F.lit(2.0).alias("pres"))).select("event_id", *(F.floor(F.col(c) * 1e6 + 1e-3).cast("long").alias(c) for c in ("x", "y", "visibility")))
 on_gray("m07_resize_flow", lambda p: geometry.resize_flow(p.select("f", "y", "x", (F.col("v") / 8.0).alias("dx"), (F.col("x") - 4.0).alias("dy")), 8, 8, 12, 4))
-QUERIES["m02_point_priors"] = lambda s, d: detect.point_priors(s, 64)
+QUERIES["m02_point_priors"] = lambda s, d: table(s, d, "events").select("event_id", F.element_at(F.array(F.lit(8), F.lit(16), F.lit(32)), (F.col("event_id") % 3 + 1).cast("int")).alias("stride"), (F.col("user_id") % 16).cast("int").alias("i")).join(F.broadcast(detect.point_priors(s, 64)), ["stride", "i"])
 QUERIES["m04_eye_windows"] = lambda s, d: detect.eye_windows(lines_as_boxes(s, d)).select("frame", "box", "eye", *(F.floor(F.col(c) * 100 + 1e-6).cast("long").alias(c) for c in ("cx", "cy", "radius")))
 QUERIES["m12_with_class"] = lambda s, d: detect.with_class(lines_as_boxes(s, d).select("frame", "box", (F.col("cls") * 13 % 90 - 2).cast("int").alias("cls")))
 QUERIES["m13_label_place"] = lambda s, d: lines_as_boxes(s, d).select("frame", "box", detect.label_place(F.col("y1"), F.col("y2"), 480).cast("int").alias("at"))
@@ -453,17 +505,92 @@ QUERIES["e23_bitrate"] = lambda s, d: table(s, d, "part").select("p_partkey", ev
 # Plans.
 @query
 def x01_file_chain(spark, d):
-    spec = chain.parse_flags("--crop w=6 h=6 left=1 top=1 --gamma g=0.9 --saturation factor=1.2 --flip", 6, 6)
+    spec = chain.parse_flags("--crop w=6 h=6 left=1 top=1 --gamma g=0.9 --saturation factor=1.2 --flip", 8, 8)
     return chain.compile_chain(spec, rgb8(spark, d))
 
 
+@query
+def x01_frame_chain(spark, d):
+    """Steps that look at neighbours or change the grid, in one pass over frames."""
+    spec = chain.Spec(8, 8, "file", {"crop": {"w": 8, "h": 6, "left": 0, "top": 1}, "pad": {"px_x": 1, "px_y": 2, "colour": (9, 8, 7)}, "super_res": {"strength": 0.5}, "sharpen": {"strength": 1.0}, "white_balance": {"temperature": 8.0, "tint": 2.0}})
+    return packed.unpack(chain.compile_frames(spec, rgb_frames(spark, d)))
+
+
+def cameras(frames: DataFrame) -> DataFrame:
+    """frames with a camera for each 25 of them."""
+    return frames.withColumn("camera", F.floor(F.col("f") / 25))
+
+
 @query
 def x02_live_chain(spark, d):
     spec = chain.Spec(8, 8, "live", {"temporal": {"strength": 0.25}, "brightness_contrast": {"contrast": 1.1}, "grain": {}})
-    return chain.compile_chain(spec, rgb8(spark, d))
+    return packed.unpack(chain.compile_frames(spec, cameras(rgb_frames(spark, d))))
+
+
+@query
+def x01_recursive_chain(spark, d):
+    """The file chain's temporal step mixes with the chain's own last output."""
+    spec = chain.Spec(8, 8, "file", {"temporal": {"strength": 0.25}, "flip": {}})
+    return packed.unpack(chain.compile_frames(spec, cameras(rgb_frames(spark, d))))
 
 
 @query
 def s24_batch_matrix(spark, d):
     of = lambda **steps: chain.Spec(8, 8, "file", steps)
-    return chain.batch_matrix(rgb8(spark, d), {"plain": of(), "warm": of(white_balance={"temperature": 8.0, "tint": 2.0}), "flipped": of(flip={})})
+    specs = {"plain": of(), "warm": of(white_balance={"temperature": 8.0, "tint": 2.0}), "flipped": of(flip={}), "small": of(scale={"w": 4, "h": 2, "how": "nearest"})}
+    return packed.unpack(chain.batch_matrix(rgb_frames(spark, d), specs), keys={"config": "string", "f": "long"})
+
+
+# Layouts, regions, windows and carried state.
+def tensor_values(tensors: DataFrame) -> DataFrame:
+    return packed.samples(tensors).select("f", "i", F.floor(F.col("v") * 1e6 + 0.5).cast("long").alias("v"))
+
+
+QUERIES["g21_planar"] = lambda s, d: tensor_values(packed.to_tensors(rgb_frames(s, d)))
+QUERIES["g21_signed_bgr"] = lambda s, d: tensor_values(packed.to_tensors(rgb_frames(s, d), "nhwc", "signed", bgr=True))
+QUERIES["g21_interleaved"] = lambda s, d: tensor_values(packed.interleaved(packed.to_tensors(rgb_frames(s, d), "nchw", "raw")))
+QUERIES["g21_back"] = lambda s, d: packed.unpack(packed.from_tensors(packed.to_tensors(rgb_frames(s, d), "nchw", "signed"), "nchw", "signed"))
+
+
+@query
+def m03_crops(spark, d):
+    """Two squares of each frame, brought to 4 by 4."""
+    hand = F.explode(F.array(F.lit(0), F.lit(1))).alias("hand")
+    w = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("frame")).distinct().select("frame", hand).select("frame", "hand", (F.col("frame") % 3 + F.col("hand")).cast("int").alias("left"), (F.col("frame") % 2).cast("int").alias("top"), (2 + 2 * F.col("hand")).alias("side"))
+    return packed.unpack(detect.hand_crops(rgb_frames(spark, d), w, 4), keys={"f": "long", "id": "long"})
+
+
+@query
+def m04_gaze(spark, d):
+    faces = lines_as_boxes(spark, d)
+    places = detect.eye_places(faces, 640, 480)
+    points = places.select("frame", "id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("point")).withColumns({"x": (F.col("frame") * 7 + F.col("id") * 5 + F.col("point") * 3) % 80 / 1.0, "y": (F.col("frame") * 3 + F.col("point") * 8) % 64 / 1.0})
+    return detect.gaze(points, places).select("frame", "id", *(F.floor(F.col(c) * 1000 + 1e-6).cast("long").alias(c) for c in ("cx", "cy", "er", "dx", "dy")), "score")
+
+
+def brightest(window: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """A stand-in for a denoiser: the brightest of five frames, lifted by the noise map."""
+    return window.reshape(5, 3, *window.shape[2:]).max(0)[None] + noise
+
+
+QUERIES["m08_five_frames"] = lambda s, d: packed.unpack(sequence.map_windows(cameras(rgb_frames(s, d)), sequence.denoised(lambda: brightest), 5, block=8))
+
+
+def peak_hold(tensor: np.ndarray, states: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A stand-in for a recurrent matting model: red, held at its highest so far."""
+    held = np.maximum(tensor[0, 0], states[0][0, 0])
+    return held, [held[None, None], *states[1:]]
+
+
+QUERIES["t16_matting"] = lambda s, d: packed.unpack(sequence.recurrent(cameras(rgb_frames(s, d)), sequence.matted(lambda: peak_hold, (8, 8), sigma=0.5)))
+
+
+@query
+def s02_written_frames(spark, d):
+    """Frames written as samples and read again by ranges of them."""
+    containers.register(spark)
+    at = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    gray_frames(spark, d).select(F.col("f").alias("no"), F.col("data").alias("unit")).write.format(containers.NAME).mode("append").save(at)
+    back = spark.read.format(containers.NAME).option("bytesPerPartition", 4096).load(at)
+    frames = back.select(F.col("no").alias("f"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(1).alias("c"), F.col("unit").alias("data"))
+    return packed.unpack(frames, ("v",))

@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> None:
     if app not in _sent:
         spark.sparkContext.addPyFile(_archive())
         _sent.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; one of its own only for a local master, whose executors are the driver itself."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="framelake-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from framelake.operators import sequence
+from framelake.operators.packed import FRAME
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,7 +40,7 @@ class Fold(StatefulProcessor):
         pass
 
 
-def _run(stream: DataFrame, keys: list[str], fold: Fold, schema: str) -> DataFrame:
+def _run(stream: DataFrame, keys: list[str], fold: StatefulProcessor, schema: str) -> DataFrame:
     if ROCKS not in (stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
         stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return stream.groupBy(*keys).transformWithStateInPandas(fold, outputStructType=schema, outputMode="Append", timeMode="None")
@@ -70,3 +76,38 @@ def stabilise(stream: DataFrame, factor: float = 0.8) -> DataFrame:
 def deduplicated(stream: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame:
     """The stream without repeats of keys within a watermark; late rows go."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+
+
+class Carried(StatefulProcessor):
+    """A camera's step over frames: the arrays of its state, and the shape of the last frame, cross micro-batches."""
+
+    def __init__(self, make: Callable, camera: str):
+        self.make, self.camera = make, camera
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state, self.step = handle.getValueState("state", "arrays binary, shape string"), self.make()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        arrays, shape = None, None
+        if self.state.exists():
+            held = self.state.get()
+            with np.load(io.BytesIO(bytes(held[0]))) as z:
+                arrays = [z[f"arr_{i}"] for i in range(len(z.files))]
+            shape = tuple(json.loads(held[1]))
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["f", "data"], kind="stable").itertuples(index=False):
+            frame, arrays, shape = sequence.carried(self.step, arrays, shape, np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.c))
+            out.append({self.camera: key[0], "f": int(r.f), "w": frame.shape[1], "h": frame.shape[0], "c": frame.shape[2], "data": np.ascontiguousarray(frame).tobytes()})
+        blob = io.BytesIO()
+        np.savez(blob, *arrays)
+        self.state.update((blob.getvalue(), json.dumps(shape)))
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def recurrent(stream: DataFrame, make: Callable, camera: str = "camera") -> DataFrame:
+    """Frames (camera, f, w, h, c, data) through a step in order; frames arrive in order within and across batches, as for sequence.recurrent."""
+    kind = stream.schema[camera].dataType.simpleString()
+    return _run(stream.select(camera, "f", "w", "h", "c", "data"), [camera], Carried(make, camera), f"`{camera}` {kind}, f long, {FRAME}")

@@ -80,7 +80,7 @@ def test_background_blur_keeps_the_focus_and_a_flat_frame(spark):
 
 def test_window_follows_the_first_face_at_once(spark):
     faces = spark.createDataFrame([(0, 100, 100, 200, 180, 0.9), (1, 100, 100, 200, 180, 0.3), (2, 150, 100, 250, 180, 0.9), (3, 153, 100, 253, 180, 0.9)], "f long, x1 int, y1 int, x2 int, y2 int, score double")
-    out = {r.f: (r.left, r.top, r.w, r.h) for r in temporal.auto_frame(faces, 640, 480).collect()}
+    out = {r.f: (r.left, r.top, r.w, r.h) for r in temporal.auto_frame(faces.withColumn("camera", F.lit(1)), 640, 480).collect()}
     # Twice the face, 16 above its centre; no face shows all; then 12 % of a move by 50, to 56; then of one by 47.
     assert out == {0: (50, 44, 200, 160), 1: (0, 0, 640, 480), 2: (56, 44, 200, 160), 3: (61, 44, 200, 160)}
 
@@ -140,6 +140,13 @@ def test_eye_of_low_score_is_left_alone(spark):
     assert colours(geometry.redirect_eyes(df, eyes(0.9), 5, 5, 1.0))[2, 2] == (29, 0, 0)  # read .45 * 2 columns further on
 
 
+def test_every_eye_of_a_frame_is_drawn_back_in_turn(spark):
+    df = px(spark, *((0, y, x, 10 * x, 0, 0) for y in range(5) for x in range(20)))
+    eyes = spark.createDataFrame([(0, n, 2.0 + 5 * n, 2.0, 2.0, 1.0, 0.0, 0.9) for n in range(4)], "f long, eye int, cx double, cy double, er double, dx double, dy double, score double")
+    out = colours(geometry.redirect_eyes(df, eyes, 20, 5, 1.0))
+    assert [out[2, 2 + 5 * n][0] for n in range(4)] == [29, 79, 129, 179]
+
+
 def frames_of(spark, *rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "k int, n int, ms long, flag boolean")
 
