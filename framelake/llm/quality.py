@@ -47,8 +47,9 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn(p, F.sort_array(F.transform(again, lambda x: x["p"])))
     widths = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     total = F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
-    # The partition's number, always 0 or more, is not deterministic to Spark, which stops filters here.
-    return df.withColumn("n_repeat_words", F.when(F.spark_partition_id() >= 0, total)).drop(h, lines, s, p)
+    # The partition's number, always 0 or more, is not deterministic to Spark, which stops filters here, whichever counts are asked for.
+    done = df.withColumn("n_repeat_words", total)
+    return done.withColumns({c: F.when(F.spark_partition_id() >= 0, F.col(c)) for c in RESULT[:5]}).drop(h, lines, s, p)
 
 
 def text_lines(docs: DataFrame, text: str, host: str) -> DataFrame:

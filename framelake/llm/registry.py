@@ -47,6 +47,12 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def line_frequency_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules with limits that small tables reach: lines in two texts of a host and 1 % of them, documents that lose a fiftieth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.quality_rules(docs, max_percent=1, min_docs=1, min_share=0.98).select("doc_id", "n_words", "base_failed", "kept")
+
+
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
 
@@ -90,6 +96,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    line_frequency_strict,
     op1_superminhash, op2_piece_offsets, op3_norm_buckets, op4_deleted_interpolation, op5_line_frequency, op6_suffix_arrays, op7_link_trust, op8_confirmed_secrets, op9_prefix_counts, op10_hilbert_packing,
     op11_bucket_phrases, op12_string_kernel, op13_merkle_manifest)}
 ORACLES = oracles.ORACLES

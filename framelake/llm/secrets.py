@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.bytepairs import map_texts
+from framelake.llm.shared import fresh
 from framelake.llm.words import join_bytes
 
 #: Kinds in the order of a span list; the first three are the base rules.
@@ -195,14 +196,18 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every found span of `text` replaced by mark, overlapping spans by one; rows and other columns stay. Null texts stay null."""
+    """docs with every found span of `text` replaced by mark, overlapping spans by one; rows and other columns stay, whatever their names.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike; an empty table gives an empty result.
+    """
     rest = [c for c in docs.columns if c != text]
+    (masked,) = fresh(docs.columns, "_masked")
 
     def make():
         def work(texts: list[str | None]) -> pa.RecordBatch:
-            masked = [t if not s else redact(t, s, mark) for t, s in zip(texts, _spans(texts))]
-            return pa.RecordBatch.from_arrays([pa.array(masked, pa.string())], names=["_masked"])
+            done = [t if not s else redact(t, s, mark) for t, s in zip(texts, _spans(texts))]
+            return pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=[masked])
         return work
 
-    out = map_texts(docs, text, "_masked string", make, rest)
-    return out.select(*(F.col("_masked").alias(c) if c == text else F.col(c) for c in docs.columns))
+    out = map_texts(docs, text, f"{masked} string", make, rest)
+    return out.select(*(F.col(masked).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -223,6 +223,10 @@ def test_secrets_match_patterns_and_confirm_structures(spark, docs, rows, none):
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
     assert masked[0] == "é [secret] x" and masked[1] == fake and masked[4] == "a\n[secret]\nb"
     assert secrets.mask_secrets(docs).columns == docs.columns
+    clash = docs.withColumn("_masked", F.lit("mine")).withColumn("__masked", F.lit("too"))
+    out = secrets.mask_secrets(clash.unionByName(clash))
+    assert out.columns == clash.columns and {(r._masked, r["__masked"]) for r in out.collect()} == {("mine", "too")} and out.count() == 2 * docs.count()
+    assert secrets.mask_secrets(clash.limit(0)).count() == 0
 
 
 def test_language_model_counts_base_scores_and_held_out_gain(spark, docs, rows, none):
