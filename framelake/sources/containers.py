@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, no long, pts long, unit binary"
 NAME = "framelake.samples"
@@ -186,10 +186,14 @@ class SamplesReader(DataSourceReader):
             yield path, path, self._index(system, path)
 
     def partitions(self) -> list[Range]:
+        return self.ranges({}, None)
+
+    def ranges(self, start: dict[str, int], end: dict[str, int] | None) -> list[Range]:
+        """Ranges of the samples of each file from a number on, up to another."""
         out = []
         for path, name, samples in self._files():
             held, size = [], 0
-            for s in samples:
+            for s in samples[start.get(path, 0):None if end is None else end.get(path, 0)]:
                 if held and size + s.size > self.bytes:
                     out.append(Range(path, name, held))
                     held, size = [], 0
@@ -212,6 +216,25 @@ class SamplesReader(DataSourceReader):
                 yield partition.name, no, pts, unit
 
 
+class SamplesStream(DataSourceStreamReader):
+    """The same as a stream: a cursor for each file counts the samples that were read, and files may grow and come."""
+
+    def __init__(self, options: dict[str, str]):
+        self.files = SamplesReader(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {path: len(samples) for path, _, samples in self.files._files()}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        return self.files.ranges(start, end)
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        return self.files.read(partition)
+
+
 @dataclass
 class Part(WriterCommitMessage):
     name: str | None
@@ -294,6 +317,9 @@ class Samples(DataSource):
     def reader(self, schema) -> SamplesReader:
         return SamplesReader(dict(self.options))
 
+    def streamReader(self, schema) -> SamplesStream:
+        return SamplesStream(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> SamplesWriter:
         return SamplesWriter(dict(self.options), schema, overwrite)
 

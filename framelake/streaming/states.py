@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import io
 import json
 from collections.abc import Callable, Iterator
@@ -111,3 +112,44 @@ def recurrent(stream: DataFrame, make: Callable, camera: str = "camera") -> Data
     """Frames (camera, f, w, h, c, data) through a step in order; frames arrive in order within and across batches, as for sequence.recurrent."""
     kind = stream.schema[camera].dataType.simpleString()
     return _run(stream.select(camera, "f", "w", "h", "c", "data"), [camera], Carried(make, camera), f"`{camera}` {kind}, f long, {FRAME}")
+
+
+class Reorder(StatefulProcessor):
+    """Holds up to `delay` samples of a key and lets go of the earliest ones beyond; a sample without a unit ends the key and lets go of all."""
+
+    def __init__(self, key: str, delay: int):
+        self.key, self.delay = key, delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "pts long, no long, unit binary")
+        self.shown = handle.getValueState("shown", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        ended = bool(new["unit"].isna().any())
+        heap = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        n, out = (self.shown.get()[0] if self.shown.exists() else 0), []
+        # One sample after the other, as a decoder would meet them, so that batches of any size give the same order.
+        heapq.heapify(heap)
+        for r in new[new["unit"].notna()].sort_values("no", kind="stable").itertuples(index=False):
+            heapq.heappush(heap, (int(r.pts), int(r.no), bytes(r.unit)))
+            if len(heap) > self.delay:
+                out.append(heapq.heappop(heap))
+        while ended and heap:
+            out.append(heapq.heappop(heap))
+        self.held.put(heap) if heap else self.held.clear()
+        self.shown.update((n + len(out),))
+        yield pd.DataFrame([(key[0], n + i, pts, no, unit) for i, (pts, no, unit) in enumerate(out)], columns=[self.key, "display_no", "pts", "no", "unit"])
+
+    def close(self) -> None:
+        pass
+
+
+def display_order(stream: DataFrame, key: str, delay: int = 16) -> DataFrame:
+    """(key, display_no, pts, no, unit): samples (key, no, pts, unit) that arrive in decoding order, in the order that they are shown in.
+
+    A sample waits until `delay` others have come after it that are shown later; the end of a key is a sample with a
+    null unit and the highest number. State is bounded by the delay; a restart goes on from it.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    return _run(stream.select(key, "no", "pts", "unit"), [key], Reorder(key, delay), f"`{key}` {kind}, display_no long, pts long, no long, unit binary")

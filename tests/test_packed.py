@@ -252,3 +252,22 @@ def test_written_samples_read_back_and_a_failed_write_shows_nothing(spark, tmp_p
     with pytest.raises(Exception, match="power cut"):
         broken.write.format(containers.NAME).mode("append").save(fresh)
     assert spark.read.format(containers.NAME).load(fresh).count() == 0
+
+
+def test_samples_come_as_a_stream_and_are_shown_in_order_over_restarts(spark, tmp_path):
+    containers.register(spark)
+    rng = np.random.default_rng(4)
+    order = [i + int(rng.integers(0, 5)) for i in range(30)]  # decoding order: no sample is shown more than a few places away
+    pts = np.argsort(np.argsort(order, kind="stable"), kind="stable").tolist()
+    at, frames, step = str(tmp_path / "in"), [(i, p, bytes([i]) * 3) for i, p in enumerate(pts)], 0
+    for part in (frames[:7], frames[7:8], frames[8:25], frames[25:]):
+        spark.createDataFrame(part, "no long, pts long, unit binary").coalesce(1).write.format(containers.NAME).mode("append").save(at)
+        stream = spark.readStream.format(containers.NAME).load(at).withColumn("camera", F.lit(1))
+        if part[-1] == frames[-1]:
+            stream = stream.withColumn("end", F.explode(F.when(F.col("no") == 29, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("unit", F.when(~F.col("end"), F.col("unit"))).drop("end")
+        q = states.display_order(stream, "camera", 6).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        now = sorted((r.display_no, r.pts, r.no) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        step += len(part)
+        assert len(now) == (30 if step == 30 else max(0, step - 6)) and [x[:2] for x in now] == [(i, i) for i in range(len(now))]
+    assert [no for _, _, no in now] == np.argsort(pts).tolist()
