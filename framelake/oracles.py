@@ -579,3 +579,21 @@ _soft3 = lambda src, a, b: "SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'sum(k.w *
 O["t16_matting"] = rgb(f", b1 AS ({_soft3('rgb', 'x', 'y')}), b2 AS ({_soft3('b1', 'y', 'x')}), m AS (SELECT f, y, x, ({_float('max(r) OVER (PARTITION BY f // 25, y, x ORDER BY f)', '1e0')})::DOUBLE AS a FROM rgb), e AS (SELECT f, y, x, a * a * (3e0 - 2e0 * a) AS a FROM m) "
                        "SELECT p.f, p.y, p.x, " + ", ".join(f"{r(f'e.a * p.{c} + (1e0 - e.a) * b2.{c}')} AS {c}" for c in "rgb") + " FROM rgb p JOIN b2 USING (f, y, x) JOIN e USING (f, y, x)")
 O["s02_written_frames"] = gray("SELECT f, y, x, v FROM gray")
+
+# Displays: texts, discs and bars as cells (f, y, x, z, r, g, b), the highest z first.
+_WHITE, _GOLD = (255, 255, 255), (255, 220, 0)
+_lines = (("true", 8, 8, "'SC ' || score || ' HP ' || health || ' AMMO ' || CASE WHEN reloading THEN 0 ELSE ammo END || ' T ' || floor(time)::BIGINT || 's W' || wave", _WHITE), ("combo > 1", 8, 30, "'COMBO X' || combo", _GOLD),
+          ("phase = 1", 30, 40, "'THUMB UP TO START'", _WHITE), ("phase = 2", 0, 40, "'PAUSED - THUMB RESUME'", _GOLD), ("phase = 3", -10, 40, "'GAME OVER SC ' || score || ' BEST X' || best", (255, 80, 80)),
+          ("phase = 3", 10, 64, "'THUMB TO RETRY'", _WHITE), ("reloading", 70, 70, "'RELOADING'", _GOLD))
+_written = " UNION ALL ".join(f"SELECT f * 10 + {i} AS f, {x} AS x0, {y} AS y0, {text} AS text FROM hs WHERE {on}" for i, (on, x, y, text, _) in enumerate(_lines))
+_inked = ", ".join(f"CASE WHEN dot THEN CASE f % 10 {' '.join(f'WHEN {i} THEN {ink[c]}' for i, (*_, ink) in enumerate(_lines))} END ELSE 0 END AS {n}" for c, n in enumerate("rgb"))
+_disc = lambda z, r, colour, src: f"SELECT f, (cy + j)::INT AS y, (cx + i)::INT AS x, {z} AS z, {colour} FROM {src}, range(-20, 21) a(j), range(-20, 21) b(i) WHERE i * i + j * j <= ({r}) * ({r})"
+_arm = lambda z, y, x: f"SELECT f, (cy + {y})::INT, (cx + {x})::INT, {z}, 0, 255, 255 FROM aim, range(-18, 19) a(i)"
+O["g23_trainer"] = ("WITH hs AS (SELECT s_suppkey AS f, s_suppkey * 37 AS score, 100 - s_nationkey AS health, s_suppkey % 13 AS ammo, s_suppkey % 5 = 0 AS reloading, abs(s_acctbal) / 100e0 AS time, s_suppkey % 9 AS wave, s_suppkey % 4 AS combo, s_suppkey % 7 AS best, s_suppkey % 4 AS phase FROM supplier), "
+                    "aim AS (SELECT s_suppkey AS f, floor(s_nationkey / 25e0 * 240)::INT AS cx, floor(s_suppkey % 8 / 8e0 * 100)::INT AS cy FROM supplier WHERE s_suppkey % 3 <> 0), "
+                    "goal AS (SELECT s_suppkey AS f, k, floor((s_suppkey + k * 3) % 10 / 10e0 * 240)::INT AS cx, floor((s_suppkey + k * 5) % 10 / 10e0 * 100)::INT AS cy, 6 + 3 * k AS r, (s_suppkey + k) % 2 = 1 AS lit FROM supplier, range(3) t(k) WHERE (s_suppkey + k) % 4 <> 0), "
+                    + lettered(_written, 2) + f", made AS (SELECT f // 10 AS f, y, x, CASE f % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 200 + f % 10 END AS z, {_inked} FROM ink UNION ALL "
+                    + " UNION ALL ".join((_disc("2 + 2 * k", "r", "CASE WHEN lit THEN 255 ELSE 230 END AS r, CASE WHEN lit THEN 255 ELSE 40 END AS g, 40 AS b", "goal"), _disc("3 + 2 * k", "greatest(r - 4, 2)", "255, 255, 255", "goal"),
+                                          _disc("100", "12", "0, 255, 255", "aim"), _arm("101", "0", "i"), _arm("102", "i", "0")))
+                    + "), top AS (SELECT * FROM made WHERE x BETWEEN 0 AND 239 AND y BETWEEN 0 AND 99 QUALIFY row_number() OVER (PARTITION BY f, y, x ORDER BY z DESC) = 1) "
+                    "SELECT f, count(*) AS n, sum(x * 31 + y)::BIGINT AS places, " + ", ".join(f"sum({c} * (x + 1))::BIGINT AS {c}" for c in "rgb") + " FROM top GROUP BY f")

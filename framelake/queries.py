@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.frames import colour_bars, colour_bars_planes, gray8, micros, pattern, rgb8, table
-from framelake.operators import color, detect, events, geometry, grades, histogram, packed, sequence, stencil, temporal, tone
+from framelake.operators import color, detect, events, geometry, grades, histogram, hud, packed, recorder, sequence, stencil, temporal, tone
 from framelake.plans import chain
 from framelake.ship import shared_folder
 from framelake.sources import bitstream, containers
@@ -594,3 +594,29 @@ def s02_written_frames(spark, d):
     back = spark.read.format(containers.NAME).option("bytesPerPartition", 4096).load(at)
     frames = back.select(F.col("no").alias("f"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.lit(1).alias("c"), F.col("unit").alias("data"))
     return packed.unpack(frames, ("v",))
+
+
+# Displays and recordings.
+@query
+def g23_trainer(spark, d):
+    """What the display of each supplier's game covers, as sums: the topmost cell at each place."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    target = lambda i: F.struct(((k + i * 3) % 10 / 10.0).alias("nx"), ((k + i * 5) % 10 / 10.0).alias("ny"), F.lit(6.5 + 3 * i).alias("r"), ((k + i) % 4 != 0).alias("alive"), ((k + i) % 2 / 2.0).alias("flash"))
+    state = table(spark, d, "supplier").select(
+        k.alias("f"), (k * 37).alias("score"), (100 - n).alias("health"), (k % 13).alias("ammo"), (k % 5 == 0).alias("reloading"), (F.abs("s_acctbal") / 100).alias("time"), (k % 9).alias("wave"), (k % 4).alias("combo"), (k % 7).alias("best"),
+        F.element_at(F.array(*map(F.lit, ("play", "idle", "pause", "over"))), (k % 4 + 1).cast("int")).alias("phase"), F.when(k % 3 != 0, n / 25.0).alias("aim_x"), F.when(k % 3 != 0, k % 8 / 8.0).alias("aim_y"), F.array(*map(target, range(3))).alias("targets"))
+    top = hud.top_cells(hud.trainer(state, 240, 100), 240, 100)
+    return top.groupBy("f").agg(F.count("*").alias("n"), F.sum(F.col("x") * 31 + F.col("y")).alias("places"), *(F.sum(F.col(c) * (F.col("x") + 1)).alias(c) for c in RGB))
+
+
+def takes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Recordings of each user: views are frames that others don't depend on, clicks others; errors cut, signups take the last segment back, some purchases mark or pause."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "idr").when(F.col("event_type") == "error", "cut").when(F.col("event_type") == "signup", "cut_prev").when((F.col("event_type") == "purchase") & (F.col("value") > 60), "mark").when(
+        (F.col("event_type") == "purchase") & (F.col("value") > 55), "pause").otherwise("frame")
+    return recorder.recording(e.select("user_id", "event_id", (F.floor(micros("ts") / 1000) / 1000.0).alias("t"), kind.alias("kind")), "user_id", "event_id", target=4, least=2)
+
+
+QUERIES["e05_recorder_segments"] = lambda s, d: takes(s, d)["segments"]
+QUERIES["e06_recorder_cuts"] = lambda s, d: takes(s, d)["cuts"].select("user_id", "start", "end", "live", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("t0", "t1")))
+QUERIES["e10_recorder_snips"] = lambda s, d: recorder.coalesced(takes(s, d)["snips"], "user_id").select("user_id", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("a", "b")))
