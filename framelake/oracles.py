@@ -597,3 +597,17 @@ O["g23_trainer"] = ("WITH hs AS (SELECT s_suppkey AS f, s_suppkey * 37 AS score,
                                           _disc("100", "12", "0, 255, 255", "aim"), _arm("101", "0", "i"), _arm("102", "i", "0")))
                     + "), top AS (SELECT * FROM made WHERE x BETWEEN 0 AND 239 AND y BETWEEN 0 AND 99 QUALIFY row_number() OVER (PARTITION BY f, y, x ORDER BY z DESC) = 1) "
                     "SELECT f, count(*) AS n, sum(x * 31 + y)::BIGINT AS places, " + ", ".join(f"sum({c} * (x + 1))::BIGINT AS {c}" for c in "rgb") + " FROM top GROUP BY f")
+
+# Byte streams and settings.
+_split = "(SELECT doc_id AS id, list_filter(string_split(regexp_replace(text, '[^ -~]', '#', 'g'), 'e '), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)"
+O["s06_start_codes"] = f"SELECT id, (4 * len(p) + coalesce(list_sum(list_transform(p, lambda x: length(x))), 0))::INT AS n, md5(array_to_string(list_transform(p, lambda x: chr(0) || chr(0) || chr(0) || chr(1) || x), '')) AS digest FROM {_split}"
+O["s08_ivf"] = f"SELECT id, (unnest(range(1, len(p) + 1)) - 1)::INT AS no, unnest(p) AS piece FROM {_split}"
+O["s11_raw_frames"] = "SELECT doc_id AS id, no::INT AS no, substr(rpad(regexp_replace(text, '[^ -~]', '#', 'g'), 120, '.'), 1 + 12 * no::INT, 12) AS unit FROM documents, range(10) t(no)"
+O["s23_concatenate"] = "SELECT user_id, md5(string_agg(event_type, '' ORDER BY event_id)) AS digest FROM events WHERE event_type <> 'error' GROUP BY user_id"
+_dt = "(o.v / 40e0)"
+O["a11_rate"] = (f"WITH RECURSIVE {STREAM}, s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS seq, 0e0 AS rate FROM st UNION ALL SELECT o.user_id, o.k, o.seq, CASE WHEN {_dt} <= 0.001e0 OR {_dt} >= 2e0 THEN s.rate WHEN s.rate = 0 THEN 1e0 / {_dt} "
+                 f"ELSE 0.9e0 * s.rate + (1e0 - 0.9e0) / {_dt} END FROM s JOIN st o ON o.user_id = s.user_id AND o.k = s.k + 1) SELECT user_id, seq, floor(rate * 1e6 + 1e-3)::BIGINT AS rate FROM s WHERE k > 0")
+O["e24_settings"] = "SELECT p_partkey, p_brand || '=x' AS name, p_size::VARCHAR AS size, 2 AS n FROM part"
+O["e25_progress"] = ("SELECT user_id, event_id AS seq, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT ELSE -1 END AS frame, CASE WHEN event_type <> 'error' THEN floor(value) / 4e0 ELSE -1e0 END AS fps "
+                     "FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
+O["x09_readiness"] = "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 ELSE 2 END::INT AS ready FROM part"

@@ -620,3 +620,67 @@ def takes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 QUERIES["e05_recorder_segments"] = lambda s, d: takes(s, d)["segments"]
 QUERIES["e06_recorder_cuts"] = lambda s, d: takes(s, d)["cuts"].select("user_id", "start", "end", "live", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("t0", "t1")))
 QUERIES["e10_recorder_snips"] = lambda s, d: recorder.coalesced(takes(s, d)["snips"], "user_id").select("user_id", *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("a", "b")))
+
+
+# Byte streams and settings.
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """(id, p): the pieces of each text between "e " with printable letters only, empty ones left out."""
+    clean = F.split(F.regexp_replace("text", "[^ -~]", "#"), "e ")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(clean, lambda p: p != "").alias("p"))
+
+
+def byte_rows(spark: SparkSession, d: str, head: str, each) -> DataFrame:
+    """(id, payload): hex digits `head`, then each(piece) in hex digits, for every piece of a text."""
+    p = pieces(spark, d)
+    return p.select("id", F.unhex(F.concat(F.lit(head), F.array_join(F.transform("p", each), ""))).alias("payload"))
+
+
+def little(n, width: int):
+    """An integer as `width` little-endian bytes in hex digits."""
+    big = F.lpad(F.hex(n), 2 * width, "0")
+    return F.concat(*(F.substring(big, 2 * i + 1, 2) for i in reversed(range(width))))
+
+
+@query
+def s06_start_codes(spark, d):
+    rows = byte_rows(spark, d, "", lambda p: F.concat(F.lpad(F.hex(F.length(p)), 8, "0"), F.hex(p)))
+    return bitstream.reframe(rows).select("id", F.octet_length("payload").alias("n"), F.md5("payload").alias("digest"))
+
+
+@query
+def s08_ivf(spark, d):
+    rows = byte_rows(spark, d, "444B4946" + "00" * 28, lambda p: F.concat(little(F.length(p), 4), F.lit("00" * 8), F.hex(p)))
+    return bitstream.split_ivf(rows).select("id", "no", F.decode("unit", "utf-8").alias("piece"))
+
+
+@query
+def s11_raw_frames(spark, d):
+    payload = F.encode(F.rpad(F.regexp_replace("text", "[^ -~]", "#"), 120, "."), "utf-8")
+    frames = bitstream.raw_frames(table(spark, d, "documents").select(F.col("doc_id").alias("id"), payload.alias("payload")), 4, 2)
+    return frames.select("id", "no", F.decode("unit", "utf-8").alias("unit"))
+
+
+@query
+def s23_concatenate(spark, d):
+    s = stream(spark, d).select("user_id", "seq", (F.col("kind") != "error").alias("kept"), F.encode("kind", "utf-8").alias("unit"))
+    return bitstream.concatenate(s, "user_id", "seq", "unit").select("user_id", F.md5("payload").alias("digest"))
+
+
+QUERIES["a11_rate"] = lambda s, d: temporal.rate(stream(s, d).withColumn("dt", F.col("v") / 40.0), "user_id", ["seq"], "dt").select("user_id", "seq", F.floor(F.col("rate") * 1e6 + 1e-3).cast("long").alias("rate"))
+
+
+@query
+def e24_settings(spark, d):
+    text = F.concat(F.lit("name="), "p_name", F.lit("\n# size=0\nsize = "), F.col("p_size").cast("string"), F.lit("\n\nname="), "p_brand", F.lit("=x"))
+    m = events.settings(text)
+    return table(spark, d, "part").select("p_partkey", m["name"].alias("name"), m["size"].alias("size"), F.size(m).alias("n"))
+
+
+@query
+def e25_progress(spark, d):
+    line = F.concat(F.lit("frame= "), F.col("v").cast("string"), F.lit(" fps="), (F.col("v") / 4.0).cast("string"), F.lit(" q=1"))
+    s = stream(spark, d).select("user_id", "seq", F.when(F.col("kind") == "error", F.lit("failed")).otherwise(line).alias("line"))
+    return events.progress(s, "user_id", "seq", "line", 20).select("user_id", "seq", F.coalesce("frame", F.lit(-1)).alias("frame"), F.coalesce("fps", F.lit(-1.0)).alias("fps"))
+
+
+QUERIES["x09_readiness"] = lambda s, d: table(s, d, "part").select("p_partkey", chain.readiness(F.col("p_size") > 10, F.col("p_size") > 30).cast("int").alias("ready"))
