@@ -86,9 +86,15 @@ def cut_spans(df: DataFrame, key: str, seq: str, cmd: str, idr: str) -> DataFram
 
 
 def without_spans(samples: DataFrame, spans: DataFrame, key: str, at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Samples outside all spans of their key: an anti-join on an interval, within the key."""
-    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    return samples.join(s, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(at) < F.col("_e"))), "left_anti")
+    """Samples outside all spans of their key (from start up to end, a null end never comes), however the spans overlap.
+
+    One union and one window: a sample lies in a span if the latest end of those that began by then is still to come.
+    """
+    rows = samples.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(spans.schema[end].dataType).alias("_e"), F.lit(False).alias("_open"), F.struct(*samples.columns).alias("_row"))
+    begun = spans.select(F.col(key), F.col(start), F.lit(0), F.col(end), F.col(end).isNull(), F.lit(None).cast(rows.schema["_row"].dataType))
+    w = Window.partitionBy("_k").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.union(begun).withColumns({"_last": F.max("_e").over(w), "_never": F.max("_open").over(w)})
+    return d.where((F.col("_side") == 1) & ~F.col("_never") & F.coalesce(F.col("_last") <= F.col("_at"), F.lit(True))).select("_row.*")
 
 
 def marks(df: DataFrame, key: str, order: list[str], is_mark: Column) -> DataFrame:
