@@ -611,3 +611,29 @@ O["e24_settings"] = "SELECT p_partkey, p_brand || '=x' AS name, p_size::VARCHAR
 O["e25_progress"] = ("SELECT user_id, event_id AS seq, CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT ELSE -1 END AS frame, CASE WHEN event_type <> 'error' THEN floor(value) / 4e0 ELSE -1e0 END AS fps "
                      "FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
 O["x09_readiness"] = "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 30 THEN 1 ELSE 2 END::INT AS ready FROM part"
+
+# Recordings: one command after the other, with lists of segments, cuts and frame times.
+_last_kept = "coalesce(list_max(list_transform(s.segs, lambda y, j: CASE WHEN y.kept THEN j END)), 0)"
+_frame, _cut_now, _back = "NOT s.paused AND o.kind IN ('frame', 'idr')", "NOT s.paused AND o.kind = 'cut'", f"NOT s.paused AND o.kind = 'cut_prev' AND {_last_kept} > 0"
+_file = "NOT s.paused AND (o.kind = 'idr' OR o.kind = 'frame' AND NOT s.disc)"
+_turn = f"({_file} AND (s.bs >= 4 AND o.kind = 'idr' OR s.bs >= 8))"
+_resume = "NOT s.paused AND s.disc AND o.kind = 'idr'"
+_ft = lambda i, other: f"CASE WHEN {i} < len(s.ft) THEN s.ft[{i} + 1] ELSE {other} END"
+_prev_cut = f"list_append(s.cuts, {{'start': s.segs[{_last_kept}].s, 'stop': s.segs[{_last_kept}].e, 't0': {_ft(f's.segs[{_last_kept}].s', '-1e0')}, 't1': {_ft(f's.segs[{_last_kept}].e', 'o.t')}, 'live': false}})"
+_shut = lambda cuts, stop, t: f"list_transform({cuts}, lambda x, i: CASE WHEN x.live AND x.stop < 0 AND i = coalesce(list_max(list_transform({cuts}, lambda y, j: CASE WHEN y.live THEN j END)), 0) THEN {{'start': x.start, 'stop': {stop}, 't0': x.t0, 't1': {t}, 'live': true}} ELSE x END)"
+_TAKES = ("WITH RECURSIVE ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, floor(epoch_us(ts) / 1000e0) / 1000e0 AS t, CASE WHEN event_type = 'view' THEN 'idr' WHEN event_type = 'error' THEN 'cut' WHEN event_type = 'signup' THEN 'cut_prev' "
+          "WHEN event_type = 'purchase' AND value > 60 THEN 'mark' WHEN event_type = 'purchase' AND value > 55 THEN 'pause' ELSE 'frame' END AS kind FROM events), "
+          "s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS n, 0e0 AS now, false AS paused, false AS disc, 0::BIGINT AS start, 0::BIGINT AS bs, []::STRUCT(s BIGINT, e BIGINT, kept BOOLEAN)[] AS segs, "
+          "[]::STRUCT(start BIGINT, stop BIGINT, t0 DOUBLE, t1 DOUBLE, live BOOLEAN)[] AS cuts, []::DOUBLE[] AS ft FROM ev UNION ALL SELECT o.user_id, o.k, s.n + ({frame})::INT, CASE WHEN s.paused OR o.kind = 'pause' THEN s.now ELSE o.t END, s.paused <> (o.kind = 'pause'), "
+          "CASE WHEN {cut} THEN true WHEN {resume} THEN false ELSE s.disc END, CASE WHEN {turn} THEN s.n + 1 WHEN {cut} THEN s.n ELSE s.start END, CASE WHEN {turn} THEN 1 WHEN {file} THEN s.bs + 1 WHEN {cut} THEN 0 ELSE s.bs END, "
+          "CASE WHEN {turn} THEN list_append(s.segs, {{'s': s.start, 'e': s.n + 1, 'kept': true}}) WHEN {back} THEN list_transform(s.segs, lambda x, i: {{'s': x.s, 'e': x.e, 'kept': x.kept AND i <> {kept}}}) ELSE s.segs END, "
+          "CASE WHEN {cut} THEN list_append(s.cuts, {{'start': s.start, 'stop': -1, 't0': o.t, 't1': -1e0, 'live': true}}) WHEN {back} THEN {prev} WHEN {resume} THEN {shut} ELSE s.cuts END, "
+          "CASE WHEN {frame} THEN list_append(s.ft, o.t) ELSE s.ft END FROM s JOIN ev o ON o.user_id = s.user_id AND o.k = s.k + 1), "
+          "z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)").format(
+    frame=_frame, cut=_cut_now, back=_back, file=_file, turn=_turn, resume=_resume, kept=_last_kept, prev=_prev_cut, shut=_shut("s.cuts", "s.n + 1", "o.t"))
+_kept_cuts = f"CASE WHEN disc THEN {_shut('cuts', 'n', 'now')} ELSE cuts END"
+O["e05_recorder_segments"] = (_TAKES + " SELECT user_id, x.s AS start, x.e AS \"end\", x.kept AS kept FROM (SELECT user_id, unnest(CASE WHEN bs >= 2 THEN list_append(segs, {'s': start, 'e': n, 'kept': true}) ELSE segs END) AS x FROM z)")
+O["e06_recorder_cuts"] = _TAKES + f" SELECT user_id, x.start AS start, x.stop AS \"end\", x.live AS live, floor(x.t0 * 1000 + 0.5e0)::BIGINT AS t0, floor(x.t1 * 1000 + 0.5e0)::BIGINT AS t1 FROM (SELECT user_id, unnest({_kept_cuts}) AS x FROM z)"
+O["e10_recorder_snips"] = (_TAKES + ", sn AS (SELECT user_id, CASE WHEN x.live THEN CASE WHEN x.start < len(ft) THEN ft[x.start + 1] END WHEN x.t0 >= 0 AND x.t1 > x.t0 THEN x.t0 END AS a, CASE WHEN x.live THEN x.t0 ELSE x.t1 END AS b FROM (SELECT user_id, ft, unnest(cuts) AS x FROM z)), "
+                           "ok AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS k FROM sn WHERE a IS NOT NULL AND b > a + 0.05e0), g AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM ok), "
+                           "h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY k) AS no FROM g) SELECT user_id, floor(min(a) * 1000 + 0.5e0)::BIGINT AS a, floor(max(b) * 1000 + 0.5e0)::BIGINT AS b FROM h GROUP BY user_id, no")
