@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import BROADCAST_ROWS, M1, bounded_batches, cut, lookup_side, mix, wrap
+from framelake.llm.shared import M1, bounded_batches, cut, lookup_side, mix, wrap
 from framelake.llm.words import join_bytes, prefix_hash, small_batches, span_hash
 
 #: Bytes that end a piece; a word ends there and at space and tab.
@@ -28,6 +28,8 @@ CHUNK = 1 << 16
 #: Distinct phrases that a task holds about before it passes their counts on.
 HELD = 400_000
 SALTS = 16
+#: Rows of three eight-byte numbers that may be broadcast: 24 MB.
+BROADCAST_KEYS = 1_000_000
 #: Rows of one key that a shuffle join takes together.
 HOT = 10_000
 
@@ -265,7 +267,7 @@ def _key(lang: Column, phrase: Column) -> Column:
 
 def _looked_up(rows: DataFrame, side: DataFrame) -> DataFrame:
     """rows (_k, lang, phrase, ...) with f of side (_k, f): a counted broadcast, else by a shuffle in which keys of over HOT rows are dealt over salts."""
-    if side.count() <= BROADCAST_ROWS:
+    if side.count() <= BROADCAST_KEYS:
         return rows.join(F.broadcast(side), "_k")
     hot = lookup_side(cut(rows.groupBy("_k").count().where(F.col("count") > HOT).select("_k", F.lit(True).alias("_hot"))))
     left = rows.join(hot, "_k", "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64("phrase", "lang"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
@@ -325,7 +327,7 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     of = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(unknown)).alias("lang"), F.col(text).alias("text"))
     found, totals = frequent_phrases(of, longest, least, buckets)
     inside = cut(covered(found))
-    rows = scored(found, scale, longest).withColumn("_k", _key(F.col("lang"), F.col("phrase"))).join(lookup_side(inside), "_k", "left")
+    rows = scored(found, scale, longest).withColumn("_k", _key(F.col("lang"), F.col("phrase"))).join(lookup_side(inside, BROADCAST_KEYS), "_k", "left")
     rows = rows.where(F.coalesce(100 * F.col("most") < inside_percent * F.col("a"), F.lit(True)))
     by = [F.desc("score"), F.desc("a"), F.col("phrase")]
     first = rows.withColumn("_s", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*by))).where(F.col("_r") <= keep)

@@ -52,7 +52,7 @@ def test_every_phrase_whatever_the_buckets(spark, speech, buckets):
 
 
 def test_the_best_of_each_language_and_the_shuffle_join(spark, speech, monkeypatch):
-    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(phrases, "BROADCAST_KEYS", 5)
     monkeypatch.setattr(phrases, "HOT", 3)
     monkeypatch.setattr(phrases, "HELD", 50)
     assert found(phrases.mine_phrases(frame(spark, speech), least=4, keep=7)) == by_hand(speech, 4, 7)
