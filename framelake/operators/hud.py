@@ -16,9 +16,7 @@ def _colour(rgb: tuple[int, int, int]) -> Column:
 
 def text_cells(texts: DataFrame, scale: int = 2) -> DataFrame:
     """(f, y, x, z, colour) of texts (f, z, x0, y0, text, ink, paper): letters on their own background."""
-    dots = text_dots(texts, scale)
-    look = texts.select("f", "z", "ink", "paper")
-    return dots.join(look, ["f", "z"]).select("f", "y", "x", "z", F.when(F.col("dot"), F.col("ink")).otherwise(F.col("paper")).alias("colour"))
+    return text_dots(texts, scale, ("ink", "paper")).select("f", "y", "x", "z", F.when(F.col("dot"), F.col("ink")).otherwise(F.col("paper")).alias("colour"))
 
 
 def disc_cells(discs: DataFrame) -> DataFrame:
@@ -36,9 +34,14 @@ def bar_cells(bars: DataFrame) -> DataFrame:
 
 
 def top_cells(cells: DataFrame, w: int, h: int) -> DataFrame:
-    """(f, y, x, r, g, b): of the cells within a w by h frame, the one of the highest layer at each place."""
-    top = cells.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).groupBy("f", "y", "x").agg(F.max_by("colour", "z").alias("c"))
-    return top.select("f", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "c.r", "c.g", "c.b")
+    """(f, y, x, r, g, b): of the cells within a w by h frame, the one of the highest layer at each place.
+
+    Layer and colour are one number, which a hash aggregation takes; a struct would have every cell sorted.
+    """
+    layered = F.shiftleft(F.col("z").cast("long"), 24) + F.col("colour.r") * 65536 + F.col("colour.g") * 256 + F.col("colour.b")
+    top = cells.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).groupBy("f", "y", "x").agg(F.max(layered).alias("_top"))
+    part = lambda n: F.shiftright("_top", n).bitwiseAND(255).cast("int")
+    return top.select("f", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
 
 
 def draw(px: DataFrame, cells: DataFrame, w: int, h: int) -> DataFrame:
@@ -69,8 +72,10 @@ def trainer(state: DataFrame, w: int, h: int) -> DataFrame:
     """Cells of the trainer's display for each state (f, score, health, ammo, reloading, time, wave, combo, best, phase, aim_x, aim_y, targets).
 
     phase is play, idle, pause or over; targets are structs (nx, ny, r, alive, flash), places in shares of the frame.
-    Layers from below: status line, combo, targets in their order, aim, the phase's text, reloading.
+    Layers from below: status line, combo, targets in their order, aim, the phase's text, reloading. States are dealt
+    out first: a state makes thousands of cells, and few readers would make them all.
     """
+    state = state.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
     num = lambda c: F.col(c).cast("long").cast("string")
     status = F.concat(F.lit("SC "), num("score"), F.lit(" HP "), num("health"), F.lit(" AMMO "), F.when(F.col("reloading"), F.lit("0")).otherwise(num("ammo")), F.lit(" T "), num("time"), F.lit("s W"), num("wave"))
     yes, phase = F.lit(True), F.col("phase")
