@@ -12,3 +12,11 @@ def plan(df):
 def test_display_is_drawn_without_joins_or_sorted_cells(spark):
     text = plan(queries.QUERIES["g23_trainer"](spark, "/root/testdata/sf0.001"))
     assert "Join" not in text and "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_resampled_pixels_are_never_broadcast(spark):
+    df = queries.QUERIES["g09_resize_planes_cubic"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    joins = [line for line in final.splitlines() if "Join" in line and "sy#" in line]
+    assert len(joins) == 3 and all("SortMergeJoin" in line for line in joins)  # one for each plane
