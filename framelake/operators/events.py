@@ -30,8 +30,9 @@ def hand_shape(hands: DataFrame, key: str = "hand") -> DataFrame:
     """(key, cx, cy, pinch, pointing): centre of the knuckles, pinch by hand size, index finger alone open."""
     p = hands.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("joint", F.struct("x", "y")))).alias("j"))
     at = lambda i: F.element_at("j", F.lit(i))
-    dist = lambda a, b: F.sqrt((at(a)["x"] - at(b)["x"]) ** 2 + (at(a)["y"] - at(b)["y"]) ** 2)
-    opened = [dist(t, 0) * dist(t, 0) > 1.21 * dist(m, 0) * dist(m, 0) for t, m in ((8, 6), (12, 10), (16, 14), (20, 18))]
+    square = lambda a, b: (at(a)["x"] - at(b)["x"]) ** 2 + (at(a)["y"] - at(b)["y"]) ** 2
+    dist = lambda a, b: F.sqrt(square(a, b))
+    opened = [square(t, 0) > 1.21 * square(m, 0) for t, m in ((8, 6), (12, 10), (16, 14), (20, 18))]  # a root's rounding would decide ties
     mean = lambda c: sum((at(i)[c] for i in (5, 9, 13, 17)), F.lit(0.0)) / 4
     return p.select(key, mean("x").alias("cx"), mean("y").alias("cy"), (dist(4, 8) / F.greatest(dist(0, 9), F.lit(1.0))).alias("pinch"), (opened[0] & ~opened[1] & ~opened[2] & ~opened[3]).alias("pointing"))
 

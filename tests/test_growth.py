@@ -1,8 +1,8 @@
 """What must not grow with a table: broadcasts, sorted cells, batches of a worker."""
 
-from pyspark.sql import functions as F
 
 from framelake import queries
+from framelake.operators import events
 
 
 def plan(df):
@@ -20,3 +20,9 @@ def test_resampled_pixels_are_never_broadcast(spark):
     final = plan(df).split("Initial Plan")[0]
     joins = [line for line in final.splitlines() if "Join" in line and "sy#" in line]
     assert len(joins) == 3 and all("SortMergeJoin" in line for line in joins)  # one for each plane
+
+
+def test_a_finger_at_just_the_limit_is_not_open(spark):
+    at = {6: (4, 22), 8: (11, 22)}  # squares 500 and 605, 1.21 times as much
+    hand = spark.createDataFrame([(0, j, *at.get(j, (0, 0))) for j in range(21)], "hand long, joint int, x int, y int")
+    assert [r.pointing for r in events.hand_shape(hand).collect()] == [False]
