@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +57,34 @@ def _units(data: bytes) -> list[bytes]:
     return out
 
 
+#: Units, or bytes of them, whichever come first, that a worker holds before it hands them on.
+UNITS, UNIT_BYTES = 8192, 1 << 20
+
+
 def _explode(df: DataFrame, id: str, payload: str, cut) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, n, x) for i, p in zip(f[id], f[payload]) for n, x in enumerate(cut(bytes(p)) if p is not None else [])]
-            yield pd.DataFrame(rows, columns=["id", "no", "unit"])
+    """(id, no, unit): what cut makes of each payload. A worker holds one payload's units and a bounded batch, however many there are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, no, units, size = [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(no, pa.int32()), pa.array(units, pa.binary())], ["id", "no", "unit"])
+            for i, p in enumerate(b.column(1)):
+                for n, x in enumerate(cut(p.as_buffer().to_pybytes()) if p.is_valid else ()):
+                    owner.append(i)
+                    no.append(n)
+                    units.append(x)
+                    size += len(x)
+                    if len(owner) >= UNITS or size >= UNIT_BYTES:
+                        yield rows()
+                        owner, no, units, size = [], [], [], 0
+            if owner:
+                yield rows()
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= 256:
+        conf.set(most, "256")
     kind = df.schema[id].dataType.simpleString()
-    return df.select(id, payload).mapInPandas(run, f"id {kind}, no int, unit binary")
+    return df.select(id, payload).mapInArrow(run, f"id {kind}, no int, unit binary")
 
 
 def unit_type(unit: Column, h265: bool = False) -> Column:

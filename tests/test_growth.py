@@ -1,8 +1,8 @@
 """What must not grow with a table: broadcasts, sorted cells, batches of a worker."""
 
-
 from framelake import queries
 from framelake.operators import events
+from framelake.sources import bitstream
 
 
 def plan(df):
@@ -26,3 +26,16 @@ def test_a_finger_at_just_the_limit_is_not_open(spark):
     at = {6: (4, 22), 8: (11, 22)}  # squares 500 and 605, 1.21 times as much
     hand = spark.createDataFrame([(0, j, *at.get(j, (0, 0))) for j in range(21)], "hand long, joint int, x int, y int")
     assert [r.pointing for r in events.hand_shape(hand).collect()] == [False]
+
+
+def test_units_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    payload = b"\0\0\1ab" * 20_000
+    df = spark.createDataFrame([(1, bytearray(payload)), (2, None), (3, bytearray(b"\0\0\1x"))], "id long, payload binary").coalesce(1)
+    made = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: made.append((self, run)) or self)
+    bitstream._explode(df, "id", "payload", bitstream._units)
+    monkeypatch.undo()
+    (rows, run), = made
+    batches = list(run(rows.toArrow().to_batches()))
+    assert max(b.num_rows for b in batches) <= bitstream.UNITS and sum(b.num_rows for b in batches) == 20_001
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
