@@ -1,7 +1,9 @@
 """What must not grow with a table: broadcasts, sorted cells, batches of a worker."""
 
+import numpy as np
+
 from framelake import queries
-from framelake.operators import events
+from framelake.operators import events, packed
 from framelake.sources import bitstream
 
 
@@ -39,3 +41,21 @@ def test_units_are_handed_on_in_bounded_batches(spark, monkeypatch):
     batches = list(run(rows.toArrow().to_batches()))
     assert max(b.num_rows for b in batches) <= bitstream.UNITS and sum(b.num_rows for b in batches) == 20_001
     assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_passes_over_frames_share_a_worker(spark):
+    for name in ("g21_interleaved", "g21_back", "n07_background_blur"):
+        assert plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001")).count("MapInArrow") == 1
+
+
+def test_blur_of_small_frames_takes_each_place_once(monkeypatch):
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counted.reads += isinstance(at, tuple)
+            return super().__getitem__(at)
+    p = np.random.default_rng(1).integers(0, 256, (3, 8, 8, 1), np.uint8)
+    small = packed.background_blur(0.5, 0.5)(p.view(Counted))
+    assert Counted.reads == 0
+    assert small.shape == p.shape
