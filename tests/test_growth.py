@@ -59,3 +59,9 @@ def test_blur_of_small_frames_takes_each_place_once(monkeypatch):
     small = packed.background_blur(0.5, 0.5)(p.view(Counted))
     assert Counted.reads == 0
     assert small.shape == p.shape
+
+
+def test_line_items_take_more_parts_instead_of_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(queries, "PART_ROWS", 100)
+    text = plan(queries.QUERIES["m04_gaze"](spark, "/root/testdata/sf0.001"))
+    assert ", 60), REPARTITION_BY_NUM" in text and ", 4), ENSURE_REQUIREMENTS" not in text
