@@ -38,11 +38,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 400-byte strings that also start elsewhere; documents with nothing left go, null and empty texts with them.
+    """Texts without 400-byte strings, and without passages of over 50 words of any length, that also start elsewhere; documents with nothing left go, null and empty texts with them.
 
-    Repeated rows of 400 bytes or more remove each other's text; n_chars follows the text; an empty table stays empty.
+    Repeated rows of 400 bytes or of 51 words or more remove each other's text; n_chars follows the text; an empty table stays empty.
     """
-    out = suffixes.remove_repeats(docs, length=400)
+    out = suffixes.remove_repeats(docs, length=400, words=51)
     return out.where(F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

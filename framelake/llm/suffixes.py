@@ -5,6 +5,9 @@ strings meet under equal anchors. Anchors that occur once are done. Where all su
 equal, all strings in them repeat. What is left, surroundings that share an anchor but differ, goes to
 shards of bounded size; each sorts its suffixes and compares neighbours. An anchor with more surroundings
 than fit in a shard takes several, whose sorted strings are then merged by binary search.
+
+Passages of a number of words, which take any number of bytes, meet in the same way by the smallest hash of
+their G-word windows; at anchors that occur again, the hashes of all passages are counted.
 """
 
 from __future__ import annotations
@@ -19,14 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.shared import bounded_batches, cut, lookup_side
-from framelake.llm.words import join_bytes, prefix_hash, small_batches, span_hash
+from framelake.llm.words import powers, prefix_hash, small_batches, span_hash, word_hashes, word_spans
 
-#: Bytes of an anchor.
-K = 32
+#: Bytes of an anchor, and words of a passage's anchor.
+K, G = 32, 8
 #: Surroundings of one anchor in a shard at most, and bytes of a shard on average.
 PER_SHARD, SHARD_BYTES = 2048, 2 << 20
 #: Bits of a place within a batch; texts are taken in pieces of at most PIECE string starts.
 _PLACE, PIECE = 22, 1 << 20
+#: Bits of a word's place within a batch; bits of the map of repeated anchors at most (32 MB), and in one of its chunks.
+_WORD, MAP_BITS, _CHUNK = 32, 28, 16
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` consecutive values."""
+    n, step = len(values) - width + 1, 1
+    while step * 2 <= width:
+        values = np.minimum(values[:-step], values[step:])
+        step *= 2
+    return np.minimum(values[:n], values[width - step:][:n])
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -41,13 +55,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     at = np.arange(len(data) - K + 1)
     hashes = span_hash(prefix, at, at + K)
     best = hashes >> np.uint64(_PLACE) << np.uint64(_PLACE) | at.astype(np.uint64)
-    width, want = 1, length - K + 1
-    while width * 2 <= want:
-        best = np.minimum(best[:-width], best[width:])
-        width *= 2
-    if want > width:
-        best = np.minimum(best[: n], best[want - width:][: n])
-    owner = (best[:n] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    owner = (_least(best, length - K + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(texts)), sizes)[:n]
     start = np.flatnonzero(np.arange(n) + length <= begin[1:][text])
     if not len(start):
@@ -58,6 +66,26 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[first], first - begin[text[first]], last - begin[text[first]], hashes[own[new]], span_hash(prefix, first, last + length)
 
 
+def passages(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
+    """Runs of `words`-word passages that share an anchor: (text, first word, anchor hash, hash of all words of the run, number of passages); then the passages' hashes."""
+    hashes, counts = word_hashes(texts, lower=False)
+    begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    n, g = len(hashes) - words + 1, min(G, words)
+    text = np.repeat(np.arange(len(texts)), counts)[:max(n, 0)]
+    start = np.flatnonzero(np.arange(max(n, 0)) + words <= begin[1:][text])
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none.view(np.uint64)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes)))])
+    at = np.arange(len(hashes) - g + 1)
+    anchor = span_hash(prefix, at, at + g)
+    best = anchor >> np.uint64(_WORD) << np.uint64(_WORD) | at.astype(np.uint64)
+    own = (_least(best, words - g + 1) & np.uint64((1 << _WORD) - 1)).astype(np.int64)[start]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)])
+    first, last = start[new], start[np.concatenate([new[1:], [True]])]
+    return text[first], first - begin[text[first]], anchor[own[new]], span_hash(prefix, first, last + words), last - first + 1, span_hash(prefix, start, start + words)
+
+
 def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
     """Places of data in the order of the strings that begin there, compared over at least `length` bytes.
 
@@ -280,11 +308,83 @@ def repeated_strings(keyed: DataFrame, length: int, per_shard: int = PER_SHARD)
     return equal.unionByName(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "q")).alias("runs"))
 
 
-def covered(runs: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal byte ranges [start, end) covered by strings that start in the runs."""
-    if not runs:
+def _passage_anchors(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in small_batches(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(passages(texts[a:b], words)[2].view(np.int64))], names=["anchor"])
+    return run
+
+
+def _map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = []
+        for places in batch.column(1):
+            chunk = np.zeros(1 << _CHUNK, np.uint8)
+            chunk[places.values.to_numpy()] = 1
+            bits.append(np.packbits(chunk, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
+
+
+def _anchor_map(anchors: DataFrame) -> np.ndarray:
+    """A bitmap of written anchors, eight bits or more for each up to 2**MAP_BITS; other anchors that fall on set bits pass it too."""
+    size = 1 << min(MAP_BITS, max(_CHUNK, (8 * anchors.count()).bit_length()))
+    place = F.col("anchor").bitwiseAND(size - 1)
+    rows = anchors.groupBy(F.shiftright(place, _CHUNK).cast("int").alias("chunk")).agg(F.collect_set(place.bitwiseAND((1 << _CHUNK) - 1).cast("int")).alias("places"))
+    out = np.zeros(size >> 3, np.uint8)
+    width = 1 << _CHUNK - 3
+    for r in rows.mapInArrow(_map_chunks, "chunk int, bits binary").toLocalIterator():
+        out[r.chunk * width:(r.chunk + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _passage_rows(words: int, known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            texts = batch.column(2).to_pylist()
+            for a, b in small_batches(texts):
+                text, first, anchor, around, count, hashes = passages(texts[a:b], words)
+                place = (anchor & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+                hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                held = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(count[hit])]), pa.int32()), pa.array(hashes[np.repeat(hit, count)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(k1[a:b][text[hit]]), pa.array(k2[a:b][text[hit]]), pa.array(first[hit], pa.int32()), pa.array(around[hit].view(np.int64)), held],
+                    names=["k1", "k2", "first", "around", "hashes"])
+    return run
+
+
+def repeated_passages(keyed: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, starts array<int>): first words of passages of `words` words that also start elsewhere, for texts (k1, k2, _text) that have some.
+
+    The texts are read twice: for anchors that occur again, whose bitmap is broadcast, and for the passages at them,
+    whose hashes are counted exactly. Runs of passages with equal words are counted as one with its number.
+    """
+    spark = keyed.sparkSession
+    anchors = keyed.select("_text").mapInArrow(_passage_anchors(words), "anchor long")
+    again = cut(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
+    known = spark.sparkContext.broadcast(_anchor_map(again))
+    spots = cut(keyed.select("k1", "k2", "_text").mapInArrow(_passage_rows(words, known), "k1 long, k2 long, first int, around long, hashes array<long>"))
+    kinds = spots.groupBy("around").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes"))
+    each = cut(kinds.select("around", "n", F.posexplode("hashes").alias("j", "h")))
+    repeated = cut(each.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h"))
+    found = each.join(lookup_side(repeated), "h", "left_semi").groupBy("around").agg(F.collect_list("j").alias("js"))
+    starts = spots.select("k1", "k2", "first", "around").join(found, "around").select("k1", "k2", F.transform("js", lambda j: j + F.col("first")).alias("js"))
+    return starts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("js")).alias("starts"))
+
+
+def covered(runs: list[dict] | None, length: int, raw: bytes = b"", starts: list[int] | None = None, words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal byte ranges [start, end) covered by strings that start in the runs, or by passages of `words` words of raw that start at the words `starts`."""
+    if not runs and not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, q = np.array([r["p"] for r in runs]), np.array([r["q"] for r in runs]) + length
+    p, q = (np.array([r[x] for r in runs or []], np.int64) for x in ("p", "q"))
+    q = q + length
+    if starts:
+        at, (begin, end) = np.unique(np.array(starts, np.int64)), word_spans(np.frombuffer(raw, np.uint8))
+        p, q = np.concatenate([p, begin[at]]), np.concatenate([q, end[at + words - 1]])
     order = np.argsort(p, kind="stable")
     p, q = p[order], np.maximum.accumulate(q[order])
     new = np.concatenate([[True], p[1:] > q[:-1]])
@@ -295,14 +395,14 @@ def keyed_texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(F.col(id).cast("string"), F.lit(1)), "k2": F.xxhash64(F.col(text)), "_text": F.col(text)})
 
 
-def _cut_texts(length: int, carry: list[str], digest: bool):
+def _cut_texts(length: int, words: int | None, carry: list[str], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, runs = (batch.column(len(carry) + i).to_pylist() for i in (0, 1))
+            texts, runs, starts = (batch.column(len(carry) + i).to_pylist() for i in (0, 1, 2))
             rows = []
-            for t, r in zip(texts, runs):
+            for t, r, s in zip(texts, runs, starts):
                 raw = t.encode("utf-8", "surrogatepass") if t else b""
-                start, end = covered(r, length)
+                start, end = covered(r, length, raw, s, words)
                 kept = raw if not len(start) else b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
                 rows.append((len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept).hexdigest(), len(start) > 0) if digest else
                             (None if t is None else kept.decode("utf-8", "ignore") if len(start) else t,))
@@ -313,25 +413,32 @@ def _cut_texts(length: int, carry: list[str], digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text: str = "text", digest: bool = False, per_shard: int = PER_SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text: str = "text", digest: bool = False, per_shard: int = PER_SHARD, words: int | None = None) -> DataFrame:
     """docs without the bytes of `text` that lie in a string of `length` bytes that also starts elsewhere, in this or another document.
 
+    words: passages of as many words (runs of bytes other than space and \\t to \\r) that also start elsewhere, whatever
+    stands between their words and however few bytes they take, are removed too, from their first word to their last.
+
     Overlapping occurrences count, every copy is removed, and strings are judged on the input. A character
     that is cut in half is dropped. digest: (id, n_bytes, n_removed, n_spans, kept_sha256, touched) instead, over the
     exact remaining bytes; touched: whether anything is removed. Null and empty texts stay as they are and have nothing to remove. Repeated rows
-    are copies of each other like any other documents; ids may be null. Texts shorter than `length` are kept
+    are copies of each other like any other documents; ids may be null. Texts shorter than `length` (and `words`) are kept
     whole. An empty table gives an empty result. Other columns pass through (without digest).
     """
     bounded_batches(docs.sparkSession)
     carry = [id] if digest else [c for c in docs.columns if c != text]
     keyed = keyed_texts(docs.select(F.struct(*(F.col(c) for c in carry)).alias("_rest"), F.col(id).alias("_id"), F.col(text).alias("_t")), "_id", "_t")
     runs = repeated_strings(keyed.where(F.col("_text").isNotNull()), length, per_shard)
+    if words:
+        runs = runs.join(repeated_passages(keyed.where(F.col("_text").isNotNull()), words), ["k1", "k2"], "full")
+    else:
+        runs = runs.withColumn("starts", F.lit(None).cast("array<int>"))
     # Carried columns travel as c0, c1, ..., whatever their own names are.
     safe = [f"c{i}" for i in range(len(carry))]
-    joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs")
+    joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs", "starts")
     fields = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(carry, safe))
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, touched boolean" if digest else "_kept string"
-    out = joined.mapInArrow(_cut_texts(length, safe, digest), ", ".join(x for x in (fields, more) if x))
+    out = joined.mapInArrow(_cut_texts(length, words, safe, digest), ", ".join(x for x in (fields, more) if x))
     if digest:
         return out.withColumnRenamed("c0", id)
     back = dict(zip(carry, safe))

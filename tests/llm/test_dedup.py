@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,34 @@ def test_repeated_strings_match_all_windows(spark, docs, rows, none):
     assert suffixes.remove_repeats(docs).columns == docs.columns
 
 
+def passages_by_force(rows, length, words):
+    """Remaining bytes when repeated strings of `length` bytes and repeated passages of `words` words go."""
+    raw = [(t or "").encode() for _, t, _ in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)] for x in raw]
+    split = [[x[a:b] for a, b in s] for x, s in zip(raw, spans)]
+    strings = Counter(x[p:p + length] for x in raw for p in range(len(x) - length + 1))
+    runs = Counter(tuple(w[i:i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for x, s, w in zip(raw, spans, split):
+        gone = np.zeros(len(x), bool)
+        for p in range(len(x) - length + 1):
+            if strings[x[p:p + length]] > 1:
+                gone[p:p + length] = True
+        for i in range(len(w) - words + 1):
+            if runs[tuple(w[i:i + words])] > 1:
+                gone[s[i][0]:s[i + words - 1][1]] = True
+        out.append(bytes(b for b, g in zip(x, gone) if not g))
+    return out
+
+
+def test_repeated_passages_match_all_windows(spark, docs, rows, none):
+    for words in (51, 9, 3):
+        want = sorted(hashlib.sha256(x).hexdigest() for x in passages_by_force(rows, 400, words))
+        assert sorted(r.kept_sha256 for r in suffixes.remove_repeats(docs, words=words, digest=True).collect()) == want
+    assert suffixes.remove_repeats(none, words=51).count() == 0
+    assert suffixes.remove_repeats(docs, words=51).columns == docs.columns
+
+
 def test_a_crowded_anchor_is_merged_across_shards(spark):
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

@@ -63,6 +63,16 @@ def test_repeated_passages_go(stages):
     assert {i: t for i, t, _ in after} == {i: t for i, t in want.items() if words(t)}
 
 
+def test_passages_of_over_50_words_go_however_short_they_are(spark):
+    own = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(4)]
+    passage = " ".join(f"p{j}" for j in range(51))
+    fifty = " ".join(f"q{j}" for j in range(50))
+    assert len(passage) < 400
+    texts = [f"{own[0]} {passage} end", f"{passage}\n{own[1]}", f"{own[2]} {fifty} x", f"{own[3]} {fifty} y"]
+    after = dict((i, t) for i, t, _ in rows_of(corpus_pipeline.without_repeats(spark, frame(spark, [(i, t, "h") for i, t in enumerate(texts)]).select(*COLUMNS), "")))
+    assert after == {0: f"{own[0]}  end", 1: f"\n{own[1]}", 2: texts[2], 3: texts[3]}
+
+
 def test_secrets_are_masked_and_all_documents_stay(stages):
     before, after = map(rows_of, stages[3])
     want = {i: secrets.redact(t, secrets._spans([t])[0], "[secret]") for i, t, _ in before}
