@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import neardup, packing, quality, secrets, suffixes
 from framelake.llm.registry import tokenizer
-from framelake.llm.shared import cut, lookup_side, scratch
+from framelake.llm.shared import lookup_side, scratch, settled
 from framelake.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,8 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts without words are like nothing and stay, as do rows without a doc_id; an empty table stays empty.
     """
-    found = neardup.near_duplicates(docs, percent=80, k=5)
-    gone = cut(found.where("not kept").select("doc_id").distinct())
+    gone = settled(spark, lambda: neardup.near_duplicates(docs, percent=80, k=5).where("not kept").select("doc_id").distinct())
     kept = docs.join(lookup_side(gone), "doc_id", "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1").head(1)
     return (kept.dropDuplicates(["doc_id", "text"]) if twice else kept).select(*COLUMNS)

@@ -91,6 +91,7 @@ def _pieces(capacity: int):
     """Cuts documents, which come in order of (_part, _key), at multiples of capacity of the running offset."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0
+        encoder.cache_clear()  # texts are encoded by now, and an idle worker would hold its words and vocabulary
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, p, base, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -133,7 +134,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id:
     def place(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int64))
 
-    encoded = encoded.withColumn("_part", place("_key"))
+    # Else a filter of the join repeats the function, in a second worker beside the first.
+    encoded = encoded.withColumn("_part", place.asNondeterministic()("_key"))
     sizes = cut(encoded.groupBy("_part").agg(F.sum("_n").alias("_size")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ SEPARATOR_CLASS = "[ \\t-\\r]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of at most a few dozen bytes that may be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: What `cut` has written inside the innermost `settled`.
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,9 +50,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: computed once, lineage ends here."""
     at = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    if (steps := _steps.get()) is not None:
+        steps.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes, cut; what build itself cut on the way is deleted, so nothing else may read it."""
+    held = _steps.set(steps := [])
+    try:
+        df = build()
+    finally:
+        _steps.reset(held)
+    out = cut(df)
+    for at in steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def lookup_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written narrow table as the small side of a join: broadcast if counted at most `rows` rows, else left to a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df

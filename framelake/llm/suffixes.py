@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import bounded_batches, cut, lookup_side
+from framelake.llm.shared import bounded_batches, cut, lookup_side, settled
 from framelake.llm.words import powers, prefix_hash, small_batches, span_hash, word_hashes, word_spans
 
 #: Bytes of an anchor, and words of a passage's anchor.
@@ -428,11 +428,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
     bounded_batches(docs.sparkSession)
     carry = [id] if digest else [c for c in docs.columns if c != text]
     keyed = keyed_texts(docs.select(F.struct(*(F.col(c) for c in carry)).alias("_rest"), F.col(id).alias("_id"), F.col(text).alias("_t")), "_id", "_t")
-    runs = repeated_strings(keyed.where(F.col("_text").isNotNull()), length, per_shard)
+    some = keyed.where(F.col("_text").isNotNull())
     if words:
-        runs = runs.join(repeated_passages(keyed.where(F.col("_text").isNotNull()), words), ["k1", "k2"], "full")
+        runs = settled(docs.sparkSession, lambda: repeated_strings(some, length, per_shard))
+        runs = runs.join(settled(docs.sparkSession, lambda: repeated_passages(some, words)), ["k1", "k2"], "full")
     else:
-        runs = runs.withColumn("starts", F.lit(None).cast("array<int>"))
+        runs = repeated_strings(some, length, per_shard).withColumn("starts", F.lit(None).cast("array<int>"))
     # Carried columns travel as c0, c1, ..., whatever their own names are.
     safe = [f"c{i}" for i in range(len(carry))]
     joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs", "starts")

@@ -1,11 +1,13 @@
 """Every stage of the pipeline against a brute-force version on its own input, and the whole run."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import secrets
+from framelake.llm import bytepairs, packing, secrets
+from framelake.llm.shared import cut, scratch, settled
 from tests_llm_helpers import frame, model, words
 from test_dedup import linked
 from test_text import base_counts
@@ -95,3 +97,34 @@ def test_whole_run_equals_its_stages(spark, rows, stages, tmp_path):
     assert sorted(json.dumps(r.asDict()) for r in got.collect()) == sorted(json.dumps(r.asDict()) for r in stages[-1][1].collect())
     frame(spark, []).select(*COLUMNS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def written(spark):
+    return {str(p.parent) for p in Path(scratch(spark).removeprefix("file://")).glob("cut-*/_SUCCESS")}
+
+
+def test_settled_tables_leave_only_themselves(spark):
+    before = written(spark)
+    outer = settled(spark, lambda: cut(settled(spark, lambda: cut(spark.range(9)).where("id > 3"))).where("id > 6"))
+    assert sorted(r.id for r in outer.collect()) == [7, 8] and len(written(spark) - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, lambda: 1 // 0)
+    kept = cut(spark.range(2))
+    assert settled(spark, lambda: kept).count() == kept.count() == 2
+
+
+def test_stages_delete_what_they_no_longer_read(spark, rows):
+    docs = frame(spark, rows).select(*COLUMNS)
+    for stage, most in ((corpus_pipeline.one_of_each_group, 1), (corpus_pipeline.without_repeats, 2)):
+        before = written(spark)
+        out = stage(spark, docs, "")
+        assert len(written(spark) - before) <= most and out.count()
+
+
+def test_packing_places_each_document_once_and_drops_its_encoder(spark, rows):
+    packed = packing.pack(frame(spark, rows).select(*COLUMNS), model("byte_bpe_50k.json"))
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    bytepairs.encoder(model("byte_bpe_50k.json"))
+    list(packing._pieces(2048)(iter([])))
+    assert not bytepairs.encoder.cache_info().currsize
