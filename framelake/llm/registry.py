@@ -54,7 +54,7 @@ def line_frequency_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True, counted=51)
 
 
 def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Every string of `length` bytes belongs to the first of its smallest K-byte hashes, its anchor, so equal
 strings meet under equal anchors. Anchors that occur once are done. Where all surroundings of an anchor are
 equal, all strings in them repeat. What is left, surroundings that share an anchor but differ, goes to
-shards of bounded size; each sorts its suffixes and compares neighbours. An anchor with more surroundings
+shards of bounded size; each sorts its suffixes up to `length` bytes, and neighbours of one rank repeat. An anchor with more surroundings
 than fit in a shard takes several, whose sorted strings are then merged by binary search.
 
 Passages of a number of words, which take any number of bytes, meet in the same way by the smallest hash of
@@ -86,89 +86,61 @@ def passages(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
     return text[first], first - begin[text[first]], anchor[own[new]], span_hash(prefix, first, last + words), last - first + 1, span_hash(prefix, start, start + words)
 
 
-def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
-    """Places of data in the order of the strings that begin there, compared over at least `length` bytes.
+def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of data in the order of the first `length` bytes that begin there, and each place's rank, equal for equal bytes.
 
-    Ranks over 8 bytes come from one sort; then ranks over h bytes are refined to 2 h by the rank of the
-    place h further on, and only groups of more than one place are sorted again.
+    Ranks over 8 bytes come from one sort; then ranks over h bytes are refined to 2 h (to `length` at last) by the
+    rank of the place h (or less) further on, and only groups of more than one place are sorted again.
     """
-    n = len(data)
+    n, h = len(data), min(8, length)
     key = np.zeros(n, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for j in range(8):
+    for j in range(h):
         key = key << np.uint64(8) | padded[j:j + n].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     ranked = key[order]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    head = np.ones(n, bool)
+    head[1:] = ranked[1:] != ranked[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 8
+    slots = np.arange(n)
     while h < length:
-        alone = head & np.concatenate([head[1:], [True]])
-        slots = np.flatnonzero(~alone)
+        alone = head & np.append(head[1:], True)
+        slots = slots[~alone[slots]]
         if not len(slots):
             break
+        step = min(h, length - h)
         places = order[slots]
-        ahead = np.where(places + h < n, rank[np.minimum(places + h, n - 1)] + 1, 0)
+        ahead = np.where(places + step < n, rank[np.minimum(places + step, n - 1)] + 1, 0)
         both = rank[places] * (n + 1) + ahead
         again = np.argsort(both, kind="stable")
         both, places = both[again], places[again]
         order[slots] = places
         head[slots[1:]] |= both[1:] != both[:-1]
-        rank[places] = np.maximum.accumulate(np.where(head, np.arange(n), 0))[slots]
-        h *= 2
-    return order
+        rank[places] = np.maximum.accumulate(np.where(head[slots], slots, 0))
+        h += step
+    return order, rank
 
 
-def repeated_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
-    """For each body, which of its `length`-byte strings (by start) equal another one in any of the bodies.
+def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
+    """Places of data in the order of the strings that begin there, compared over `length` bytes."""
+    return suffix_ranks(data, length)[0]
 
-    Neighbours of the suffix array are compared by Kasai's rule: a string shares at least one byte less
-    with its predecessor than the string before it did. All bodies advance together, a start at a time.
-    """
+
+def repeated_starts(bodies: list[bytes], length: int) -> list[np.ndarray]:
+    """For each body, which of its `length`-byte strings (by start) equal another one in any of the bodies: neighbours in the suffix array of one rank."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = np.array([len(x) for x in bodies], np.int64)
     count = np.maximum(sizes - length + 1, 0)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    total = len(data)
-    whole = np.zeros(total + 1, bool)
+    order, rank = suffix_ranks(data, length)
+    whole = np.zeros(len(data), bool)
     for b, c in zip(begin.tolist(), count.tolist()):
         whole[b:b + c] = True
-    order = suffix_array(data, length)
     order = order[whole[order]]
-    before = np.full(total + 1, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    slot = np.full(total + 1, total, np.int64)
-    slot[order] = np.arange(len(order))
-    key = np.zeros(total + length + 8, np.uint64)
-    padded = np.concatenate([data, np.zeros(length + 16, np.uint8)])
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j:j + len(key)].astype(np.uint64)
-    found = np.zeros(total + 1, bool)
-    longest_first = np.argsort(-count, kind="stable")
-    live = np.searchsorted(-count[longest_first], -np.arange(int(count.max(initial=0))), side="left")
-    shared = np.zeros(len(bodies), np.int64)
-    last = np.full(len(bodies), -1, np.int64)
-    for j, m in enumerate(live.tolist()):
-        bodies_now = longest_first[:m]
-        here = begin[bodies_now] + j
-        there = before[here]
-        # The rule needs the place after the last predecessor to sort before this one; ties over `length` bytes may not.
-        after = last[bodies_now] + 1
-        h = np.where((after > 0) & whole[after] & (slot[after] < slot[here]), np.maximum(shared[bodies_now] - 1, 0), 0)
-        going = np.flatnonzero((there >= 0) & (h < length))
-        while len(going):
-            x = key[here[going] + h[going]] ^ key[there[going] + h[going]]
-            same = x == 0
-            part = np.zeros(len(going), np.int64)
-            for bits in (56, 48, 40, 32, 24, 16, 8):
-                part += (x >> np.uint64(bits)) == 0
-            h[going] += np.where(same, 8, part)
-            going = going[same & (h[going] < length)]
-        h = np.minimum(h, length)
-        hit = h >= length
-        found[here[hit]] = found[there[hit]] = True
-        shared[bodies_now], last[bodies_now] = h, there
+    same = rank[order[1:]] == rank[order[:-1]]
+    found = np.zeros(len(data), bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
     return [found[b:b + c] for b, c in zip(begin.tolist(), count.tolist())]
 
 
@@ -413,12 +385,16 @@ def _cut_texts(length: int, words: int | None, carry: list[str], digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text: str = "text", digest: bool = False, per_shard: int = PER_SHARD, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text: str = "text", digest: bool = False, per_shard: int = PER_SHARD, words: int | None = None,
+                   counted: int | None = None) -> DataFrame:
     """docs without the bytes of `text` that lie in a string of `length` bytes that also starts elsewhere, in this or another document.
 
     words: passages of as many words (runs of bytes other than space and \\t to \\r) that also start elsewhere, whatever
     stands between their words and however few bytes they take, are removed too, from their first word to their last.
 
+    counted: with digest, a last column n_passages: how many passages of as many words also start elsewhere. They are only
+    counted, and stay where no string of `length` bytes takes them.
+
     Overlapping occurrences count, every copy is removed, and strings are judged on the input. A character
     that is cut in half is dropped. digest: (id, n_bytes, n_removed, n_spans, kept_sha256, touched) instead, over the
     exact remaining bytes; touched: whether anything is removed. Null and empty texts stay as they are and have nothing to remove. Repeated rows
@@ -429,6 +405,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
     carry = [id] if digest else [c for c in docs.columns if c != text]
     keyed = keyed_texts(docs.select(F.struct(*(F.col(c) for c in carry)).alias("_rest"), F.col(id).alias("_id"), F.col(text).alias("_t")), "_id", "_t")
     some = keyed.where(F.col("_text").isNotNull())
+    if digest and counted:
+        passages_of = settled(docs.sparkSession, lambda: repeated_passages(some, counted).select("k1", "k2", F.size(F.array_distinct("starts")).alias("n_passages")))
     if words:
         runs = settled(docs.sparkSession, lambda: repeated_strings(some, length, per_shard))
         runs = runs.join(settled(docs.sparkSession, lambda: repeated_passages(some, words)), ["k1", "k2"], "full")
@@ -436,11 +414,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, id: str = "doc_id", text:
         runs = repeated_strings(some, length, per_shard).withColumn("starts", F.lit(None).cast("array<int>"))
     # Carried columns travel as c0, c1, ..., whatever their own names are.
     safe = [f"c{i}" for i in range(len(carry))]
-    joined = keyed.join(runs, ["k1", "k2"], "left").select(*(F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)), "_text", "runs", "starts")
+    joined = keyed.join(runs, ["k1", "k2"], "left")
     fields = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for c, s in zip(carry, safe))
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, touched boolean" if digest else "_kept string"
-    out = joined.mapInArrow(_cut_texts(length, words, safe, digest), ", ".join(x for x in (fields, more) if x))
+    held = [F.col("_rest")[c].alias(s) for c, s in zip(carry, safe)]
+    if digest and counted:
+        joined, held = joined.join(lookup_side(passages_of), ["k1", "k2"], "left"), [*held, F.coalesce("n_passages", F.lit(0)).cast("long").alias("c1")]
+        safe, fields = [*safe, "c1"], f"{fields}, c1 long"
+    out = joined.select(*held, "_text", "runs", "starts").mapInArrow(_cut_texts(length, words, safe, digest), ", ".join(x for x in (fields, more) if x))
     if digest:
-        return out.withColumnRenamed("c0", id)
+        columns = [x.split(" ")[0] for x in more.split(", ")]
+        return out.select(F.col("c0").alias(id), *columns, *([F.col("c1").alias("n_passages")] if counted else []))
     back = dict(zip(carry, safe))
     return out.select(*((F.col("_kept") if c == text else F.col(back[c])).alias(c) for c in docs.columns))

@@ -176,3 +176,24 @@ def test_suffix_order_and_repeats_on_random_bytes():
             s = data.tobytes()
             order = suffixes.suffix_array(data, length).tolist()
             assert [s[p:p + length] for p in order] == sorted(s[p:p + length] for p in order)
+
+
+def test_shared_passages_of_few_bytes_are_counted_and_stay(spark, tmp_path):
+    from framelake.llm import registry
+    from tests_llm_helpers import frame
+    own = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(4)]
+    passage, fifty = (" ".join(f"{c}{j}" for j in range(n)) for c, n in (("p", 52), ("q", 50)))
+    texts = [f"{own[0]} {passage} end", f"{passage}\n{own[1]}", f"{own[2]} {fifty} x", f"{own[3]} {fifty} y", "", None]
+    rows = [(i, t, "h") for i, t in enumerate(texts)]
+    assert len(passage) < 400
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.op6_suffix_arrays(spark, str(tmp_path)).collect()}
+    assert {i: r.n_passages for i, r in got.items()} == {0: 2, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.touched) for r in got.values()) == cut_by_force(rows, 400)
+
+
+def test_passage_counts_match_all_windows(spark, docs, rows):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    runs = Counter(tuple(w[i:i + 9]) for w in split for i in range(len(w) - 8))
+    want = sorted((str(i), sum(runs[tuple(w[j:j + 9])] > 1 for j in range(len(w) - 8))) for (i, _, _), w in zip(rows, split))
+    assert sorted((str(r.doc_id), r.n_passages) for r in suffixes.remove_repeats(docs, digest=True, counted=9).collect()) == want
